@@ -29,8 +29,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Lowers the rows of an Arrow batch, as texts can be long."""
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Lowers the rows and bytes of an Arrow batch, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

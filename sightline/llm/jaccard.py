@@ -19,10 +19,10 @@ Groups of near copies thus cost blocks, not pairs, and no row is left out.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +43,11 @@ def _blocks(buckets: int, width: int):
     """Rows of documents to a row of digests for each block, and a row of packed hashes for each block and bucket."""
 
     def run(batches):
-        for batch in batches:
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
             if not batch.num_rows:
                 continue
-            name = uuid.uuid4().hex
+            name = f"{task}-{number}"  # a task that runs again gives its blocks the same names
             sets = list(shingle_sets(batch.column(1), width))
             sizes = np.array([len(x) for x in sets], np.int64)
             one = np.concatenate(sets)

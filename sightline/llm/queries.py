@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import dedup, jaccard, mixing, sharding
+from . import dedup, jaccard, langid, mixing, pieces, sharding, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_language_id": langid.op3_language_id,
     "op4_exact_dedup": dedup.op4_exact_dedup,
+    "op5_warc": warc.op5_warc,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_hash_tree": sharding.op9_hash_tree,
 }
-ORACLES = {"op1_mix_sources": mixing.SQL, "op4_exact_dedup": dedup.SQL}
+ORACLES = {"op1_mix_sources": mixing.SQL, "op4_exact_dedup": dedup.SQL, "op5_warc": warc.SQL}
