@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import dedup, jaccard, langid, mixing, pieces, sharding, warc
+from . import dedup, graph, jaccard, langid, mixing, pieces, sharding, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_vector_graph": graph.op2_vector_graph,
     "op3_language_id": langid.op3_language_id,
     "op4_exact_dedup": dedup.op4_exact_dedup,
     "op5_warc": warc.op5_warc,
