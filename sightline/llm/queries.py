@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, graph, jaccard, langid, mixing, pieces, sharding, warc
+from . import dedup, graph, jaccard, langid, maxent, mixing, pieces, sharding, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": dedup.op4_exact_dedup,
     "op5_warc": warc.op5_warc,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
+    "op7_maxent_lm": maxent.op7_maxent_lm,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_hash_tree": sharding.op9_hash_tree,
 }
