@@ -27,7 +27,7 @@ CLASSES, WORDS = 32, 32  # the last class is that of all other words
 ROWS = 1 << 13  # of each of the two tables
 #: A word with more than this share of the tokens is frequent; so at most as many are broadcast as this has parts.
 FREQUENT = 1 << 18
-RATE, STEP, CHUNK = 0.15, 8192, 1 << 16
+RATE, STEP, CHUNK, MANY = 0.15, 4096, 1 << 13, 16
 #: The first round learns from this share of the documents, so that tasks begin the second from a common model.
 FIRST = 0.125
 BUCKET_BYTES, BUCKETS = 32 << 20, 16
@@ -172,15 +172,36 @@ class Model:
         e, total = self.chances(rows, mask)
         e /= total[:, None]
         e[np.arange(len(target)), target] -= 1
+        self._moved(*self._by_row(rows[:1] if rows[0, 0] else None, e), squares, touched)
+        self._moved(*self._by_row(rows[1:], e), squares, touched)
+
+    @staticmethod
+    def _by_row(rows: np.ndarray | None, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(table rows, sum of their gradients, uses); None: all of row 0."""
+        if rows is None:
+            return np.zeros(1, np.int64), e.sum(axis=0, keepdims=True), np.array([len(e)])
         flat = rows.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         flat = flat[order]
         cuts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        grad = np.add.reduceat(e[order % len(target)], cuts, axis=0)
-        own = flat[cuts]
+        uses = np.diff(np.append(cuts, len(flat)))
+        order %= len(e)
+        grad = e[order[cuts]]
+        # Rows with few uses take their second uses at once, then their third, ...; the others each add up their own.
+        live = np.flatnonzero((uses > 1) & (uses <= MANY))
+        for k in range(1, MANY):
+            if not len(live):
+                break
+            grad[live] += e[order[cuts[live] + k]]
+            live = live[uses[live] > k + 1]
+        for i in np.flatnonzero(uses > MANY):
+            grad[i] = e[order[cuts[i] : cuts[i] + uses[i]]].sum(axis=0)
+        return flat[cuts], grad, uses
+
+    def _moved(self, own: np.ndarray, grad: np.ndarray, uses: np.ndarray, squares: np.ndarray, touched: np.ndarray) -> None:
         squares[own] += (grad**2).mean(axis=1)
         self.tables[own] -= RATE * grad / np.sqrt(squares[own])[:, None]
-        touched[own] += np.diff(np.append(cuts, len(flat)))
+        touched[own] += uses
 
 
 def _trained(shared):
