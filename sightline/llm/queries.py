@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, graph, jaccard, langid, maxent, mixing, pieces, sharding, warc
+from . import cotrain, dedup, graph, jaccard, langid, maxent, mixing, pieces, sharding, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_maxent_lm": maxent.op7_maxent_lm,
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_hash_tree": sharding.op9_hash_tree,
+    "op10_co_training": cotrain.op10_co_training,
 }
 ORACLES = {"op1_mix_sources": mixing.SQL, "op4_exact_dedup": dedup.SQL, "op5_warc": warc.SQL}
