@@ -9,7 +9,8 @@ The job in four steps, each a written table:
    and signatures over two of every three parts (see ``signatures``).  All linked pairs share a signature.
 3. *Hoods.* The classes that share a signature gather round the smallest of them (by a hash), so a pair that shares
    a signature lies in one hood.  Hoods are dealt as blocks of bounded size; each block compares exactly, only
-   across what is not yet connected, and returns a spanning forest of its links.
+   across what is not yet connected, and returns a spanning forest of its links.  Classes first compare in one hood each; hoods'
+   blocks that are connected after that need no more.
 4. *Rest.* Hoods of several blocks that are not yet in one component compare what is outside their largest component with
    all their blocks, block by block.
 
@@ -240,6 +241,11 @@ def _compared(table: pa.Table) -> pa.Table:
     return pa.table([edges[:, 0], edges[:, 1]], names=["a", "b"])
 
 
+def _compared_in(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between different components within each block."""
+    return placed.join(sets, "id").groupBy("space", "hub", "block").applyInArrow(_compared, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id) for every row: the smallest identifier that links reach.
 
@@ -267,9 +273,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = looked_up(hoods, volume, ["space", "hub"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = written(placed, "placed")
 
-    inner = placed.select("space", "hub", "block", "id", F.lit(0).alias("side"), F.col("id").alias("component"))
-    inner = inner.join(sets, "id").groupBy("space", "hub", "block").applyInArrow(_compared, "a long, b long")
-    edges = written(inner.distinct(), "links")
+    # First each class in one hood only, that of the smallest hub: near copies in great number mostly meet there.
+    rank = F.struct(F.xxhash64("hub").alias("rank"), "space", "hub", "block")
+    single = placed.groupBy("id").agg(F.min(rank).alias("at")).select("at.space", "at.hub", "at.block", "id", F.lit(0).alias("side"), F.col("id").alias("component"))
+    edges = written(_compared_in(single, sets), "links")
+    reached = components(edges, spark)
+    # Then all hoods' blocks that still hold several components.
+    inner = looked_up(placed, reached.withColumnRenamed("node", "id"), ["id"], "left").withColumn("component", F.coalesce("component", "id"))
+    inner = written(inner.select("space", "hub", "block", "id", F.lit(0).alias("side"), "component"), "inner")
+    open_ = inner.groupBy("space", "hub", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    inner = inner.join(open_.drop("low", "high"), ["space", "hub", "block"], "left_semi")
+    edges = edges.union(written(_compared_in(inner, sets), "links"))
     reached = components(edges, spark)
 
     # Hoods of several blocks: whatever lies outside the largest component against all blocks.
