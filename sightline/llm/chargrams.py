@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Characters worked on at a time; longer texts come in pieces that overlap by the longest n-gram less one.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 

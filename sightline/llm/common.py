@@ -36,6 +36,26 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) ->
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trimmed(run):
+    """A function for mapInArrow that gives its memory back when a task ends: Python workers live on between tasks and stages."""
+
+    def then_trimmed(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return then_trimmed
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

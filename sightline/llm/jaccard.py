@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, looked_up, small_batches, written
+from .common import components, looked_up, small_batches, trimmed, written
 from .words import SHINGLE, mix, shingle_sets
 
 #: Similarity as a fraction.
@@ -111,7 +111,7 @@ def digests(rows: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(id, n, h1, h2, shared) for rows (id, text): set size, 128-bit digest of the set, shingles seen elsewhere (at least)."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, math.ceil(size / BUCKET_BYTES))
-    packed = rows.mapInArrow(_blocks(buckets, width), "block string, bucket int, owners binary, hashes binary")
+    packed = rows.mapInArrow(trimmed(_blocks(buckets, width)), "block string, bucket int, owners binary, hashes binary")
     counted = packed.groupBy("bucket").applyInArrow(_repeated, "block string, owners binary, digest boolean")
     return counted.groupBy("block").applyInArrow(_summed, "id long, n long, h1 long, h2 long, shared long")
 
@@ -262,9 +262,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = written(classes, "classes")
     live = classes.where(F.col("shared") * DEN >= F.col("n") * NUM).select(F.col("class_id").alias("id"), "n", "h1", "h2")
     texts = looked_up(rows, live.select("id").distinct(), ["id"])
-    sets = written(texts.mapInArrow(_sets(width), "id long, items array<long>").where(F.size("items") > 0), "sets")
+    sets = written(texts.mapInArrow(trimmed(_sets(width)), "id long, items array<long>").where(F.size("items") > 0), "sets")
 
-    signed = written(sets.mapInArrow(_signed, "sig long, space int, id long, n int"), "signed")
+    signed = written(sets.mapInArrow(trimmed(_signed), "sig long, space int, id long, n int"), "signed")
     rank = F.struct(F.xxhash64("id").alias("rank"), F.col("id").alias("hub"))
     hubs = signed.groupBy("sig").agg(F.min(rank).alias("hub"), F.count("*").alias("members")).where("members > 1").select("sig", F.col("hub.hub").alias("hub"))
     hoods = written(signed.join(hubs, "sig").select("space", "hub", "id", "n").distinct(), "hoods")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chargrams import gram_buckets, sums_by_row
-from .common import draw, small_batches
+from .common import draw, small_batches, trimmed
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -131,7 +131,7 @@ def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     classes = sorted(sizes)
     weights, bias, temperature = np.zeros((1 << BITS, len(classes)), np.float32), np.zeros(len(classes)), 1.0
     if classes:
-        counts = known.select("text").mapInArrow(_document_counts, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()  # at most 2**BITS + 1 rows
+        counts = known.select("text").mapInArrow(trimmed(_document_counts), "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()  # at most 2**BITS + 1 rows
         total = int(counts.df[counts.bucket == -1].sum())
         df = np.zeros(1 << BITS)
         own = counts[counts.bucket >= 0]
@@ -142,7 +142,7 @@ def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
             share = F.when(F.col("lang") == lang, PER_LANGUAGE / n).otherwise(share)
         u = draw("langid", F.coalesce(F.col("id").cast("string"), F.lit("null")))
         sample = known.withColumn("u", u).where(F.col("u") < share)
-        sample = sample.select("lang", "text", "u").mapInArrow(_vectors, "lang string, u double, buckets array<int>, shares array<float>")
+        sample = sample.select("lang", "text", "u").mapInArrow(trimmed(_vectors), "lang string, u double, buckets array<int>, shares array<float>")
 
         def fit(table: pa.Table) -> pa.Table:
             table = table.sort_by("u")
@@ -175,7 +175,7 @@ def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    done = rows.select("id", "text", "learn").mapInArrow(predict, f"id {kind}, learn boolean, lang_pred string, score double")
+    done = rows.select("id", "text", "learn").mapInArrow(trimmed(predict), f"id {kind}, learn boolean, lang_pred string, score double")
     return done.withColumnsRenamed({"id": id_col, "learn": "learned"})
 
 

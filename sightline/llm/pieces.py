@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, trimmed
 from .words import _power, mix
 
 #: Vocabulary file; a parameter of every function here.
@@ -240,7 +240,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text_col: str = "text", seed:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*names, ids])
 
     schema = docs.select(*(F.col(f"`{c}`") for c in names)).schema.add(ids, T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def decoded(rows: DataFrame, ids: str = "piece_ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -255,7 +255,7 @@ def decoded(rows: DataFrame, ids: str = "piece_ids", text: str = "decoded", mode
             texts = [None if x is None else b"".join(map(content.__getitem__, x.tolist()))[1:] for x in (y.values.to_numpy(zero_copy_only=False) if y.is_valid else None for y in lists)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, text])
 
-    return rows.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, rows.select(*(F.col(f"`{c}`") for c in names)).schema.add(text, "string"))
+    return rows.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(trimmed(run), rows.select(*(F.col(f"`{c}`") for c in names)).schema.add(text, "string"))
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

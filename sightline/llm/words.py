@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at a time; longer texts are cut at white space, and the words joined again.
-PIECE = 1 << 21
+PIECE = 1 << 20
 SHINGLE = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
