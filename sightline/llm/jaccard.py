@@ -33,7 +33,9 @@ from .words import SHINGLE, mix, shingle_sets
 #: Similarity as a fraction.
 NUM, DEN = 75, 100
 #: Classes, and shingles, that a block of a hood holds on average at most.
-BLOCK_ROWS, BLOCK_SHINGLES = 384, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1536, 1_000_000
+#: Of them so many are compared with the block at a time.
+ROWS = 384
 #: Texts' bytes for one bucket of packed hashes.
 BUCKET_BYTES = 16 << 20
 
@@ -235,8 +237,15 @@ def _compared(table: pa.Table) -> pa.Table:
     ids, of = table.column("id").to_numpy(), table.column("component").to_numpy()
     items = [x.values.to_numpy().view(_U) for x in table.column("items")]
     side = table.column("side").to_numpy()
-    a, b = (np.flatnonzero(side <= 1), np.flatnonzero(side != 1))  # 0: both sides, 1: left, 2: right
-    edges = linked([items[i] for i in a], [items[i] for i in b], of[a], of[b], ids[a], ids[b]) if len(a) and len(b) else []
+    if side.any():  # 1: left, 2: right
+        a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+    else:  # what lies outside the largest component, with all
+        names, counts = np.unique(of, return_counts=True)
+        a, b = np.flatnonzero(of != names[counts.argmax()]), np.arange(len(of))
+    edges = []
+    for low in range(0, len(a) if len(b) else 0, ROWS):
+        own = a[low : low + ROWS]
+        edges += linked([items[i] for i in own], [items[i] for i in b], of[own], of[b], ids[own], ids[b])
     edges = np.array(edges, np.int64).reshape(-1, 2)
     return pa.table([edges[:, 0], edges[:, 1]], names=["a", "b"])
 
