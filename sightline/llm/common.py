@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,22 +38,21 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) ->
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def trimmed(run):
-    """A function for mapInArrow that gives its memory back when a task ends: Python workers live on between tasks and stages."""
+def trim() -> None:
+    """Gives a Python worker's free memory back: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
-    def then_trimmed(batches):
-        import ctypes
-        import gc
 
-        import pyarrow as pa
+def trimmed(run):
+    """A function for mapInArrow that gives its memory back when a task ends."""
 
+    def then_trimmed(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
 
     return then_trimmed
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, looked_up, small_batches, trimmed, written
+from .common import components, looked_up, small_batches, trim, trimmed, written
 from .words import SHINGLE, mix, shingle_sets
 
 #: Similarity as a fraction.
@@ -94,6 +94,8 @@ def _repeated(table: pa.Table) -> pa.Table:
         sums = np.concatenate([[0], np.cumsum(twice[at : at + len(x)])])
         out.append(np.diff(sums[np.concatenate([[0], np.cumsum(counts)])]).astype(np.int32).tobytes())
         at += len(x)
+    del one, order, ranked, same, twice, hashes
+    trim()
     return pa.table([table.column("block"), pa.array(out, pa.binary()), pa.array([False] * len(out))], names=["block", "owners", "digest"])
 
 
@@ -247,6 +249,9 @@ def _compared(table: pa.Table) -> pa.Table:
         own = a[low : low + ROWS]
         edges += linked([items[i] for i in own], [items[i] for i in b], of[own], of[b], ids[own], ids[b])
     edges = np.array(edges, np.int64).reshape(-1, 2)
+    if len(ids) > ROWS // 2:
+        del items
+        trim()
     return pa.table([edges[:, 0], edges[:, 1]], names=["a", "b"])
 
 

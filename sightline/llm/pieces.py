@@ -17,7 +17,7 @@ from .words import _power, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000  # the mark of a space, and what stands for that character in a text
 #: Characters worked on at a time; a longer text comes alone.
-PIECE = 1 << 21
+PIECE = 1 << 20
 _U = np.uint64
 _BASE, _INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CHAR, _TABLE = _U(0xD6E8FEB86659FD93), 17
