@@ -50,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents as piece ids, with the digest that shows that decoding gives the text."""
-    rows = pieces.decoded(pieces.encoded(docs.select("doc_id", "source", "text")))
+    rows = pieces.encoded(docs.select("doc_id", "source", "text"), decode_as="decoded")
     return rows.select(
         "doc_id", "source", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("text_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),

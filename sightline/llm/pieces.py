@@ -203,7 +203,7 @@ def _encoded(v: Vocabulary, texts: list[str], keys: np.ndarray, sharpness: float
     return out, upto[rows]
 
 
-def encoded(docs: DataFrame, key: str = "doc_id", text_col: str = "text", seed: int = 3, sharpness: float = 1.0, model: str = MODEL, ids: str = "piece_ids") -> DataFrame:
+def encoded(docs: DataFrame, key: str = "doc_id", text_col: str = "text", seed: int = 3, sharpness: float = 1.0, model: str = MODEL, ids: str = "piece_ids", decode_as: str | None = None) -> DataFrame:
     """``docs`` with an array of piece ids, one segmentation of each whole text drawn in proportion to its probability.
 
     A space becomes part of the piece that follows, behind an added space at the beginning.  Forward filtering sums over all ways to
@@ -212,11 +212,12 @@ def encoded(docs: DataFrame, key: str = "doc_id", text_col: str = "text", seed:
     a space, so filtering is done once for each distinct word.  The draws depend on seed, row key and position alone: a row is
     cut alike whatever stands beside it, and rows that share key and text alike.  A null text has no pieces (null); an
     empty one has that of the added space.  A null key draws as one value.  An existing column named ``ids`` is replaced.
+    ``decode_as`` adds a column with the text that the ids decode to, made in the same worker.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary(model))
-    names = [c for c in docs.columns if c.lower() != ids.lower()]
+    names = [c for c in docs.columns if c.lower() not in (ids.lower(), (decode_as or ids).lower())]
     rows = docs.select(*(F.col(f"`{c}`") for c in names), F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("__draw"))
 
     def run(batches):
@@ -240,28 +241,33 @@ def encoded(docs: DataFrame, key: str = "doc_id", text_col: str = "text", seed:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*names, ids])
 
     schema = docs.select(*(F.col(f"`{c}`") for c in names)).schema.add(ids, T.ArrayType(T.IntegerType()))
+    if decode_as:
+        schema = schema.add(decode_as, T.StringType())
+        return rows.mapInArrow(trimmed(lambda batches: _decoded(run(batches), shared.value.content, ids, decode_as)), schema)
     return rows.mapInArrow(trimmed(run), schema)
 
 
+def _decoded(batches, content: list[bytes], ids: str, text: str):
+    """Batches with the text of their piece ids as a last column."""
+    for batch in batches:
+        lists = (y.values.to_numpy(zero_copy_only=False) if y.is_valid else None for y in batch.column(batch.schema.get_field_index(ids)))
+        texts = [None if x is None else b"".join(map(content.__getitem__, x.tolist()))[1:] for x in lists]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names, text])
+
+
 def decoded(rows: DataFrame, ids: str = "piece_ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """``rows`` with the text of their piece ids: exactly what ``encoded`` was given.  Null ids give a null text; ids that the model lacks fail."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary(model).content)
     names = [c for c in rows.columns if c.lower() != text.lower()]
 
-    def run(batches):
-        content = shared.value
-        for batch in batches:
-            lists = batch.column(names.index(ids))
-            texts = [None if x is None else b"".join(map(content.__getitem__, x.tolist()))[1:] for x in (y.values.to_numpy(zero_copy_only=False) if y.is_valid else None for y in lists)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, text])
-
+    run = lambda batches: _decoded(batches, shared.value, ids, text)
     return rows.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(trimmed(run), rows.select(*(F.col(f"`{c}`") for c in names)).schema.add(text, "string"))
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """(doc_id, n_pieces, pieces_hash, text_sha256, lossless): lossless where decoding gives the text itself (null: null)."""
     sha: Column = F.sha2("decoded", 256)
-    rows = decoded(encoded(docs.select("doc_id", "text")))
+    rows = encoded(docs.select("doc_id", "text"), decode_as="decoded")
     return rows.select(
         "doc_id",
         F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),

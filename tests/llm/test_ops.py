@@ -141,6 +141,8 @@ def test_pieces(spark, odd, none):
     rows = pieces.round_trip(odd).collect()
     assert len(rows) == odd.count() and all(r.lossless for r in rows)
     assert pieces.round_trip(none).count() == 0
+    apart = pieces.decoded(pieces.encoded(odd)).select("text", "decoded").collect()
+    assert len(apart) == odd.count() and all(r.text == r.decoded for r in apart)
     again = pieces.round_trip(odd.repartition(3)).collect()
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
 
