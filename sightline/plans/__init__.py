@@ -1,3 +1,3 @@
 """Composite queries; importing this registers them."""
 
-from . import detections, sitework, sweeps, tilework  # noqa: F401
+from . import detections, exchange, sitework, sweeps, tilework  # noqa: F401

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 _SITE = {
     "site_id": "s_suppkey",
     "name": "s_name",
-    "latitude": "((s_suppkey * 7919) % 14000) / 100.0 - 70.0",
-    "longitude": "((s_suppkey * 104729) % 34000) / 100.0 - 170.0",
+    "latitude": "CAST((s_suppkey * 7919) % 14000 AS DOUBLE) / 100 - 70",
+    "longitude": "CAST((s_suppkey * 104729) % 34000 AS DOUBLE) / 100 - 170",
     "altitude_mode": "CASE s_suppkey % 3 WHEN 0 THEN 'clampToGround' WHEN 1 THEN 'relativeToGround' ELSE 'absolute' END",
     "input_altitude": "CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST((s_suppkey * 13) % 300 AS DOUBLE) END",
     "height": "CAST(5 + s_suppkey % 50 AS DOUBLE)",
