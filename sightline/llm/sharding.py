@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,12 +28,11 @@ def even_tree(shards: int, per_rack: int = 2, racks: int = 2) -> list[Leaf]:
 
 
 def descended(key: Column, tree: list[Leaf], seed: int = 5) -> Column:
-    """The shard of a key: at region, rack and shard level the child with the smallest weighted hash draw.
+    """The shard of a key by one weighted draw over all shards; regions and racks have no part in it (see ``walked``).
 
-    A shard's draw is exponential in its weight, -ln(u) / weight with u hashed from seed, key and shard.  A rack's or
-    region's draw is the smallest below it, hence exponential in the sum of the weights below.  So a changed
-    weight changes no draw outside its own branch, and rows move only between that branch's shard and the rest: a new
-    shard takes rows only into itself.  Shards of weight 0 get nothing.
+    A shard's draw is exponential in its weight, -ln(u) / weight with u hashed from seed, key and shard, and the smallest
+    wins.  So a changed weight changes no other draw, and rows move only between that shard and the rest, wherever the rest
+    lies: a new shard takes rows only into itself.  Shards of weight 0 get nothing.
     """
     tree = [x for x in tree if x.weight > 0]
     if not tree:
@@ -50,6 +50,35 @@ def descended(key: Column, tree: list[Leaf], seed: int = 5) -> Column:
     return least(regions)["shard"]
 
 
+def walked(key: Column, tree: list[Leaf], seed: int = 5) -> Column:
+    """The shard of a key: from the root the region, then its rack, then its shard with the smallest weighted draw.
+
+    A node's draw is exponential in its weight, the sum of the weights of the shards below, -ln(u) / weight with u hashed from
+    seed, key, level and node.  So weight that moves between the shards of a rack, or the racks of a region, moves rows only there,
+    and a new region takes rows only into itself.  A change of a region's sum moves rows between regions, and in
+    the region that grows these go to any shard.  Shards of weight 0 get nothing.
+    """
+    tree = [x for x in tree if x.weight > 0]
+    if not tree:
+        raise ValueError("no shard has a positive weight")
+
+    def best(level: str, nodes: list[tuple[tuple[int, ...], float, Column]]) -> Column:
+        """What lies below the node drawn, of nodes (name, weight, what lies below)."""
+        drawn = [F.struct((-F.ln(F.lit(1.0) - draw(seed, key, level, *name)) / weight).alias("draw"), below.alias("shard")) for name, weight, below in nodes]
+        return F.array_min(F.array(*drawn))["shard"]
+
+    regions = []
+    for region in sorted({x.region for x in tree}):
+        racks = []
+        for rack in sorted({x.rack for x in tree if x.region == region}):
+            own = [x for x in tree if (x.region, x.rack) == (region, rack)]
+            shards = best("shard", [((region, rack, x.shard), x.weight, F.lit(x.shard)) for x in own])
+            racks.append(((region, rack), math.fsum(x.weight for x in own), shards))
+        weight = math.fsum(x.weight for x in tree if x.region == region)
+        regions.append(((region,), weight, best("rack", racks)))
+    return best("region", regions)
+
+
 def sharded(docs: DataFrame, shard: Column, id_col: str = "doc_id", text_col: str = "text", more: dict[str, Column] | None = None) -> DataFrame:
     """(id, size, text_crc32, shard, slot and ``more``) for every row; slots number a shard's rows from 0 without gaps.
 
@@ -81,4 +110,4 @@ def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight even shards; the law is ``key``, as doc_id and the tree decide alone."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return sharded(docs, descended(key, even_tree(8)), more={"law": F.lit("key"), "grown_shard": descended(key, even_tree(9))})
+    return sharded(docs, walked(key, even_tree(8)), more={"law": F.lit("key"), "grown_shard": walked(key, even_tree(9))})

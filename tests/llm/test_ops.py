@@ -137,6 +137,22 @@ def test_a_changed_weight_moves_rows_only_to_or_from_its_branch(spark):
     assert all(r.a == r.b or r.b == 5 for r in rows) and abs(sum(r.b == 5 for r in rows) - 1200) < 150
 
 
+def test_weight_moved_within_a_branch_moves_rows_only_there(spark):
+    """By the function that the query calls, on its tree: weight moved within a rack, then between the racks of a region."""
+    tree = sharding.even_tree(8)
+    changed = lambda w: [sharding.Leaf(x.region, x.rack, x.shard, w.get(x.shard, 1.0)) for x in tree]
+    trees = {"a": tree, "rack": changed({4: 0.25, 5: 1.75}), "region": changed({4: 0.5, 5: 0.5, 6: 1.5, 7: 1.5})}
+    rows = spark.range(4000).select(*(sharding.walked(F.col("id"), t).alias(n) for n, t in trees.items()), sharding.walked(F.col("id"), sharding.even_tree(9)).alias("grown")).collect()
+    assert all(r.a == r.rack or {r.a, r.rack} == {4, 5} for r in rows)
+    assert all(r.a == r.region or {r.a, r.region} <= {4, 5, 6, 7} for r in rows)
+    assert all(r.grown in (r.a, 8) for r in rows)
+    for name, t in trees.items():
+        assert all(abs(sum(r[name] == x.shard for r in rows) - 500 * x.weight) < 110 for x in t)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", sharding.walked(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), tree).alias("want"))
+    got = queries.QUERIES["op9_hash_tree"](spark, SF).join(docs, "doc_id")
+    assert got.where("shard <> want").count() == 0
+
+
 def test_pieces(spark, odd, none):
     rows = pieces.round_trip(odd).collect()
     assert len(rows) == odd.count() and all(r.lossless for r in rows)
