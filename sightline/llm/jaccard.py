@@ -190,6 +190,17 @@ def _sets(width: int):
     return run
 
 
+def _sized(width: int):
+    """Rows (id, text) to rows (id, n_shingles)."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = pa.array([len(x) for x in shingle_sets(batch.column(1), width)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes], names=["id", "n_shingles"])
+
+    return run
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray], left_of: np.ndarray, right_of: np.ndarray, left_id: np.ndarray, right_id: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest, over components *_of, of the links between two lists of sets; counts of common shingles are exact."""
     sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
@@ -324,7 +335,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = looked_up(known.where("n > 0").select("id", "n", "h1", "h2"), final, ["n", "h1", "h2"])
     full = full.select("id", F.col("n").alias("n_shingles"), "component_id")
     bare = known.where("n = 0").select("id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
-    return full.unionByName(bare).withColumnRenamed("id", id_col)
+    unnamed = rows.where("id IS NULL").mapInArrow(trimmed(_sized(width)), "id long, n_shingles long").withColumn("component_id", F.lit(None).cast("long"))
+    return full.unionByName(bare).unionByName(unnamed).withColumnRenamed("id", id_col)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,16 @@ def test_jaccard_on_odd_rows(spark, odd, none):
     assert jaccard.near_groups(none).count() == 0
 
 
+def test_jaccard_keeps_rows_without_an_identifier(spark, odd):
+    """Each with the size of its own set, no component, and no part in the others' components."""
+    rows = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(odd).collect()]
+    named = odd.where("doc_id IS NOT NULL").collect()
+    assert sorted(r for r in rows if r[0] is not None) == truth([(r.doc_id, r.text) for r in named])
+    assert sorted((r for r in rows if r[0] is None), key=lambda r: r[1]) == [(None, 0, None), (None, len(words(A)) - 4, None)]
+    lone = jaccard.near_groups(odd.where("doc_id IS NULL")).collect()
+    assert sorted(r.n_shingles for r in lone) == [0, len(words(A)) - 4]
+
+
 def test_jaccard_on_documents_and_near_copies(spark):
     random = np.random.default_rng(3)
     rows = [(int(r.doc_id), r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()]
