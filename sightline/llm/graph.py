@@ -13,6 +13,8 @@ from .common import written
 
 #: Vectors of a shard at most, on average; and shards at least.
 SHARD, SHARDS = 16_384, 8
+#: Points below which a band of norms is not cut into more shards.
+FEW = 256
 #: Queries that one task takes through one shard.
 QUERIES = 4096
 DEGREE, WIDTH, RELAX = 32, 96, 1.2
@@ -131,12 +133,13 @@ def _built(width: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
         vectors = np.stack([x.values.to_numpy() for x in table.column("vector")])
-        top = float(table.column("top")[0].as_py())
-        rest = np.sqrt(np.maximum(top - np.einsum("nd,nd->n", vectors, vectors), 0))
-        graph = Graph(np.concatenate([vectors, rest[:, None]], 1)).build(width)  # with this coordinate the nearest have the largest product
+        scaled = np.ldexp(vectors, -table.column("band")[0].as_py())
+        squares = np.einsum("nd,nd->n", scaled, scaled)
+        rest = np.sqrt(squares.max() - squares)
+        graph = Graph(np.concatenate([scaled, rest[:, None]], 1)).build(width)  # with this coordinate the nearest have the largest product
         return pa.table(
-            [table.column("shard").slice(0, 1), table.column("dim").slice(0, 1), pa.array([vectors.astype(np.float64).tobytes()], pa.binary()), pa.array([rest.astype(np.float32).tobytes()], pa.binary()), pa.array([graph.near.tobytes()], pa.binary()), pa.array([table.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64())))],
-            names=["shard", "dim", "vectors", "rest", "near", "ids"],
+            [*(table.column(c).slice(0, 1) for c in ("shard", "band", "dim")), pa.array([vectors.astype(np.float64).tobytes()], pa.binary()), pa.array([rest.astype(np.float32).tobytes()], pa.binary()), pa.array([graph.near.tobytes()], pa.binary()), pa.array([table.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64())))],
+            names=["shard", "band", "dim", "vectors", "rest", "near", "ids"],
         )
 
     return run
@@ -153,13 +156,15 @@ def _searched(k: int, width: int):
         rest = np.frombuffer(index.column("rest")[0].as_buffer(), np.float32)
         near = np.frombuffer(index.column("near")[0].as_buffer(), np.int32).reshape(len(vectors), -1)
         ids = index.column("ids")[0].as_py()
-        graph = Graph(np.concatenate([vectors, rest[:, None]], 1), near.shape[1], near)
+        graph = Graph(np.concatenate([np.ldexp(vectors, -index.column("band")[0].as_py()), rest[:, None]], 1), near.shape[1], near)
         asked = np.stack([x.values.to_numpy() for x in queries.column("vector")])
         query_ids = queries.column("query_id").to_numpy()
+        unit = asked / np.abs(asked).max(axis=1, keepdims=True)  # a query's length does not change the order of its products
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         out_q, out_v, out_s = [], [], []
         for low in range(0, len(asked), BATCH):
             part = asked[low : low + BATCH]
-            nodes, _ = graph.search(np.concatenate([part, np.zeros((len(part), 1))], 1).astype(np.float32), width)
+            nodes, _ = graph.search(np.concatenate([unit[low : low + BATCH], np.zeros((len(part), 1))], 1).astype(np.float32), width)
             nodes = nodes[:, : 2 * k]
             scores = np.where(nodes >= 0, (vectors[nodes] * part[:, None, :]).sum(axis=2), -np.inf)
             for q, own, found in zip(query_ids[low : low + BATCH].tolist(), nodes.tolist(), scores.tolist(), strict=True):
@@ -173,12 +178,20 @@ def _searched(k: int, width: int):
     return run
 
 
+def _band(vector: Column) -> Column:
+    """The power of two nearest to the vector's norm, by logarithms; scaled first, so that squares neither overflow nor vanish."""
+    top = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(F.transform(vector, lambda x: x / top), F.lit(0.0), lambda s, x: s + x * x)
+    return F.floor(F.log2(top) + F.log2(squares) / 2 + 0.5).cast("int")
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", width: int = WIDTH, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``queries`` holds, the k rows found with the largest inner product.
 
-    Every valid vector is indexed: equal vectors are one point, points are dealt by hash to shards of about ``shard``
-    (SHARDS at least), and each shard becomes a robust-pruned graph in one task.  Blocks of queries then go through every
-    shard by beam search, and the k best of all shards are ranked by their products in double precision, ties by id.
+    Every valid vector is indexed: equal vectors are one point, points are dealt to bands of norm, each twice the one before,
+    and in a band by hash to shards of about ``shard`` (SHARDS at least where there are FEW points for each).  Each shard
+    becomes a robust-pruned graph in one task, scaled by its band, so that float32 tells its points apart whatever
+    the other bands hold.  Blocks of queries then go through every shard of every band by beam search, and the k best of all shards are ranked by their products in double precision, ties by id.
     Of equal vectors the k + 1 smallest ids are kept as candidates; no other copy can be among the k nearest of any query.
 
     Vectors that are null, empty or zero or hold a null or non-finite component take no part, nor do null ids.  A query is
@@ -192,19 +205,19 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     own = Window.partitionBy("vector").orderBy("vec_id")
     points = rows.select("vec_id", "vector").distinct().withColumn("copy", F.row_number().over(own)).where(F.col("copy") <= k + 1)
     points = points.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 ids at most
-    points = written(points.select(F.col("ids")[0].alias("vec_id"), "ids", F.size("vector").alias("dim"), "vector"), "points")
-    shape = points.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("top"))
-    shape = shape.withColumn("shards", F.greatest(F.lit(SHARDS), F.ceil(F.col("n") / shard)).cast("int"))
-    shape = written(shape, "shape")  # a row for each vector length
-    placed = points.join(F.broadcast(shape.select("dim", "top", "shards")), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).drop("shards")
-    index = placed.groupBy("dim", "shard").applyInArrow(_built(width), "shard int, dim int, vectors binary, rest binary, near binary, ids array<array<long>>")
+    points = written(points.select(F.col("ids")[0].alias("vec_id"), "ids", F.size("vector").alias("dim"), _band(F.col("vector")).alias("band"), "vector"), "points")
+    shape = points.groupBy("dim", "band").agg(F.count("*").alias("n"))
+    shape = shape.withColumn("shards", F.greatest(F.least(F.lit(SHARDS), F.ceil(F.col("n") / FEW)), F.ceil(F.col("n") / shard)).cast("int"))
+    shape = written(shape, "shape")  # a row for each vector length and band, of which doubles have about 2100
+    placed = points.join(F.broadcast(shape.select("dim", "band", "shards")), ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).drop("shards")
+    index = placed.groupBy("dim", "band", "shard").applyInArrow(_built(width), "shard int, band int, dim int, vectors binary, rest binary, near binary, ids array<array<long>>")
     index = written(index, "graphs")
     asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.size("vector").alias("dim"), "vector").distinct()
     blocks = max(1, math.ceil(asked.count() / QUERIES))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    asked = asked.join(F.broadcast(shape.select("dim", "shards")), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    asked = asked.join(F.broadcast(shape.select("dim", "band", "shards")), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "shard", "block"]
+    keys = ["dim", "band", "shard", "block"]
     found = asked.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(_searched(k, width), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

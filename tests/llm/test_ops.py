@@ -322,6 +322,26 @@ def test_nearest_with_odd_vectors(spark):
     assert graph.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_nearest_beside_long_vectors(spark):
+    """Norms from 1e-25 to 1e30: each query finds what exact products find."""
+    random = np.random.default_rng(4)
+    v = random.normal(size=(3000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for norm, low, high in ((1e3, 1, 4), (1e30, 4, 6), (1e-25, 2900, 3000)):
+        v[low:high] *= norm
+    v = v.astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    found = collections.defaultdict(set)
+    for r in graph.nearest(rows, F.col("vec_id") % 20 == 0, k=10).collect():
+        found[r.query_id].add(r.vec_id)
+    recall = []
+    for i in range(0, 3000, 20):
+        s = v @ v[i]
+        s[i] = -np.inf
+        recall.append(len(found[i] & set(np.argsort(-s, kind="stable")[:10].tolist())) / 10)
+    assert len(found) == 150 and np.mean(recall) >= 0.95
+
+
 def test_pipeline(spark, odd, none, tmp_path):
     import corpus_pipeline as p
 
