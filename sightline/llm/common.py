@@ -5,34 +5,59 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table may be broadcast; every use counts the rows first.
+#: Rows up to which a narrow table (keys and numbers, under 100 bytes a row) may be broadcast; every use counts the rows first.
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_workspaces: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir, or the workspace in it.
+
+    Where that is unset, a session in one process gets a folder of its own; on a cluster, whose machines share no local folder, that is an error.
+    """
+    if _workspaces:
+        return _workspaces[-1]
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sightline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: the rows as a Parquet table in the shared folder, read again."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Tables ``written`` inside are deleted at the end, so what is made of them has to be written elsewhere by then."""
+    folder = f"{shared_folder(spark)}/workspace-{uuid.uuid4().hex}"
+    _workspaces.append(folder)
+    try:
+        yield
+    finally:
+        _workspaces.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, what: str, folder: str | None = None) -> DataFrame:
+    """Cuts the lineage: the rows as a Parquet table in the shared folder (or the one named), read again."""
+    path = f"{folder or shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
-    """Lowers the rows and bytes of an Arrow batch, as texts can be long."""
+    """Lowers the rows and bytes of an Arrow batch, as texts can be long.  It holds for the session, as plans run after they are made."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
