@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import draw, written
+from .common import draw, looked_up, written
 
 #: A mean above this is the sum of equal smaller means, each drawn on its own.
 PART = 16.0
@@ -23,7 +23,7 @@ def target_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
     shares are proportional to the source's size to the power ``alpha``.  ``total`` rows are expected, by default as
     many as there are.  A null source is a source like any other and never has a named weight.
     """
-    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    sizes = docs.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         share = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
     else:
@@ -37,50 +37,63 @@ def target_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
     return sizes.join(F.broadcast(sums)).select("source", rate.alias("rate"))
 
 
-def mixed(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 17) -> DataFrame:
+def mixed(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, few_sources: int = 10_000) -> DataFrame:
     """Each document as often as a Poisson draw with its source's rate says, all in random order.
 
     The draw inverts the Poisson distribution at a hash of seed and identifier, so the same document gets the same count
-    whatever the partitioning.  Copies get a random key of their own, are dealt out by it and lie in its order in
-    each partition.  Sources up to a counted number of rows are broadcast; with more, both sides are salted,
-    so a source that holds a third of the rows is spread over many tasks.
+    whatever the partitioning.  Where rows share an identifier or have none, the hash takes in their content; where rows
+    are alike in all columns too, also their places in the input: each row has a draw of its own, whatever repeats.
+    Copies get a random key of their own, are dealt out by it and lie in its order in each partition.  Up to ``few_sources``
+    sources are broadcast; with more, both sides are salted, so a source that holds a third of the rows is spread
+    over many tasks.
 
-    Returns the columns of ``docs`` and mix_copy (from 0), mix_copies, mix_key.  Rows of one identifier repeat alike;
-    a null identifier draws as one value.  Sources absent from ``rates`` are left out.
+    Returns the columns of ``docs`` (any names; ones called mix_copy, mix_copies or mix_key are replaced) and mix_copy (from 0),
+    mix_copies, mix_key.  A null text or other column changes nothing.  Sources absent from ``rates`` are left out.
     """
+    own = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_copies", "mix_key")]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(*hashed).alias("content")
+    )
+    alike = rows.groupBy("id", "content").agg(F.count("*").alias("n")).where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
+    rows = looked_up(rows, written(alike.where("rows > 1").drop("rows"), "alike"), ["id"], "left")
+    place = F.when(F.col("id").isNull() | (F.col("most") > 1), F.monotonically_increasing_id().cast("string"))
+    key = F.when(F.col("id").isNotNull() & F.col("most").isNull(), F.col("id").cast("string")).otherwise(
+        F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("content").cast("string"), place)
+    )
+    rows = rows.select("row", "source", key.alias("key"))
+
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
-    mean = F.col("rate") / F.col("mix_parts")
+    mean = F.col("rate") / F.col("parts")
     none = F.exp(-mean)
-    table = rates.withColumn("mix_parts", parts).select(
-        F.col("source").alias("mix_source"),
-        "mix_parts",
+    table = rates.withColumn("parts", parts).select(
+        F.col("source").alias("of"),
+        "parts",
         F.aggregate(
             F.sequence(F.lit(1), F.lit(TERMS)),
             F.struct(none.alias("p"), F.array(none).alias("sums")),
             lambda s, k: F.struct((s["p"] * mean / k).alias("p"), F.concat(s["sums"], F.array(F.element_at(s["sums"], -1) + s["p"] * mean / k)).alias("sums")),
             lambda s: s["sums"],
-        ).alias("mix_sums"),
+        ).alias("sums"),
     )
     table = written(table, "rates")
-    if table.limit(10_001).count() <= 10_000:
-        joined = docs.join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("mix_source")))
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if table.limit(few_sources + 1).count() <= few_sources:
+        joined = rows.join(F.broadcast(table), same)
     else:
-        salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("mix_salt_left", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-        joined = joined.join(salted, F.col(source_col).eqNullSafe(F.col("mix_source")) & (F.col("mix_salt_left") == F.col("mix_salt")))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    counts = F.aggregate(
-        F.sequence(F.lit(0), F.col("mix_parts") - 1), F.lit(0), lambda n, j: n + F.size(F.filter("mix_sums", lambda c: c <= draw(seed, key, j)))
-    )
-    once = F.size(F.filter("mix_sums", lambda c: c <= F.col("mix_draw")))
-    counts = F.when(F.col("mix_parts") == 1, once).otherwise(counts)
-    counted = joined.withColumn("mix_draw", draw(seed, key, 0)).withColumn("mix_copies", counts).where("mix_copies > 0")
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("own_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("own_salt") == F.col("salt")))
+    counts = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda n, j: n + F.size(F.filter("sums", lambda c: c <= draw(seed, F.col("key"), j))))
+    once = F.size(F.filter("sums", lambda c: c <= F.col("first_draw")))
+    counts = F.when(F.col("parts") == 1, once).otherwise(counts)
+    counted = joined.withColumn("first_draw", draw(seed, F.col("key"), 0)).select("row", "key", counts.alias("mix_copies")).where("mix_copies > 0")
     copies = counted.withColumn("mix_copy", F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(0), F.col("mix_copies") - 1))))
-    copies = copies.withColumn("mix_key", F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit("order"), key, F.col("mix_copy").cast("string"))))
-    return copies.select(*docs.columns, "mix_copy", "mix_copies", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    copies = copies.withColumn("mix_key", F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit("order"), "key", F.col("mix_copy").cast("string"))))
+    return copies.select(*(F.col("row").getField(c).alias(c) for c in own), "mix_copy", "mix_copies", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed so that sources weigh by the square root of their size; nulls, repeats and an empty table as in ``mixed``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mixed(docs, target_rates(docs))
 

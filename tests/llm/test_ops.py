@@ -127,6 +127,29 @@ def test_mixing(spark, odd, none):
     assert [r.source for r in only] == ["b"]
 
 
+def test_mixing_with_clashing_names_and_many_sources(spark, odd):
+    """Inner names as columns, and the path for more sources than are broadcast: the same rows come out."""
+    docs = odd
+    for c in ("mix_parts", "mix_copies", "mix_sums", "mix_source", "mix_draw", "sums", "key", "row", "content", "parts", "of"):
+        docs = docs.withColumn(c, F.lit(1))
+    rates = mixing.target_rates(docs, total=400)
+    rows = lambda df: sorted((repr(r.doc_id), repr(r.text), r.mix_copy, r.mix_key) for r in df.collect())
+    broadcast, salted = (rows(mixing.mixed(docs, rates, few_sources=n)) for n in (10_000, 0))
+    assert broadcast == salted and len({r[3] for r in broadcast}) == len(broadcast) > 300
+
+
+def test_mixing_without_identifiers(spark):
+    """A third of the rows without an identifier, a third alike in all columns: all drawn apart, spread over partitions, at their rates."""
+    rows = [(None, f"t{i % 7}", "en", "a") for i in range(3000)] + [(1, "same", "en", "b")] * 3000 + [(i, f"t{i}", "en", "c") for i in range(2, 3002)]
+    docs = docs_of(spark, rows).repartition(4)
+    got = mixing.mixed(docs, mixing.target_rates(docs, weights={"a": 0.5, "b": 0.25, "c": 0.25}, total=18_000))
+    sizes = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+    assert all(abs(sizes[s] / n - 1) < 0.05 for s, n in (("a", 9000), ("b", 4500), ("c", 4500)))
+    assert got.select("mix_key").distinct().count() == sum(sizes.values())
+    spread = [r["count"] for r in got.groupBy(F.pmod(F.hash("mix_key"), F.lit(4))).count().collect()]  # as rows are dealt out
+    assert len(spread) == 4 and max(spread) < 1.1 * min(spread)
+
+
 def test_sharding(spark, odd, none):
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -136,15 +159,43 @@ def test_sharding(spark, odd, none):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert all(r.size == len((texts[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) for r in rows)
-    assert sharding.sharded(odd, sharding.descended(key, sharding.even_tree(8))).count() == odd.count()
-    assert sharding.sharded(none, sharding.descended(key, sharding.even_tree(8))).count() == 0
+    assert sharding.sharded(odd, sharding.walked(key, sharding.even_tree(8))).count() == odd.count()
+    assert sharding.sharded(none, sharding.walked(key, sharding.even_tree(8))).count() == 0
 
 
-def test_a_changed_weight_moves_rows_only_to_or_from_its_branch(spark):
-    tree = sharding.even_tree(8)
-    heavier = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in tree]
-    rows = spark.range(4000).select(sharding.descended(F.col("id"), tree).alias("a"), sharding.descended(F.col("id"), heavier).alias("b")).collect()
-    assert all(r.a == r.b or r.b == 5 for r in rows) and abs(sum(r.b == 5 for r in rows) - 1200) < 150
+def test_sharding_deals_a_hot_identifier(spark):
+    """A third of the rows without an identifier: slots stay gapless, and no run holds them all."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    docs = docs_of(spark, [(None if i % 3 == 0 else i, f"t{i % 5}", "en", "a") for i in range(3000)])
+    rows = sharding.sharded(docs, sharding.walked(key, sharding.even_tree(8)), run_rows=50).collect()
+    assert len(rows) == 3000 and len({r.shard for r in rows if r.doc_id is None}) == 1
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def plain_walk(key, tree, seed=5):
+    """The same descent in plain Python."""
+
+    def least(level, names):
+        weight = {n: sum(x.weight for x in tree if (x.region, x.rack, x.shard)[: len(n)] == n) for n in names}
+        u = lambda n: int(hashlib.md5("/".join(map(str, (seed, key, level, *n))).encode()).hexdigest()[:13], 16) / (1 << 52)
+        return min((w for w in names if weight[w] > 0), key=lambda n: -math.log(1 - u(n)) / weight[n])
+
+    region = least("region", sorted({(x.region,) for x in tree}))
+    rack = least("rack", sorted({(x.region, x.rack) for x in tree if (x.region,) == region}))
+    return least("shard", sorted({(x.region, x.rack, x.shard) for x in tree if (x.region, x.rack) == rack}))[2]
+
+
+def test_a_descent_follows_the_tree(spark):
+    """By a plain descent; two trees over the same shards place rows apart; the shares are those of the weights."""
+    leaf = sharding.Leaf
+    trees = [sharding.even_tree(9), [leaf(0, 0, s, 1.0 + s) for s in range(9)], [leaf(s % 3, s % 2, s, 0.0 if s == 4 else 1.0) for s in range(9)]]
+    rows = spark.range(2000).select("id", *(sharding.walked(F.col("id"), t).alias(f"t{k}") for k, t in enumerate(trees))).collect()
+    for k, tree in enumerate(trees):
+        assert all(r[f"t{k}"] == plain_walk(r.id, tree) for r in rows[:400])
+        total = sum(x.weight for x in tree)
+        assert all(abs(sum(r[f"t{k}"] == x.shard for r in rows) - 2000 * x.weight / total) < 90 for x in tree)
+    assert sum(r.t0 != r.t2 for r in rows) > 1000
 
 
 def test_weight_moved_within_a_branch_moves_rows_only_there(spark):
