@@ -14,8 +14,10 @@ from .common import looked_up, shared_folder, small_batches, written
 
 #: Payloads of at least so many bytes are stored once and revisited.
 REVISIT_BYTES = 1000
-#: Records of one archive file at most.
-FILE_RECORDS = 6144
+#: Captures that one archive file holds at most, by the bytes of their payloads: so no file is of more than 32 MB, but for single payloads longer than that.
+FILE_CAPTURES = ((16 << 10, 2048), (512 << 10, 64), (None, 1))
+#: Bytes of an archive that are inflated at a time.
+CHUNK = 1 << 20
 #: Bytes of blocks in one Arrow batch of the reader.
 BATCH_BYTES = 4 << 20
 DATE, REVISIT = "2024-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,7 +45,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of rows with equal payloads of ``revisit_bytes`` or more, those with the largest identifier are responses and the others revisit
     them, which only counts payload digests; payloads are not shuffled, and a payload that a third of all rows hold is joined like any.
     A null payload is empty; a null url has no target; a null identifier ranks lowest.  Rows alike in
-    identifier and payload are captures of their own and of one type.
+    identifier and payload are captures of their own and of one type.  Files hold payloads of one range of sizes
+    (FILE_CAPTURES), so that their bytes are bounded; each range is one pass over the rows.  The payload's own header line takes its
+    length in bytes, so payloads may hold anything.
     """
     html = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(
@@ -67,50 +71,91 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         ),
         _record("metadata", ids["metadata"], "application/warc-fields", about, target, ("WARC-Concurrent-To", ids["response"])),
     )
-    lines = rows.withColumn("number", F.monotonically_increasing_id()).select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    low = 0
+    for high, captures in FILE_CAPTURES:
+        own = F.octet_length("html") >= low
+        part = rows.where(own & (F.octet_length("html") < high) if high else own).withColumn("number", F.monotonically_increasing_id())
+        lines = part.select(F.explode(records).alias("value"))
+        lines.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 3 * captures).text(path)
+        low = high
 
 
 _field = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
-def _inflated(data: bytes) -> bytes:
-    if data[:2] != b"\x1f\x8b":
-        return data
-    parts = []
-    while data[:2] == b"\x1f\x8b":  # an archive may have a gzip member for each record
+def _inflated(data, chunk: int = CHUNK):
+    """The bytes of an archive piece by piece: as they are, of one gzip stream, or of a member for each record."""
+    data = memoryview(data)
+    if bytes(data[:2]) != b"\x1f\x8b":
+        for at in range(0, len(data), chunk):
+            yield bytes(data[at : at + chunk])
+        return
+    at = 0
+    while bytes(data[at : at + 2]) == b"\x1f\x8b":
         one = zlib.decompressobj(31)
-        parts += [one.decompress(data), one.flush()]
-        if not one.eof:
-            raise ValueError("a gzip member is cut off")
-        data = one.unused_data
-    return b"".join(parts)
-
+        while not one.eof:
+            given = one.unconsumed_tail
+            if not given:
+                given = data[at : at + chunk]
+                at += len(given)
+            out = one.decompress(given, chunk)
+            if not (out or len(given) or one.eof):
+                raise ValueError("a gzip member is cut off")
+            yield out
+        at -= len(one.unused_data)
+
+
+def _parsed(pieces):
+    """(headers, block) of each record of an archive that comes in pieces; blocks are taken by Content-Length, so they may hold anything.
+
+    What is held is a record and a piece.
+    """
+    pieces = iter(pieces)
+    buffer, at = bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        if at:
+            del buffer[:at]
+            at = 0
+        buffer.extend(piece)
+        return True
 
-def _parsed(data: bytes):
-    """(headers, block) of each record; blocks are taken by Content-Length, so they may hold anything."""
-    at = 0
     while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+        while True:  # line ends between records
+            while buffer[at : at + 2] == b"\r\n":
+                at += 2
+            if len(buffer) - at > 2 or not more():
+                break
+        if at >= len(buffer):
             return
-        stop = data.find(b"\r\n\r\n", at)
-        if data[at : at + 5] != b"WARC/" or stop < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        begin = data.index(b"\r\n", at) + 2
-        headers = {k.decode().strip().lower(): v.decode("utf-8", "replace").strip() for k, v in _field.findall(data, begin, stop + 2)}
-        size = int(headers["content-length"])
-        if stop + 4 + size > len(data):
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield headers, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+        stop = buffer.find(b"\r\n\r\n", at)
+        while stop < 0 and buffer[at : at + 5] == b"WARC/"[: len(buffer) - at] and more():
+            stop = buffer.find(b"\r\n\r\n", at)
+        if buffer[at : at + 5] != b"WARC/" or stop < 0:
+            raise ValueError("no WARC record, or one cut off in its headers")
+        begin = buffer.index(b"\r\n", at) + 2
+        headers = {k.decode().strip().lower(): v.decode("utf-8", "replace").strip() for k, v in _field.findall(bytes(buffer[begin : stop + 2]))}
+        size, at = int(headers["content-length"]), stop + 4
+        parts, have = [], 0
+        while have < size:
+            piece = bytes(buffer[at : at + size - have])
+            parts.append(piece)
+            have += len(piece)
+            at += len(piece)
+            if have < size and not more():
+                raise ValueError("a record is cut off")
+        yield headers, b"".join(parts)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives under ``path`` (gzipped whole, by record, or not at all), in any order.
 
-    One task holds a file at a time; headers have lower-case names.  A record that is cut off or malformed fails the job.
+    A task holds a file as it is stored, and of its inflated bytes a record at a time; headers have lower-case names.  A record that is cut
+    off or malformed fails the job.
     """
 
     def run(batches):
@@ -118,7 +163,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows, size = [], 0
-                for number, (h, block) in enumerate(_parsed(_inflated(content.as_py()))):
+                for number, (h, block) in enumerate(_parsed(_inflated(content.as_buffer()))):
                     get = h.get
                     rows.append((file.as_py(), number, get("warc-type"), get("warc-record-id"), get("warc-concurrent-to"), get("warc-target-uri"), get("warc-payload-digest"), list(h.items()), block))
                     size += len(block)
@@ -139,19 +184,24 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def captures(records: DataFrame) -> DataFrame:
-    """One nested row for each response or revisit, joined with the request and metadata records concurrent to it.
+    """One nested row for each response or revisit: (record_id, target_uri, response, requests, metadata), by concurrent-to identifiers.
 
-    All three sides are keyed by the response's record id, unique as the format has it, so keys are never hot.  Several requests
-    or metadata records of one response give a row each; a capture without them has null there; requests and metadata
-    of nothing are left out.  Other columns of ``records`` are kept inside the structs.
+    ``requests`` and ``metadata`` are the arrays of all such records concurrent to it, in order of file and place; empty where there
+    are none.  Requests and metadata of nothing are left out.  All sides are keyed by the response's record id,
+    which the format has unique.  Other columns of ``records`` are kept inside the structs.
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in records.columns))
+    reply = F.col("type").isin("response", "revisit")
+    keyed = records.withColumn("__key", F.when(reply, F.col("record_id")).otherwise(F.col("concurrent_to"))).where(F.col("__key").isNotNull())
+    keyed = keyed.select(F.col("__key").alias("record_id"), F.when(reply, "reply").otherwise(F.col("type")).alias("kind"), whole.alias("record"))
+    gathered = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("record"))), _in_order)
+    one = keyed.where(F.col("kind").isin("reply", "request", "metadata")).groupBy("record_id").agg(gathered("reply").alias("replies"), gathered("request").alias("requests"), gathered("metadata").alias("metadata"))
+    return one.select("record_id", F.explode("replies").alias("response"), "requests", "metadata").select("record_id", F.col("response.target_uri").alias("target_uri"), "response", "requests", "metadata")
 
-    def concurrent(kind: str) -> DataFrame:
-        return records.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull()).select(F.col("concurrent_to").alias("record_id"), whole.alias(kind))
 
-    replies = records.where(F.col("type").isin("response", "revisit")).select("record_id", "target_uri", whole.alias("response"))
-    return replies.join(concurrent("request"), "record_id", "left").join(concurrent("metadata"), "record_id", "left")
+def _in_order(a: Column, b: Column) -> Column:
+    before = lambda x, y: (x["file"] < y["file"]) | (x["file"].eqNullSafe(y["file"]) & (x["record_no"] < y["record_no"]))
+    return F.when(before(a, b), -1).when(before(b, a), 1).otherwise(0)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,16 +211,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Digests are taken from the blocks before anything is shuffled.
     text = F.col("block")
     cut = F.instr(text.cast("string"), "\r\n\r\n")  # our own replies' headers are ASCII
-    payload = F.substring(text, cut + 4, 1 << 30)
-    length = F.regexp_extract(F.decode(F.substring(text, 1, 400), "ISO-8859-1"), r"Content-Length: (\d+)\r\n", 1).cast("long")
+    payload = F.substring(text, cut + 4, (1 << 31) - 1)
+    length = F.regexp_extract(F.decode(F.substring(text, F.lit(1), cut + 1), "ISO-8859-1"), r"Content-Length: (\d+)\r\n", 1).cast("long")
     records = read_archives(spark, path).select(
-        "type", "record_id", "concurrent_to", "target_uri", "payload_digest",
+        "file", "record_no", "type", "record_id", "concurrent_to", "target_uri", "payload_digest",
         F.when(F.col("type") == "response", F.octet_length(payload).cast("long")).when(F.col("type") == "revisit", length).alias("bytes"),
         F.when(F.col("type") == "response", F.sha1(payload)).when(F.col("type") == "revisit", F.substring("payload_digest", 6, 40)).alias("digest"),
         F.when(F.col("type") == "metadata", F.expr("try_cast(regexp_extract(decode(block, 'UTF-8'), 'page-id: (-?[0-9]+)', 1) AS bigint)")).alias("page_id"),
     )
     found = captures(written(records, "records"))
-    rows = found.select(F.col("metadata.page_id").alias("page_id"), F.col("response.bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"))
+    rows = found.select(F.get("metadata.page_id", F.lit(0)).alias("page_id"), F.col("response.bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"))
     rows = written(rows, "captures")
     needed = rows.where("record_type = 'revisit'").select("payload_digest").distinct()
     targets = rows.where(F.col("record_type") == "response").join(needed, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.max("page_id").alias("target"))
