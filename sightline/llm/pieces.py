@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +18,7 @@ from .words import _power, mix
 #: Vocabulary file; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = 0x2581, 0x110000  # the mark of a space, and what stands for that character in a text
-#: Characters worked on at a time; a longer text comes alone.
+#: Characters worked on at a time; a longer text is cut at beginnings of words.
 PIECE = 1 << 20
 _U = np.uint64
 _BASE, _INVERSE = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -203,7 +205,32 @@ def _encoded(v: Vocabulary, texts: list[str], keys: np.ndarray, sharpness: float
     return out, upto[rows]
 
 
-def encoded(docs: DataFrame, key: str = "doc_id", text_col: str = "text", seed: int = 3, sharpness: float = 1.0, model: str = MODEL, ids: str = "piece_ids", decode_as: str | None = None) -> DataFrame:
+_word = re.compile(r"(?<! ) ")
+
+
+def _cut(texts: list[str | None], keys: np.ndarray, piece: int) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
+    """Runs of (rows, parts of their texts, keys), of about ``piece`` characters; a part that begins within a row has the key moved on to its place."""
+    rows, parts, own, size = [], [], [], 0
+    for row, text in enumerate(texts):
+        text, at, moved = text or "", 0, 0
+        while True:
+            next_ = _word.search(text, at + piece) if len(text) - at > piece else None
+            part = text[at : next_.start()] if next_ else text[at:]
+            if parts and size + len(part) > piece:
+                yield rows, parts, np.array(own, _U)
+                rows, parts, own, size = [], [], [], 0
+            rows.append(row)
+            parts.append(part)
+            own.append((int(keys[row]) + moved * int(_BASE)) % (1 << 64))
+            size += len(part)
+            if not next_:
+                break
+            at, moved = next_.end(), next_.end()  # the space that begins the word is the one put before every part
+    if parts:
+        yield rows, parts, np.array(own, _U)
+
+
+def encoded(docs: DataFrame, key: str = "doc_id", text_col: str = "text", seed: int = 3, sharpness: float = 1.0, model: str = MODEL, ids: str = "piece_ids", decode_as: str | None = None, piece: int = PIECE) -> DataFrame:
     """``docs`` with an array of piece ids, one segmentation of each whole text drawn in proportion to its probability.
 
     A space becomes part of the piece that follows, behind an added space at the beginning.  Forward filtering sums over all ways to
@@ -212,6 +239,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text_col: str = "text", seed:
     a space, so filtering is done once for each distinct word.  The draws depend on seed, row key and position alone: a row is
     cut alike whatever stands beside it, and rows that share key and text alike.  A null text has no pieces (null); an
     empty one has that of the added space.  A null key draws as one value.  An existing column named ``ids`` is replaced.
+    Texts are worked on in parts of about ``piece`` characters, cut at beginnings of words; only a single word can be longer.
     ``decode_as`` adds a column with the text that the ids decode to, made in the same worker.
     """
     spark = docs.sparkSession
@@ -225,18 +253,14 @@ def encoded(docs: DataFrame, key: str = "doc_id", text_col: str = "text", seed:
         for batch in batches:
             texts = batch.column(names.index(text_col)).to_pylist()
             keys = batch.column(len(names)).to_numpy().view(_U)
-            all_ids, sizes, at = [], [], 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= PIECE):
-                    size += len(texts[stop] or "")
-                    stop += 1
-                one, bounds = _encoded(v, [t or "" for t in texts[at:stop]], keys[at:stop], sharpness)
-                live = np.array([t is not None for t in texts[at:stop]])
-                all_ids.append(one if live.all() else one[np.repeat(live, np.diff(bounds))])
-                sizes.append(np.where(live, np.diff(bounds), 0))
-                at = stop
-            ends = pa.array(np.concatenate([[0], *map(np.cumsum, [np.concatenate([*sizes, [0]])])])[: len(texts) + 1].astype(np.int32))
+            all_ids, sizes = [], np.zeros(len(texts), np.int64)
+            live = np.array([t is not None for t in texts], bool)
+            for owners, parts, own in _cut(texts, keys, piece):
+                one, bounds = _encoded(v, parts, own, sharpness)
+                counts = np.where(live[owners], np.diff(bounds), 0)
+                all_ids.append(one if live[owners].all() else one[np.repeat(live[owners], np.diff(bounds))])
+                np.add.at(sizes, owners, counts)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*all_ids, np.zeros(0, np.int32)])), mask=pa.array([t is None for t in texts]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*names, ids])
 
@@ -251,7 +275,8 @@ def _decoded(batches, content: list[bytes], ids: str, text: str):
     """Batches with the text of their piece ids as a last column."""
     for batch in batches:
         lists = (y.values.to_numpy(zero_copy_only=False) if y.is_valid else None for y in batch.column(batch.schema.get_field_index(ids)))
-        texts = [None if x is None else b"".join(map(content.__getitem__, x.tolist()))[1:] for x in lists]
+        joined = lambda x: b"".join(b"".join(map(content.__getitem__, x[a : a + PIECE].tolist())) for a in range(0, len(x), PIECE))
+        texts = [None if x is None else joined(x)[1:] for x in lists]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names, text])
 
 
@@ -265,12 +290,13 @@ def decoded(rows: DataFrame, ids: str = "piece_ids", text: str = "decoded", mode
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_pieces, pieces_hash, text_sha256, lossless): lossless where decoding gives the text itself (null: null)."""
+    """(doc_id, n_pieces, piece_ids, pieces_hash, text_sha256, lossless): lossless where decoding gives the text itself (null: null)."""
     sha: Column = F.sha2("decoded", 256)
     rows = encoded(docs.select("doc_id", "text"), decode_as="decoded")
     return rows.select(
         "doc_id",
         F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        "piece_ids",
         F.xxhash64("piece_ids").alias("pieces_hash"),
         sha.alias("text_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
@@ -278,4 +304,5 @@ def round_trip(docs: DataFrame) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, with the ids and the digest of what they decode to; nulls and repeats as in ``encoded``."""
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -247,6 +247,42 @@ def test_pieces_follow_their_probabilities():
         assert abs(got[way] / len(keys) - p / total) < 0.015
 
 
+def test_pieces_of_words_and_bytes_follow_their_probabilities():
+    """Two words, a character without a piece and a run of spaces: all ways to cut the whole, by brute force."""
+    v = pieces.vocabulary()
+    known = {v.content[i]: float(v.logs[k]) for k, i in enumerate(v.ids.tolist())}
+    raw = {bytes([b]): i for b, i in enumerate(v.byte_ids.tolist())}
+    text = "an \U0001f980  ox"
+    whole, odd = (" " + text).encode(), "\U0001f980".encode()
+    ways = collections.Counter()
+
+    def walk(at, done, log):
+        if at == len(whole):
+            ways[tuple(done)] = math.exp(log)
+        elif whole.startswith(odd, at):  # its bytes, one by one
+            walk(at + len(odd), [*done, *(raw[odd[i : i + 1]] for i in range(len(odd)))], log)
+        for n in range(1, len(whole) - at + 1):
+            if whole[at : at + n] in known:
+                walk(at + n, [*done, ids_of[whole[at : at + n]]], log + known[whole[at : at + n]])
+
+    ids_of = {v.content[i]: i for i in v.ids.tolist()}
+    walk(0, [], 0.0)
+    keys = np.random.default_rng(2).integers(0, 1 << 63, 20_000).astype(np.uint64)
+    ids, bounds = pieces._encoded(v, [text] * len(keys), keys, 1.0)
+    got = collections.Counter(tuple(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+    total = sum(ways.values())
+    assert set(got) <= set(ways) and all(abs(got[way] / len(keys) - p / total) < 0.015 for way, p in ways.items())
+
+
+def test_pieces_of_a_long_text_are_those_of_its_whole(spark, odd):
+    """Cut at word starts into pieces of a few characters, each row gets the same ids as in one."""
+    more = odd.where("length(text) < 1000 OR text IS NULL").unionByName(docs_of(spark, [(77, "ab  cd e   " * 400 + "x" * 900 + " \U0001f980", "en", "a")]))
+    ids = lambda n: sorted((repr(r.doc_id), repr(r.text), r.piece_ids) for r in pieces.encoded(more, piece=n).select("doc_id", "text", "piece_ids").collect())
+    assert ids(1 << 20) == ids(50) == ids(400)
+    found = queries.QUERIES["op8_sentencepiece"](spark, SF)
+    assert dict(found.dtypes)["piece_ids"] == "array<int>" and found.where("NOT lossless OR size(piece_ids) <> n_pieces").count() == 0
+
+
 def test_warc(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "http://a", big, 0), (2, "http://b\r\nX: y", big, 0), (3, None, big + "WARC/1.1\r\n\r\n", 0), (4, "http://c", None, 0), (5, "http://d", "", 0), (6, "u", "short", 0), (7, "u", "short", 0), (7, "u", big, 1), (7, "u", big, 1), (None, "u", big, 0)]
@@ -265,8 +301,8 @@ def test_warc(spark, tmp_path):
         want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", first[h] if again else None))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     warc.write_archives(pages, f"{tmp_path}/out")
-    one = warc.captures(warc.read_archives(spark, f"{tmp_path}/out")).where("response.type = 'response'").select(F.col("response.block").alias("b"), "request", "metadata").collect()
-    assert all(bytes(r.b).startswith(b"HTTP/1.1 200") and r.request and r.metadata for r in one)
+    one = warc.captures(warc.read_archives(spark, f"{tmp_path}/out")).where("response.type = 'response'").select(F.col("response.block").alias("b"), "requests", "metadata").collect()
+    assert all(bytes(r.b).startswith(b"HTTP/1.1 200") and len(r.requests) == len(r.metadata) == 1 for r in one)
     pages.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
     assert queries.QUERIES["op5_warc"](spark, f"{tmp_path}/none").count() == 0
 
@@ -275,10 +311,35 @@ def test_warc_reads_members_and_refuses_stumps():
     import gzip
 
     record = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 7\r\n\r\na\r\n\r\nbc\r\n\r\n"
-    found = list(warc._parsed(warc._inflated(gzip.compress(record) + gzip.compress(record))))
-    assert [b for _, b in found] == [b"a\r\n\r\nbc"] * 2
-    with pytest.raises(ValueError):
-        list(warc._parsed(record[:-10]))
+    for data in (gzip.compress(record) * 2, gzip.compress(record * 2), record * 2):
+        for chunk in (1, 2, 3, 7, 50, 1 << 20):
+            assert [b for _, b in warc._parsed(warc._inflated(data, chunk))] == [b"a\r\n\r\nbc"] * 2
+    for data in (record[:-10], record[:10], gzip.compress(record)[:-9], b"junk" + record):
+        with pytest.raises(ValueError):
+            list(warc._parsed(warc._inflated(data, 5)))
+
+
+def test_warc_with_long_payloads(spark, tmp_path):
+    """Payloads of all ranges of sizes, one of 40 MB: no file holds more captures than its range allows, and all come back."""
+    sizes = [10, 20_000, 600_000, 40_000_000, 700_000]
+    pages = spark.createDataFrame([(i, "http://a", n) for i, n in enumerate(sizes)], "page_id long, url string, n int").withColumn("html", F.expr("repeat(chr(65 + page_id), n)")).drop("n")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type) for r in queries.QUERIES["op5_warc"](spark, str(tmp_path)).collect()}
+    assert got == {i: (n, hashlib.sha1(chr(65 + i).encode() * n).hexdigest(), "response") for i, n in enumerate(sizes)}
+    warc.write_archives(pages.repartition(1), f"{tmp_path}/out")
+    files = collections.defaultdict(list)
+    for r in warc.read_archives(spark, f"{tmp_path}/out").where("type = 'response'").select("file", F.octet_length("block").alias("n")).collect():
+        files[r.file].append(r.n)
+    assert sorted(map(len, files.values())) == [1] * 5
+
+
+def test_warc_nests_what_is_concurrent(spark):
+    """Two requests and three metadata records of one response make one row; those of nothing go."""
+    rows = [("f", 0, "response", "r1", None, "u"), ("f", 1, "request", "q1", "r1", "u"), ("f", 3, "request", "q2", "r1", "u"), ("f", 2, "metadata", "m1", "r1", None), ("e", 9, "metadata", "m2", "r1", None), ("f", 4, "metadata", "m3", "r1", None)]
+    rows += [("f", 5, "revisit", "r2", None, None), ("f", 6, "request", "q9", "r9", None), ("f", 7, "warcinfo", "w", None, None), ("f", 8, "request", "q8", None, None)]
+    records = spark.createDataFrame(rows, "file string, record_no int, type string, record_id string, concurrent_to string, target_uri string").withColumn("requests", F.lit(1))
+    got = {r.record_id: ([q.record_id for q in r.requests], [m.record_id for m in r.metadata]) for r in warc.captures(records).collect()}
+    assert got == {"r1": (["q1", "q2"], ["m2", "m1", "m3"]), "r2": ([], [])}
 
 
 def test_language_model(spark, odd, none):
