@@ -11,14 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chargrams import gram_buckets, sums_by_row
-from .common import draw, small_batches, trimmed
+from .common import draw, looked_up, small_batches, trimmed, written
 
 BITS = 15
 ORDERS = (1, 2, 3)
-#: Labelled texts of a language that the fit expects at most; more are thinned by a hash of the identifier.
-PER_LANGUAGE = 1000
-#: Most frequent languages that are learned.
-LANGUAGES = 400
+#: Labelled texts that the fit expects at most, of a language and of all; more are thinned by a hash of language and text.
+PER_LANGUAGE, SAMPLE = 1000, 50_000
 EPOCHS = 4
 BATCH = 32
 #: Follow-the-regularised-leader: step, smoothing, and the two penalties of the elastic net.
@@ -74,8 +72,9 @@ def _vectors(batches):
 
 
 def fitted(labels: list[str], u: np.ndarray, buckets: list[np.ndarray], shares: list[np.ndarray], idf: np.ndarray, classes: list[str]) -> tuple[np.ndarray, np.ndarray, float]:
-    """(weights, bias, temperature).  Every fifth text, by u, is left for the temperature."""
-    y = np.array([classes.index(x) for x in labels])
+    """(weights, bias, temperature).  Of 50 texts and more, every fifth, by u, is left for the temperature, if these are 20; else it follows the texts learned."""
+    place = {c: i for i, c in enumerate(classes)}
+    y = np.array([place[x] for x in labels])
     k = len(classes)
     values = [s * idf[b] * SCALE for b, s in zip(buckets, shares, strict=True)]
     z, n = np.zeros((len(idf) + 1, k)), np.zeros((len(idf) + 1, k))  # the last row is the bias
@@ -118,17 +117,20 @@ def fitted(labels: list[str], u: np.ndarray, buckets: list[np.ndarray], shares:
 def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, learned, lang_pred, score) for every row of ``docs``; the model learns where ``learn`` holds and lang is not null.
 
-    Document frequencies count every text that may be learned from; the fit itself takes about PER_LANGUAGE texts of each
-    of the LANGUAGES most frequent languages, chosen by a hash of the identifier, and runs in one task.  Prediction reads the
-    whole text and nothing else.  ``score`` is the calibrated probability of lang_pred.  A null text, one without a
-    letter, and any text if nothing could be learned get ``und`` and score 0.  Ties go to the language that sorts first.
+    Document frequencies count every text that may be learned from, repeated ones too; the fit itself takes about PER_LANGUAGE
+    different texts of every language that occurs, fewer if that made more than SAMPLE in all, chosen by a hash of language and
+    text, and runs in one task, which takes 1 MB a language; what tasks that predict get is 128 kB a language.  Prediction
+    reads the whole text and nothing else.  ``score`` is the calibrated probability of lang_pred; how sure the model may be is
+    read from texts left out of the fit, or from all if there are under 50.  A null text, one without a letter, and any text if
+    nothing could be learned get ``und`` and score 0.  Ties go to the language that sorts first.  Rows may repeat and identifiers be null.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.coalesce(learn, F.lit(False)).alias("learn"))
     known = rows.where("learn AND lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    classes = sorted(sizes)
+    known = known.withColumn("print", F.xxhash64("text"))
+    sizes = written(known.groupBy("lang", "print").agg(F.count("*").alias("n")).groupBy("lang").agg(F.count("*").alias("texts")), "languages")
+    classes = sorted(r["lang"] for r in sizes.select("lang").collect())  # a row for each language
     weights, bias, temperature = np.zeros((1 << BITS, len(classes)), np.float32), np.zeros(len(classes)), 1.0
     if classes:
         counts = known.select("text").mapInArrow(trimmed(_document_counts), "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()  # at most 2**BITS + 1 rows
@@ -137,11 +139,10 @@ def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
         own = counts[counts.bucket >= 0]
         df[own.bucket] = own.df
         idf = np.log((1 + total) / (1 + df)) + 0.1
-        share = F.lit(0.0)
-        for lang, n in sizes.items():
-            share = F.when(F.col("lang") == lang, PER_LANGUAGE / n).otherwise(share)
-        u = draw("langid", F.coalesce(F.col("id").cast("string"), F.lit("null")))
-        sample = known.withColumn("u", u).where(F.col("u") < share)
+        wanted = min(PER_LANGUAGE, max(1, SAMPLE // len(classes)))
+        u = draw("langid", F.col("lang"), F.col("print"))
+        sample = looked_up(known, sizes, ["lang"]).withColumn("u", u).where(F.col("u") * F.col("texts") < wanted)
+        sample = sample.groupBy("lang", "print").agg(F.first("text").alias("text"), F.first("u").alias("u"))  # each text once
         sample = sample.select("lang", "text", "u").mapInArrow(trimmed(_vectors), "lang string, u double, buckets array<int>, shares array<float>")
 
         def fit(table: pa.Table) -> pa.Table:
@@ -184,5 +185,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out; nulls and repeats as in ``identified``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identified(docs, ~held_out()).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
