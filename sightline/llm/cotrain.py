@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import draw, small_batches, written
+from .common import draw, looked_up, small_batches, written
 from .words import PIECE, buffers, runs, word_hashes
 
 #: Hashed byte trigrams, and the measures of a text's shape that follow them.
@@ -148,15 +148,19 @@ def metadata(*columns: Column) -> Column:
     return F.array(*(F.pmod(F.xxhash64(F.lit(i), F.coalesce(c.cast("string"), F.lit("\u0000"))), F.lit(META)).cast("int") for i, c in enumerate(columns)))
 
 
-def co_trained(docs: DataFrame, labels: DataFrame, meta: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def co_trained(docs: DataFrame, labels: DataFrame, meta: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(id, text_score, meta_score, score, kept) for every row of ``docs``.
 
     ``labels`` has rows (id, good boolean).  About PER_CLASS labelled documents of each class, taken by a hash, teach a classifier
-    on the whole text (trigrams of bytes and shape) and one on the metadata.  In each of ROUNDS rounds both score all documents, and
+    on the whole text (trigrams of bytes and shape) and one on the metadata.  In each of ``rounds`` rounds both score all documents, and
     each gives the other the PSEUDO of each class of which it is surest (SURE at least, calibrated) as pseudo-labels of half weight.  A
     fifth of the labelled documents is left out to calibrate either view and their combination; scores are
     probabilities for classes of equal size, and ``kept`` is a score of KEEP or more.
 
+    Every round so scores all documents: what a view is surest of is known only then.  The text view has no part of the metadata and
+    the metadata view none of the text.  An identifier that is taught, held out or given a pseudo-label counts once, by
+    the row whose text sorts first by hash, so lessons and held-out rows are as many as labels at most, whatever repeats.
+
     A null text is empty.  Labels that are null, or contradict each other, are left out.  Rows may repeat and identifiers be null
     (those are scored, never taught).  Without documents of both classes every score is 1/2 and every row is kept.
     """
@@ -174,9 +178,12 @@ def co_trained(docs: DataFrame, labels: DataFrame, meta: Column, id_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     line = lambda c, w: F.col(c) * float(w[0]) + float(w[1])
     pseudo = None
-    for number in range(ROUNDS + 1):
+    for number in range(rounds + 1):
         lessons = base if pseudo is None else base.unionByName(pseudo)
-        lessons = rows.join(F.broadcast(lessons), "id").select("view", "id", "y", "weight", "text", "meta")
+        lessons = written(lessons, "lessons")  # 2 * PER_CLASS labels about, and 4 * PSEUDO at most, for each view
+        own = looked_up(rows, lessons.select("id").distinct(), ["id"], "left_semi")
+        own = own.groupBy("id").agg(F.min_by(F.struct("text", "meta"), F.struct(F.xxhash64("text"), "meta")).alias("row")).select("id", "row.text", "row.meta")
+        lessons = own.join(lessons, "id").select("view", "id", "y", "weight", "text", "meta")
         models = lessons.mapInArrow(_vectors, f"view string, id {kind}, y double, weight double, features array<int>, values array<float>").groupBy("view").applyInArrow(_fit, "view string, w binary")
         weights = {"text": np.zeros(GRAMS + SHAPES + 1), "meta": np.zeros(META + 1)}
         weights |= {r["view"]: np.frombuffer(r["w"], np.float64) for r in models.collect()}  # two models
@@ -190,10 +197,11 @@ def co_trained(docs: DataFrame, labels: DataFrame, meta: Column, id_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_logits(batch.column(1), w["text"])), pa.array(m)], names=["id", "text_logit", "meta_logit"])
 
         scored = written(rows.select("id", "text", "meta").mapInArrow(score, f"id {kind}, text_logit double, meta_logit double"), "scored")
-        test = scored.join(F.broadcast(taught.where("held").select("id", "y")), "id").select("y", "text_logit", "meta_logit").orderBy("y", "text_logit", "meta_logit").toPandas()
+        test = looked_up(scored, taught.where("held").select("id", "y"), ["id"]).groupBy("id", "y").agg(F.min(F.struct("text_logit", "meta_logit")).alias("l"))  # a row for each held label
+        test = test.select("y", "l.text_logit", "l.meta_logit").orderBy("y", "text_logit", "meta_logit").toPandas()
         y = test.y.to_numpy()
         ways = {c: _calibration(test[[c]].to_numpy(), y) for c in ("text_logit", "meta_logit")}
-        if number == ROUNDS:
+        if number == rounds:
             break
         free = scored.where("id IS NOT NULL").join(known.select("id"), "id", "left_anti")
         sure = math.log(SURE / (1 - SURE))
@@ -201,7 +209,7 @@ def co_trained(docs: DataFrame, labels: DataFrame, meta: Column, id_col: str = "
         for giver, taker in (("text_logit", "meta"), ("meta_logit", "text")):
             for sign, y in ((1, 1.0), (-1, 0.0)):
                 chance = line(giver, ways[giver]) * sign
-                best = free.where(chance >= sure).orderBy(chance.desc(), F.xxhash64("id"), "id").limit(PSEUDO)
+                best = free.where(chance >= sure).groupBy("id").agg(F.max(chance).alias("sure")).orderBy(F.desc("sure"), F.xxhash64("id"), "id").limit(PSEUDO)
                 picks.append(best.select("id", F.lit(y).alias("y"), F.lit(0.5).alias("weight"), F.lit(taker).alias("view")))
         pseudo = picks[0]
         for p in picks[1:]:
@@ -216,8 +224,8 @@ def co_trained(docs: DataFrame, labels: DataFrame, meta: Column, id_col: str = "
 
 
 def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of all documents; good: of quality 1 and not toxic."""
+    """Quality of all documents; good: of quality 1 and not toxic.  The page view sees source and language, never the text or its length."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labels = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
-    return co_trained(docs, labels, metadata(F.col("source"), F.col("lang"), F.floor(F.log2(F.coalesce("n_chars", F.lit(0)) + 1)), F.concat_ws("/", "source", "lang")))
+    return co_trained(docs, labels, metadata(F.col("source"), F.col("lang"), F.concat_ws("/", "source", "lang")))

@@ -388,6 +388,75 @@ def test_language_id(spark, odd, none):
     assert langid.identified(none, F.lit(True)).count() == 0
 
 
+def plain_weights(texts, labels, held, idf):
+    """The fit's own rule, weight by weight in plain Python: TF-IDF of hashed n-grams, then follow-the-regularised-leader in its batches."""
+    vectors = []
+    for t in texts:
+        count = collections.Counter(b for _, bs in langid.gram_buckets([t], langid.ORDERS, langid.BITS) for b in bs.tolist())
+        vectors.append({b: float(np.float32(c / sum(count.values()))) * idf[b] * langid.SCALE for b, c in count.items()} | {-1: 1.0})
+    classes = sorted(set(labels))
+    y = [classes.index(x) for x in labels]
+    learn = [i for i in range(len(texts)) if not held[i]]
+    z, n, w = (collections.defaultdict(float) for _ in range(3))
+    random = np.random.Generator(np.random.PCG64(11))
+    for _ in range(langid.EPOCHS):
+        for rows in np.array_split(random.permutation(learn), max(1, math.ceil(len(learn) / langid.BATCH))):
+            grad = collections.defaultdict(float)
+            for r in rows:
+                x = [sum(v * w[b, c] for b, v in vectors[r].items()) for c in range(len(classes))]
+                total = sum(math.exp(a - max(x)) for a in x)
+                weight = len(learn) / (len(classes) * sum(y[i] == y[r] for i in learn))
+                for c in range(len(classes)):
+                    g = (math.exp(x[c] - max(x)) / total - (c == y[r])) * weight
+                    for b, v in vectors[r].items():
+                        grad[b, c] += v * g / len(rows)
+            for k, g in grad.items():
+                after = n[k] + g * g
+                z[k] += g - (math.sqrt(after) - math.sqrt(n[k])) / langid.ALPHA * w[k]
+                n[k] = after
+                shrunk = math.copysign(max(abs(z[k]) - langid.L1 / len(rows), 0.0), z[k])
+                w[k] = -shrunk / ((langid.BETA + math.sqrt(after)) / langid.ALPHA + langid.L2 / len(rows))
+    return classes, w
+
+
+def test_language_weights_are_those_of_a_plain_fit():
+    import pyarrow as pa
+
+    random = np.random.default_rng(5)
+    texts = [" ".join(random.choice(["der", "die", "und", "nicht", "über"] if i % 3 else ["the", "and", "of", "house"], 6 + i % 4)) for i in range(14)]
+    labels = ["de" if i % 3 else "en" for i in range(14)]
+    df = np.zeros(1 << langid.BITS)
+    for t in texts:
+        for b in {b for _, bs in langid.gram_buckets([t], langid.ORDERS, langid.BITS) for b in bs.tolist()}:
+            df[b] += 1
+    counted = collections.Counter()
+    for batch in langid._document_counts([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]):
+        counted.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+    assert counted.pop(-1) == 14 and dict(counted) == {int(b): int(df[b]) for b in np.flatnonzero(df)}
+    idf = np.log((1 + 14) / (1 + df)) + 0.1
+    u = np.linspace(0, 1, 14)
+    batch = next(langid._vectors([pa.RecordBatch.from_arrays([pa.array(labels), pa.array(texts), pa.array(u)], names=["lang", "text", "u"])]))
+    arrays = [[x.values.to_numpy() for x in batch.column(c)] for c in (2, 3)]
+    w, bias, t = langid.fitted(labels, u, *arrays, idf, ["de", "en"])
+    classes, want = plain_weights(texts, labels, [False] * 14, idf)
+    assert classes == ["de", "en"] and t > 0
+    plain = np.zeros((len(df) + 1, 2))
+    for (b, c), x in want.items():
+        plain[b, c] = x
+    assert np.allclose(w, plain[:-1], atol=1e-9) and np.allclose(bias, plain[-1], atol=1e-9) and (w != 0).sum() > 50
+
+
+def test_language_id_learns_every_label(spark):
+    """Far more labels than a plan could chain, one of them on a fifth of all rows as one text."""
+    letters = [chr(0x4E00 + 7 * k) for k in range(420)]
+    rows = [(6 * k + i, f"{a}{letters[k - 1]} {a}{a} {a}{i}", f"l{k:03}", "a") for k, a in enumerate(letters) for i in range(6)]
+    rows += [(None, "immer das eine", "hot", None)] * 500
+    got = langid.identified(docs_of(spark, rows), F.lit(True)).collect()
+    want = {r[0]: r[2] for r in rows}
+    right = sum(r.lang_pred == want[r.doc_id] for r in got)
+    assert len(got) == len(rows) and right >= 2500 and len({r.lang_pred for r in got}) > 410  # "hot" has one text, which may be left out to calibrate
+
+
 def test_quality(spark, odd, none):
     out = queries.QUERIES["op10_co_training"](spark, "/root/testdata/sf0.01").toPandas()
     known = pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pandas().merge(out, on="doc_id")
@@ -400,6 +469,52 @@ def test_quality(spark, odd, none):
     assert cotrain.co_trained(none, labels, meta).count() == 0
 
 
+def test_quality_repeats_count_once_and_views_teach_each_other(spark):
+    """Labels say what the text view learns; the metadata view learns a source that no label shows only from pseudo-labels."""
+    random = np.random.default_rng(7)
+    fine, poor = "clear sober useful careful notes about rivers and bridges".split(), "$$$ !!! win cash now ### click".split()
+    rows, labels = [], []
+    for i in range(900):
+        good = i % 2 == 0
+        text = " ".join(random.choice(fine if good else poor, 30))
+        source = ("press" if good else "spam") if i < 300 else ("atlas" if good else "offers")  # the latter have no labels
+        rows.append((i, text, "en", source))
+        if i < 300:
+            labels.append((i, good))
+    rows += [(0, rows[0][1], "en", "press")] * 600  # a taught row a great many times
+    docs, known = docs_of(spark, rows), spark.createDataFrame(labels, "id long, good boolean")
+    score = lambda rounds: {(r.doc_id): r for r in cotrain.co_trained(docs, known, cotrain.metadata(F.col("source")), rounds=rounds).collect()}
+    before, after = score(0), score(2)
+    new = lambda found, good: np.mean([found[i].meta_score for i in range(300, 900) if (i % 2 == 0) == good])
+    assert abs(new(before, True) - new(before, False)) < 1e-9  # a source never taught says nothing
+    assert new(after, True) > 0.8 > 0.2 > new(after, False)
+    assert all(after[i].kept == (i % 2 == 0) for i in range(900))
+
+
+def test_quality_fit_is_that_of_plain_steps():
+    """The adaptive gradient steps weight by weight, on a dozen rows."""
+    random = np.random.default_rng(1)
+    features = [np.sort(random.choice(20, 5, replace=False)).astype(np.int32) for _ in range(12)]
+    values = [random.random(5).astype(np.float32) for _ in range(12)]
+    y, weight = np.array([1.0, 0.0] * 6), np.array([1.0, 0.5] * 6)
+    got = cotrain.fitted(features, values, y, weight, 20)
+    w, squares = np.zeros(21), np.full(21, 1e-3)
+    scaled = [float(weight[i]) * 12 / (2 * 6) for i in range(12)]
+    order = np.random.Generator(np.random.PCG64(5))
+    for _ in range(cotrain.EPOCHS):
+        for rows in np.array_split(order.permutation(12), 1):
+            grad = cotrain.L2 * w
+            for r in rows:
+                x = sum(w[f] * v for f, v in zip(features[r].tolist(), values[r].tolist(), strict=True)) + w[20]
+                g = (1 / (1 + math.exp(-x)) - y[r]) * scaled[r] / 12
+                for f, v in zip(features[r].tolist(), values[r].tolist(), strict=True):
+                    grad[f] += g * v
+                grad[20] += g
+            squares += grad**2
+            w = w - cotrain.RATE * grad / np.sqrt(squares)
+    assert np.allclose(got, w, atol=1e-9)
+
+
 def test_text_scores_are_those_of_the_vectors():
     import pyarrow as pa
 
