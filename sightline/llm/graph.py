@@ -6,17 +6,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import looked_up, small_batches, written
 
-#: Vectors of a shard at most, on average; and shards at least.
-SHARD, SHARDS = 16_384, 8
+#: Vectors of a shard at most, on average: what a task can hold; and shards at least, so that small tables use several tasks.
+SHARD, SHARDS = 131_072, 8
 #: Points below which a band of norms is not cut into more shards.
 FEW = 256
-#: Queries that one task takes through one shard.
-QUERIES = 4096
+#: Queries that one task takes through one shard, on average; their vectors then weigh as much as the shard's.
+QUERIES = 262_144
 DEGREE, WIDTH, RELAX = 32, 96, 1.2
 #: Nodes that a search opens at a time, and points inserted at a time.
 OPEN, BATCH = 4, 256
@@ -32,19 +33,24 @@ class Graph:
         self.near = np.full((len(points), degree), -1, np.int32) if near is None else near
         middle = self.points.mean(axis=0) if len(points) else np.zeros(points.shape[1])
         self.start = int(np.argmin(self.squares - 2 * self.points @ middle)) if len(points) else 0
+        self._seen = np.zeros((BATCH, len(points) + 1), np.uint16)  # number of the search that last met a node; the last column takes the padding
+        self._searches = 0
 
     def _distances(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         return self.squares[nodes] - 2 * np.einsum("qnd,qd->qn", self.points[nodes], queries)
 
     def search(self, queries: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-        """Beam search of many queries in step: (nodes, distances less the query's square), nearest first, -1 where there are fewer."""
+        """Beam search of at most BATCH queries in step: (nodes, distances less the query's square), nearest first, -1 where there are fewer."""
         m, rows = len(queries), np.arange(len(queries))
         nodes, found = np.full((m, width), -1, np.int32), np.full((m, width), np.inf, np.float32)
         opened = np.zeros((m, width), bool)
-        seen = np.zeros((m, len(self.points) + 1), bool)  # the last column takes the padding
+        self._searches += 1  # so nothing has to be cleared, and a search costs the same whatever the shard holds
+        if self._searches > 65_535:
+            self._seen[:], self._searches = 0, 1
+        seen, now = self._seen, self._searches
         nodes[:, 0] = self.start
         found[:, :1] = self._distances(queries, nodes[:, :1])
-        seen[:, [self.start, -1]] = True
+        seen[:m, [self.start, -1]] = now
         live = rows
         while len(live):
             waiting = np.where(opened[live], np.inf, found[live])
@@ -59,8 +65,8 @@ class Graph:
             next_ = np.where(ok[:, :, None], self.near[chosen], -1).reshape(len(live), -1)
             next_.sort(axis=1)
             next_[:, 1:][next_[:, 1:] == next_[:, :-1]] = -1
-            next_[seen[live[:, None], next_]] = -1
-            seen[live[:, None], next_] = True
+            next_[seen[live[:, None], next_] == now] = -1
+            seen[live[:, None], next_] = now
             d = np.where(next_ >= 0, self._distances(queries[live], next_), np.inf)
             all_nodes, all_found = np.concatenate([nodes[live], next_], 1), np.concatenate([found[live], d], 1)
             all_opened = np.concatenate([opened[live], np.zeros(next_.shape, bool)], 1)
@@ -127,53 +133,65 @@ class Graph:
                 self.near[n[full]] = self.pruned(n[full], lists[full])
 
 
+_INDEX = "shard long, band int, dim int, vectors binary, rest binary, near binary, ids array<array<long>>"
+_FOUND = "query_id long, vec_id long, score double"
+
+
 def _built(width: int):
-    """A shard's vectors to one row that holds its graph."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("vec_id")
-        vectors = np.stack([x.values.to_numpy() for x in table.column("vector")])
-        scaled = np.ldexp(vectors, -table.column("band")[0].as_py())
-        squares = np.einsum("nd,nd->n", scaled, scaled)
-        rest = np.sqrt(squares.max() - squares)
-        graph = Graph(np.concatenate([scaled, rest[:, None]], 1)).build(width)  # with this coordinate the nearest have the largest product
-        return pa.table(
-            [*(table.column(c).slice(0, 1) for c in ("shard", "band", "dim")), pa.array([vectors.astype(np.float64).tobytes()], pa.binary()), pa.array([rest.astype(np.float32).tobytes()], pa.binary()), pa.array([graph.near.tobytes()], pa.binary()), pa.array([table.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64())))],
-            names=["shard", "band", "dim", "vectors", "rest", "near", "ids"],
-        )
+    """A shard's vectors to one row that holds its graph.  A task has one shard, or none."""
+
+    def run(batches):
+        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not tables:
+            return
+        whole = pa.concat_tables(tables)
+        for shard in pc.unique(whole.column("shard")).to_pylist():  # one, by the partitioning
+            table = whole.filter(pc.equal(whole.column("shard"), shard)).sort_by("vec_id")
+            vectors = np.stack([x.values.to_numpy() for x in table.column("vector")])
+            scaled = np.ldexp(vectors, -table.column("band")[0].as_py())
+            squares = np.einsum("nd,nd->n", scaled, scaled)
+            rest = np.sqrt(squares.max() - squares)
+            graph = Graph(np.concatenate([scaled, rest[:, None]], 1)).build(width)  # with this coordinate the nearest have the largest product
+            arrays = [*(table.column(c).slice(0, 1).combine_chunks() for c in ("shard", "band", "dim")), *(pa.array([x.tobytes()], pa.binary()) for x in (vectors.astype(np.float64), rest.astype(np.float32), graph.near))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([table.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64())))], names=[x.split()[0] for x in _INDEX.split(", ")])
 
     return run
 
 
 def _searched(k: int, width: int):
-    """A block of queries through one shard: each query's k best rows there, scored exactly."""
-
-    def run(queries: pa.Table, index: pa.Table) -> pa.Table:
-        if not queries.num_rows or not index.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])
-        dim = index.column("dim")[0].as_py()
-        vectors = np.frombuffer(index.column("vectors")[0].as_buffer(), np.float64).reshape(-1, dim)
-        rest = np.frombuffer(index.column("rest")[0].as_buffer(), np.float32)
-        near = np.frombuffer(index.column("near")[0].as_buffer(), np.int32).reshape(len(vectors), -1)
-        ids = index.column("ids")[0].as_py()
-        graph = Graph(np.concatenate([np.ldexp(vectors, -index.column("band")[0].as_py()), rest[:, None]], 1), near.shape[1], near)
-        asked = np.stack([x.values.to_numpy() for x in queries.column("vector")])
-        query_ids = queries.column("query_id").to_numpy()
-        unit = asked / np.abs(asked).max(axis=1, keepdims=True)  # a query's length does not change the order of its products
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        out_q, out_v, out_s = [], [], []
-        for low in range(0, len(asked), BATCH):
-            part = asked[low : low + BATCH]
-            nodes, _ = graph.search(np.concatenate([unit[low : low + BATCH], np.zeros((len(part), 1))], 1).astype(np.float32), width)
-            nodes = nodes[:, : 2 * k]
-            scores = np.where(nodes >= 0, (vectors[nodes] * part[:, None, :]).sum(axis=2), -np.inf)
-            for q, own, found in zip(query_ids[low : low + BATCH].tolist(), nodes.tolist(), scores.tolist(), strict=True):
-                rows = [(-s, v) for n, s in zip(own, found, strict=True) if n >= 0 for v in ids[n] if v != q]
-                rows = sorted(rows)[:k]
-                out_q += [q] * len(rows)
-                out_v += [v for _, v in rows]
-                out_s += [-s for s, _ in rows]
-        return pa.table([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
+    """A partition sorted by shard, each shard's graph before its queries, to each query's k best rows there, scored exactly.
+
+    One graph is held at a time, and one batch of queries.
+    """
+
+    def run(batches):
+        graph = vectors = ids = None
+        for batch in batches:
+            kinds = batch.column("query_id").is_valid().to_numpy(zero_copy_only=False)  # False: a graph
+            cuts = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]])) if len(kinds) else []
+            for a, b in zip(cuts, [*cuts[1:], len(kinds)], strict=True):
+                if not kinds[a]:
+                    row = {c: batch.column(c)[b - 1] for c in ("band", "dim", "vectors", "rest", "near", "ids")}
+                    vectors = np.frombuffer(row["vectors"].as_buffer(), np.float64).reshape(-1, row["dim"].as_py())
+                    near = np.frombuffer(row["near"].as_buffer(), np.int32).reshape(len(vectors), -1)
+                    rest = np.frombuffer(row["rest"].as_buffer(), np.float32)
+                    ids = row["ids"].as_py()
+                    graph = Graph(np.concatenate([np.ldexp(vectors, -row["band"].as_py()), rest[:, None]], 1), near.shape[1], near)
+                    continue
+                for low in range(a, b, BATCH):
+                    part = batch.slice(low, min(BATCH, b - low))
+                    asked = np.stack([x.values.to_numpy() for x in part.column("vector")])
+                    unit = asked / np.abs(asked).max(axis=1, keepdims=True)  # a query's length does not change the order of its products
+                    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                    nodes, _ = graph.search(np.concatenate([unit, np.zeros((len(unit), 1))], 1).astype(np.float32), width)
+                    scores = np.where(nodes >= 0, (vectors[nodes] * asked[:, None, :]).sum(axis=2), -np.inf)  # all of the beam
+                    out_q, out_v, out_s = [], [], []
+                    for q, own, found in zip(part.column("query_id").to_pylist(), nodes.tolist(), scores.tolist(), strict=True):
+                        rows = sorted((-s, v) for n, s in zip(own, found, strict=True) if n >= 0 for v in ids[n] if v != q)[:k]
+                        out_q += [q] * len(rows)
+                        out_v += [v for _, v in rows]
+                        out_s += [-s for s, _ in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -190,15 +208,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
 
     Every valid vector is indexed: equal vectors are one point, points are dealt to bands of norm, each twice the one before,
     and in a band by hash to shards of about ``shard`` (SHARDS at least where there are FEW points for each).  Each shard
-    becomes a robust-pruned graph in one task, scaled by its band, so that float32 tells its points apart whatever
-    the other bands hold.  Blocks of queries then go through every shard of every band by beam search, and the k best of all shards are ranked by their products in double precision, ties by id.
+    becomes a robust-pruned graph in a task of its own, scaled by its band, so that float32 tells its points apart whatever
+    the other bands hold.  All queries then go through every shard of every band by beam search, in blocks of QUERIES with
+    the shard's graph, and the k best of all beams are ranked by their products in double precision, ties by id.  Work
+    grows with rows up to SHARDS shards of the size that a task can hold; beyond, by queries times shards.
     Of equal vectors the k + 1 smallest ids are kept as candidates; no other copy can be among the k nearest of any query.
 
     Vectors that are null, empty or zero or hold a null or non-finite component take no part, nor do null ids.  A query is
     compared with vectors of its own length; rows that share its id are never its candidates; rows repeated in id and vector
     count once; queries of one id and several vectors are answered together.  Inputs are cast to double.
     """
-    spark = vectors.sparkSession
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
@@ -208,21 +228,28 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     points = written(points.select(F.col("ids")[0].alias("vec_id"), "ids", F.size("vector").alias("dim"), _band(F.col("vector")).alias("band"), "vector"), "points")
     shape = points.groupBy("dim", "band").agg(F.count("*").alias("n"))
     shape = shape.withColumn("shards", F.greatest(F.least(F.lit(SHARDS), F.ceil(F.col("n") / FEW)), F.ceil(F.col("n") / shard)).cast("int"))
-    shape = written(shape, "shape")  # a row for each vector length and band, of which doubles have about 2100
-    placed = points.join(F.broadcast(shape.select("dim", "band", "shards")), ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).drop("shards")
-    index = placed.groupBy("dim", "band", "shard").applyInArrow(_built(width), "shard int, band int, dim int, vectors binary, rest binary, near binary, ids array<array<long>>")
+    order = Window.orderBy("dim", "band").rowsBetween(Window.unboundedPreceding, -1)  # a row for each vector length and band
+    shape = written(shape.withColumn("first", F.coalesce(F.sum("shards").over(order), F.lit(0))), "shape")
+    total = shape.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
+    bands = shape.select("dim", "band", "shards", "first")
+    placed = looked_up(points, bands, ["dim", "band"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("shards"))).drop("shards", "first")
+    placed = placed.repartitionById(max(1, total), F.col("shard").cast("int"))  # a shard is a task
+    index = placed.select("shard", "band", "dim", "vec_id", "ids", "vector").mapInArrow(_built(width), _INDEX)
     index = written(index, "graphs")
     asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.size("vector").alias("dim"), "vector").distinct()
+    asked = written(asked, "queries")
     blocks = max(1, math.ceil(asked.count() / QUERIES))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    asked = asked.join(F.broadcast(shape.select("dim", "band", "shards")), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["dim", "band", "shard", "block"]
-    found = asked.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(_searched(k, width), "query_id long, vec_id long, score double")
+    asked = looked_up(asked, bands, ["dim"]).withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1))).select("shard", "block", "query_id", "vector")
+    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = graphs.unionByName(asked, allowMissingColumns=True)
+    both = both.repartitionById(max(1, total * blocks), (F.col("shard") * blocks + F.col("block")).cast("int")).sortWithinPartitions("shard", "block", F.col("query_id").asc_nulls_first())
+    found = both.mapInArrow(_searched(k, width), _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th vector's 20 nearest of all; what takes part, ties and repeats as in ``nearest``."""
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
