@@ -2,13 +2,14 @@
 
 The job in four steps, each a written table:
 
-1. *Sets.* Every whole text becomes its set of distinct shingle hashes.  Packed blocks of hashes, dealt by hash,
-   show for each document how many of its shingles occur elsewhere.  A document linked to another shares at least
-   3/4 of its shingles, so one below that can have no link; nothing else is left out.  Equal sets form one class.
+1. *Sets.* Every whole text becomes its set of distinct shingle hashes.  Equal sets form one class.  Packed blocks of
+   hashes, each hash once a block, dealt by hash, show for each class how many of its shingles other classes have.  A class
+   linked to another shares at least 3/4 of its shingles, so one below that can have no link, nor can one of
+   under three shingles; nothing else is left out.
 2. *Signatures.* PartEnum over the remaining classes: sets in bands of sizes, a partitioned feature domain,
-   and signatures over two of every three parts (see ``signatures``).  All linked pairs share a signature.
-3. *Hoods.* The classes that share a signature gather round the smallest of them (by a hash), so a pair that shares
-   a signature lies in one hood.  Hoods are dealt as blocks of bounded size; each block compares exactly, only
+   and signatures over two of every three parts, none of them empty (see ``signatures``).  All linked pairs share a signature.
+3. *Hoods.* The classes that share a signature gather round the smallest of them (by a hash), the hub, so a pair that shares
+   a signature lies in one hood.  Hoods are dealt as blocks of bounded size, each with the hub; each block compares exactly, only
    across what is not yet connected, and returns a spanning forest of its links.  Classes first compare in one hood each; hoods'
    blocks that are connected after that need no more.
 4. *Rest.* Hoods of several blocks that are not yet in one component compare what is outside their largest component with
@@ -33,9 +34,13 @@ from .words import SHINGLE, mix, shingle_sets
 #: Similarity as a fraction.
 NUM, DEN = 75, 100
 #: Classes, and shingles, that a block of a hood holds on average at most.
-BLOCK_ROWS, BLOCK_SHINGLES = 1536, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 #: Of them so many are compared with the block at a time.
-ROWS = 384
+ROWS = 256
+#: Groups of the domain, over half of the differences to survive; and independent partitions of it to try.
+GROUPS, SEEDS = 1.2, 6
+#: Owner of a hash that several sets of its block have.
+SEVERAL = 65_535
 #: Texts' bytes for one bucket of packed hashes.
 BUCKET_BYTES = 16 << 20
 
@@ -43,7 +48,11 @@ _U = np.uint64
 
 
 def _blocks(buckets: int, width: int):
-    """Rows of documents to a row of digests for each block, and a row of packed hashes for each block and bucket."""
+    """Rows of documents (65,534 a batch at most) to a row of digests for each block, and a row of packed hashes for each block and bucket.
+
+    Of equal sets in a block one sends its hashes.  A hash goes once a block, with its set, or marked if several have it; then
+    it counts for each of them at once.
+    """
 
     def run(batches):
         task = TaskContext.get().partitionId()
@@ -59,64 +68,84 @@ def _blocks(buckets: int, width: int):
             total = lambda x: np.diff(np.concatenate([np.zeros(1, _U), np.cumsum(x, dtype=_U)])[ends])  # noqa: B023, E731
             digest = np.stack([total(mix(one ^ _U(0x5851F42D4C957F2D))), total(mix(one ^ _U(0x14057B7EF767814F)))])
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            head = np.concatenate([ids.view(_U), sizes.view(_U), digest[0], digest[1]]).tobytes()
-            bucket = ((one >> _U(40)) % _U(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            names, keys, owners, hashes = [name], [-1 - int(ids[0]) % buckets], [head], [b""]
+            sends = np.zeros(len(sets), bool)
+            sends[np.unique(np.stack([sizes.view(_U), *digest]), axis=1, return_index=True)[1]] = True
+            one, owner = one[sends[owner]], owner[sends[owner]]
+            bucket = (one >> _U(40)) % _U(buckets)
+            order = np.argsort(bucket << _U(32) | one & _U(0xFFFFFFFF), kind="stable")
+            one, owner, bucket = one[order].astype(np.uint32), owner[order], bucket[order].astype(np.int64)
+            first = np.ones(len(one), bool)
+            first[1:] = (one[1:] != one[:-1]) | (bucket[1:] != bucket[:-1])
+            times = np.diff(np.append(np.flatnonzero(first), len(one)))
+            several = np.repeat(times > 1, times)
+            head = np.concatenate([ids.view(_U), sizes.view(_U), digest[0], digest[1], np.bincount(owner[several], minlength=len(sets)).astype(_U)]).tobytes()
+            owner = np.where(several, SEVERAL, owner)[first].astype(np.uint16)
+            one, bucket = one[first], bucket[first]
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            names, keys, owners, hashes, classes = [name], [-1 - int(ids[0]) % buckets], [head], [b""], [b""]
             for b in range(buckets):
                 if cuts[b + 1] > cuts[b]:
-                    own = order[cuts[b] : cuts[b + 1]]
+                    own = slice(cuts[b], cuts[b + 1])
+                    there = np.unique(owner[own])
                     names.append(name)
                     keys.append(b)
-                    owners.append(np.bincount(owner[own], minlength=len(sets)).astype(np.int32).tobytes())
-                    hashes.append(one[own].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(keys, pa.int32()), pa.array(owners, pa.binary()), pa.array(hashes, pa.binary())], names=["block", "bucket", "owners", "hashes"])
+                    owners.append(owner[own].tobytes())
+                    hashes.append(one[own].tobytes())
+                    classes.append(digest[0][there[there < SEVERAL]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(keys, pa.int32()), *(pa.array(x, pa.binary()) for x in (owners, hashes, classes))], names=["block", "bucket", "owners", "hashes", "classes"])
 
     return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """For a bucket: of each block and document, how many hashes occur in another document too.  Digests pass."""
+    """For a bucket: of each block, its sets and how many of their hashes sets of other classes have too.  Digests pass."""
     if table.column("bucket")[0].as_py() < 0:
-        return table.select(["block", "owners"]).append_column("digest", pa.array([True] * table.num_rows))
+        empty = pa.array([None] * table.num_rows, pa.binary())
+        return pa.table([table.column("block"), table.column("owners"), empty, empty], names=["block", "head", "owners", "counts"])
     hashes = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("hashes")]
-    one = np.concatenate(hashes)
-    order = np.argsort(one)
+    owners = [np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("owners")]
+    kinds = []
+    for own, x in zip(owners, table.column("classes"), strict=True):
+        there = np.unique(own)
+        of = np.append(np.frombuffer(x.as_buffer(), _U), _U(0))  # the last for SEVERAL
+        kinds.append(of[np.minimum(np.searchsorted(there, own), len(of) - 1)])
+    one, kind, several = np.concatenate(hashes), np.concatenate(kinds), np.concatenate(owners) == SEVERAL
+    order = np.argsort(one, kind="stable")
     ranked = one[order]
-    same = ranked[1:] == ranked[:-1]
+    cuts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    kind = kind[order]
+    shared = (np.minimum.reduceat(kind, cuts) != np.maximum.reduceat(kind, cuts)) | np.maximum.reduceat(several[order], cuts)
     twice = np.zeros(len(one), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    out, at = [], 0
-    for x, own in zip(hashes, table.column("owners"), strict=True):
-        counts = np.frombuffer(own.as_buffer(), np.int32)
-        sums = np.concatenate([[0], np.cumsum(twice[at : at + len(x)])])
-        out.append(np.diff(sums[np.concatenate([[0], np.cumsum(counts)])]).astype(np.int32).tobytes())
-        at += len(x)
-    del one, order, ranked, same, twice, hashes
+    twice[order] = np.repeat(shared, np.diff(np.append(cuts, len(one))))
+    twice &= ~several
+    out, at = ([], []), 0
+    for own in owners:
+        there, counts = np.unique(own[twice[at : at + len(own)]], return_counts=True)
+        out[0].append(there.tobytes())
+        out[1].append(counts.astype(np.int32).tobytes())
+        at += len(own)
+    del one, order, ranked, kind, several, shared, twice, hashes, kinds
     trim()
-    return pa.table([table.column("block"), pa.array(out, pa.binary()), pa.array([False] * len(out))], names=["block", "owners", "digest"])
+    return pa.table([table.column("block"), pa.array([None] * len(owners), pa.binary()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["block", "head", "owners", "counts"])
 
 
 def _summed(table: pa.Table) -> pa.Table:
     """A block's documents with their digests and counts."""
-    shared, head = 0, None
-    for own, digest in zip(table.column("owners"), table.column("digest"), strict=True):
-        if digest.as_py():
-            head = np.frombuffer(own.as_buffer(), _U).reshape(4, -1)
-        else:
-            shared = shared + np.frombuffer(own.as_buffer(), np.int32).astype(np.int64)
-    shared = np.zeros(head.shape[1], np.int64) + shared
-    return pa.table([head[0].view(np.int64), head[1].view(np.int64), head[2].view(np.int64), head[3].view(np.int64), shared], names=["id", "n", "h1", "h2", "shared"])
+    head = np.frombuffer(next(x for x in table.column("head") if x.is_valid).as_buffer(), _U).reshape(5, -1)
+    shared = head[4].view(np.int64).copy()
+    for own, counts in zip(table.column("owners"), table.column("counts"), strict=True):
+        if own.is_valid:
+            shared[np.frombuffer(own.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.int32)
+    return pa.table([*(head[i].view(np.int64) for i in range(4)), shared], names=["id", "n", "h1", "h2", "shared"])
 
 
 def digests(rows: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(id, n, h1, h2, shared) for rows (id, text): set size, 128-bit digest of the set, shingles seen elsewhere (at least)."""
+    """(id, n, h1, h2, shared) for rows (id, text): set size, 128-bit digest of the set, and for one row at least of each class how many
+    shingles other classes have (at least)."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, math.ceil(size / BUCKET_BYTES))
-    packed = rows.mapInArrow(trimmed(_blocks(buckets, width)), "block string, bucket int, owners binary, hashes binary")
-    counted = packed.groupBy("bucket").applyInArrow(_repeated, "block string, owners binary, digest boolean")
+    packed = rows.mapInArrow(trimmed(_blocks(buckets, width)), "block string, bucket int, owners binary, hashes binary, classes binary")
+    counted = packed.groupBy("bucket").applyInArrow(_repeated, "block string, head binary, owners binary, counts binary")
     return counted.groupBy("block").applyInArrow(_summed, "id long, n long, h1 long, h2 long, shared long")
 
 
@@ -130,36 +159,51 @@ def _band(size: int) -> int:
     return b
 
 
-def signatures(items: np.ndarray, band: int) -> np.ndarray:
-    """PartEnum signatures of a set for pairs whose smaller set lies in the band.
+def signatures(items: np.ndarray, band: int, seed: int = 0, empty: bool = False) -> tuple[np.ndarray, bool]:
+    """PartEnum signatures of a set for pairs whose smaller set lies in the band, and whether they are sure to meet any partner's.
 
     Such a pair with sizes a <= b has b <= 4a/3, and similarity 3/4 means a symmetric difference of at most (a + b) / 7,
-    so at most k = high / 3 for the band's largest size.  The domain is hashed to n1 groups of three parts.  A difference of k
-    leaves at least n1 - k // 2 groups with one difference or none, and there one of the three subsets of two parts agrees
-    entirely; its projection is the signature.  n1 is a quarter larger than needed, so some agreeing
-    subset is not empty unless the set has as many groups with an empty subset; only then empty ones count too.
+    so at most k = high / 3 for the band's largest size.  The domain is hashed to groups of three parts; the projection of the set
+    on two of the three is a signature.  A group of which two parts or more hold shingles has an agreeing projection that is not
+    empty unless two differences fall into it, one with a single such part unless one does.  So where these numbers add up
+    to more than k, some agreeing projection is not empty, whatever the partner.  Then no empty one is needed; nor is it for the partner,
+    which has the same projection there.  Two sets of which neither is sure meet in another partition of the domain (``seed``).
     """
     high = math.ceil((DEN / NUM) ** (band + 1)) - 1
     k = high // 3
-    n1 = max(1, math.ceil(1.25 * (k + 1) / 2))
-    spread = mix(items ^ _U(0xA0761D6478BD642F + band))
-    part = (spread >> _U(20)) % _U(3 * n1)
-    sums, sizes = np.zeros(3 * n1, _U), np.bincount(part.astype(np.int64), minlength=3 * n1).reshape(n1, 3)
-    np.add.at(sums, part.astype(np.int64), spread)
+    n1 = max(1, math.ceil(GROUPS * (k + 1) / 2))
+    spread = mix(items ^ _U(0xA0761D6478BD642F + band + (seed << 20)))
+    part = ((spread >> _U(20)) % _U(3 * n1)).astype(np.int64)
+    sums, full = np.zeros(3 * n1, _U), np.bincount(part, minlength=3 * n1).reshape(n1, 3) > 0
+    np.add.at(sums, part, spread)
     sums = sums.reshape(n1, 3)
-    out, empty = [], np.zeros(n1, bool)
-    group = np.arange(n1, dtype=np.uint64) * _U(8) + _U(band << 40)
+    out = []
+    group = np.arange(n1, dtype=np.uint64) * _U(8) + _U((band << 40) + (seed << 50))
     for s, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        void = (sizes[:, a] + sizes[:, b]) == 0
-        empty |= void
-        out.append((mix(mix(group + _U(s)) ^ (sums[:, a] + mix(sums[:, b]))), void))
-    if empty.sum() >= n1 - k // 2:
-        return np.concatenate([x for x, _ in out])
-    return np.concatenate([x[~void] for x, void in out])
+        x = mix(mix(group + _U(s)) ^ (sums[:, a] + mix(sums[:, b])))
+        out.append(x if empty else x[full[:, a] | full[:, b]])
+    return np.concatenate(out), bool(np.minimum(full.sum(axis=1), 2).sum() > k)
+
+
+def all_signatures(items: np.ndarray, band: int) -> np.ndarray:
+    """Signatures by one partition of the domain after the other until they are sure to meet every partner's; few sets need a second.
+
+    One that SEEDS partitions leave unsure, about one in a million, has its empty projections too.
+    """
+    out = []
+    for seed in range(SEEDS):
+        found, sure = signatures(items, band, seed)
+        if not sure and seed == SEEDS - 1:
+            found, _ = signatures(items, band, seed, empty=True)
+        out.append(found)
+        if sure:
+            break
+    return np.concatenate(out)
 
 
 def _signed(batches):
     """Rows (id, set) to rows (sig, space, id, n): each set in its own band and, as the larger of a pair, in the one below."""
+    names = ["sig", "space", "id", "n"]
     for batch in batches:
         sigs, spaces, ids, ns = [], [], [], []
         for key, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -167,16 +211,16 @@ def _signed(batches):
             own = _band(len(items))
             for band in (own, own - 1):
                 if band >= 0:
-                    x = signatures(items, band)
+                    x = all_signatures(items, band)
                     sigs.append(x)
                     spaces.append(np.full(len(x), band, np.int32))
                     ids.append(np.full(len(x), key, np.int64))
                     ns.append(np.full(len(x), len(items), np.int32))
             if sum(map(len, sigs)) > 200_000:
-                yield pa.RecordBatch.from_arrays([np.concatenate(sigs).view(np.int64), np.concatenate(spaces), np.concatenate(ids), np.concatenate(ns)], names=["sig", "space", "id", "n"])
+                yield pa.RecordBatch.from_arrays([np.concatenate(sigs).view(np.int64), *map(np.concatenate, (spaces, ids, ns))], names=names)
                 sigs, spaces, ids, ns = [], [], [], []
         if sigs:
-            yield pa.RecordBatch.from_arrays([np.concatenate(sigs).view(np.int64), np.concatenate(spaces), np.concatenate(ids), np.concatenate(ns)], names=["sig", "space", "id", "n"])
+            yield pa.RecordBatch.from_arrays([np.concatenate(sigs).view(np.int64), *map(np.concatenate, (spaces, ids, ns))], names=names)
 
 
 def _sets(width: int):
@@ -271,7 +315,7 @@ def _compared_in(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return placed.join(sets, "id").groupBy("space", "hub", "block").applyInArrow(_compared, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id) for every row: the smallest identifier that links reach.
 
     Texts link when the Jaccard similarity of their sets of word shingles is 3/4 or more (in whole numbers,
@@ -285,7 +329,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = written(digests(rows.where("id IS NOT NULL"), width), "digests")
     classes = known.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("class_id"), F.max("shared").alias("shared"))
     classes = written(classes, "classes")
-    live = classes.where(F.col("shared") * DEN >= F.col("n") * NUM).select(F.col("class_id").alias("id"), "n", "h1", "h2")
+    live = classes.where((F.col("n") > 2) & (F.col("shared") * DEN >= F.col("n") * NUM)).select(F.col("class_id").alias("id"), "n", "h1", "h2")
     texts = looked_up(rows, live.select("id").distinct(), ["id"])
     sets = written(texts.mapInArrow(trimmed(_sets(width)), "id long, items array<long>").where(F.size("items") > 0), "sets")
 
@@ -293,18 +337,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(F.xxhash64("id").alias("rank"), F.col("id").alias("hub"))
     hubs = signed.groupBy("sig").agg(F.min(rank).alias("hub"), F.count("*").alias("members")).where("members > 1").select("sig", F.col("hub.hub").alias("hub"))
     hoods = written(signed.join(hubs, "sig").select("space", "hub", "id", "n").distinct(), "hoods")
-    volume = hoods.groupBy("space", "hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("members"))
+    volume = hoods.groupBy("space", "hub").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"), F.count("*").alias("members"))
     volume = written(volume.where("members > 1").select("space", "hub", "blocks"), "volume")
     placed = looked_up(hoods, volume, ["space", "hub"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = written(placed, "placed")
+    # A block's comparisons include the hub, so that near copies in great number mostly meet there, whatever their block.
+    with_hubs = lambda rows: rows.union(rows.select("space", "hub", "block", F.col("hub").alias("id"))).distinct()
 
-    # First each class in one hood only, that of the smallest hub: near copies in great number mostly meet there.
+    # First each class in one hood only, that of the smallest hub.
     rank = F.struct(F.xxhash64("hub").alias("rank"), "space", "hub", "block")
-    single = placed.groupBy("id").agg(F.min(rank).alias("at")).select("at.space", "at.hub", "at.block", "id", F.lit(0).alias("side"), F.col("id").alias("component"))
+    single = with_hubs(placed.groupBy("id").agg(F.min(rank).alias("at")).select("at.space", "at.hub", "at.block", "id")).select("*", F.lit(0).alias("side"), F.col("id").alias("component"))
     edges = written(_compared_in(single, sets), "links")
     reached = components(edges, spark)
     # Then all hoods' blocks that still hold several components.
-    inner = looked_up(placed, reached.withColumnRenamed("node", "id"), ["id"], "left").withColumn("component", F.coalesce("component", "id"))
+    inner = looked_up(with_hubs(placed.select("space", "hub", "block", "id")), reached.withColumnRenamed("node", "id"), ["id"], "left").withColumn("component", F.coalesce("component", "id"))
     inner = written(inner.select("space", "hub", "block", "id", F.lit(0).alias("side"), "component"), "inner")
     open_ = inner.groupBy("space", "hub", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     inner = inner.join(open_.drop("low", "high"), ["space", "hub", "block"], "left_semi")
@@ -340,4 +386,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; nulls, repeats and short texts as in ``near_groups``."""
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -114,6 +114,56 @@ def test_jaccard_on_documents_and_near_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(docs).collect()) == truth(rows)
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_jaccard_in_small_blocks(spark, block):
+    """Chains and stars of near copies, exact copies and a passage that many share, over hoods of many blocks: brute force's components."""
+    random = np.random.default_rng(block)
+    rows, chain = [], A.split() * 3
+    for i in range(150):  # each a few words from the one before, so ends of the chain are far apart
+        chain = list(chain)
+        chain[(7 * i) % len(chain)] = f"c{i}"
+        rows.append((i, " ".join(chain)))
+    base = [f"b{j}" for j in range(60)]
+    for i in range(150):
+        w = [x if random.random() > 0.03 else f"w{random.integers(5)}" for x in base]
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000 + i, rows[i % 7][1]) for i in range(40)]
+    passage = " ".join(f"p{j}" for j in range(20))
+    rows += [(3000 + i, f"x{i} {passage} y{i} z{i}") for i in range(60)]
+    rows += [(4000 + i, " ".join(f"s{j}" for j in range(i % 9))) for i in range(20)]
+    docs = docs_of(spark, [(i, t, "en", "a") for i, t in rows])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(docs, block_rows=block).collect())
+    assert got == truth(rows)
+
+
+@pytest.mark.parametrize("size", [3, 4, 10, 32, 100, 400])
+def test_signatures_meet_only_where_sets_are_near(size):
+    """Unrelated sets share no signature that is common; pairs just near enough always share one."""
+    random = np.random.default_rng(size)
+    fresh = lambda n: random.integers(0, 1 << 63, n).astype(np.uint64)
+    band, found = jaccard._band(size), collections.Counter()
+    for _ in range(300):
+        found.update(set(jaccard.all_signatures(fresh(size), band).tolist()))
+    assert max(found.values()) <= 3
+    for _ in range(60):
+        a = fresh(size)
+        more = int(random.integers(0, size // 3 + 1))  # added to a, or taken and added
+        cut = int(random.integers(0, size // 4 + 1))
+        b = np.concatenate([a[cut:], fresh(more)])
+        if 100 * (size - cut) < 75 * (size + more):
+            continue
+        small = jaccard._band(min(len(a), len(b)))
+        assert set(jaccard.all_signatures(a, small).tolist()) & set(jaccard.all_signatures(b, small).tolist())
+
+
+def test_shared_counts_are_of_other_classes(spark):
+    """Exact copies count for nothing, near ones and common shingles do."""
+    rows = [(i, A) for i in range(5)] + [(9, A + " more"), (10, "quite another text of eight words in all")] * 2
+    found = jaccard.digests(spark.createDataFrame(rows, "id long, text string").repartition(3)).groupBy("h1", "n").agg(F.max("shared").alias("s")).collect()
+    n = len(A.split()) - 4
+    assert sorted((r.n, r.s) for r in found) == [(4, 0), (n, n), (n + 1, n)]
+
+
 def test_mixing(spark, odd, none):
     docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rates = mixing.target_rates(docs, total=4000)
