@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chargrams import gram_buckets, sums_by_row
 from .common import draw, looked_up, small_batches, trimmed, written
@@ -114,19 +115,21 @@ def fitted(labels: list[str], u: np.ndarray, buckets: list[np.ndarray], shares:
     return w[:-1], w[-1], best[1]
 
 
-def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, learned, lang_pred, score) for every row of ``docs``; the model learns where ``learn`` holds and lang is not null.
+def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: bool = False) -> DataFrame:
+    """(id, learned, lang_pred, score, languages) for every row of ``docs``; the model learns where ``learn`` holds and lang is not null.
 
     Document frequencies count every text that may be learned from, repeated ones too; the fit itself takes about PER_LANGUAGE
     different texts of every language that occurs, fewer if that made more than SAMPLE in all, chosen by a hash of language and
     text, and runs in one task, which takes 1 MB a language; what tasks that predict get is 128 kB a language.  Prediction
     reads the whole text and nothing else.  ``score`` is the calibrated probability of lang_pred; how sure the model may be is
     read from texts left out of the fit, or from all if there are under 50.  A null text, one without a letter, and any text if
-    nothing could be learned get ``und`` and score 0.  Ties go to the language that sorts first.  Rows may repeat and identifiers be null.
+    nothing could be learned get ``und`` and score 0.  ``languages`` is the number learned.  With ``keep`` the columns of ``docs``
+    (any names) come along as a struct ``row``, so that a decision needs no join.  Ties go to the language that sorts first.  Rows may repeat and identifiers be null.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if keep else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.coalesce(learn, F.lit(False)).alias("learn"), whole.alias("row"))
     known = rows.where("learn AND lang IS NOT NULL AND text IS NOT NULL")
     known = known.withColumn("print", F.xxhash64("text"))
     sizes = written(known.groupBy("lang", "print").agg(F.count("*").alias("n")).groupBy("lang").agg(F.count("*").alias("texts")), "languages")
@@ -173,11 +176,11 @@ def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([classes[i] if ok else UND for i, ok in zip(best, out, strict=True)]), pa.array([float(p[j, i]) if ok else 0.0 for j, (i, ok) in enumerate(zip(best, out, strict=True))])],
                 names=["id", "learn", "lang_pred", "score"],
-            )
+            ).append_column("row", batch.column(3))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    done = rows.select("id", "text", "learn").mapInArrow(trimmed(predict), f"id {kind}, learn boolean, lang_pred string, score double")
-    return done.withColumnsRenamed({"id": id_col, "learn": "learned"})
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("learn", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), rows.schema["row"]])
+    done = rows.select("id", "text", "learn", "row").mapInArrow(trimmed(predict), schema).withColumn("languages", F.lit(len(classes)))
+    return (done if keep else done.drop("row")).withColumnsRenamed({"id": id_col, "learn": "learned"})
 
 
 def held_out(id_col: str = "doc_id") -> Column:
