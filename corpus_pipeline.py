@@ -6,50 +6,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import dedup, jaccard, langid, mixing, pieces
-from sightline.llm.common import looked_up, lower_ascii, written
+from sightline.llm.common import looked_up, shared_folder, workspace, written
 
-#: A text whose language is less likely than this is rejected; one of four languages has a quarter by chance.
-MIN_SCORE = 0.3
+#: A text whose language is less likely than so many times a chance guess among the languages learned is rejected.
+MARGIN = 1.2
 
 
-def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` without the rows decided (doc_id, kept) against, by whole rows of identifiers.
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as a written table with a row key in one more column, and that column's name: decisions are for rows, whatever identifiers hold."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "keyed"), name
 
-    An identifier of which some rows are kept and some are not keeps one row for each of its texts.  Null identifiers stay.
-    """
-    decided = written(decided.groupBy("doc_id").agg(F.max("kept").alias("any"), F.min("kept").alias("all")).where("NOT all"), "decided")
-    out = looked_up(docs, decided.select("doc_id"), ["doc_id"], "left_anti")
-    both = decided.where("any").select("doc_id")
-    if both.limit(1).count():
-        mixed = looked_up(docs, both, ["doc_id"], "left_semi").withColumn("__text", lower_ascii(F.col("text"))).dropDuplicates(["doc_id", "__text"])
-        out = out.unionByName(mixed.drop("__text"))
-    return out
+
+def _without(keyed: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``keyed`` without the rows whose keys are in ``gone`` (one column), and without the key."""
+    gone = written(gone.toDF(key), "gone")
+    return looked_up(keyed, gone, [key], "left_anti").drop(key)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those in no language that the labelled texts teach."""
-    found = langid.identified(docs, ~langid.held_out())
-    return _without(docs, found.select("doc_id", ((F.col("lang_pred") != langid.UND) & (F.col("score") >= MIN_SCORE)).alias("kept")))
+    """Rejects texts without a letter and those in no language that the labelled texts teach.
+
+    Null and empty texts go; null identifiers, repeated rows and columns of any names are kept or go by their own texts; nothing
+    is cut from long texts.  Where nothing can be learned every row with a text goes too, as no language is known; of an empty table nothing is left.
+    """
+    found = langid.identified(docs, ~langid.held_out(), keep=True)
+    fine = (F.col("lang_pred") != langid.UND) & ((F.col("languages") == 1) | (F.col("score") * F.col("languages") >= MARGIN))
+    return found.where(fine).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts that with the largest identifier stays."""
-    return _without(docs, dedup.exact_groups(docs).select("doc_id", "kept"))
+    """Of equal texts (A-Z in lower case, a null as an empty one) the row with the largest identifier stays.
+
+    Rows without an identifier rank last, and of rows that tie one stays; of each text exactly one row is left, however many repeat it.
+    """
+    keyed, key = _keyed(docs)
+    rows = keyed.select(F.struct("doc_id", key).alias("id"), "text")
+    return _without(keyed, key, dedup.exact_groups(rows, "id").where("NOT kept").select(f"id.{key}"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies that with the smallest identifier stays."""
-    found = jaccard.near_groups(docs)
-    return _without(docs, found.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")).where("kept IS NOT NULL"))
+    """Of each group of near copies the row with the smallest identifier stays; rows without one rank last, ties go to one row.
+
+    Texts without words are near to nothing, so they all stay.
+    """
+    keyed, key = _keyed(docs)
+    found = written(jaccard.near_groups(keyed, key).select(F.col(key).alias("key"), "component_id"), "near")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = written(looked_up(found, written(groups, "groups"), ["component_id"]), "members")
+    ranked = looked_up(keyed.select(F.col(key).alias("key"), "doc_id"), members, ["key"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"]
+    stays = written(ranked.groupBy("component_id").agg(first.alias("key")).select("key"), "stays")
+    return _without(keyed, key, members.select("key").join(stays, "key", "left_anti"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources have their target weights."""
-    return mixing.mixed(docs, mixing.target_rates(docs)).select(*docs.columns)
+    """Repeats or leaves out documents so that sources have their target weights; each row, with or without an identifier, has a draw of its own."""
+    return mixing.mixed(docs, mixing.target_rates(docs)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents as piece ids, with the digest that shows that decoding gives the text."""
+    """The mixed documents as piece ids, with the digest that shows that decoding gives the text; a null text has null ids and digest."""
     rows = pieces.encoded(docs.select("doc_id", "source", "text"), decode_as="decoded")
     return rows.select(
         "doc_id", "source", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("text_sha256"),
@@ -63,7 +82,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other over the documents, each written and read again; what a stage writes on the way is deleted."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark)
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+        with workspace(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage{k}", folder)
     return docs
