@@ -1,13 +1,17 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax over n-gram and skip features.
 
-A frequent word has a class and a place in it; all other words form one class, within which they follow their smoothed
-frequencies.  P(word | history) = P(class | history) * P(word | class, history).  Both softmaxes add up rows of hashed tables, one
-for each feature of the history: the word before, the word before that (a skip), and both.
+Frequent words are the leaves of a tree of classes with BRANCHES ways at each node, the most frequent ones nearest to the root; all other
+words form one class, within which they follow their smoothed frequencies.  P(word | history) is the product of P(branch |
+node, history) along the word's path.  Each softmax adds up the log-frequencies of the node's branches and rows of hashed
+tables, one for each feature of the history: the word before, the word before that (a skip), and both.
+
+What is learned grows with the input: places by words (up to 4 sqrt(tokens) of them and more), depth by their logarithm, and
+table rows by sqrt(tokens).
 
 Four passes read the texts: counts, two rounds of training, and scoring.  Training tasks update a copy of the model on their own
-documents by adaptive gradients; updates are averaged row by row, in two levels, so no task gathers all of them.  Counts of
-words are never gathered whole: frequent ones, of which there are few by definition, are broadcast; the others meet their
-occurrences bucket by bucket.
+documents by adaptive gradients; the rows they touched are averaged, in two levels, so no task gathers all of them, and
+tasks take texts of several times the bytes of their updates.  Counts of words are never gathered whole: frequent ones, of
+which there are few by definition, are broadcast; the others meet their occurrences bucket by bucket.
 """
 
 from __future__ import annotations
@@ -23,16 +27,21 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 from .words import mix, word_hashes
 
-CLASSES, WORDS = 32, 32  # the last class is that of all other words
-ROWS = 1 << 13  # of each of the two tables
-#: A word with more than this share of the tokens is frequent; so at most as many are broadcast as this has parts.
+BRANCHES = 32
+#: First branches of the root and their number, and the levels below them; by rank, words fill these in turn.  The last branch is all other words.
+TIERS = ((0, 16, 1), (16, 8, 2), (24, 5, 3), (29, 1, 4), (30, 1, 5))
+OTHER = BRANCHES - 1
+#: A word with more than this share of the tokens is frequent (or 1 / (4 sqrt(tokens)), if that is less); so at most as many are broadcast as this has parts.
 FREQUENT = 1 << 18
+#: Rows of each of the two tables at least.
+ROWS = 1 << 13
 RATE, STEP, CHUNK, MANY = 0.15, 4096, 1 << 13, 16
 #: The first round learns from this share of the documents, so that tasks begin the second from a common model.
 FIRST = 0.125
 BUCKET_BYTES, BUCKETS = 32 << 20, 16
 COUNTED = 1 << 20  # distinct words that a counting task holds
 PART, FAN = 256, 128  # table rows of one packed update; updates that one task adds up
+TASK_BYTES, LEARNED = 16 << 20, 8  # text of one training task: so much at least, and so many times the bytes of its update
 _U = np.uint64
 END, START = _U(0x45C7_1A2B_9E3D_55F1), _U(0x1B87_6E5F_03D2_A94C)
 
@@ -76,24 +85,56 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([words.view(np.int64), n.astype(np.int64)], names=["hash", "n"])
 
 
+def table_rows(total: int) -> int:
+    """Rows of a table: the power of two next to the square root of the tokens."""
+    return max(ROWS, 1 << math.ceil(math.log2(max(total, 1)) / 2))
+
+
+def _ordered(flat: np.ndarray) -> np.ndarray:
+    """A stable order of numbers below 2**32, 16 bits at a time."""
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    if flat.max(initial=0) > 65_535:
+        order = order[np.argsort((flat[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 class Model:
-    """Tables of both softmaxes, and the words that have a class."""
+    """The words that have a place, the tree of their classes, and the tables."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
-        rank = np.empty(len(words), np.int64)
-        rank[np.lexsort((self.words, -self.counts))] = np.arange(len(words))
-        heads = min(len(words), (CLASSES - 1) * WORDS)
-        self.place = np.where(rank < heads, rank, -1)
-        # Words go to classes by frequency; what has no word has no chance.
-        self.class_mask = np.full(CLASSES, -1e9, np.float32)
-        self.class_mask[: math.ceil(heads / WORDS)] = 0
-        self.class_mask[-1] = 0
-        self.word_mask = np.where(np.arange((CLASSES - 1) * WORDS).reshape(-1, WORDS) < heads, 0, -1e9).astype(np.float32)
-        rest = total - int(self.counts[self.place >= 0].sum())
-        self.rest = math.log10(rest + 0.1 * (distinct - heads + 1))
-        self.tables = np.zeros((2 * ROWS, 32), np.float32)
+        n = len(words)
+        by_rank = np.lexsort((self.words, -self.counts))
+        depth = 1 + max((t[2] for t, low in zip(TIERS, self._lows(), strict=True) if n > low), default=0)
+        # Of each word and level: the node, and the branch out of it; -1 below its leaf.  Node 0 is the root.
+        self.node, self.branch = np.full((depth, n), -1, np.int32), np.zeros((depth, n), np.int8)
+        nodes = 1
+        for (first, count, more), low in zip(TIERS, self._lows(), strict=True):
+            own = by_rank[low : low + count * BRANCHES**more]
+            q = np.arange(len(own))
+            self.node[0, own], self.branch[0, own] = 0, first + q // BRANCHES**more
+            for level in range(1, more + 1) if len(own) else ():
+                up = q // BRANCHES ** (more - level + 1)
+                self.node[level, own], self.branch[level, own] = nodes + up, q // BRANCHES ** (more - level) % BRANCHES
+                nodes += int(up[-1]) + 1
+        # Log-frequencies of the branches of each node; what has no word has no chance.
+        mass = np.zeros((nodes, BRANCHES))
+        for level in range(depth):
+            there = self.node[level] >= 0
+            np.add.at(mass, (self.node[level][there], self.branch[level][there]), self.counts[there] + 0.1)
+        rest = total - int(self.counts.sum()) + 0.1 * (distinct - n + 1)
+        self.rest = math.log10(rest)
+        mass[0, OTHER] = rest
+        with np.errstate(divide="ignore"):
+            self.prior = np.maximum(np.log(mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-300)), -1e9).astype(np.float32)
+        self.rows = table_rows(total)
+        self.tables = np.zeros((2 * self.rows, BRANCHES), np.float32)
+
+    @staticmethod
+    def _lows() -> list[int]:
+        """The first rank of each tier."""
+        return [0, *np.cumsum([count * BRANCHES**more for _, count, more in TIERS])[:-1].tolist()]
 
     def looked_up(self, found: np.ndarray) -> np.ndarray:
         """Index of each token among the frequent words, or -1."""
@@ -114,74 +155,61 @@ class Model:
         two[:1], two[1:2] = START, START
         return [mix(one ^ _U(0x3C6EF372FE94F82B)), mix(two ^ _U(0xA54FF53A5F1D36F1)), mix(one * _U(0x9E3779B97F4A7C15) + two)]
 
-    @staticmethod
-    def class_rows(features: list[np.ndarray]) -> np.ndarray:
-        return np.stack([(1 + (f >> _U(40)) % _U(ROWS - 1)).astype(np.int32) for f in features])
-
-    @staticmethod
-    def word_rows(features: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
-        """Rows of the second table; the first CLASSES are the classes' own."""
-        shift = kind.astype(_U) * _U(0xD1342543DE82EF95)
-        return np.stack([kind.astype(np.int32) + ROWS, *((ROWS + CLASSES + (mix(f + shift) >> _U(40)) % _U(ROWS - CLASSES)).astype(np.int32) for f in features)])
-
-    def chances(self, rows: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(exponentials, their sums) of the softmax that rows of the tables add up to."""
-        x = self.tables[rows[0]] + mask
+    def levels(self, at: np.ndarray, features: list[np.ndarray]):
+        """For each level: the tokens that have a branch there, their nodes and branches, and their rows of the tables.
+
+        The root has the first table for itself, the other nodes share the second.
+        """
+        bits = _U(64 - int(self.rows).bit_length() + 1)
+        branch = np.where(at >= 0, self.branch[0][at] if len(self.words) else OTHER, OTHER)
+        yield np.arange(len(at)), None, branch, np.stack([(f >> bits).astype(np.int32) for f in features])
+        live = np.flatnonzero(at >= 0)
+        for level in range(1, len(self.node)):
+            live = live[self.node[level][at[live]] >= 0]
+            node = self.node[level][at[live]]
+            salt = node.astype(_U) * _U(0xD1342543DE82EF95)
+            yield live, node, self.branch[level][at[live]], np.stack([(((f[live] + salt) * _U(0x9E3779B97F4A7C15)) >> bits).astype(np.int32) for f in features])
+
+    def sums(self, node: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
+        """What the softmax at each node is of; node None: the root."""
+        own = self.tables[: self.rows] if node is None else self.tables[self.rows :]
+        x = own[rows[0]]
+        x += self.prior[0] if node is None else self.prior[node]
         for r in rows[1:]:
-            x += self.tables[r]
+            x += own[r]
         x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        return x, x.sum(axis=1)
-
-    def split(self, found: np.ndarray, bounds: np.ndarray):
-        """Of every token: features, index of the frequent word or -1, class, and place in the class."""
-        at = self.looked_up(found)
-        place = np.where(at >= 0, self.place[at] if len(self.place) else -1, -1)
-        return self.history(found, bounds), at, np.where(place >= 0, place // WORDS, CLASSES - 1), place % WORDS
+        return x
 
     def logs(self, found: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index among the frequent words, log10 of P(class) and, where the word has one, of P(word | class)) for each token."""
-        features, at, kind, word = self.split(found, bounds)
-        out = np.empty(len(found))
+        """(index among the frequent words, log10 of the probability of the word, or of all other words) for each token."""
+        features, at = self.history(found, bounds), self.looked_up(found)
+        out = np.zeros(len(found))
         for low in range(0, len(found), CHUNK):
             own = slice(low, min(low + CHUNK, len(found)))
-            n = np.arange(own.stop - low)
-            rows = self.class_rows([f[own] for f in features])
-            e, total = self.chances(np.vstack([np.zeros_like(rows[:1]), rows]), self.class_mask)
-            chance = e[n, kind[own]] / total
-            head = np.flatnonzero(kind[own] < CLASSES - 1)
-            k = kind[own][head]
-            e, total = self.chances(self.word_rows([f[own][head] for f in features], k), self.word_mask[k])
-            chance[head] *= e[np.arange(len(head)), word[own][head]] / total
-            out[own] = np.log10(np.maximum(chance, 1e-30))
+            for live, node, branch, rows in self.levels(at[own], [f[own] for f in features]):
+                if len(live):
+                    x = self.sums(node, rows)
+                    right = x[np.arange(len(live)), branch]
+                    out[low + live] += (right - np.log(np.exp(x, out=x) @ np.ones(BRANCHES, np.float32))) / math.log(10)
         return at, out
 
     def learn(self, found: np.ndarray, bounds: np.ndarray, squares: np.ndarray, touched: np.ndarray) -> None:
         """One pass of adaptive gradient steps over a run of texts."""
-        features, _, kind, word = self.split(found, bounds)
+        features, at = self.history(found, bounds), self.looked_up(found)
         for low in range(0, len(found), STEP):
             own = slice(low, low + STEP)
-            f, k = [x[own] for x in features], kind[own]
-            rows = self.class_rows(f)
-            self._stepped(np.vstack([np.zeros_like(rows[:1]), rows]), self.class_mask, k, squares, touched)
-            head = np.flatnonzero(k < CLASSES - 1)
-            if len(head):
-                self._stepped(self.word_rows([x[head] for x in f], k[head]), self.word_mask[k[head]], word[own][head], squares, touched)
-
-    def _stepped(self, rows: np.ndarray, mask: np.ndarray, target: np.ndarray, squares: np.ndarray, touched: np.ndarray) -> None:
-        e, total = self.chances(rows, mask)
-        e /= total[:, None]
-        e[np.arange(len(target)), target] -= 1
-        self._moved(*self._by_row(rows[:1] if rows[0, 0] else None, e), squares, touched)
-        self._moved(*self._by_row(rows[1:], e), squares, touched)
-
-    @staticmethod
-    def _by_row(rows: np.ndarray | None, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(table rows, sum of their gradients, uses); None: all of row 0."""
-        if rows is None:
-            return np.zeros(1, np.int64), e.sum(axis=0, keepdims=True), np.array([len(e)])
+            for live, node, branch, rows in self.levels(at[own], [f[own] for f in features]):
+                if len(live):
+                    e = self.sums(node, rows)
+                    np.exp(e, out=e)
+                    e /= (e @ np.ones(BRANCHES, np.float32))[:, None]
+                    e[np.arange(len(live)), branch] -= 1
+                    self._moved(rows, e, 0 if node is None else self.rows, squares, touched)
+
+    def _moved(self, rows: np.ndarray, e: np.ndarray, base: int, squares: np.ndarray, touched: np.ndarray) -> None:
+        """Each table row used moves against the sum of its gradients."""
         flat = rows.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        order = _ordered(flat)
         flat = flat[order]
         cuts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         uses = np.diff(np.append(cuts, len(flat)))
@@ -196,59 +224,65 @@ class Model:
             live = live[uses[live] > k + 1]
         for i in np.flatnonzero(uses > MANY):
             grad[i] = e[order[cuts[i] : cuts[i] + uses[i]]].sum(axis=0)
-        return flat[cuts], grad, uses
-
-    def _moved(self, own: np.ndarray, grad: np.ndarray, uses: np.ndarray, squares: np.ndarray, touched: np.ndarray) -> None:
-        squares[own] += (grad**2).mean(axis=1)
-        self.tables[own] -= RATE * grad / np.sqrt(squares[own])[:, None]
+        own = flat[cuts] + base
+        squares[own] += np.einsum("nb,nb->n", grad, grad) / BRANCHES
+        self.tables[own] -= grad * (RATE / np.sqrt(squares[own]))[:, None]
         touched[own] += uses
 
 
 def _trained(shared):
-    """A task's documents to its packed updates: each table row's change times the number of its uses, and that number."""
+    """A task's documents to its packed updates: of each table row that it used the place, the change times the number of its uses, and that number."""
 
     def run(batches):
         model: Model = shared.value
         before = model.tables
         model.tables = before.copy()
-        squares, touched = np.full(2 * ROWS, 1.0, np.float32), np.zeros(2 * ROWS)
+        squares, touched = np.full(len(before), 1.0, np.float32), np.zeros(len(before))
         for batch in batches:
             for _, _, found, bounds in tokens(batch.column(0)):
                 model.learn(found, bounds, squares, touched)
-        change = (model.tables - before) * touched[:, None]
+        change = (model.tables - before) * touched[:, None].astype(np.float32)
         model.tables = before
-        if touched.any():
-            task, parts = TaskContext.get().partitionId(), range(0, 2 * ROWS, PART)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p // PART for p in parts], pa.int32()), pa.array([task // FAN for _ in parts], pa.int32()), pa.array([np.concatenate([change[p : p + PART].ravel(), touched[p : p + PART]]).astype(np.float32).tobytes() for p in parts], pa.binary())],
-                names=["part", "fan", "packed"],
-            )
+        task = TaskContext.get().partitionId()
+        used = np.flatnonzero(touched)
+        cuts = np.searchsorted(used, np.arange(0, len(before) + PART, PART))
+        parts = np.flatnonzero(np.diff(cuts))
+        for some in np.array_split(parts, max(1, len(parts) // 64)) if len(parts) else ():
+            packed = [_packed(used[cuts[p] : cuts[p + 1]] - p * PART, change[used[cuts[p] : cuts[p + 1]]], touched[used[cuts[p] : cuts[p + 1]]]) for p in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([task // FAN] * len(some), pa.int32()), pa.array(packed, pa.binary())], names=["part", "fan", "packed"])
 
     return run
 
 
+def _packed(rows: np.ndarray, change: np.ndarray, uses: np.ndarray) -> bytes:
+    return np.column_stack([rows, uses, change]).astype(np.float32).tobytes()
+
+
 def _added(table: pa.Table) -> pa.Table:
-    total = np.zeros(PART * 33)
+    total = np.zeros((PART, 1 + BRANCHES))
     for x in table.column("packed"):
-        total += np.frombuffer(x.as_buffer(), np.float32)
-    return pa.table([table.column("part").slice(0, 1), table.column("fan").slice(0, 1), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "fan", "packed"])
+        one = np.frombuffer(x.as_buffer(), np.float32).reshape(-1, 2 + BRANCHES)
+        total[one[:, 0].astype(np.int64)] += one[:, 1:]
+    used = np.flatnonzero(total[:, 0])
+    return pa.table([table.column("part").slice(0, 1), table.column("fan").slice(0, 1), pa.array([_packed(used, total[used, 1:], total[used, 0])], pa.binary())], names=["part", "fan", "packed"])
 
 
-def trained(rows: DataFrame, counts: DataFrame, total: int, distinct: int) -> Model:
-    """The model learned from rows (text, u), u a number in [0, 1) that deals documents to rounds."""
+def trained(rows: DataFrame, counts: DataFrame, total: int, distinct: int, size: int) -> Model:
+    """The model learned from rows (text, u), u a number in [0, 1) that deals documents to rounds; size: the texts' bytes."""
     spark = rows.sparkSession
-    few = counts.where(F.col("n") * FREQUENT > total).toPandas()  # fewer than FREQUENT, as their counts sum to total at most
+    parts = max(FREQUENT, math.ceil(4 * math.sqrt(total)))
+    few = counts.where(F.col("n") * parts > total).toPandas()  # fewer than parts, as their counts sum to total at most
     model = Model(few.hash.to_numpy(np.int64).view(_U), few.n.to_numpy(np.int64), total, distinct)
+    tasks = max(1, size // max(TASK_BYTES, LEARNED * 4 * (2 + BRANCHES) * len(model.tables)))
     schema = "part int, fan int, packed binary"
     for slice_ in (F.col("u") < FIRST, F.col("u") >= FIRST):
         shared = spark.sparkContext.broadcast(model)
-        packed = rows.where(slice_).select("text").mapInArrow(_trained(shared), schema).groupBy("part", "fan").applyInArrow(_added, schema)
+        packed = rows.where(slice_).select("text").coalesce(tasks).mapInArrow(_trained(shared), schema).groupBy("part", "fan").applyInArrow(_added, schema)
         packed = packed.withColumn("fan", F.lit(0)).groupBy("part", "fan").applyInArrow(_added, schema)
         tables = model.tables.copy()
-        for r in packed.collect():  # one model, whatever the input's size
-            x = np.frombuffer(r["packed"], np.float32)
-            change, touched = x[: PART * 32].reshape(PART, 32), x[PART * 32 :]
-            tables[r["part"] * PART : (r["part"] + 1) * PART] += change / np.maximum(touched, 1)[:, None]
+        for r in packed.toLocalIterator():  # one model, which grows as the square root of the input
+            x = np.frombuffer(r["packed"], np.float32).reshape(-1, 2 + BRANCHES)
+            tables[r["part"] * PART + x[:, 0].astype(np.int64)] += x[:, 2:] / x[:, 1:2]
         model.tables = tables
     return model
 
@@ -266,10 +300,7 @@ def _scored(shared, buckets: int):
                 number += 1
                 at, score = model.logs(found, bounds)
                 own = np.where(at >= 0, logs[at], 0.0)
-                rest = at < 0
-                if len(model.place):
-                    rest |= model.place[at] < 0
-                score += np.where(rest, own - model.rest, 0.0)
+                score += np.where(at < 0, -model.rest, 0.0)  # and log10(c + 0.1) of other words, where their counts are
                 begins = bounds[:-1]
                 sums = [np.diff(bounds), np.add.reduceat((at >= 0).astype(np.int64), begins), np.add.reduceat(own, begins), np.add.reduceat(score, begins)]
                 rare = np.flatnonzero(at < 0)
@@ -349,11 +380,11 @@ def scored(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
     counts = written(counts, "counts")
     known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = known["total"], known["distinct"]
-    model = trained(learn, counts, total, distinct)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model = trained(learn, counts, total, distinct, size)
     buckets = max(BUCKETS, math.ceil(size / BUCKET_BYTES))
     packed = rows.mapInArrow(_scored(spark.sparkContext.broadcast(model), buckets), _PACKED)
-    other = counts.where(F.col("n") * FREQUENT <= total).withColumn("bucket", F.pmod(F.shiftrightunsigned("hash", 40), F.lit(buckets)).cast("int"))
+    other = counts.where(F.col("n") * max(FREQUENT, math.ceil(4 * math.sqrt(total))) <= total).withColumn("bucket", F.pmod(F.shiftrightunsigned("hash", 40), F.lit(buckets)).cast("int"))
     met = packed.groupBy("bucket").cogroup(other.groupBy("bucket")).applyInArrow(_met, _PACKED)
     sums = met.groupBy("block").applyInArrow(_summed, "id long, held boolean, n_tokens long, n_known long, base double, score double")
     return sums.select(
@@ -363,5 +394,6 @@ def scored(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
 
 
 def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned from nine tenths of them; nulls, repeats and an empty table as in ``scored``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return scored(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)

@@ -410,20 +410,50 @@ def test_language_model(spark, odd, none):
     assert maxent.scored(none, held).count() == 0
 
 
-def test_the_model_is_a_distribution():
-    random = np.random.default_rng(0)
-    vocabulary = random.integers(1, 1 << 62, 1500).astype(np.uint64)
-    counts = random.integers(1, 50, 1500)
-    m = maxent.Model(vocabulary, counts, int(counts.sum()), 1500)
-    m.tables = random.normal(0, 0.5, m.tables.shape).astype(np.float32)
-    total = 0.0
-    for w in [*vocabulary.tolist(), 5]:
-        found = np.array([vocabulary[0], vocabulary[1], w], np.uint64)
-        at, log = m.logs(found, np.array([0, 3]))
-        c = m.counts[at[2]] if at[2] >= 0 else 0
-        rest = at[2] < 0 or m.place[at[2]] < 0
-        total += 10 ** (log[2] + (math.log10(c + 0.1) - m.rest if rest else 0))
-    assert abs(total - 1) < 1e-4
+@pytest.mark.parametrize("n", [0, 1, 40, 700, 9500])
+def test_the_model_is_a_distribution(n):
+    """Over all words with a place and all others the probabilities add up to one, whatever the tables hold; untrained they are the frequencies."""
+    random = np.random.default_rng(n)
+    vocabulary = np.unique(random.integers(1, 1 << 62, n).astype(np.uint64))
+    counts = random.integers(1, 50, n)
+    m = maxent.Model(vocabulary, counts, int(counts.sum()) + 90, n + 30)
+    assert len(set(zip(*m.node, *m.branch))) == n  # each word has a path of its own
+    for scale in (0, 0.7, 30):
+        m.tables = random.normal(0, scale, m.tables.shape).astype(np.float32)
+        found = np.concatenate([[k, 9, w] for w in [*vocabulary.tolist(), 5] for k in [7]]).astype(np.uint64)  # the same history before each
+        at, log = m.logs(found, np.arange(0, len(found) + 1, 3))
+        chance = 10 ** log[2::3]
+        assert abs(chance.sum() - 1) < 1e-3
+        if not scale:
+            total = counts.sum() + 90 + 0.1 * (n + 31)
+            assert np.allclose(chance[:-1], (m.counts + 0.1)[at[2::3][:-1]] / total, rtol=1e-3)
+
+
+def test_steps_are_those_of_plain_gradients():
+    """One step over a few tokens, table row by table row in plain Python."""
+    random = np.random.default_rng(1)
+    vocabulary = np.sort(random.integers(1, 1 << 62, 700).astype(np.uint64))
+    m = maxent.Model(vocabulary, random.integers(1, 50, 700), 20_000, 900)
+    m.tables = random.normal(0, 0.1, m.tables.shape).astype(np.float32)
+    found, bounds = random.choice(vocabulary, 40), np.array([0, 15, 40])
+    want, squares, touched = m.tables.astype(float), np.ones(len(m.tables), np.float32), np.zeros(len(m.tables))
+    at = m.looked_up(found)
+    moves = collections.defaultdict(lambda: np.zeros(maxent.BRANCHES))
+    before = want.copy()
+    for live, node, branch, rows in m.levels(at, m.history(found, bounds)):
+        own = collections.defaultdict(lambda: np.zeros(maxent.BRANCHES))
+        for j in range(len(live)):
+            base = 0 if node is None else m.rows
+            x = m.prior[0 if node is None else node[j]] + sum(before[base + r[j]] for r in rows)
+            p = np.exp(x) / np.exp(x).sum()
+            p[branch[j]] -= 1
+            for r in rows:
+                own[base + r[j]] += p
+        for r, g in own.items():
+            before[r] -= maxent.RATE * g / math.sqrt((1 if r not in moves else moves[r][0]) + (g**2).mean())
+            moves[r] = np.array([(1 if r not in moves else moves[r][0]) + (g**2).mean()])
+    m.learn(found, bounds, squares, touched)
+    assert np.allclose(m.tables, before, atol=1e-5) and touched.sum() == 3 * sum(len(live) for live, *_ in m.levels(at, m.history(found, bounds)))
 
 
 def test_language_id(spark, odd, none):
