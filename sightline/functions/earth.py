@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: WGS84.
+#: Fixed values of WGS84, and the mean radius of the Earth.
 A, FLAT = 6378137.0, 1 / 298.257223563
 B, E2 = A * (1 - FLAT), FLAT * (2 - FLAT)
+MEAN = 6371008.8
 
 
 def effective_radius(lat: Column, k: float = 4 / 3) -> Column:
@@ -30,7 +31,7 @@ def mutual_horizon(h1: Column, h2: Column, radius: Column) -> Column:
 
 
 def bounding_box(lat: Column, lon: Column, reach: Column) -> Column:
-    """Degrees around a point; doesn't wrap at the date line or the poles."""
+    """Degrees around a point; doesn't wrap at the date line or the poles.  Metres of a degree, and the least cosine, are fixed values."""
     north = reach / 111320.0
     east = reach / (111320.0 * F.greatest(F.lit(0.1), F.cos(F.radians(lat))))
     return F.struct((lon - east).alias("min_lon"), (lat - north).alias("min_lat"), (lon + east).alias("max_lon"), (lat + north).alias("max_lat"))
@@ -43,7 +44,7 @@ def plane_grid(reach: Column, res: Column) -> Column:
 
 
 def polar_grid(reach: Column, pixel: Column) -> Column:
-    """Samples of a ray, and rays: one each pixel of the rim, 14400 at most, an even number."""
+    """Samples of a ray, and rays: one each pixel of the rim, 14400 (a fixed value) at most, an even number."""
     rays = F.least(F.ceil(2 * math.pi * reach / pixel), F.lit(14400)).cast("int")
     return F.struct(F.ceil(reach / pixel).cast("int").alias("n_r"), (rays + rays % 2).alias("n_az"))
 
@@ -65,24 +66,35 @@ def visible_above(elevation: Column, sensor: Column, r: Column, radius: Column,
 def polar_index(x: Column, y: Column, reach: Column, n_r: Column, n_az: Column) -> Column:
     """Ray and sample that a plane cell falls on."""
     az = F.atan2(x, y)
-    az = F.when(az < 0, az + 2 * math.pi).otherwise(az)
-    clip = lambda v, n: F.least(F.greatest(v.cast("int"), F.lit(0)), n - 1)
-    return F.struct(clip(az / (2 * math.pi / n_az), n_az).alias("az_idx"), clip(F.sqrt(x * x + y * y) / (reach / (n_r - 1)), n_r).alias("r_idx"))
+    return ray_index(F.when(az < 0, az + 2 * math.pi).otherwise(az), F.sqrt(x * x + y * y), reach, n_r, n_az)
 
 
-def sphere_direct(lat: Column, lon: Column, az: Column, dist: Column, radius: float = 6371008.8) -> tuple[Column, Column]:
+def sphere_direct(lat: Column, lon: Column, az: Column, dist: Column, radius: float = MEAN) -> tuple[Column, Column]:
     """(lat, lon) at a distance in a direction (degrees) on the sphere."""
     p, t, d = F.radians(lat), F.radians(az), dist / radius
     sin_p2 = F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(t)
     return F.degrees(F.asin(sin_p2)), lon + F.degrees(F.atan2(F.sin(t) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * sin_p2))
 
 
-def sphere_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371008.8) -> Column:
+def sphere_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = MEAN) -> Column:
     """Haversine distance in metres."""
     a, b = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
     return 2 * radius * F.asin(F.sqrt(a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * b * b))
 
 
+def sphere_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Direction (radians from north, clockwise, in [0, 2 pi)) in which the second place lies."""
+    p1, p2, d = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
+    az = F.atan2(F.sin(d) * F.cos(p2), F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(d))
+    return F.when(az < 0, az + 2 * math.pi).otherwise(az)
+
+
+def ray_index(az: Column, r: Column, reach: Column, n_r: Column, n_az: Column) -> Column:
+    """Ray and sample for a direction and a distance."""
+    clip = lambda v, n: F.least(F.greatest(v.cast("int"), F.lit(0)), n - 1)
+    return F.struct(clip(az / (2 * math.pi / n_az), n_az).alias("az_idx"), clip(r / (reach / (n_r - 1)), n_r).alias("r_idx"))
+
+
 def with_geodesic(df: DataFrame, lat: str, lon: str, az: str, dist: str, steps: int = 5) -> DataFrame:
     """``df`` with lat2 and lon2: the geodesic of that azimuth and length on the ellipsoid, by Vincenty's series.  Inputs must be columns, not literals, as those fold slowly."""
     c = F.col
@@ -104,4 +116,4 @@ def with_geodesic(df: DataFrame, lat: str, lon: str, az: str, dist: str, steps:
     q = FLAT / 16 * c("__c2a") * (4 + FLAT * (4 - 3 * c("__c2a")))
     turn = lam - (1 - q) * FLAT * c("__sa") * (c("__s") + q * s * (m + q * k * (-1 + 2 * m * m)))
     out = out.withColumn("lon2", c(lon) + F.degrees(turn))
-    return out.drop(*[x for x in out.columns if x.startswith("__")])
+    return out.drop(*[x for x in out.columns if x not in (*df.columns, "lat2", "lon2")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,9 +47,39 @@ def extended_data(entries: Column) -> Column:
     return F.concat(F.lit("<ExtendedData>"), F.array_join(rows, ""), F.lit("</ExtendedData>"))
 
 
-def coordinates(ring: Column) -> Column:
-    """An array of struct(lon, lat) as "lon,lat,0.0 " text."""
-    return F.array_join(F.transform(ring, lambda p: F.concat(p["lon"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit(",0.0"))), " ")
+def coordinates(ring: Column, altitude: Column | None = None) -> Column:
+    """An array of struct(lon, lat) as "lon,lat,altitude" texts, a space between."""
+    z = F.lit("0.0") if altitude is None else altitude.cast("double").cast("string")
+    return F.array_join(F.transform(ring, lambda p: F.concat(p["lon"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit(","), z)), " ")
+
+
+def options(text: Column) -> Column:
+    """The numbers of an option such as "100, 50,x": in order, without what is no number."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull())
+
+
+#: Endings of elevation rasters, best first, and the marks of masks that come with them.
+RASTERS, MASKS = (".dt2", ".dt1", ".tif"), ("_edm", "_flm", "_hem", "_acm", "_wbm")
+
+
+def member_score(name: Column) -> Column:
+    """How much a member of a terrain archive looks like the elevation raster: by its folder, its name and its ending; null if it is none."""
+    low = F.lower(name)
+    of = lambda marks, how: reduce(lambda a, b: a | b, (getattr(low, how)(m) for m in marks))
+    ending = F.when(low.endswith(RASTERS[0]), 3).when(low.endswith(RASTERS[1]), 2).otherwise(0)
+    score = F.when(low.contains("dem/"), 100).otherwise(0) + F.when(low.contains("_dem"), 50).otherwise(0) + ending
+    return F.when(of(RASTERS, "endswith") & ~of(MASKS, "contains"), score)
+
+
+def stamp(at: Column) -> Column:
+    """A time as a name may hold it, and as metadata do."""
+    return F.struct(F.date_format(at, "yyyyMMdd_HHmmss").alias("name"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+
+
+def index_entries(document: Column) -> Column:
+    """An index document, {"id": {"name": ..., "footprint": ...}}, as an array of struct(id, name, and the footprint's box); empty if it is none."""
+    entries = F.map_entries(F.from_json(document, "map<string,struct<name:string,footprint:string>>"))
+    return F.coalesce(F.transform(entries, lambda e: F.struct(e["key"].alias("id"), e["value"]["name"].alias("name"), footprint_box(e["value"]["footprint"]).alias("box"))), F.array())
 
 
 def file_altitude(name: Column) -> Column:

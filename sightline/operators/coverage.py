@@ -1,41 +1,92 @@
-"""Coverage as sets of cells: union, depth, intersection, difference, area, clipping, and outlines for export."""
+"""Coverage as sets of cells: union, depth, intersection, difference, area, clipping, and outlines for export.
+
+Cells are those of one global grid.  A cell's state is looked up from its own side: of each sensor all cells within
+reach, the ray and sample that a cell's centre falls on, and the surface there, so nothing between rays is missed.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.earth import sphere_direct
+from ..functions import earth
+from ..sources.files import few, saved
+
+
+def centre(index: Column, res: float) -> Column:
+    return (index + 0.5) * res
 
-#: Shifts keep points that lie exactly on a degree off the cells' edges.
-SHIFT = 0.00137
+
+def site_cells(sites: DataFrame, reach: Column, res: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(site_id, row, col, az, dist_m, keep) for every cell of so many degrees whose centre lies within reach of a site (latitude, longitude).
+
+    Only the rows and columns that a circle on the sphere spans are listed; columns wrap at the date line, and round a pole all are taken.
+    """
+    across = int(round(360 / res))
+    d = reach / earth.MEAN
+    top = F.radians(F.abs(F.col("latitude"))) + d
+    wide = F.when(top < math.pi / 2, F.degrees(F.asin(F.least(F.lit(1.0), F.sin(d) / F.cos(F.radians("latitude")))))).otherwise(180.0)
+    index = lambda v: F.floor(v / res).cast("int")
+    low, high = F.greatest(F.col("latitude") - F.degrees(d), F.lit(-90.0)), F.least(F.col("latitude") + F.degrees(d), F.lit(90.0) - res / 2)
+    first = index(F.col("longitude") - wide)
+    last = F.least(index(F.col("longitude") + wide), first + (across - 1))
+    rows = sites.withColumn("__reach", reach).withColumn("__cols", F.sequence(first, last)).withColumn("row", F.explode(F.sequence(index(low), index(high)))).withColumn("col", F.explode("__cols"))
+    lat, lon = centre(F.col("row"), res), centre(F.col("col"), res)
+    rows = rows.withColumn("dist_m", earth.sphere_distance(F.col("latitude"), F.col("longitude"), lat, lon)).where(F.col("dist_m") <= F.col("__reach"))
+    az = earth.sphere_inverse(F.col("latitude"), F.col("longitude"), lat, lon)
+    wrapped = (F.pmod(F.col("col") + across // 2, F.lit(across)) - across // 2).cast("int")
+    return rows.select("site_id", "row", wrapped.alias("col"), az.alias("az"), "dist_m", *keep)
 
 
-def cell(lat: Column, lon: Column, res: float) -> tuple[Column, Column]:
-    """(row, column) of the global grid of so many degrees; longitudes wrap."""
-    wrapped = F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
-    return F.floor((lat + SHIFT) / res).cast("int"), F.floor((wrapped + SHIFT) / res).cast("int")
+def gathered(cells: DataFrame, rays: DataFrame, ray: list[str]) -> DataFrame:
+    """``cells`` (ray columns, r_idx, ...) with mva from ``rays`` (ray columns, mva array): one equi-join by ray; samples beyond a ray's end give no row."""
+    found = cells.join(rays.select(*ray, F.col("mva").alias("__mva")), ray).withColumn("mva", F.get("__mva", F.col("r_idx"))).drop("__mva")
+    return found.where("mva IS NOT NULL")
 
 
-def on_grid(polar: DataFrame, res: float) -> DataFrame:
-    """Polar samples (latitude, longitude, az_deg, r_m) with the row and column of the global cell that they fall on."""
-    lat, lon = sphere_direct(F.col("latitude"), F.col("longitude"), F.col("az_deg"), F.col("r_m"))
-    row, col = cell(F.col("__lat"), F.col("__lon"), res)
-    return polar.withColumn("__lat", lat).withColumn("__lon", lon).withColumn("row", row).withColumn("col", col).drop("__lat", "__lon")
+def seen_at(cells: DataFrame, altitudes: DataFrame, *by: str) -> DataFrame:
+    """(by, alt_m): keys of cells with the altitudes of targets seen over them; the lowest surface of each key decides, so altitudes come after the shuffle."""
+    lowest = cells.groupBy(*by).agg(F.min("mva").alias("lowest"))
+    return lowest.join(few(altitudes), F.col("lowest") <= F.col("alt_m").cast("float")).drop("lowest")
 
 
-def united(cells: DataFrame, *by: str) -> DataFrame:
-    """Cells that any sensor sees, and how many do.  Counting distinct sensors needs the sensor's own cells first, which also shrinks the shuffle."""
-    return cells.select(*by, "row", "col", "site_id").distinct().groupBy(*by, "row", "col").agg(F.count("*").alias("depth"))
+def united(cells: DataFrame, altitudes: list[float]) -> DataFrame:
+    """(alt_m, row, col, depth): cells that any sensor sees and how many do, of rows (site_id, row, col, mva), one for each sensor and cell."""
+    counts = [F.count_if(F.col("mva") <= F.lit(float(a)).cast("float")).alias(f"n{i}") for i, a in enumerate(altitudes)]
+    each = F.explode(F.array(*(F.struct(F.lit(float(a)).alias("alt_m"), F.col(f"n{i}").alias("depth")) for i, a in enumerate(altitudes))))
+    return cells.groupBy("row", "col").agg(*counts).select("row", "col", each.alias("e")).select("e.alt_m", "row", "col", "e.depth").where("depth > 0")
 
 
 def ring_clipped(cells: DataFrame, low: Column, high: Column) -> DataFrame:
     return cells.where((F.col("r_m") >= low) & (F.col("r_m") <= high))
 
 
-def area(cells: DataFrame, res_m: float, *by: str) -> DataFrame:
-    return cells.groupBy(*by).agg(F.count("*").alias("cells"), (F.count("*") * float(res_m * res_m)).alias("area_m2"))
+def cell_area(row: Column, res: float) -> Column:
+    """Square metres of a cell on the sphere; cells narrow towards the poles."""
+    return earth.MEAN**2 * math.radians(res) * (F.sin(F.radians((row + 1) * res)) - F.sin(F.radians(row * res)))
+
+
+def area(cells: DataFrame, res: float, *by: str) -> DataFrame:
+    return cells.groupBy(*by).agg(F.count("*").alias("cells"), F.sum(cell_area(F.col("row"), res)).alias("area_m2"))
+
+
+def in_polygon_circle(cells: DataFrame, sites: DataFrame, range_m: Column, res: float, corners: int = 128) -> DataFrame:
+    """``cells`` (site_id, row, col, az, ...) whose centre lies in the polygon of so many geodesic corners round the site at a range.
+
+    The polygon is convex in degrees, and a point can only be beyond the edges next to its own direction, so three are tested.
+    """
+    spread = sites.select("site_id", "latitude", "longitude", range_m.cast("double").alias("dist"), F.explode(F.sequence(F.lit(0), F.lit(corners - 1))).alias("i")).withColumn("az", F.col("i") * (360.0 / corners))
+    ring = earth.with_geodesic(spread, "latitude", "longitude", "az", "dist").groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("lon2").alias("x"), F.col("lat2").alias("y")))).alias("__ring"))
+    x, y = centre(F.col("col"), res), centre(F.col("row"), res)
+    at = F.floor(F.col("az") / (2 * math.pi / corners)).cast("int")
+
+    def inside(step: Column) -> Column:
+        a, b = F.get("__ring", F.pmod(at + step, F.lit(corners))), F.get("__ring", F.pmod(at + step + 1, F.lit(corners)))
+        return (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) <= 0
+
+    return cells.join(ring, "site_id").where(inside(F.lit(-1)) & inside(F.lit(0)) & inside(F.lit(1))).drop("__ring")
 
 
 def edges(cells: DataFrame, *by: str) -> DataFrame:
@@ -48,35 +99,145 @@ def edges(cells: DataFrame, *by: str) -> DataFrame:
     return every.join(other, [*by, "r0", "c0", "r1", "c1"], "left_anti")
 
 
+def _runs(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Edges of the same line and direction that follow each other as one: (by, turn, r0, c0, r1, c1); turn 0 east, 1 north, 2 west, 3 south.
+
+    Where they do the set is on one side of both, so the corner between them is no other edge's.  A task has lines of the grid.
+    """
+    e = edges(cells, *by)
+    turn = F.when(F.col("c1") > F.col("c0"), 0).when(F.col("r1") > F.col("r0"), 1).when(F.col("c1") < F.col("c0"), 2).otherwise(3)
+    e = e.withColumn("turn", turn).withColumn("line", F.when(F.col("turn") % 2 == 0, F.col("r0")).otherwise(F.col("c0"))).withColumn("at", F.when(F.col("turn") % 2 == 0, F.least("c0", "c1")).otherwise(F.least("r0", "r1")))
+    island = F.col("at") - F.row_number().over(Window.partitionBy(*by, "turn", "line").orderBy("at"))
+    e = e.withColumn("island", island).groupBy(*by, "turn", "line", "island").agg(F.min("at").alias("low"), (F.max("at") + 1).alias("high"))
+    start, end = F.when(F.col("turn") < 2, F.col("low")).otherwise(F.col("high")), F.when(F.col("turn") < 2, F.col("high")).otherwise(F.col("low"))
+    flat = F.col("turn") % 2 == 0
+    pick = lambda along: (F.when(flat, F.col("line")).otherwise(along).alias("r"), F.when(flat, along).otherwise(F.col("line")).alias("c"))
+    (r0, c0), (r1, c1) = pick(start), pick(end)
+    return e.select(*by, "turn", r0.alias("r0"), c0.alias("c0"), r1.alias("r1"), c1.alias("c1"))
+
+
+def ring_edges(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ring, place, turn, r0, c0, r1, c1): the straight edges round each group's cells, the ring that each is part of, and its place there.
+
+    Edges cancel in Spark; each is joined with the one that follows, the sharpest left turn where two cells touch at a
+    corner only; then pointers double until every edge knows the least edge of its ring and how far it is.  So rounds grow with
+    the logarithm of the longest ring, and no task holds a group's outline.
+    """
+    runs = saved(_runs(cells, by).withColumn("id", F.xxhash64(*by, "r0", "c0", "turn")), "runs")
+    after = runs.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("r0").alias("r1"), F.col("c0").alias("c1"), F.col("turn").alias("next_turn"), F.col("id").alias("next"))
+    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+    joined = runs.select(*by, "id", "turn", "r1", "c1").join(after.withColumnsRenamed({"r1": "__r1", "c1": "__c1"}), [*same, F.col("r1") == F.col("__r1"), F.col("c1") == F.col("__c1")])
+    left = F.pmod(F.col("next_turn") - F.col("turn"), F.lit(4))  # 1: left, 3: right
+    hops = saved(joined.groupBy("id").agg(F.min_by("next", left).alias("next")).select("id", "next", F.col("id").alias("low"), F.lit(0).alias("away")), "hops")
+    span = 1
+
+    def doubled(hops: DataFrame, span: int) -> DataFrame:
+        ahead = hops.select(F.col("id").alias("next"), F.col("next").alias("__next"), F.col("low").alias("__low"), F.col("away").alias("__away"))
+        better = F.col("__low") < F.col("low")
+        return hops.join(ahead, "next").select("id", F.col("__next").alias("next"), F.when(better, F.col("__low")).otherwise(F.col("low")).alias("low"), F.when(better, F.col("__away") + span).otherwise(F.col("away")).alias("away"), better.alias("moved"))
+
+    while True:  # two doublings a table
+        step = saved(doubled(doubled(hops, span).drop("moved"), 2 * span), "hops")
+        span *= 4
+        hops = step.drop("moved")
+        if step.where("moved").limit(1).count() == 0:
+            break
+    placed = runs.join(hops.select("id", F.col("low").alias("ring"), "away"), "id")
+    return placed.select(*by, "ring", (-F.col("away")).alias("place"), "turn", "r0", "c0", "r1", "c1")
+
+
 def outlines(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Closed rings round each group's cells: (by, ring, hole, vertices).  Edges cancel in Spark, so a task gets one group's outline, not its cells.
+    """Closed rings round each group's cells: (by, ring, hole, vertices, edges, twice_area).  A row is one ring; its vertices are its bends, the first again at the end.
+
+    Rings have the set on their left, so holes turn the other way round.  Rings are named by their edges, whatever the partitioning.
+    """
+    return rings_of(ring_edges(cells, by), by)
+
+
+def rings_of(e: DataFrame, by: list[str]) -> DataFrame:
+    """Rings from their edges in order."""
+    cross = (F.col("c0") * F.col("r1") - F.col("c1") * F.col("r0")).cast("long")
+    rings = e.groupBy(*by, "ring").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("place") == 0, F.lit(-(1 << 31))).otherwise(F.col("place")).alias("place"), F.col("r0").alias("row"), F.col("c0").alias("col")))).alias("v"), F.count("*").alias("edges"), F.sum(cross).alias("twice_area"))
+    vertices = F.transform(F.concat("v", F.slice("v", 1, 1)), lambda p: F.struct(p["row"].alias("row"), p["col"].alias("col")))
+    return rings.select(*by, "ring", (F.col("twice_area") < 0).alias("hole"), vertices.alias("vertices"), "edges", "twice_area")
+
 
-    Where two cells touch at a corner only, rings turn left, so they stay apart.  Straight runs are one edge.
+def polygons(cells: DataFrame, by: list[str], res: float, simplify: float = 0.0) -> DataFrame:
+    """(by, polygons): each group's outline in degrees: shells, each with its holes.  ``simplify`` leaves out bends that are nearer to the rest, in cells.
+
+    A hole belongs to the ring that bounds the run of cells to the left of its leftmost edge, or to that ring's shell if it is a
+    hole too; rings of one run are neighbours in a window over one line of the grid.
+    """
+    e = saved(ring_edges(cells, by), "ring-edges")
+    up = e.where("turn % 2 = 1").select(*by, "ring", "turn", F.col("c0").alias("col"), F.explode(F.sequence(F.least("r0", "r1"), F.greatest("r0", "r1") - 1)).alias("row"))
+    line = Window.partitionBy(*by, "row").orderBy("col", F.desc("turn"))  # north: the set lies west; south: east
+    up = up.withColumn("before", F.lag("ring").over(line)).where("turn = 1")
+    first = up.groupBy(*by, "ring").agg(F.min_by("before", F.struct("col", "row")).alias("parent"))
+    rings = rings_of(e, by)
+    rings = saved(rings.join(first.withColumnsRenamed({b: f"__{b}" for b in by} | {"ring": "__ring"}), [*(F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by), F.col("ring") == F.col("__ring")]).drop(*(f"__{b}" for b in by), "__ring"), "rings")
+    owner = rings.select("ring", F.when(F.col("hole"), F.col("parent")).otherwise(F.col("ring")).alias("owner"), "hole")
+    while True:  # holes within the reach of holes: owners are followed to their own
+        above = owner.select(F.col("ring").alias("owner"), F.col("owner").alias("up"), F.col("hole").alias("by_hole"))
+        step = saved(owner.join(above, "owner").select("ring", F.when(F.col("by_hole"), F.col("up")).otherwise(F.col("owner")).alias("owner"), "hole", "by_hole"), "owners")
+        owner = step.drop("by_hole")
+        if step.where("by_hole").limit(1).count() == 0:
+            break
+    whole = rings.join(owner.select("ring", "owner"), "ring")
+    degrees = lambda v: F.transform(v, lambda p: F.struct((p["col"] * res).alias("lon"), (p["row"] * res).alias("lat")))
+    if simplify:
+        whole = simplified(whole, simplify)
+    one = whole.groupBy(*by, "owner").agg(F.array_sort(F.collect_list(F.struct("hole", "ring", degrees(F.col("vertices")).alias("points")))).alias("rings"))
+    parts = one.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("owner", F.transform("rings", lambda r: r["points"]).alias("rings")))).alias("parts"))
+    return parts.select(*by, F.transform("parts", lambda p: p["rings"]).alias("polygons"))
+
+
+def simplified(rings: DataFrame, tolerance: float) -> DataFrame:
+    """Rings with fewer vertices: those stay that keep the rest within the tolerance (in cells) of the new edges, and at least three.
+
+    A ring is a row; each is split at its farthest vertex, over and over.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf(rings.schema["vertices"].dataType)
+    def fewer(columns: pd.Series) -> pd.Series:
+        out = []
+        for ring in columns:
+            points = np.array([(p["row"], p["col"]) for p in ring], float)
+            n = len(points) - 1
+            far = int(np.argmax(((points[:n] - points[0]) ** 2).sum(axis=1)))
+            keep, spans = {0, far, n}, [(0, far), (far, n)]
+            while spans:
+                a, b = spans.pop()
+                if b - a < 2:
+                    continue
+                way, rest = points[b] - points[a], points[a + 1 : b] - points[a]
+                off = np.abs(way[0] * rest[:, 1] - way[1] * rest[:, 0]) / max(float(np.hypot(*way)), 1e-12)
+                k = a + 1 + int(np.argmax(off))
+                if off.max() > tolerance or len(keep) < 4:
+                    keep.add(k)
+                    spans += [(a, k), (k, b)]
+            out.append([ring[i] for i in sorted(keep)])
+        return pd.Series(out)
+
+    return rings.withColumn("vertices", fewer("vertices"))
+
+
+def cells_inside(outlines_: DataFrame, by: list[str], res: float) -> DataFrame:
+    """(by, row, col): cells whose centre lies inside polygons (rows by, polygons in degrees): the way back from outlines to cells.
+
+    Every edge gives its crossing of each line of centres; of a polygon and line the crossings are paired from the left.
     """
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*by).schema)
-
-    def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ways: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r0, c0, r1, c1 in sorted(zip(frame.r0, frame.c0, frame.r1, frame.c1, strict=True)):
-            ways.setdefault((r0, c0), []).append((r1, c1))
-        rings = []
-        for start in sorted(ways):
-            while ways.get(start):
-                at, ring = start, [start]
-                step = None
-                while True:
-                    choices = ways[at]
-                    if step and len(choices) > 1:  # the sharpest left turn
-                        choices.sort(key=lambda p: step[0] * (p[1] - at[1]) - step[1] * (p[0] - at[0]))
-                    to = choices.pop(0)
-                    step, at = (to[0] - at[0], to[1] - at[1]), to
-                    if at == start:
-                        break
-                    ring.append(at)
-                n = len(ring)
-                bends = [p for i, p in enumerate(ring) if (ring[i - 1][0] - p[0]) * (ring[(i + 1) % n][1] - p[1]) != (ring[i - 1][1] - p[1]) * (ring[(i + 1) % n][0] - p[0])]
-                turned = sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
-                rings.append((turned < 0, [{"row": int(r), "col": int(c)} for r, c in [*bends, bends[0]]]))
-        return pd.DataFrame([(*key, i, bool(hole), v) for i, (hole, v) in enumerate(rings)], columns=[*by, "ring", "hole", "vertices"])
-
-    return edges(cells, *by).groupBy(*by).applyInPandas(walk, f"{kinds}, ring int, hole boolean, vertices array<struct<row int, col int>>")
+    ring = outlines_.select(*by, F.posexplode("polygons").alias("part", "rings")).select(*by, "part", F.explode("rings").alias("r"))
+    pairs = F.arrays_zip(F.slice("r", 1, F.size("r") - 1).alias("a"), F.slice("r", 2, F.size("r") - 1).alias("b"))
+    e = ring.where("size(r) > 3").select(*by, "part", F.explode(pairs).alias("e")).where("e.a.lat <> e.b.lat")
+    a, b = F.col("e.a"), F.col("e.b")
+    low, high = F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"])
+    first, last = F.ceil(low / res - 0.5).cast("int"), (F.ceil(high / res - 0.5) - 1).cast("int")
+    e = e.withColumn("row", F.explode(F.when(first <= last, F.sequence(first, last))))
+    x = a["lon"] + (centre(F.col("row"), res) - a["lat"]) / (b["lat"] - a["lat"]) * (b["lon"] - a["lon"])
+    lines = e.withColumn("x", x).groupBy(*by, "part", "row").agg(F.array_sort(F.collect_list("x")).alias("x"))  # a line of one polygon
+    lines = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("x") - 2, F.lit(2))))
+    first, last = F.ceil(F.get("x", F.col("i")) / res - 0.5).cast("int"), (F.ceil(F.get("x", F.col("i") + 1) / res - 0.5) - 1).cast("int")
+    return lines.withColumn("col", F.explode(F.when(first <= last, F.sequence(first, last)))).select(*by, "row", "col").distinct()

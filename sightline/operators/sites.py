@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.earth import effective_radius, horizon, mutual_horizon
+from ..sources.files import few
 
 
 def msl_height(mode: Column, altitude: Column, ground: Column, height: Column) -> Column:
@@ -24,17 +25,17 @@ def named(sites: DataFrame, pattern: str) -> DataFrame:
 
 
 def tasks(sites: DataFrame, altitudes: DataFrame, heights: list[float]) -> DataFrame:
-    """Sites x heights x altitudes.  A site with an altitude of its own has only its own height.  The altitudes are a short list, so broadcast."""
+    """Sites x heights x altitudes.  A site with an altitude of its own has only its own height.  The altitudes are broadcast if a count says that they are few."""
     own = F.col("altitude_mode").isin("relativeToGround", "absolute") & F.col("input_altitude").isNotNull()
     heights_of = F.when(own, F.array("height")).otherwise(F.array(*(F.lit(float(h)) for h in sorted(set(heights)))))
-    return sites.withColumn("task_height", F.explode(heights_of)).crossJoin(F.broadcast(altitudes))
+    return sites.withColumn("task_height", F.explode(heights_of)).crossJoin(few(altitudes))
 
 
 def horizon_rings(sites: DataFrame, altitudes: DataFrame, k: float = 4 / 3) -> DataFrame:
     """Distance at which each site sees a target at each altitude over a smooth Earth.  A null ground is 0, or the altitude of an absolute site."""
     ground = F.coalesce("ground", F.when(F.col("altitude_mode") == "absolute", F.col("input_altitude")), F.lit(0.0))
     msl = msl_height(F.col("altitude_mode"), F.col("input_altitude"), ground, F.col("height"))
-    rings = sites.withColumn("msl", msl).withColumn("radius", effective_radius(F.col("latitude"), k)).crossJoin(F.broadcast(altitudes))
+    rings = sites.withColumn("msl", msl).withColumn("radius", effective_radius(F.col("latitude"), k)).crossJoin(few(altitudes))
     return rings.withColumn("dist_m", mutual_horizon(F.col("msl"), F.col("alt_m"), F.col("radius"))).withColumn("own_m", horizon(F.col("msl"), F.col("radius")))
 
 
@@ -49,14 +50,26 @@ def state_hash(*parts: Column) -> Column:
 
 
 def fixed(value: Column, places: int) -> Column:
-    """A number as text with so many decimals, halves to even."""
-    scaled = F.bround(value * 10**places).cast("long")
-    digits = F.abs(scaled).cast("string")
-    digits = F.when(F.length(digits) > places, digits).otherwise(F.lpad(digits, places + 1, "0"))
+    """A number as text with so many decimals: its exact binary value to the nearest, halves to even.
+
+    value * 10**places is taken without error as product + rest (by splitting both factors), so that a product that rounds to a
+    half is not mistaken for one.
+    """
+    size, scale = F.abs(value), 10.0**places
+    split = lambda x: (lambda c: c - (c - x))(x * 134217729.0)
+    high, scale_high = split(size), 134217729.0 * scale - (134217729.0 * scale - scale)
+    low, scale_low = size - high, scale - scale_high
+    product = size * scale
+    rest = (high * scale_high - product + high * scale_low + low * scale_high) + low * scale_low
+    whole = F.floor(product)
+    over = product - whole - 0.5
+    over = F.when(over == 0, rest).otherwise(over)
+    scaled = (whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)).cast("long")
+    digits = F.lpad(scaled.cast("string"), F.greatest(F.length(scaled.cast("string")), F.lit(places + 1)), F.lit("0"))
+    sign = F.when(value < 0, "-").otherwise("")
     if not places:
-        return scaled.cast("string")
-    whole = F.substring(digits, F.lit(1), F.length(digits) - places)
-    return F.concat(F.when(scaled < 0, "-").otherwise(""), whole, F.lit("."), F.right(digits, F.lit(places)))
+        return F.concat(sign, digits)
+    return F.concat(sign, F.substring(digits, F.lit(1), F.length(digits) - places), F.lit("."), F.right(digits, F.lit(places)))
 
 
 def overlaid(own: Column, default: Column) -> Column:

@@ -81,3 +81,28 @@ def quantised(mva: Column, step: float = 0.5) -> Column:
 def boundary(swept: DataFrame, ray: list[str]) -> DataFrame:
     """What a sweep leaves at the end of each ray for a longer one to go on from."""
     return swept.groupBy(*ray).agg(F.max("r_idx").alias("last_r"), F.max_by("steepest", "r_idx").alias("steepest"))
+
+
+def extended(samples: DataFrame, state: DataFrame, ray: list[str], sensor: str = "msl", radius: str = "radius") -> DataFrame:
+    """The surface beyond each ray's last sample: ``samples`` (as in ``surface``) after it, from the state that ``boundary`` left."""
+    beyond = samples.join(state.select(*ray, F.col("last_r").alias("__last"), F.col("steepest").alias("__from")), ray).where(F.col("r_idx") > F.col("__last"))
+    own = Window.partitionBy(*ray).orderBy("r_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tilt = slope(F.col("elevation"), F.col(sensor), F.col("r_m"), F.col(radius), F.col("r_idx"))
+    steep = beyond.withColumn("steepest", F.greatest(F.max(tilt).over(own), "__from"))
+    return steep.withColumn("mva", visible_above(F.col("elevation"), F.col(sensor), F.col("r_m"), F.col(radius), F.col("steepest"))).drop("__last", "__from")
+
+
+def turned(state: DataFrame, sensor: list[str], rays: int, wanted: int) -> DataFrame:
+    """(sensor, az_idx, steepest): a boundary of so many rays at another number of rays, linear between the two neighbours, round the circle."""
+    k = state.select(*sensor).distinct().withColumn("az_idx", F.explode(F.sequence(F.lit(0), F.lit(wanted - 1))))
+    at = F.col("az_idx") * (rays / wanted)
+    k = k.withColumn("part", at - F.floor(at)).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("from", F.pmod(F.floor(at) + F.col("side"), F.lit(rays)).cast("int"))
+    weight = F.when(F.col("side") == 0, 1 - F.col("part")).otherwise(F.col("part"))
+    near = k.join(state.select(*sensor, F.col("az_idx").alias("from"), "steepest"), [*sensor, "from"])
+    return near.groupBy(*sensor, "az_idx").agg(F.sum(weight * F.col("steepest")).alias("steepest"))
+
+
+def as_rays(swept: DataFrame, ray: list[str]) -> DataFrame:
+    """(ray, mva array by r_idx): long samples as one row a ray; ``swept`` is dealt by ray already, so this takes no further shuffle."""
+    rows = swept.groupBy(*ray).agg(F.array_sort(F.collect_list(F.struct("r_idx", "mva"))).alias("s"))
+    return rows.select(*ray, F.transform("s", lambda x: x["mva"]).alias("mva"))

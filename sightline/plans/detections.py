@@ -6,10 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import earth, text
+from ..operators import coverage as C
 from ..operators import detection as D
 from ..registry import query
+from ..sources import files, kml
 from ..sources import tables as T
 
+#: Degrees of a cell.
+RES = 0.05
+
 _PARSED = f"""{T.ITEMS}, p AS (SELECT *, nullif(regexp_extract(filename, 'tgt_alt_([0-9]+)m', 1), '')::DOUBLE AS altitude, lower(nullif(regexp_extract(filename, 'm_(MSL|AGL)', 1), '')) AS reference,
  nullif(regexp_extract(filename, '_sh_([0-9]+)m', 1), '')::DOUBLE AS sensor_height, nullif(regexp_extract(filename, '_cover-(S[0-9]+)-', 1), '') AS sensor FROM items)"""
 
@@ -44,7 +49,7 @@ def output_names(spark, sf_dir):
     return g.select("altitude", "reference", "range_km", F.size("all").cast("long").alias("sensors"), F.array_join("all", ", ").alias("names"), name.alias("filename"))
 
 
-def _geodesic_sql(start: str) -> str:
+def geodesic_sql(start: str) -> str:
     """Vincenty's series, one step each subquery; a constant of the method is written as in the formula."""
     a, b, f = repr(earth.A), repr(earth.B), repr(earth.FLAT)
     steps = [start, f"SELECT *, (1 - {f}) * tan(radians(latitude)) AS t, sin(radians(az)) AS sa1, cos(radians(az)) AS ca1 FROM (X)", "SELECT *, 1 / sqrt(1 + t * t) AS cu, atan2(t, ca1) AS s1 FROM (X)",
@@ -60,13 +65,73 @@ def _geodesic_sql(start: str) -> str:
     return out
 
 
-@query(f"WITH {T.SITES} SELECT site_id, round(lat2, 7) AS lat2, round(lon2, 7) AS lon2 FROM ({_geodesic_sql('SELECT site_id, latitude, longitude, (site_id * 37 % 360)::DOUBLE AS az, 1000.0 + (site_id * 7919 % 300000) AS dist FROM sites')})")
+@query(f"WITH {T.SITES} SELECT site_id, round(lat2, 7) AS lat2, round(lon2, 7) AS lon2 FROM ({geodesic_sql('SELECT site_id, latitude, longitude, (site_id * 37 % 360)::DOUBLE AS az, 1000.0 + (site_id * 7919 % 300000) AS dist FROM sites')})")
 def geodesic_direct(spark, sf_dir):
     s = T.sites(spark, sf_dir).withColumn("az", (F.col("site_id") * 37 % 360).cast("double")).withColumn("dist", 1000.0 + F.col("site_id") * 7919 % 300000)
     return earth.with_geodesic(s, "latitude", "longitude", "az", "dist").select("site_id", F.round("lat2", 7).alias("lat2"), F.round("lon2", 7).alias("lon2"))
 
 
-@query(f"""WITH {T.SITES} SELECT site_id, i, round(lat2, 7) AS lat2, round(lon2, 7) AS lon2 FROM ({_geodesic_sql('SELECT site_id, i::INTEGER AS i, latitude, longitude, i * 2.8125::DOUBLE AS az, 100000.0::DOUBLE AS dist FROM sites CROSS JOIN range(128) r(i)')})""")
+@query(f"""WITH {T.SITES} SELECT site_id, i, round(lat2, 7) AS lat2, round(lon2, 7) AS lon2 FROM ({geodesic_sql('SELECT site_id, i::INTEGER AS i, latitude, longitude, i * 2.8125::DOUBLE AS az, 100000.0::DOUBLE AS dist FROM sites CROSS JOIN range(128) r(i)')})""")
 def geodesic_circle(spark, sf_dir):
     s = T.sites(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(127)))).withColumn("az", F.col("i") * 2.8125).withColumn("dist", F.lit(100000.0))
     return earth.with_geodesic(s, "latitude", "longitude", "az", "dist").select("site_id", "i", F.round("lat2", 7).alias("lat2"), F.round("lon2", 7).alias("lon2"))
+
+
+#: Sites' outlines as squares of cells: of every site one for each altitude, and of every fifth a second, smaller one at the lower altitude.
+_VARIANTS = "(SELECT * FROM (VALUES (0, 100, 5), (0, 200, 5), (1, 100, 2)) x(v, alt, half))"
+_DETECTED = f"""{T.SITES}, i AS (SELECT site_id, name, longitude, latitude, v, alt, half FROM sites CROSS JOIN {_VARIANTS} WHERE v = 0 OR site_id % 5 = 0),
+q AS (SELECT *, (CAST(floor(latitude / 0.05) AS INTEGER) + dr)::INTEGER AS "row", (CAST(floor(longitude / 0.05) AS INTEGER) + dc)::INTEGER AS col FROM i CROSS JOIN range(-5, 6) a(dr) CROSS JOIN range(-5, 6) b(dc) WHERE abs(dr) <= half AND abs(dc) <= half),
+d AS (SELECT *, 2 * {earth.MEAN!r} * asin(sqrt(sin(radians(("row" + 0.5) * 0.05 - latitude) / 2) ** 2 + cos(radians(latitude)) * cos(radians(("row" + 0.5) * 0.05)) * sin(radians((col + 0.5) * 0.05 - longitude) / 2) ** 2)) AS dist FROM q),
+sc AS (SELECT site_id, name, v, alt, v AS s FROM i UNION ALL SELECT site_id, name, v, alt, 1 FROM i WHERE v = 0 AND alt = 100 AND site_id % 5 <> 0),
+g AS (SELECT sc.alt, sc.s, sc.name, d.site_id, km, "row", col FROM sc JOIN d ON d.site_id = sc.site_id AND d.v = sc.v AND d.alt = sc.alt JOIN (SELECT unnest([10.0, 20.0])::DOUBLE AS km) r ON dist <= km * 1000),
+f AS (SELECT *, CASE alt WHEN 100 THEN '01' ELSE '02' END AS n, '-tgt_alt_' || alt || 'm_AGL-det_rng_' || km::INTEGER || 'km' || CASE WHEN alt = 100 THEN '-var' || (s + 1) ELSE '' END || '.kml' AS tail FROM g)"""
+
+
+def _detected(spark, sf_dir, union: bool):
+    """Outlines as files, read back with what their names tell, clipped to two ranges by the cells inside them; the outputs as files, read back again."""
+    s = T.sites(spark, sf_dir).withColumn("x", F.explode(F.array(*(F.struct(F.lit(v).alias("v"), F.lit(a).alias("alt"), F.lit(h).alias("half")) for v, a, h in ((0, 100, 5), (0, 200, 5), (1, 100, 2))))))
+    s = s.select("site_id", "name", "longitude", "latitude", "x.*").where("v = 0 OR site_id % 5 = 0")
+    c, r = F.floor(F.col("longitude") / RES), F.floor(F.col("latitude") / RES)
+    corner = lambda i, j: F.struct(((c + i) * RES).alias("lon"), ((r + j) * RES).alias("lat"))
+    low, high = -F.col("half"), F.col("half") + 1
+    square = F.array(corner(low, low), corner(high, low), corner(high, high), corner(low, high), corner(low, low))
+    none = F.lit(None).cast("string")
+    sensor = F.struct("name", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), none.alias("icon_color"), F.lit(None).cast("double").alias("icon_scale"), none.alias("icon_href"))
+    style = F.struct(F.lit("#00aa00").alias("line_color"), F.lit(2.0).alias("line_width"), none.alias("fill_color"), F.lit(None).cast("double").alias("fill_opacity"))
+    name = F.concat(F.lit("0"), F.col("v").cast("string"), F.lit("_cover-S"), F.col("site_id").cast("string"), F.lit("-tgt_alt_"), F.col("alt").cast("string"), F.lit("m_AGL.kml"))
+    given = s.select(name.alias("filename"), F.col("name").alias("title"), F.col("alt").cast("double").alias("altitude"), F.array(F.array(square)).alias("polygons"), F.array(sensor).alias("sensors"), style.alias("style"), F.create_map(F.lit("Site"), "name").alias("metadata"), F.lit("clampToGround").alias("mode"))
+    path = files.scratch(spark, "given")
+    kml.write_files(kml.coverage_documents(given), path)
+
+    read = kml.read_coverage(spark, path).where("error IS NULL")
+    number = F.regexp_extract("file", r"cover-S(\d+)-", 1).cast("long") * 10 + F.substring("file", 1, 2).cast("long") * 2 + F.when(F.col("file").contains("_200m"), 1).otherwise(0)
+    read = read.select(F.col("file").alias("filename"), number.alias("ordinal"), F.coalesce("sensor_name", "folder_name").alias("name"), "sensor.lon", "sensor.lat", "polygons", "style")
+    items = files.saved(D.parsed(read.drop("sensor")).select("ordinal", "filename", "name", "lon", "lat", "altitude", "reference", "sensor_height", "style", "polygons"), "items")
+    inside = C.cells_inside(items, ["ordinal", "lon", "lat"], RES)
+    far = earth.sphere_distance(F.col("lat"), F.col("lon"), C.centre(F.col("row"), RES), C.centre(F.col("col"), RES))
+    ranges = spark.range(1).select(F.explode(F.array(F.lit(10.0), F.lit(20.0))).alias("range_km"))
+    outputs, cells = D.detection_ranges(items.drop("polygons"), files.saved(inside.select("ordinal", "row", "col", far.alias("dist_m")), "inside"), ranges, union)
+    outputs, cells = files.saved(outputs, "outputs"), files.saved(cells, "cells")
+
+    drawn = C.polygons(cells, ["filename"], RES).join(outputs, "filename")
+    line = F.struct(F.col("style")["line_color"].alias("line_color"), F.col("style")["line_width"].cast("double").alias("line_width"), F.col("style")["fill_color"].alias("fill_color"), F.col("style")["fill_opacity"].cast("double").alias("fill_opacity"))
+    sensors = F.transform("s", lambda x: F.struct(x["name"].alias("name"), x["lon"].alias("lon"), x["lat"].alias("lat"), none.alias("icon_color"), F.lit(None).cast("double").alias("icon_scale"), none.alias("icon_href")))
+    told = F.create_map(F.lit("Detection Range"), F.concat(text.label(F.col("range_km")), F.lit(" km")), F.lit("Mode"), F.lit("Union" if union else "Single"), F.lit("Sensor Count"), F.col("sensors").cast("string"), F.lit("Sensors"), F.col("names"))
+    done = drawn.select("filename", F.regexp_replace("filename", r"\.kml$", "").alias("title"), "altitude", "polygons", sensors.alias("sensors"), line.alias("style"), told.alias("metadata"), kml.height_mode(F.lit("clamped"), F.col("reference")).alias("mode"))
+    path = files.scratch(spark, "detection")
+    kml.write_files(kml.coverage_documents(done), path)
+    back = C.cells_inside(kml.read_coverage(spark, path).where("error IS NULL"), ["file"], RES).groupBy("file").agg(F.count("*").alias("cells"))
+    meta = kml.read_metadata(spark, path).select("file", F.col("metadata")["Sensor Count"].cast("long").alias("sensors"), F.col("metadata")["Detection Range"].alias("reach"))
+    return back.join(meta, "file").select("file", "sensors", "reach", "cells")
+
+
+@query(f"WITH {_DETECTED} SELECT n || '_coverage-Union' || tail AS file, count(DISTINCT site_id) AS sensors, any_value(km)::INTEGER || ' km' AS reach, count(DISTINCT (\"row\", col)) AS cells FROM f GROUP BY n, tail")
+def detection_range(spark, sf_dir):
+    """Detection ranges of a network, from outlines in files to outlines in files: the united coverage of each scenario and range."""
+    return _detected(spark, sf_dir, True)
+
+
+@query(f"WITH {_DETECTED} SELECT n || '_coverage-' || name || tail AS file, 1::BIGINT AS sensors, any_value(km)::INTEGER || ' km' AS reach, count(*) AS cells FROM f GROUP BY n, name, tail")
+def detection_singles(spark, sf_dir):
+    """The same without the union: an output for each sensor."""
+    return _detected(spark, sf_dir, False)

@@ -119,3 +119,24 @@ def style_overlay(spark, sf_dir):
 SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm ' || (s % 60) || 's' WHEN s >= 60 THEN (s // 60 % 60) || 'm ' || (s % 60) || 's' ELSE (s % 60) || 's' END AS took FROM e""")
 def durations(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.duration(F.col("event_id") * 37 % 100000).alias("took"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size || ', ' || (p_partkey % 90) / 2.0::DOUBLE || ',x' || CASE WHEN p_partkey % 3 = 0 THEN ', 7' ELSE ',' END AS given FROM part)
+SELECT p_partkey, i AS place, v AS value FROM (SELECT p_partkey, unnest(o) AS v, unnest(range(len(o))) AS i FROM (SELECT p_partkey, list_filter(list_transform(string_split(given, ','), lambda x: try_cast(trim(x) AS DOUBLE)), lambda x: x IS NOT NULL) AS o FROM p))""")
+def option_values(spark, sf_dir):
+    """Options that list several numbers, without what is no number."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    given = F.concat(F.col("p_size").cast("string"), F.lit(", "), ((F.col("p_partkey") % 90) / 2.0).cast("string"), F.lit(",x"), F.when(F.col("p_partkey") % 3 == 0, ", 7").otherwise(","))
+    return p.select("p_partkey", F.posexplode(text.options(given)).alias("place", "value")).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {T.SITES} SELECT site_id, name FROM sites ORDER BY site_id LIMIT 1")
+def first_site(spark, sf_dir):
+    """The site that comes first in the input, for a trial."""
+    return T.sites(spark, sf_dir).agg(F.min_by(F.struct("site_id", "name"), "site_id").alias("s")).select("s.*")
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS name, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
+def run_stamps(spark, sf_dir):
+    """Times as names of runs and as metadata."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.stamp(F.col("ts")).alias("s")).select("event_id", "s.*")

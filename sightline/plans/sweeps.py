@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,42 +13,73 @@ from ..operators import sweep as W
 from ..operators.sites import with_msl_height
 from ..registry import query
 from ..sources import tables as T
+from ..sources.files import few
+from .detections import geodesic_sql
 from .sitework import MSL, RADIUS
 
-RAYS, SAMPLES, STEP = 36, 100, 500.0
+#: Reach of a sensor and size of a pixel, and the rays and samples that follow (``earth.polar_grid``), with the step between samples.
+REACH, PIXEL = 49_500.0, 2500.0
+SAMPLES = math.ceil(REACH / PIXEL)
+RAYS = min(math.ceil(2 * math.pi * REACH / PIXEL), 14_400)
+RAYS += RAYS % 2
+STEP = REACH / (SAMPLES - 1)
 RES = 0.05
+ALTITUDES = (50.0, 200.0, 800.0)
 _GROUND = "((az_idx * 31 + r_idx * 17 + (az_idx * r_idx) % 13 * 7 + site_id * 11) % 400)"
-_POLAR = f"""{T.SITES}, s AS (SELECT *, coalesce({MSL}, height) AS msl, {RADIUS} AS radius FROM sites),
-p AS (SELECT site_id, latitude, longitude, msl, radius, az_idx, r_idx, r_idx * {STEP} AS r_m, CAST({_GROUND} AS FLOAT) AS elevation FROM s CROSS JOIN range({RAYS}) a(az_idx) CROSS JOIN range({SAMPLES}) b(r_idx)),
-t AS (SELECT *, CASE WHEN r_idx = 0 THEN -9999.0::DOUBLE ELSE CAST(CAST(elevation - CAST(msl AS FLOAT) AS FLOAT) AS DOUBLE) / r_m - r_m / (2 * radius) END AS slope FROM p),
-w AS (SELECT *, max(slope) OVER (PARTITION BY site_id, az_idx ORDER BY r_idx ROWS UNBOUNDED PRECEDING) AS steepest FROM t),
+
+
+def swept_sql(ray: str) -> str:
+    """Sweep of the table p of samples by ray, in SQL: the tables t, w and m."""
+    return f"""t AS (SELECT *, CASE WHEN r_idx = 0 THEN -9999.0::DOUBLE ELSE CAST(CAST(elevation - CAST(msl AS FLOAT) AS FLOAT) AS DOUBLE) / r_m - r_m / (2 * radius) END AS slope FROM p),
+w AS (SELECT *, max(slope) OVER (PARTITION BY {ray} ORDER BY r_idx ROWS UNBOUNDED PRECEDING) AS steepest FROM t),
 m AS (SELECT *, CAST(greatest(0.0::DOUBLE, msl + CASE WHEN r_idx = 0 THEN 0.1::DOUBLE ELSE r_m END * (steepest + CASE WHEN r_idx = 0 THEN 0.1::DOUBLE ELSE r_m END / (2 * radius)) - CAST(elevation AS DOUBLE)) AS FLOAT) AS mva FROM w)"""
-_ALTS = "alts AS (SELECT unnest([50.0, 200.0, 800.0])::DOUBLE AS alt_m)"
-_GRID = f"""g AS (SELECT *, radians(latitude) AS p1, radians(az_idx * {360.0 / RAYS!r}) AS th, r_m / 6371008.8 AS d FROM m),
-q AS (SELECT *, sin(p1) * cos(d) + cos(p1) * sin(d) * cos(th) AS sp2 FROM g),
-l AS (SELECT *, degrees(asin(sp2)) AS lat, longitude + degrees(atan2(sin(th) * sin(d) * cos(p1), cos(d) - sin(p1) * sp2)) AS lon FROM q),
-c AS (SELECT *, CAST(floor((lat + {C.SHIFT}) / {RES}) AS INTEGER) AS "row", CAST(floor(((lon + 180.0) - 360.0 * floor((lon + 180.0) / 360.0) - 180.0 + {C.SHIFT}) / {RES}) AS INTEGER) AS col FROM l)"""
 
 
-def polar(spark, sf_dir) -> DataFrame:
-    """Samples of synthetic terrain along every site's rays."""
+_SENSORS = f"{T.SITES}, s AS (SELECT *, coalesce({MSL}, height) AS msl, {RADIUS} AS radius FROM sites)"
+_POLAR = f"""{_SENSORS},
+p AS (SELECT site_id, latitude, longitude, msl, radius, az_idx, r_idx, r_idx * {STEP} AS r_m, CAST({_GROUND} AS FLOAT) AS elevation FROM s CROSS JOIN range({RAYS}) a(az_idx) CROSS JOIN range({SAMPLES}) b(r_idx)),
+{swept_sql("site_id, az_idx")}"""
+_ALTS = "alts AS (SELECT unnest([50.0, 200.0, 800.0])::DOUBLE AS alt_m)"
+#: Cells within reach, from their own side: every cell near a site, its centre's distance and direction, and the sample there.
+_NEAR = f"""n AS (SELECT s.site_id, s.latitude, s.longitude, CAST(floor(s.latitude / {RES}) + i AS INTEGER) AS "row", CAST(floor(s.longitude / {RES}) + j AS INTEGER) AS col FROM s CROSS JOIN range(-10, 11) a(i) CROSS JOIN range(-32, 33) b(j)),
+nc AS (SELECT *, ("row" + 0.5) * {RES} AS lat, (col + 0.5) * {RES} AS lon FROM n),
+nd AS (SELECT *, 2 * {earth.MEAN!r} * asin(sqrt(sin(radians(lat - latitude) / 2) * sin(radians(lat - latitude) / 2) + cos(radians(latitude)) * cos(radians(lat)) * (sin(radians(lon - longitude) / 2) * sin(radians(lon - longitude) / 2)))) AS dist_m,
+ atan2(sin(radians(lon - longitude)) * cos(radians(lat)), cos(radians(latitude)) * sin(radians(lat)) - sin(radians(latitude)) * cos(radians(lat)) * cos(radians(lon - longitude))) AS az FROM nc),
+near AS (SELECT *, CASE WHEN az < 0 THEN az + 2 * pi() ELSE az END AS way FROM nd WHERE dist_m <= {REACH})"""
+_GRID = f"""{_NEAR}, ni AS (SELECT *, least(greatest(trunc(way / (2 * pi() / {RAYS}))::INTEGER, 0), {RAYS - 1}) AS ai, least(greatest(trunc(dist_m / ({REACH} / {SAMPLES - 1}))::INTEGER, 0), {SAMPLES - 1}) AS ri FROM near),
+c AS (SELECT ni.site_id, "row", col, ni.latitude, ni.longitude, lat, lon, dist_m, mva FROM ni JOIN m ON m.site_id = ni.site_id AND m.az_idx = ni.ai AND m.r_idx = ni.ri)"""
+
+
+def polar(spark, sf_dir, rays: DataFrame | None = None) -> DataFrame:
+    """Samples of synthetic terrain along every site's rays, or along those rays (site_id, az_idx) only; dealt by ray."""
     s = with_msl_height(T.sites(spark, sf_dir)).withColumn("msl", F.coalesce("msl", "height")).withColumn("radius", earth.effective_radius(F.col("latitude")))
-    s = s.select("site_id", "latitude", "longitude", "msl", "radius").repartition("site_id")  # few sites make many samples
-    p = s.withColumn("az_idx", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1)))).withColumn("r_idx", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
-    return p.withColumn("r_m", F.col("r_idx") * STEP).withColumn("elevation", F.expr(_GROUND).cast("float")).withColumn("az_deg", F.col("az_idx") * (360.0 / RAYS))
+    grid = earth.polar_grid(F.lit(REACH), F.lit(PIXEL))
+    s = s.select("site_id", "latitude", "longitude", "msl", "radius", grid.alias("g")).withColumn("az_idx", F.explode(F.sequence(F.lit(0), F.col("g.n_az") - 1)))
+    s = s.repartition("site_id", "az_idx")  # rays, which are few bytes each, before they become samples
+    if rays is not None:
+        s = s.join(rays, ["site_id", "az_idx"], "left_semi")
+    p = s.withColumn("r_idx", F.explode(F.sequence(F.lit(0), F.col("g.n_r") - 1)))
+    return p.withColumn("r_m", F.col("r_idx") * STEP).withColumn("elevation", F.expr(_GROUND).cast("float")).withColumn("az_deg", F.col("az_idx") * (360.0 / RAYS)).drop("g")
+
+
+def swept(spark, sf_dir, rays: DataFrame | None = None) -> DataFrame:
+    return W.surface(polar(spark, sf_dir, rays), ["site_id", "az_idx"])
 
 
-def swept(spark, sf_dir) -> DataFrame:
-    return W.surface(polar(spark, sf_dir), ["site_id", "az_idx"])
+def altitudes(spark) -> DataFrame:
+    return few(T.altitudes(spark, *ALTITUDES))
 
 
 def seen(spark, sf_dir) -> DataFrame:
-    """(site, altitude, sample) that a target above ground is seen at; the altitudes are three, so broadcast."""
-    return swept(spark, sf_dir).crossJoin(F.broadcast(T.altitudes(spark, 50, 200, 800))).where(W.seen_agl(F.col("mva"), F.col("alt_m")))
+    """(site, altitude, sample) that a target above ground is seen at."""
+    return swept(spark, sf_dir).crossJoin(altitudes(spark)).where(W.seen_agl(F.col("mva"), F.col("alt_m")))
 
 
-def seen_cells(spark, sf_dir) -> DataFrame:
-    return C.on_grid(swept(spark, sf_dir), RES).crossJoin(F.broadcast(T.altitudes(spark, 50, 200, 800))).where(W.seen_agl(F.col("mva"), F.col("alt_m")))
+def site_cells(spark, sf_dir) -> DataFrame:
+    """(site_id, row, col, az, dist_m, mva): each site's cells with the surface there."""
+    cells = C.site_cells(T.sites(spark, sf_dir), F.lit(REACH), RES)
+    at = earth.ray_index(F.col("az"), F.col("dist_m"), F.lit(REACH), F.lit(SAMPLES), F.lit(RAYS))
+    return C.gathered(cells.withColumn("i", at).select("*", "i.az_idx", "i.r_idx").drop("i"), W.as_rays(swept(spark, sf_dir), ["site_id", "az_idx"]), ["site_id", "az_idx"])
 
 
 @query(f"WITH {_POLAR} SELECT site_id, az_idx::INTEGER AS az_idx, r_idx::INTEGER AS r_idx, round(steepest, 9) AS steepest FROM m")
@@ -59,11 +92,11 @@ def mva_surface(spark, sf_dir):
     return swept(spark, sf_dir).select("site_id", "az_idx", "r_idx", F.round(F.col("mva").cast("double"), 2).alias("mva"))
 
 
-@query(f"WITH {_POLAR} SELECT site_id, round(min(mva)::DOUBLE, 2) AS low, round(max(mva)::DOUBLE, 2) AS high, round(avg(mva::DOUBLE), 3) AS mean, count(*) FILTER (mva = 0) AS zeros FROM m WHERE mva < 'inf'::FLOAT GROUP BY site_id")
+@query(f"WITH {_POLAR} SELECT site_id, round(min(mva)::DOUBLE, 2) AS low, round(max(mva)::DOUBLE, 2) AS high, round(avg(mva::DOUBLE), 3) AS mean, count(*) FILTER (mva < 0.001) AS zeros FROM m WHERE mva < 'inf'::FLOAT GROUP BY site_id")
 def mva_stats(spark, sf_dir):
     mva = F.col("mva")
     return swept(spark, sf_dir).where(mva < float("inf")).groupBy("site_id").agg(
-        F.round(F.min(mva).cast("double"), 2).alias("low"), F.round(F.max(mva).cast("double"), 2).alias("high"), F.round(F.avg(mva.cast("double")), 3).alias("mean"), F.count_if(mva == 0).alias("zeros")
+        F.round(F.min(mva).cast("double"), 2).alias("low"), F.round(F.max(mva).cast("double"), 2).alias("high"), F.round(F.avg(mva.cast("double")), 3).alias("mean"), F.count_if(mva < 0.001).alias("zeros")
     )
 
 
@@ -75,7 +108,7 @@ def agl_visible(spark, sf_dir):
 @query(f"""WITH {_POLAR}, {_ALTS} SELECT site_id, alt_m, count(*) AS samples, sum(r_idx)::BIGINT AS steps FROM m CROSS JOIN alts
 WHERE CAST(alt_m AS FLOAT) - elevation >= 0 AND mva <= CAST(CAST(alt_m AS FLOAT) - elevation AS FLOAT) GROUP BY site_id, alt_m""")
 def msl_visible(spark, sf_dir):
-    m = swept(spark, sf_dir).crossJoin(F.broadcast(T.altitudes(spark, 50, 200, 800))).where(W.seen_msl(F.col("mva"), F.col("elevation"), F.col("alt_m")))
+    m = swept(spark, sf_dir).crossJoin(altitudes(spark)).where(W.seen_msl(F.col("mva"), F.col("elevation"), F.col("alt_m")))
     return m.groupBy("site_id", "alt_m").agg(F.count("*").alias("samples"), F.sum("r_idx").alias("steps"))
 
 
@@ -90,50 +123,68 @@ def ray_boundary_state(spark, sf_dir):
     return W.boundary(swept(spark, sf_dir), ["site_id", "az_idx"]).withColumn("steepest", F.round("steepest", 9))
 
 
-@query(f"WITH {_POLAR} SELECT CASE WHEN mva > 60000 THEN 1 ELSE 0 END AS far, count(*) AS samples, sum(least(round_even(mva::DOUBLE / 50, 0), 65534))::BIGINT AS steps FROM m GROUP BY far")
+@query(f"WITH {_POLAR} SELECT site_id, mva > 300 AS far, count(*) AS samples, sum(least(round_even(mva::DOUBLE / 50, 0), 65534))::BIGINT AS steps FROM m GROUP BY site_id, far")
 def mva_quantise(spark, sf_dir):
-    m = swept(spark, sf_dir).select(F.when(F.col("mva") > 60000, 1).otherwise(0).alias("far"), W.quantised(F.col("mva"), 50.0).alias("q"))
-    return m.groupBy("far").agg(F.count("*").alias("samples"), F.sum("q").alias("steps"))
+    m = swept(spark, sf_dir).select("site_id", (F.col("mva") > 300).alias("far"), W.quantised(F.col("mva"), 50.0).alias("q"))
+    return m.groupBy("site_id", "far").agg(F.count("*").alias("samples"), F.sum("q").alias("steps"))
 
 
 @query(f"WITH {_POLAR}, {_GRID}, {_ALTS} SELECT DISTINCT alt_m, \"row\", col FROM c CROSS JOIN alts WHERE mva <= alt_m::FLOAT")
 def coverage_union(spark, sf_dir):
     """Network coverage: the cells that any sensor sees a target over, at each altitude."""
-    return seen_cells(spark, sf_dir).select("alt_m", "row", "col").distinct()
+    return C.seen_at(site_cells(spark, sf_dir), T.altitudes(spark, *ALTITUDES), "row", "col").select("alt_m", "row", "col")
 
 
 @query(f"WITH {_POLAR}, {_GRID}, {_ALTS} SELECT alt_m, \"row\", col, count(DISTINCT site_id) AS depth FROM c CROSS JOIN alts WHERE mva <= alt_m::FLOAT GROUP BY ALL")
 def coverage_depth(spark, sf_dir):
-    return C.united(seen_cells(spark, sf_dir), "alt_m")
+    return C.united(site_cells(spark, sf_dir), ALTITUDES)
 
 
-@query(f"""WITH {_POLAR}, {_GRID}, x AS MATERIALIZED (SELECT DISTINCT site_id % 2 AS side, "row", col FROM c WHERE mva <= 200)
-SELECT "row", col FROM x WHERE side = 0 INTERSECT SELECT "row", col FROM x WHERE side = 1""")
+#: Two networks over the same ground: every site, and a second sensor of the odd ones a little to the north-east.
+_SIDES = f"""x AS MATERIALIZED (SELECT DISTINCT 0 AS side, "row", col FROM c WHERE mva <= 200 UNION SELECT DISTINCT 1 AS side, "row" + 3, col + 4 FROM c WHERE mva <= 200 AND site_id % 2 = 1)"""
+
+
+def _sides(spark, sf_dir):
+    cells = site_cells(spark, sf_dir).where(F.col("mva") <= 200)
+    return cells.select("row", "col"), cells.where("site_id % 2 = 1").select((F.col("row") + 3).alias("row"), (F.col("col") + 4).alias("col"))
+
+
+@query(f"""WITH {_POLAR}, {_GRID}, {_SIDES} SELECT "row", col FROM x WHERE side = 0 INTERSECT SELECT "row", col FROM x WHERE side = 1""")
 def coverage_intersect(spark, sf_dir):
-    cells = seen_cells(spark, sf_dir).where("alt_m = 200")
-    side = lambda k: cells.where(F.col("site_id") % 2 == k).select("row", "col")
-    return side(0).intersect(side(1))
+    """Cells that both of two networks see."""
+    a, b = _sides(spark, sf_dir)
+    return a.intersect(b)
 
 
-@query(f"""WITH {_POLAR}, {_GRID}, x AS MATERIALIZED (SELECT DISTINCT site_id % 2 AS side, "row", col FROM c WHERE mva <= 200)
-SELECT "row", col FROM x WHERE side = 0 EXCEPT SELECT "row", col FROM x WHERE side = 1""")
+@query(f"""WITH {_POLAR}, {_GRID}, {_SIDES} SELECT "row", col FROM x WHERE side = 0 EXCEPT SELECT "row", col FROM x WHERE side = 1""")
 def coverage_minus(spark, sf_dir):
-    cells = seen_cells(spark, sf_dir).where("alt_m = 200")
-    side = lambda k: cells.where(F.col("site_id") % 2 == k).select("row", "col")
-    return side(0).subtract(side(1))
+    """Cells that the first network sees and the second doesn't."""
+    a, b = _sides(spark, sf_dir)
+    return a.subtract(b)
 
 
-@query(f"WITH {_POLAR}, {_GRID}, {_ALTS}, u AS (SELECT DISTINCT alt_m, \"row\", col FROM c CROSS JOIN alts WHERE mva <= alt_m::FLOAT) SELECT alt_m, count(*) AS cells, count(*) * 30250000.0::DOUBLE AS area_m2 FROM u GROUP BY alt_m")
+_AREA = f"{earth.MEAN!r} * {earth.MEAN!r} * {math.radians(RES)!r} * (sin(radians((\"row\" + 1) * {RES})) - sin(radians(\"row\" * {RES})))"
+
+
+@query(f"WITH {_POLAR}, {_GRID}, {_ALTS}, u AS (SELECT DISTINCT alt_m, \"row\", col FROM c CROSS JOIN alts WHERE mva <= alt_m::FLOAT) SELECT alt_m, count(*) AS cells, round(sum({_AREA}) / 1e6, 2) AS area_km2 FROM u GROUP BY alt_m")
 def coverage_area(spark, sf_dir):
-    return C.area(coverage_union(spark, sf_dir), 5500.0, "alt_m")
+    """Area of the network's coverage, by the true size of each cell."""
+    return C.area(coverage_union(spark, sf_dir), RES, "alt_m").select("alt_m", "cells", F.round(F.col("area_m2") / 1e6, 2).alias("area_km2"))
 
 
-@query(f"WITH {_POLAR}, {_GRID} SELECT site_id, count(DISTINCT (\"row\", col)) AS cells FROM c WHERE mva <= 800 AND 2 * 6371008.8 * asin(sqrt(sin(radians(lat - latitude) / 2) ** 2 + cos(p1) * cos(radians(lat)) * sin(radians(lon - longitude) / 2) ** 2)) <= 25250 GROUP BY site_id")
+@query(f"WITH {_POLAR}, {_GRID} SELECT site_id, count(*) AS cells FROM c WHERE mva <= 800 AND dist_m <= 25250 GROUP BY site_id")
 def detection_clip(spark, sf_dir):
-    """Cells seen within a range, by the samples' own great-circle distance."""
-    lat, lon = earth.sphere_direct(F.col("latitude"), F.col("longitude"), F.col("az_deg"), F.col("r_m"))
-    m = seen_cells(spark, sf_dir).where("alt_m = 800").where(earth.sphere_distance(F.col("latitude"), F.col("longitude"), lat, lon) <= 25250)
-    return m.select("site_id", "row", "col").distinct().groupBy("site_id").agg(F.count("*").alias("cells"))
+    """Cells seen within a range, by great-circle distance; the distance is clipped before anything is looked up."""
+    return site_cells(spark, sf_dir).where((F.col("dist_m") <= 25250) & (F.col("mva") <= 800)).groupBy("site_id").agg(F.count("*").alias("cells"))
+
+
+@query(f"""WITH {T.SITES}, s AS (SELECT * FROM sites), {_NEAR}, p AS (SELECT site_id, i, lon2, lat2 FROM ({geodesic_sql('SELECT site_id, i::INTEGER AS i, latitude, longitude, i * 2.8125::DOUBLE AS az, 25250.0::DOUBLE AS dist FROM sites CROSS JOIN range(128) r(i)')})),
+e AS (SELECT a.site_id, a.lon2 AS x1, a.lat2 AS y1, b.lon2 AS x2, b.lat2 AS y2 FROM p a JOIN p b ON a.site_id = b.site_id AND b.i = (a.i + 1) % 128)
+SELECT near.site_id, "row", col FROM near JOIN e ON e.site_id = near.site_id WHERE dist_m < 27000 GROUP BY near.site_id, "row", col, lon, lat HAVING bool_and((x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1) <= 0)""")
+def detection_polygon_clip(spark, sf_dir):
+    """Cells whose centre lies in the 128-cornered geodesic polygon round a site."""
+    s = T.sites(spark, sf_dir)
+    return C.in_polygon_circle(C.site_cells(s, F.lit(27_000.0), RES), s, F.lit(25_250.0), RES).select("site_id", "row", "col")
 
 
 @query(f"""WITH {T.SITES}, z(zone, z_min, z_max, res_m) AS (VALUES (0, 0.0, 50000.0, 30.0), (1, 50000.0, 200000.0, 120.0), (2, 200000.0, 800000.0, 1000.0)), d AS (SELECT site_id, (site_id * 12347 % 1000) * 1000.0 AS reach FROM sites)
@@ -168,13 +219,43 @@ def cart_resample(spark, sf_dir):
 @query(f"""WITH {_POLAR}, e AS (SELECT event_id, user_id % (SELECT count(*) FROM sites) AS site_id, (event_id % {RAYS}) AS az_idx, (event_id * 7 % {SAMPLES}) AS r_idx, value FROM events)
 SELECT event_id, e.site_id, mva <= CAST(value AS FLOAT) AS seen FROM e JOIN m ON m.site_id = e.site_id AND m.az_idx = e.az_idx AND m.r_idx = e.r_idx""")
 def target_lookup(spark, sf_dir):
-    """Whether the sensor that each target is assigned to sees it."""
-    n = T.sites(spark, sf_dir).count()
-    t = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % n).alias("site_id"), (F.col("event_id") % RAYS).alias("az_idx"), (F.col("event_id") * 7 % SAMPLES).alias("r_idx"), "value")
-    return t.join(swept(spark, sf_dir), ["site_id", "az_idx", "r_idx"]).select("event_id", "site_id", W.seen_agl(F.col("mva"), F.col("value")).alias("seen"))
+    """Whether the sensor that each target is assigned to sees it; only rays that targets ask for are swept."""
+    n = T.sites(spark, sf_dir).agg(F.count("*").alias("n"))  # one row
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").crossJoin(F.broadcast(n))
+    t = e.select("event_id", (F.col("user_id") % F.col("n")).alias("site_id"), (F.col("event_id") % RAYS).cast("int").alias("az_idx"), (F.col("event_id") * 7 % SAMPLES).cast("int").alias("r_idx"), "value")
+    rays = W.as_rays(swept(spark, sf_dir, t.select("site_id", "az_idx").distinct()), ["site_id", "az_idx"])
+    return C.gathered(t, rays, ["site_id", "az_idx"]).select("event_id", "site_id", W.seen_agl(F.col("mva"), F.col("value")).alias("seen"))
+
+
+@query(f"WITH {_POLAR} SELECT site_id, az_idx::INTEGER AS az_idx, r_idx::INTEGER AS r_idx, round(mva::DOUBLE, 2) AS mva FROM m WHERE r_idx >= 8")
+def sweep_extension(spark, sf_dir):
+    """Rays swept up to their eighth sample and gone on with from there: as if swept at once."""
+    p = polar(spark, sf_dir)
+    state = W.boundary(W.surface(p.where("r_idx < 8"), ["site_id", "az_idx"]), ["site_id", "az_idx"])
+    return W.extended(p, state, ["site_id", "az_idx"]).select("site_id", "az_idx", "r_idx", F.round(F.col("mva").cast("double"), 2).alias("mva"))
+
+
+@query(f"""WITH {_POLAR}, b AS (SELECT site_id, az_idx, max_by(steepest, r_idx) AS steepest FROM m GROUP BY site_id, az_idx), k AS (SELECT site_id, j, j * {RAYS / 90!r}::DOUBLE AS pos FROM s CROSS JOIN range(90) r(j))
+SELECT k.site_id, j::INTEGER AS az_idx, round((1 - (pos - floor(pos))) * x.steepest + (pos - floor(pos)) * y.steepest, 8) AS steepest FROM k JOIN b x ON x.site_id = k.site_id AND x.az_idx = floor(pos)::BIGINT % {RAYS} JOIN b y ON y.site_id = k.site_id AND y.az_idx = (floor(pos)::BIGINT + 1) % {RAYS}""")
+def boundary_turned(spark, sf_dir):
+    """The state at the rays' ends at another number of rays."""
+    return W.turned(W.boundary(swept(spark, sf_dir), ["site_id", "az_idx"]), ["site_id"], RAYS, 90).select("site_id", "az_idx", F.round("steepest", 8).alias("steepest"))
+
+
+@query(f"""WITH {_POLAR}, {_GRID}, {_ALTS}, u AS MATERIALIZED (SELECT DISTINCT alt_m, "row", col FROM c CROSS JOIN alts WHERE mva <= alt_m::FLOAT),
+x AS (SELECT alt_m, count(*) AS edges FROM (SELECT u.alt_m FROM u CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dr, dc) WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.alt_m = u.alt_m AND v."row" = u."row" + dr AND v.col = u.col + dc)) GROUP BY alt_m),
+k AS (SELECT u.alt_m, r, q, count(*) AS n, sum(code) AS codes FROM (SELECT *, "row" + dr AS r, col + dc AS q, dr * 2 + dc AS code FROM u CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dr, dc)) u GROUP BY u.alt_m, r, q),
+b AS (SELECT alt_m, count(*) FILTER (n IN (1, 3)) + 2 * count(*) FILTER (n = 2 AND codes = 3) AS bends, count(*) FILTER (n = 1) - count(*) FILTER (n = 3) + 2 * count(*) FILTER (n = 2 AND codes = 3) AS turns FROM k GROUP BY alt_m),
+a AS (SELECT alt_m, count(*) AS cells FROM u GROUP BY alt_m)
+SELECT alt_m, edges, bends::BIGINT AS bends, (turns // 4)::BIGINT AS shells_less_holes, cells FROM x JOIN b USING (alt_m) JOIN a USING (alt_m)""")
+def outline_counts(spark, sf_dir):
+    """Of the outlines at each altitude: unit edges, bends, shells less holes, and the cells they enclose."""
+    rings = polygon_rings(spark, sf_dir)
+    steps = F.aggregate(F.arrays_zip(F.slice("vertices", 1, F.size("vertices") - 1).alias("a"), F.slice("vertices", 2, F.size("vertices") - 1).alias("b")), F.lit(0), lambda n, p: n + F.abs(p["a"]["row"] - p["b"]["row"]) + F.abs(p["a"]["col"] - p["b"]["col"]))
+    return rings.groupBy("alt_m").agg(F.sum(steps).alias("edges"), F.sum("bends").alias("bends"), F.sum(F.when(F.col("hole"), -1).otherwise(1)).alias("shells_less_holes"), (F.sum("twice_area") / 2).cast("long").alias("cells"))
 
 
 @query()
 def polygon_rings(spark, sf_dir):
-    """Outlines of the network's coverage at each altitude; SQL can't walk rings."""
-    return C.outlines(coverage_union(spark, sf_dir), ["alt_m"])
+    """Outlines of the network's coverage at each altitude; SQL can't walk rings, but ``outline_counts`` checks what it can of them."""
+    return C.outlines(coverage_union(spark, sf_dir), ["alt_m"]).withColumnRenamed("edges", "bends")

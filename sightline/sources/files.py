@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,26 +19,66 @@ _STYLE_STRUCT = f"STRUCT<IconStyle: {_COLOR}, LineStyle: {_COLOR}, PolyStyle: {_
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; in a folder of our own only where that is unset."""
+    """A new path in the shared folder that spark.checkpoint.dir names; in a folder of our own only where that is unset and all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sightline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read again: cuts the lineage."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A table of narrow rows, marked for a broadcast if a count says that it is small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _found(spark: SparkSession, glob: str) -> bool:
+    """Whether a file system has anything of such a name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def _headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """The files under a path by their first line: a row for each header comes to the driver, with its files' names."""
+    given = [path] if isinstance(path, str) else path
+    paths = [q for p in given for q in ([f"{p.rstrip('/')}/*.csv"] if _found(spark, f"{p.rstrip('/')}/*.csv") else [p] if p.endswith(".csv") else [])]
+    if not paths:
+        return {}
+    files = spark.read.format("binaryFile").load(paths).where("length > 0")
+    first = F.regexp_extract(F.decode(F.substring("content", 1, 1 << 16), "UTF-8"), r"^([^\r\n]*)", 1)
+    found = files.select(first.alias("header"), "path").groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    return {r["header"]: r["files"] for r in found.collect()}
+
+
 def read_csv_sites(spark: SparkSession, path: str | list[str], height: float) -> DataFrame:
-    """Sites (name, latitude, longitude, altitude_mode, input_altitude, height) of CSV files that share one header.
+    """Sites (name, latitude, longitude, altitude_mode, input_altitude, height) of CSV files, or of the CSV files in a folder.
 
-    Headers are compared without a byte-order mark, surrounding space and case; lat and lon stand for latitude and
-    longitude.  Rows without a number for either are left out, and so are all rows where a needed column is missing.
-    A missing or bad height_agl is ``height``.  Sites of a CSV stand on the ground.
+    Files of different headers are read apart, so columns may come in any order.  Headers are compared without a byte-order
+    mark, surrounding space and case; lat and lon stand for latitude and longitude.  Quotes are doubled within quotes, where
+    line breaks may stand too.  Rows without a number for either place are left out, and so are all rows of a file where a needed
+    column is missing.  A missing or bad height_agl is ``height``.  Sites of a CSV stand on the ground.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    have = {c.removeprefix("﻿").strip().lower(): F.col(f"`{c}`") for c in raw.columns}
+    parts = [_csv_sites(spark, files, height) for _, files in sorted(_headers(spark, path).items())]
+    if not parts:
+        return spark.createDataFrame([], "name string, latitude double, longitude double, altitude_mode string, input_altitude double, height double")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _csv_sites(spark: SparkSession, path: list[str], height: float) -> DataFrame:
+    raw = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').option("multiLine", True).csv(path)
+    have = {c.removeprefix("\ufeff").strip().lower(): F.col(f"`{c}`") for c in raw.columns}
     column = lambda *names: next((have[n] for n in names if n in have), None)
     name, lat, lon, own = column("name"), column("latitude", "lat"), column("longitude", "lon"), column("height_agl")
-    number = lambda c: F.lit(None).cast("double") if c is None else c.try_cast("double")
+    number = lambda c: F.lit(None).cast("double") if c is None else F.trim(c).try_cast("double")
     rows = raw.select(
         F.trim(F.coalesce(name, F.lit(""))).alias("name") if name is not None else F.lit(None).cast("string").alias("name"),
         number(lat).alias("latitude"), number(lon).alias("longitude"), F.lit(MODES[0]).alias("altitude_mode"),
@@ -46,6 +87,14 @@ def read_csv_sites(spark: SparkSession, path: str | list[str], height: float) ->
     return rows.where("name IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL")
 
 
+def read_sites(spark: SparkSession, folder: str, height: float) -> DataFrame:
+    """Sites of all KML files and then all CSV files right in a folder, with those columns of ``read_csv_sites``; either kind may be missing."""
+    columns = ["name", "latitude", "longitude", "altitude_mode", "input_altitude", "height"]
+    glob = f"{folder.rstrip('/')}/*.kml"
+    kml = [read_kml_sites(spark, glob, height).select(columns)] if _found(spark, glob) else []
+    return reduce(DataFrame.unionByName, [*kml, read_csv_sites(spark, folder, height)])
+
+
 def _xml(spark: SparkSession, path: str | list[str], tag: str, schema: str) -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(schema).load(path)
     return rows.withColumn("file", F.col("_metadata.file_path"))

@@ -21,6 +21,8 @@ _TILE = {
     "ordinal": "c_custkey",
     "min_lon": "CAST((c_custkey * 31) % 340 AS DOUBLE) - 170.0",
     "min_lat": "CAST((c_custkey * 17) % 140 AS DOUBLE) - 70.0",
+    "max_lon": "CAST((c_custkey * 31) % 340 AS DOUBLE) - 169.0 + CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END",
+    "max_lat": "CAST((c_custkey * 17) % 140 AS DOUBLE) - 69.0",
     "score": "CASE c_nationkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END",
     "cached": "c_custkey % 4 = 0",
     "elevation": "CAST((c_custkey * 41) % 1200 AS DOUBLE)",
@@ -50,7 +52,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1-degree tiles; several may cover the same square."""
+    """Tiles of 1 or 2 degrees by 1; several may cover the same square."""
     return _read(spark, sf_dir, "customer", _TILE)
 
 
