@@ -19,8 +19,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are neighbours, and a window over the full text closes each run of equals.  The row with the largest
     (or smallest) identifier stays.  Splitters are short, whatever the texts' lengths.
 
-    A fingerprint with more than a quarter of a partition's share of rows is dealt over several pieces; there are
-    at most 4 such fingerprints a partition, which bounds their broadcast.  One row for each piece, with
+    A fingerprint with more than a quarter of a partition's share of rows is dealt over several pieces by the rows' places in the
+    input, so rows alike in identifier too, or without one, are spread as well; there are at most 4 such fingerprints a partition,
+    which bounds their broadcast.  One row for each piece, with
     its text, then meets the other pieces' rows.
 
     Returns (id, keep_id, group_size, kept, text_sha256), a row for every row of ``docs``.  A null text counts as
@@ -34,7 +35,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = rows.groupBy("print").agg(F.count("*").alias("copies")).where(F.col("copies") > most)
     hot = hot.select("print", F.ceil(F.col("copies") / most).cast("int").alias("pieces"))
     rows = rows.join(F.broadcast(hot), "print", "left")  # at most rows / most <= 4 n of them
-    rows = rows.withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id"), F.col("pieces")))).withColumn("head", F.substring("norm", 1, HEAD))
+    rows = rows.withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("pieces")))).withColumn("head", F.substring("norm", 1, HEAD))
     place = ["head", "print", "piece"]
     run = Window.partitionBy(*place, "norm")
     best = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
@@ -66,6 +67,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents; nulls, ties and repeats as in ``exact_groups``."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -87,6 +87,14 @@ def test_exact_dedup_splits_a_hot_text(spark):
     assert len(got) == 3000 and {r.group_size for r in got} == {1, 2000} and sum(r.kept for r in got) == 1001
 
 
+def test_exact_dedup_splits_rows_without_identifiers(spark):
+    """A hot text on rows alike in all columns: one stays, and its pieces are even."""
+    docs = docs_of(spark, [(None if i % 3 else 7, "same", "en", "a") for i in range(1500)] + [(i, f"text {i}", "en", "a") for i in range(10, 760)]).repartition(4)
+    got = dedup.exact_groups(docs).collect()
+    hot = [r for r in got if r.group_size == 1500]
+    assert len(got) == 2250 and len(hot) == 1500 and {r.keep_id for r in hot} == {7} and sum(r.kept for r in hot) == 1
+
+
 def test_jaccard_on_odd_rows(spark, odd, none):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(odd.where("doc_id IS NOT NULL")).collect())
     assert got == truth([(r.doc_id, r.text) for r in odd.where("doc_id IS NOT NULL").collect()])
