@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,11 +198,8 @@ def simplified(rings: DataFrame, tolerance: float) -> DataFrame:
 
     A ring is a row; each is split at its farthest vertex, over and over.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf(rings.schema["vertices"].dataType)
+    @F.pandas_udf(rings.schema["vertices"].dataType)
     def fewer(columns: pd.Series) -> pd.Series:
         out = []
         for ring in columns:

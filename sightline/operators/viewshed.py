@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import earth
@@ -13,6 +13,15 @@ from . import coverage, sweep
 RAY = ["site_id", "zone", "az_idx"]
 
 
+#: Fixed value: how much farther than the horizon terrain is needed.
+MARGIN = 1.05
+
+
+def reach(msl: Column, target: Column, radius: Column) -> Column:
+    """How far a sensor has to be swept for a target's height: to where they meet over a smooth Earth, and a margin; null below the sea."""
+    return earth.mutual_horizon(msl, target, radius) * MARGIN
+
+
 def zone_rays(tasks: DataFrame) -> DataFrame:
     """Rays of every task's zones (site_id, latitude, longitude, msl, radius, zone, res_m, pass_max), dealt by ray: with az_idx, n_az, n_r and the step between samples."""
     grid = earth.polar_grid(F.col("pass_max"), F.col("res_m"))

@@ -8,6 +8,7 @@ from ..functions import earth, text
 from ..operators import sites as S
 from ..registry import query
 from ..sources import tables as T
+from ..sources.files import few
 
 _W = f"(1 - {earth.E2!r} * sin(radians(latitude)) * sin(radians(latitude)))"
 RADIUS = f"(sqrt(({earth.A * (1 - earth.E2)!r} / ({_W} * sqrt({_W}))) * ({earth.A!r} / sqrt({_W}))) * {4 / 3!r})"
@@ -77,7 +78,7 @@ def last_ring_wins(spark, sf_dir):
 @query(f"""WITH {T.SITES}, {ALTS}, t AS (SELECT site_id, alt_m, 'S' || site_id || '_' || alt_m::BIGINT || '.kml' AS filename, md5(site_id || '|' || alt_m::BIGINT || '|' || coalesce(altitude_mode, 'None')) AS state_hash FROM sites CROSS JOIN alts)
 SELECT filename, state_hash FROM t WHERE NOT (site_id % 3 = 0 AND alt_m < 500)""")
 def resume_anti(spark, sf_dir):
-    t = T.sites(spark, sf_dir).crossJoin(F.broadcast(T.altitudes(spark)))
+    t = T.sites(spark, sf_dir).crossJoin(few(T.altitudes(spark)))
     t = t.withColumn("filename", F.concat(F.lit("S"), "site_id", F.lit("_"), text.label(F.col("alt_m")), F.lit(".kml"))).withColumn("state_hash", S.state_hash(F.col("site_id"), text.label(F.col("alt_m")), F.col("altitude_mode")))
     done = t.where("site_id % 3 = 0").withColumn("state_hash", F.when(F.col("alt_m") < 500, F.col("state_hash")).otherwise("stale")).select("filename", "state_hash")
     return S.pending(t, done).select("filename", "state_hash")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +133,17 @@ def zone_composite_stored(spark, sf_dir):
     return V.composite(tasks, zone_terrain, T.altitudes(spark, 50, 200), RES, surfaces)
 
 
+@query(f"""WITH {_SENSORS}, a AS (SELECT unnest([100.0, 1000.0])::DOUBLE AS alt_m), r AS (SELECT site_id, alt_m, (sqrt(2.0 * radius * msl) + sqrt(2.0 * radius * alt_m)) * 1.05 AS reach FROM s CROSS JOIN a),
+z(zone, z_min, z_max, res_m) AS (VALUES (0, 0.0, 50000.0, 30.0), (1, 50000.0, 200000.0, 120.0), (2, 200000.0, 800000.0, 1000.0))
+SELECT site_id, alt_m, round(reach, 3) AS reach_m, count(*) AS zones, sum(ceil(least(reach, z_max) / res_m))::BIGINT AS samples_a_ray FROM r JOIN z ON reach > z_min GROUP BY ALL""")
+def viewshed_reach(spark, sf_dir):
+    """How far each sensor is swept for each target, over how many zones, and the samples along one ray of each."""
+    s = with_msl_height(T.sites(spark, sf_dir)).withColumn("msl", F.coalesce("msl", "height")).withColumn("radius", earth.effective_radius(F.col("latitude")))
+    r = s.crossJoin(few(T.altitudes(spark, 100, 1000))).select("site_id", "alt_m", V.reach(F.col("msl"), F.col("alt_m"), F.col("radius")).alias("reach"))
+    n = earth.polar_grid(F.col("pass_max"), F.col("res_m"))["n_r"]
+    return W.zones(r, "reach").groupBy("site_id", "alt_m", F.round("reach", 3).alias("reach_m")).agg(F.count("*").alias("zones"), F.sum(n).alias("samples_a_ray"))
+
+
 @query(f"""WITH {_COMPOSITE} SELECT 'site' || site_id || '-tgt_alt_' || alt_m::INTEGER || 'm_AGL.kml' AS file, "row", col FROM v WHERE site_id % 5 = 0""")
 def viewshed_files(spark, sf_dir):
     """Viewsheds written as KML outlines with their holes, read back and laid on the grid again: the cells that were seen."""

@@ -3,10 +3,12 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import earth, text
-from sightline.operators import coverage, detection, sites, sweep
+from sightline.operators import coverage, detection, sites, sweep, terrain
+from sightline.sources.store import SurfaceStore
 
 
 def test_msl_heights(spark):
@@ -81,3 +83,138 @@ def test_finished_tasks_go(spark):
     t = spark.createDataFrame([("a", "1"), ("b", "1")], "filename string, state_hash string")
     done = spark.createDataFrame([("a", "1"), ("b", "0")], "filename string, state_hash string")
     assert [r.filename for r in sites.pending(t, done).collect()] == ["b"] and sites.pending(t, done, force=True).count() == 2
+
+
+def test_fixed_decimals_are_exact(spark):
+    """Rounded as Python rounds: by the number's binary value, not that of a product that looks like a half."""
+    values = [2.675, 1.005, 0.125, 0.375, 2.5, 3.5, -2.675, -0.001, 0.0, 10.0, 1e6 + 0.005, 123456.785, 0.285, 1.115, 8.345, 45.1234565, 1e-9, 99.995, 4.35, 0.045]
+    values += np.round(np.random.default_rng(0).uniform(-100, 100, 300), 3).tolist()
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", *(sites.fixed(F.col("v"), p).alias(f"p{p}") for p in (0, 1, 2, 6))).collect()
+    assert all(r[f"p{p}"] == f"{r.v:.{p}f}" for r in rows for p in (0, 1, 2, 6))
+
+
+def _flat(spark, lat, reach=49_500.0, res=0.05):
+    """Cells of one sensor over flat ground, seen from a tower: all within reach."""
+    s = spark.createDataFrame([(1, lat, 10.0)], "site_id long, latitude double, longitude double")
+    rays = s.select("site_id", F.explode(F.sequence(F.lit(0), F.lit(125))).alias("az_idx")).withColumn("r_idx", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    rays = rays.withColumns({"r_m": F.col("r_idx") * (reach / 19), "elevation": F.lit(0.0).cast("float"), "msl": F.lit(100.0), "radius": F.lit(8.5e6)})
+    cells = coverage.site_cells(s, F.lit(reach), res).withColumn("i", earth.ray_index(F.col("az"), F.col("dist_m"), F.lit(reach), F.lit(20), F.lit(126))).select("*", "i.*").drop("i")
+    return coverage.gathered(cells, sweep.as_rays(sweep.surface(rays, ["site_id", "az_idx"]), ["site_id", "az_idx"]), ["site_id", "az_idx"])
+
+
+@pytest.mark.parametrize("lat", [0.0, 45.3, -70.1])
+def test_flat_ground_is_a_full_disc(spark, lat):
+    """One ring without a hole, of the disc's own area, at any latitude."""
+    res = 0.01 if abs(lat) < 60 else 0.02
+    seen = _flat(spark, lat, res=res).where("mva <= 1000").select("row", "col", F.lit(1).alias("g"))
+    (ring,) = coverage.outlines(seen, ["g"]).collect()
+    assert not ring.hole
+    disc = 2 * math.pi * earth.MEAN**2 * (1 - math.cos(49_500 / earth.MEAN))
+    assert abs(coverage.area(seen, res).first().area_m2 / disc - 1) < 0.01
+
+
+def test_cells_round_the_pole_and_the_date_line(spark):
+    s = spark.createDataFrame([(1, 89.9, 0.0), (2, 0.0, 179.99)], "site_id long, latitude double, longitude double")
+    cells = coverage.site_cells(s, F.lit(40_000.0), 0.1).collect()
+    pole = {(r.row, r.col) for r in cells if r.site_id == 1}
+    assert len(pole) == sum(r.site_id == 1 for r in cells) and {c for r, c in pole if r == 899} == set(range(-1800, 1800))
+    far = {r.col for r in cells if r.site_id == 2}
+    assert {1799, -1800} <= far and max(far) <= 1799 and min(far) >= -1800
+
+
+def test_a_cell_area_by_hand(spark):
+    """A tenth of a degree at the equator, at 60 degrees, and all cells of a row together."""
+    a, b = spark.createDataFrame([(0,), (600,)], "r int").select(coverage.cell_area(F.col("r"), 0.1).alias("a")).orderBy(F.desc("a")).collect()
+    side = math.radians(0.1) * earth.MEAN
+    assert abs(a.a / side**2 - 1) < 1e-5 and abs(b.a / (side**2 * math.cos(math.radians(60.05))) - 1) < 1e-5
+
+
+def _polygons(spark, cells, **more):
+    rows = spark.createDataFrame([("k", r, c) for r, c in cells], "g string, row int, col int")
+    found = coverage.polygons(rows, ["g"], 1.0, **more)
+    return found, sorted(sorted(len(ring) for ring in p) for p in found.first().polygons)
+
+
+def test_polygons_have_their_own_holes(spark):
+    """An island in a lake on an island, a second hole, and cells that touch at a corner only; and the way back to the cells."""
+    outer = {(r, c) for r in range(13) for c in range(13)}
+    lake = {(r, c) for r in range(4, 9) for c in range(4, 9)}
+    cells = (outer - lake) | {(6, 6)} | {(20, 20), (21, 21)}
+    cells -= {(0, 6), (1, 1), (11, 1)}
+    found, shape = _polygons(spark, cells)
+    assert shape == [[5], [5], [5], [5, 5, 5, 9]]
+    back = coverage.cells_inside(found, ["g"], 1.0).collect()
+    assert {(r.row, r.col) for r in back} == cells and len(back) == len(cells)
+
+
+def test_random_cells_come_back_from_their_outlines(spark):
+    random = np.random.default_rng(8)
+    cells = {(int(r), int(c)) for r, c in random.integers(-8, 8, (150, 2))}
+    found, _ = _polygons(spark, cells)
+    assert {(r.row, r.col) for r in coverage.cells_inside(found, ["g"], 1.0).collect()} == cells
+
+
+def test_simpler_outlines_stay_near(spark):
+    """A staircase becomes a line; no vertex left out is farther from the new ring than the tolerance."""
+    cells = {(r, c) for r in range(30) for c in range(30 - r)}
+    _, before = _polygons(spark, cells)
+    found, after = _polygons(spark, cells, simplify=1.0)
+    assert before == [[61]] or before[0][0] > 50
+    assert 4 <= after[0][0] < 10
+
+
+def test_an_extension_needs_the_state(spark):
+    """Beyond a wall the extension of a sweep sees what a whole sweep sees, and without the wall's state it would see more."""
+    p = _samples(spark, [0] * 5 + [150] + [0] * 20)
+    state = sweep.boundary(sweep.surface(p.where("r_idx < 10"), ["ray"]), ["ray"])
+    whole = {r.r_idx: r.mva for r in sweep.surface(p, ["ray"]).collect()}
+    rest = {r.r_idx: r.mva for r in sweep.extended(p, state, ["ray"]).collect()}
+    assert rest == {k: v for k, v in whole.items() if k >= 10} and min(rest.values()) > 100
+
+
+def test_boundaries_turn_as_interpolation_does(spark):
+    values = np.random.default_rng(2).normal(size=10)
+    state = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(values)], "s int, az_idx int, steepest double")
+    got = [r.steepest for r in sweep.turned(state, ["s"], 10, 24).orderBy("az_idx").collect()]
+    want = np.interp(np.arange(24) / 24, np.arange(11) / 10, [*values, values[0]])
+    assert np.allclose(got, want)
+
+
+def test_bilinear_leaves_out_empty_cells(spark):
+    grid = spark.createDataFrame([(0, 0, 10.0), (1, 0, 20.0), (0, 1, None), (1, 1, 40.0)], "gx int, gy int, elevation double")
+    at = spark.createDataFrame([(1, 1.0, 1.0), (2, 0.5, 0.5), (3, 9.0, 9.0)], "k int, lon double, lat double")
+    got = {r.k: r.elevation for r in terrain.bilinear(at, grid, 1.0, ["k"]).collect()}
+    assert math.isclose(got[1], 70 / 3) and got[2] == 10.0 and got[3] is None
+
+
+def test_a_later_tile_hides_an_earlier_one(spark):
+    tiles = spark.createDataFrame([("a", 1, 0.0, 1.0, 0.5), ("b", 2, 0.0, 1.0, 1.0)], "id string, ordinal int, min_lon double, max_lat double, step double")
+    cells = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 0, 1, 2.0), ("a", 1, 0, 3.0), ("b", 0, 0, None)], "id string, row int, col int, elevation float")
+    assert {(r.gx, r.gy): r.elevation for r in terrain.mosaic(tiles, cells, 0.5).collect()} == {(0, 1): 1.0, (1, 1): 2.0, (0, 0): 3.0}
+    later = cells.where("elevation IS NOT NULL").unionByName(spark.createDataFrame([("b", 0, 0, 9.0)], cells.schema))
+    assert {r.elevation for r in terrain.mosaic(tiles, later, 0.5).collect()} == {9.0}
+
+
+def test_the_store_forgets_and_learns(spark, tmp_path):
+    store = SurfaceStore(spark, str(tmp_path / "s"))
+    key = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    rays = lambda v, *k: key(*k).select("key", F.lit(0).alias("az_idx"), F.array(F.lit(v).cast("float"), F.lit(float("inf")).cast("float")).alias("mva"))
+    assert store.stats().first()["keys"] == 0 and store.misses(key("a")).count() == 1
+    store.write(rays(1.0, "a", "b"))
+    store.write(rays(2.0, "b"))
+    assert {r.key: r.mva for r in store.read(key("a", "b", "c")).collect()} == {"a": [1.0, float("inf")], "b": [2.0, float("inf")]}
+    store.delete(key("b"))
+    assert [r.key for r in store.hits(key("a", "b")).collect()] == ["a"]
+    store.write(rays(3.0, "b"))
+    assert store.read(key("b")).first().mva[0] == 3.0
+    store.clear()
+    assert store.keys().count() == 0 and store.stats().first()["files"] > 0
+
+
+def test_rays_meet_in_no_task_by_sensor(spark):
+    """The sweep's only shuffle is by (sensor, ray)."""
+    from sightline.plans import sweeps
+
+    plan = sweeps.swept(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "site_id" in exchanges[0] and "az_idx" in exchanges[0]
