@@ -38,7 +38,7 @@ ROWS = 1 << 13
 RATE, STEP, CHUNK, MANY = 0.15, 4096, 1 << 13, 16
 #: The first round learns from this share of the documents, so that tasks begin the second from a common model.
 FIRST = 0.125
-BUCKET_BYTES, BUCKETS = 32 << 20, 16
+BUCKET_BYTES, BUCKETS = 16 << 20, 8
 COUNTED = 1 << 20  # distinct words that a counting task holds
 PART, FAN = 256, 128  # table rows of one packed update; updates that one task adds up
 TASK_BYTES, LEARNED = 16 << 20, 8  # text of one training task: so much at least, and so many times the bytes of its update
