@@ -34,9 +34,9 @@ from .words import SHINGLE, mix, shingle_sets
 #: Similarity as a fraction.
 NUM, DEN = 75, 100
 #: Classes, and shingles, that a block of a hood holds on average at most.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 500_000
 #: Of them so many are compared with the block at a time.
-ROWS = 256
+ROWS = 128
 #: Groups of the domain, over half of the differences to survive; and independent partitions of it to try.
 GROUPS, SEEDS = 1.2, 6
 #: Owner of a hash that several sets of its block have.
