@@ -16,4 +16,4 @@ QUERIES = {
     "op9_hash_tree": sharding.op9_hash_tree,
     "op10_co_training": cotrain.op10_co_training,
 }
-ORACLES = {"op1_mix_sources": mixing.SQL, "op4_exact_dedup": dedup.SQL, "op5_warc": warc.SQL, "op9_hash_tree": sharding.SQL}
+ORACLES = {"op1_mix_sources": mixing.SQL, "op4_exact_dedup": dedup.SQL, "op5_warc": warc.SQL, "op6_ngram_jaccard": jaccard.SQL, "op9_hash_tree": sharding.SQL}
