@@ -30,13 +30,16 @@ def gram_buckets(texts: list[str | None], orders: tuple[int, ...] = (1, 2, 3), b
     """
     longest = max(orders)
 
-    def emit(rows: list[int], parts: list[str]):
+    def emit(rows: list[int], parts: list[str], cut: bool = False):
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.array([len(p) for p in parts], np.int64)
         row = np.repeat(np.array(rows, np.int32), lengths)
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters up to the part's end
         found = _hashed(codes, orders, bits)
-        keep = [left >= n for n in orders]
+        least = np.ones(len(codes), np.int64)
+        if cut:  # what begins in the overlap is the next piece's
+            least[len(codes) - len(parts[-1]) :] = longest
+        keep = [left >= np.maximum(least, n) for n in orders]
         r = np.concatenate([row[k] for k in keep])
         b = np.concatenate([x[k] for x, k in zip(found, keep, strict=True)])
         order = np.argsort(r, kind="stable")
@@ -59,7 +62,7 @@ def gram_buckets(texts: list[str | None], orders: tuple[int, ...] = (1, 2, 3), b
             at += PIECE
             if at < len(text):  # the next piece begins with what n-grams across the cut need
                 at -= longest - 1
-                yield emit(rows, parts)
+                yield emit(rows, parts, cut=True)
                 rows, parts, size = [], [], 0
     if parts:
         yield emit(rows, parts)

@@ -172,6 +172,40 @@ def test_shared_counts_are_of_other_classes(spark):
     assert sorted((r.n, r.s) for r in found) == [(4, 0), (n, n), (n + 1, n)]
 
 
+def test_long_texts_in_pieces_give_what_whole_ones_do(monkeypatch):
+    """Words, shingles and n-grams of texts far longer than a piece, by pieces of a few bytes or characters."""
+    import pyarrow as pa
+
+    from sightline.llm import chargrams, words as W
+
+    random = np.random.default_rng(6)
+    texts = [" ".join(random.choice(["ab", "Ça", "漢字", "x" * 90, "\t\n", "end."], 300)), "", None, "z" * 500, "one two", " ".join(map(str, range(400))), "é" * 77]
+    column = pa.array(texts)
+    plain = []
+    for t in texts:
+        w = words(t)
+        plain.append(len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()))
+    whole, hashes = [x.tolist() for x in W.shingle_sets(column)], [h.tolist() for *_, h, _ in W.word_hashes(column)]
+    assert [len(x) for x in whole] == plain
+    monkeypatch.setattr(W, "PIECE", 40)
+    runs = W.runs
+    monkeypatch.setattr(W, "runs", lambda offsets, limit=40: runs(offsets, limit))
+    assert [x.tolist() for x in W.shingle_sets(column)] == whole
+    assert sum((h.tolist() for *_, h, _ in W.word_hashes(column)), []) == sum(hashes, [])
+
+    def counts():
+        out = np.zeros((len(texts), 1 << 10), np.int64)
+        for rows, buckets in chargrams.gram_buckets(texts, (1, 2, 3), 10):
+            np.add.at(out, (rows, buckets), 1)
+        return out
+
+    before = counts()
+    lengths = [len(t or "") + 2 for t in texts]
+    assert before.sum(axis=1).tolist() == [3 * n - 3 for n in lengths]
+    monkeypatch.setattr(chargrams, "PIECE", 13)
+    assert (counts() == before).all()
+
+
 def test_mixing(spark, odd, none):
     docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rates = mixing.target_rates(docs, total=4000)
