@@ -43,8 +43,12 @@ def site_cells(sites: DataFrame, reach: Column, res: float, keep: tuple[str, ...
 
 
 def gathered(cells: DataFrame, rays: DataFrame, ray: list[str]) -> DataFrame:
-    """``cells`` (ray columns, r_idx, ...) with mva from ``rays`` (ray columns, mva array): one equi-join by ray; samples beyond a ray's end give no row."""
-    found = cells.join(rays.select(*ray, F.col("mva").alias("__mva")), ray).withColumn("mva", F.get("__mva", F.col("r_idx"))).drop("__mva")
+    """``cells`` (ray columns, r_idx, ...) with mva from ``rays`` (ray columns, mva array): one equi-join by ray; samples beyond a ray's end give no row.
+
+    Rays are many times the bytes of the table that they are made of, which the optimiser can't tell, so it must not broadcast them:
+    they stay as they were dealt out for the sweep, and the cells come to them.
+    """
+    found = cells.join(rays.select(*ray, F.col("mva").alias("__mva")).hint("merge"), ray).withColumn("mva", F.get("__mva", F.col("r_idx"))).drop("__mva")
     return found.where("mva IS NOT NULL")
 
 
@@ -92,23 +96,28 @@ def in_polygon_circle(cells: DataFrame, sites: DataFrame, range_m: Column, res:
 
 
 def edges(cells: DataFrame, *by: str) -> DataFrame:
-    """Directed edges round cells' squares that no neighbour of the same set shares, with the set on the left."""
+    """(by, turn, r0, c0, r1, c1): edges round cells' squares that no neighbour of the same set shares, with the set on the left; turn 0 east, 1 north, 2 west, 3 south.
+
+    ``cells`` are a set: each once.  An edge is named by its line and place, so a shared one is counted twice and goes, by one aggregation.
+    """
     r, c = F.col("row"), F.col("col")
-    corners = [((0, 0), (0, 1)), ((0, 1), (1, 1)), ((1, 1), (1, 0)), ((1, 0), (0, 0))]
-    each = F.array(*(F.struct((r + a[0]).alias("r0"), (c + a[1]).alias("c0"), (r + b[0]).alias("r1"), (c + b[1]).alias("c1")) for a, b in corners))
-    every = cells.select(*by, F.explode(each).alias("e")).select(*by, "e.*")
-    other = every.select(*by, F.col("r1").alias("r0"), F.col("c1").alias("c0"), F.col("r0").alias("r1"), F.col("c0").alias("c1"))
-    return every.join(other, [*by, "r0", "c0", "r1", "c1"], "left_anti")
+    four = [(0, r, c), (1, r, c + 1), (2, r + 1, c), (3, r, c)]
+    each = F.array(*(F.struct(F.lit(turn).alias("turn"), y.alias("y"), x.alias("x")) for turn, y, x in four))
+    every = cells.select(*by, F.explode(each).alias("e")).select(*by, "e.*").withColumn("flat", F.col("turn") % 2 == 0)
+    alone = every.groupBy(*by, "flat", "y", "x").agg(F.count("*").alias("n"), F.min("turn").alias("turn")).where("n = 1")
+    y, x = F.col("y"), F.col("x")
+    ends = {0: (y, x, y, x + 1), 1: (y, x, y + 1, x), 2: (y, x + 1, y, x), 3: (y + 1, x, y, x)}
+    pick = lambda i: F.when(F.col("turn") == 0, ends[0][i]).when(F.col("turn") == 1, ends[1][i]).when(F.col("turn") == 2, ends[2][i]).otherwise(ends[3][i])
+    return alone.select(*by, "turn", *(pick(i).alias(n) for i, n in enumerate(("r0", "c0", "r1", "c1"))))
 
 
 def _runs(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Edges of the same line and direction that follow each other as one: (by, turn, r0, c0, r1, c1); turn 0 east, 1 north, 2 west, 3 south.
+    """Edges of the same line and direction that follow each other as one: (by, turn, r0, c0, r1, c1).
 
     Where they do the set is on one side of both, so the corner between them is no other edge's.  A task has lines of the grid.
     """
     e = edges(cells, *by)
-    turn = F.when(F.col("c1") > F.col("c0"), 0).when(F.col("r1") > F.col("r0"), 1).when(F.col("c1") < F.col("c0"), 2).otherwise(3)
-    e = e.withColumn("turn", turn).withColumn("line", F.when(F.col("turn") % 2 == 0, F.col("r0")).otherwise(F.col("c0"))).withColumn("at", F.when(F.col("turn") % 2 == 0, F.least("c0", "c1")).otherwise(F.least("r0", "r1")))
+    e = e.withColumn("line", F.when(F.col("turn") % 2 == 0, F.col("r0")).otherwise(F.col("c0"))).withColumn("at", F.when(F.col("turn") % 2 == 0, F.least("c0", "c1")).otherwise(F.least("r0", "r1")))
     island = F.col("at") - F.row_number().over(Window.partitionBy(*by, "turn", "line").orderBy("at"))
     e = e.withColumn("island", island).groupBy(*by, "turn", "line", "island").agg(F.min("at").alias("low"), (F.max("at") + 1).alias("high"))
     start, end = F.when(F.col("turn") < 2, F.col("low")).otherwise(F.col("high")), F.when(F.col("turn") < 2, F.col("high")).otherwise(F.col("low"))
