@@ -34,9 +34,9 @@ from .words import SHINGLE, mix, shingle_sets
 #: Similarity as a fraction.
 NUM, DEN = 75, 100
 #: Classes, and shingles, that a block of a hood holds on average at most.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 500_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 #: Of them so many are compared with the block at a time.
-ROWS = 128
+ROWS = 256
 #: Groups of the domain, over half of the differences to survive; and independent partitions of it to try.
 GROUPS, SEEDS = 1.2, 6
 #: Owner of a hash that several sets of its block have.
@@ -364,13 +364,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     main = parts.groupBy("space", "hub").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     main = written(main, "main")
     open_ = looked_up(wide, main, ["space", "hub"])
-    odd = open_.where("component <> main")
-    pairs = odd.select("space", "hub", F.col("block").alias("block_a"), "blocks", "id", "component", F.lit(1).alias("side"))
-    pairs = pairs.withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block_a <> block_b")
-    targets = odd.select("space", "hub", F.col("block").alias("block_a")).distinct()
-    others = open_.select("space", "hub", F.col("block").alias("block_b"), "id", "component", F.lit(2).alias("side"))
-    others = others.join(targets, ["space", "hub"]).where("block_a <> block_b")
-    both = pairs.select("space", "hub", "block_a", "block_b", "id", "component", "side").unionByName(others.select("space", "hub", "block_a", "block_b", "id", "component", "side"))
+    # Of two blocks, what is outside the largest component in the first meets all of the second, and what is outside in the second
+    # only the largest component in the first: so each pair meets once.
+    key, sides = ["space", "hub"], ["space", "hub", "block_a", "block_b", "id", "component", "side"]
+    odd, inside = open_.where("component <> main"), open_.where("component = main")
+    left = odd.select(*key, F.col("block").alias("block_a"), "blocks", "id", "component", F.lit(1).alias("side"))
+    later = left.withColumn("block_b", F.explode(F.when(F.col("block_a") + 1 < F.col("blocks"), F.sequence(F.col("block_a") + 1, F.col("blocks") - 1))))
+    earlier = left.join(inside.select(*key, F.col("block").alias("block_b")).distinct(), key).where("block_b < block_a")
+    targets = odd.select(*key, F.col("block").alias("block_a")).distinct()
+    right = lambda rows: rows.select(*key, F.col("block").alias("block_b"), "id", "component", F.lit(2).alias("side")).join(targets, key)
+    both = later.select(sides).unionByName(earlier.select(sides)).unionByName(right(open_).where("block_a < block_b").select(sides)).unionByName(right(inside).where("block_a > block_b").select(sides))
     cross = written(both.join(sets, "id").groupBy("space", "hub", "block_a", "block_b").applyInArrow(_compared, "a long, b long").distinct(), "links")
     if cross.limit(1).count():
         reached = components(edges.union(cross), spark)
