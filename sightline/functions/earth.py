@@ -56,11 +56,15 @@ def slope(elevation: Column, sensor: Column, r: Column, radius: Column, index: C
     return F.when(index == 0, -9999.0).otherwise(rise / safe - safe / (2 * radius))
 
 
-def visible_above(elevation: Column, sensor: Column, r: Column, radius: Column, steepest: Column) -> Column:
-    """Height above ground from which a target is seen, past terrain of the steepest slope so far: not below 0, single precision."""
+def visible_above(elevation: Column, sensor: Column, r: Column, radius: Column, steepest: Column, own: Column, index: Column) -> Column:
+    """Height above ground from which a target is seen, past terrain of the steepest slope so far: not below 0, single precision.
+
+    A sample whose ``own`` slope is the steepest is its own horizon, so its ground is seen: exactly 0, without the sum's rounding.
+    """
     ground = F.nanvl(F.coalesce(elevation.cast("float"), F.lit(0).cast("float")), F.lit(0).cast("float")).cast("double")
     safe = F.when(r == 0, 0.1).otherwise(r)
-    return F.greatest(F.lit(0.0), sensor + safe * (steepest + safe / (2 * radius)) - ground).cast("float")
+    above = F.greatest(F.lit(0.0), sensor + safe * (steepest + safe / (2 * radius)) - ground)
+    return F.when((index > 0) & (own == steepest), 0.0).otherwise(above).cast("float")
 
 
 def polar_index(x: Column, y: Column, reach: Column, n_r: Column, n_az: Column) -> Column:
@@ -92,7 +96,7 @@ def sphere_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Co
 def ray_index(az: Column, r: Column, reach: Column, n_r: Column, n_az: Column) -> Column:
     """Ray and sample for a direction and a distance."""
     clip = lambda v, n: F.least(F.greatest(v.cast("int"), F.lit(0)), n - 1)
-    return F.struct(clip(az / (2 * math.pi / n_az), n_az).alias("az_idx"), clip(r / (reach / (n_r - 1)), n_r).alias("r_idx"))
+    return F.struct(clip(az / (2 * math.pi / n_az), n_az).alias("az_idx"), clip(r / (reach / F.greatest(n_r - 1, F.lit(1))), n_r).alias("r_idx"))
 
 
 def with_geodesic(df: DataFrame, lat: str, lon: str, az: str, dist: str, steps: int = 5) -> DataFrame:

@@ -32,7 +32,7 @@ def surface(samples: DataFrame, ray: list[str], sensor: str = "msl", radius: str
     own = Window.partitionBy(*ray).orderBy("r_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tilt = slope(F.col("elevation"), F.col(sensor), F.col("r_m"), F.col(radius), F.col("r_idx"))
     steep = samples.withColumn("slope", tilt).withColumn("steepest", F.max("slope").over(own))
-    return steep.withColumn("mva", visible_above(F.col("elevation"), F.col(sensor), F.col("r_m"), F.col(radius), F.col("steepest"))).drop("slope")
+    return steep.withColumn("mva", visible_above(F.col("elevation"), F.col(sensor), F.col("r_m"), F.col(radius), F.col("steepest"), F.col("slope"), F.col("r_idx"))).drop("slope")
 
 
 def surface_of_rays(rays: DataFrame, keep: list[str]) -> DataFrame:
@@ -53,7 +53,9 @@ def surface_of_rays(rays: DataFrame, keep: list[str]) -> DataFrame:
                 r[:, :1] = 0.1
                 tilt = (ground - msl.astype(np.float32)).astype(np.float64) / r - r / (2 * radius)
                 tilt[:, :1] = -9999.0
-                seen = msl + r * (np.maximum.accumulate(tilt, axis=1) + r / (2 * radius)) - ground
+                steepest = np.maximum.accumulate(tilt, axis=1)
+                seen = msl + r * (steepest + r / (2 * radius)) - ground
+                seen[:, 1:][tilt[:, 1:] == steepest[:, 1:]] = 0
                 for i, row in zip(at, np.maximum(seen, 0).astype(np.float32), strict=True):
                     out[i] = row
             yield frame[keep].assign(mva=out)
@@ -88,8 +90,9 @@ def extended(samples: DataFrame, state: DataFrame, ray: list[str], sensor: str =
     beyond = samples.join(state.select(*ray, F.col("last_r").alias("__last"), F.col("steepest").alias("__from")), ray).where(F.col("r_idx") > F.col("__last"))
     own = Window.partitionBy(*ray).orderBy("r_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tilt = slope(F.col("elevation"), F.col(sensor), F.col("r_m"), F.col(radius), F.col("r_idx"))
-    steep = beyond.withColumn("steepest", F.greatest(F.max(tilt).over(own), "__from"))
-    return steep.withColumn("mva", visible_above(F.col("elevation"), F.col(sensor), F.col("r_m"), F.col(radius), F.col("steepest"))).drop("__last", "__from")
+    steep = beyond.withColumn("__tilt", tilt).withColumn("steepest", F.greatest(F.max("__tilt").over(own), "__from"))
+    mva = visible_above(F.col("elevation"), F.col(sensor), F.col("r_m"), F.col(radius), F.col("steepest"), F.col("__tilt"), F.col("r_idx"))
+    return steep.withColumn("mva", mva).drop("__last", "__from", "__tilt")
 
 
 def turned(state: DataFrame, sensor: list[str], rays: int, wanted: int) -> DataFrame:

@@ -32,7 +32,7 @@ def swept_sql(ray: str) -> str:
     """Sweep of the table p of samples by ray, in SQL: the tables t, w and m."""
     return f"""t AS (SELECT *, CASE WHEN r_idx = 0 THEN -9999.0::DOUBLE ELSE CAST(CAST(elevation - CAST(msl AS FLOAT) AS FLOAT) AS DOUBLE) / r_m - r_m / (2 * radius) END AS slope FROM p),
 w AS (SELECT *, max(slope) OVER (PARTITION BY {ray} ORDER BY r_idx ROWS UNBOUNDED PRECEDING) AS steepest FROM t),
-m AS (SELECT *, CAST(greatest(0.0::DOUBLE, msl + CASE WHEN r_idx = 0 THEN 0.1::DOUBLE ELSE r_m END * (steepest + CASE WHEN r_idx = 0 THEN 0.1::DOUBLE ELSE r_m END / (2 * radius)) - CAST(elevation AS DOUBLE)) AS FLOAT) AS mva FROM w)"""
+m AS (SELECT *, CAST(CASE WHEN r_idx > 0 AND slope = steepest THEN 0 ELSE greatest(0.0::DOUBLE, msl + CASE WHEN r_idx = 0 THEN 0.1::DOUBLE ELSE r_m END * (steepest + CASE WHEN r_idx = 0 THEN 0.1::DOUBLE ELSE r_m END / (2 * radius)) - CAST(elevation AS DOUBLE)) END AS FLOAT) AS mva FROM w)"""
 
 
 _SENSORS = f"{T.SITES}, s AS (SELECT *, coalesce({MSL}, height) AS msl, {RADIUS} AS radius FROM sites)"
@@ -92,11 +92,11 @@ def mva_surface(spark, sf_dir):
     return swept(spark, sf_dir).select("site_id", "az_idx", "r_idx", F.round(F.col("mva").cast("double"), 2).alias("mva"))
 
 
-@query(f"WITH {_POLAR} SELECT site_id, round(min(mva)::DOUBLE, 2) AS low, round(max(mva)::DOUBLE, 2) AS high, round(avg(mva::DOUBLE), 3) AS mean, count(*) FILTER (mva < 0.001) AS zeros FROM m WHERE mva < 'inf'::FLOAT GROUP BY site_id")
+@query(f"WITH {_POLAR} SELECT site_id, round(min(mva)::DOUBLE, 2) AS low, round(max(mva)::DOUBLE, 2) AS high, round(avg(mva::DOUBLE), 3) AS mean, count(*) FILTER (mva = 0) AS zeros FROM m WHERE mva < 'inf'::FLOAT GROUP BY site_id")
 def mva_stats(spark, sf_dir):
     mva = F.col("mva")
     return swept(spark, sf_dir).where(mva < float("inf")).groupBy("site_id").agg(
-        F.round(F.min(mva).cast("double"), 2).alias("low"), F.round(F.max(mva).cast("double"), 2).alias("high"), F.round(F.avg(mva.cast("double")), 3).alias("mean"), F.count_if(mva < 0.001).alias("zeros")
+        F.round(F.min(mva).cast("double"), 2).alias("low"), F.round(F.max(mva).cast("double"), 2).alias("high"), F.round(F.avg(mva.cast("double")), 3).alias("mean"), F.count_if(mva == 0).alias("zeros")
     )
 
 
