@@ -42,14 +42,14 @@ def site_cells(sites: DataFrame, reach: Column, res: float, keep: tuple[str, ...
     return rows.select("site_id", "row", wrapped.alias("col"), az.alias("az"), "dist_m", *keep)
 
 
-def gathered(cells: DataFrame, rays: DataFrame, ray: list[str]) -> DataFrame:
-    """``cells`` (ray columns, r_idx, ...) with mva from ``rays`` (ray columns, mva array): one equi-join by ray; samples beyond a ray's end give no row.
+def gathered(cells: DataFrame, rays: DataFrame, ray: list[str], values: tuple[str, ...] = ("mva",)) -> DataFrame:
+    """``cells`` (ray columns, r_idx, ...) with mva from ``rays`` (ray columns, mva array, or arrays of other ``values``): one equi-join by ray; samples beyond a ray's end give no row.
 
     Rays are many times the bytes of the table that they are made of, which the optimiser can't tell, so it must not broadcast them:
     they stay as they were dealt out for the sweep, and the cells come to them.
     """
-    found = cells.join(rays.select(*ray, F.col("mva").alias("__mva")).hint("merge"), ray).withColumn("mva", F.get("__mva", F.col("r_idx"))).drop("__mva")
-    return found.where("mva IS NOT NULL")
+    found = cells.join(rays.select(*ray, *(F.col(v).alias(f"__{v}") for v in values)).hint("merge"), ray)
+    return found.withColumns({v: F.get(f"__{v}", F.col("r_idx")) for v in values}).drop(*(f"__{v}" for v in values)).where(f"{values[0]} IS NOT NULL")
 
 
 def seen_at(cells: DataFrame, altitudes: DataFrame, *by: str) -> DataFrame:

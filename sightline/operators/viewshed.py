@@ -22,11 +22,11 @@ def reach(msl: Column, target: Column, radius: Column) -> Column:
     return earth.mutual_horizon(msl, target, radius) * MARGIN
 
 
-def zone_rays(tasks: DataFrame) -> DataFrame:
+def zone_rays(tasks: DataFrame, ray: list[str] = RAY) -> DataFrame:
     """Rays of every task's zones (site_id, latitude, longitude, msl, radius, zone, res_m, pass_max), dealt by ray: with az_idx, n_az, n_r and the step between samples."""
     grid = earth.polar_grid(F.col("pass_max"), F.col("res_m"))
     rays = tasks.withColumn("g", grid).select(*tasks.columns, F.col("g.n_r").alias("n_r"), F.col("g.n_az").alias("n_az")).withColumn("step_m", F.col("pass_max") / F.greatest(F.col("n_r") - 1, F.lit(1)))
-    return rays.withColumn("az_idx", F.explode(F.sequence(F.lit(0), F.col("n_az") - 1))).repartition(*RAY)
+    return rays.withColumn("az_idx", F.explode(F.sequence(F.lit(0), F.col("n_az") - 1))).repartition(*ray)
 
 
 def zone_samples(rays: DataFrame) -> DataFrame:
@@ -41,16 +41,40 @@ def zone_surfaces(tasks: DataFrame, terrain: Callable[[DataFrame], DataFrame]) -
     return sweep.as_rays(sweep.surface(terrain(zone_samples(zone_rays(tasks))), RAY), RAY)
 
 
-def zone_cells(tasks: DataFrame, surfaces: DataFrame, res: float) -> DataFrame:
-    """(site_id, zone, row, col, dist_m, mva): the cells of each zone's ring, each once, with the surface there; the rings of a task's zones are disjoint."""
-    cells = coverage.site_cells(tasks, F.col("pass_max"), res, keep=("zone", "z_min", "pass_max", "res_m"))
+def zone_cells(tasks: DataFrame, surfaces: DataFrame, res: float, ray: list[str] = RAY, keep: tuple[str, ...] = (), values: tuple[str, ...] = ("mva",)) -> DataFrame:
+    """(site_id, zone, row, col, dist_m, keep, values): the cells of each zone's ring, each once, with the surface there; the rings of a task's zones are disjoint."""
+    cells = coverage.site_cells(tasks, F.col("pass_max"), res, keep=("zone", "z_min", "pass_max", "res_m", *keep))
     cells = cells.where((F.col("dist_m") > F.col("z_min")) | ((F.col("z_min") == 0) & (F.col("dist_m") == 0)))
     g = earth.polar_grid(F.col("pass_max"), F.col("res_m"))
     at = earth.ray_index(F.col("az"), F.col("dist_m"), F.col("pass_max"), g["n_r"], g["n_az"])
-    return coverage.gathered(cells.withColumn("i", at).select("site_id", "zone", "row", "col", "dist_m", "i.az_idx", "i.r_idx"), surfaces, RAY)
+    own = [c for c in dict.fromkeys((*ray, *keep)) if c not in ("site_id", "zone", "az_idx")]
+    return coverage.gathered(cells.withColumn("i", at).select("site_id", "zone", "row", "col", "dist_m", *own, "i.az_idx", "i.r_idx"), surfaces, ray, values)
 
 
 def composite(tasks: DataFrame, terrain: Callable[[DataFrame], DataFrame], altitudes: DataFrame, res: float, surfaces: DataFrame | None = None) -> DataFrame:
     """(site_id, alt_m, row, col): what each sensor sees at each altitude above ground, over all zones; ``surfaces`` if they are known already."""
     known = zone_surfaces(tasks, terrain) if surfaces is None else surfaces
     return coverage.seen_at(zone_cells(tasks, known, res), altitudes, "site_id", "row", "col").select("site_id", "alt_m", "row", "col")
+
+
+#: A ray's surface is the same for all targets whose reach goes beyond its zone, so it is named by the zone's part that is swept, in whole millimetres, and not by the target.
+SHARED_RAY = ["site_id", "zone", "reach_mm", "az_idx"]
+
+
+def with_shared_key(tasks: DataFrame) -> DataFrame:
+    return tasks.withColumn("reach_mm", F.round(F.col("pass_max") * 1000).cast("long"))
+
+
+def shared(tasks: DataFrame) -> DataFrame:
+    """What has to be swept for all tasks (with ``with_shared_key``): each sensor's zone and reach once."""
+    return tasks.select("site_id", "latitude", "longitude", "msl", "radius", "zone", "res_m", "pass_max", "reach_mm").dropDuplicates(["site_id", "zone", "reach_mm"])
+
+
+def seen_cells(tasks: DataFrame, surfaces: DataFrame, res: float, above_sea: bool = False) -> DataFrame:
+    """(site_id, alt_m, row, col): what each task (as of ``zone_rays``, and alt_m) sees, of surfaces by SHARED_RAY with mva and ground.
+
+    The target's altitude is above ground, or above sea level: then it has to be over the ground, and the ground's height counts.
+    """
+    cells = zone_cells(tasks, surfaces, res, SHARED_RAY, ("alt_m", "reach_mm"), ("mva", "ground"))
+    seen = sweep.seen_msl(F.col("mva"), F.col("ground"), F.col("alt_m")) if above_sea else sweep.seen_agl(F.col("mva"), F.col("alt_m"))
+    return cells.where(seen).select("site_id", "alt_m", "row", "col")

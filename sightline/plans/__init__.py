@@ -1,3 +1,3 @@
 """Composite queries; importing this registers them."""
 
-from . import detections, exchange, sitework, sweeps, terrainwork, tilework  # noqa: F401
+from . import detections, exchange, realterrain, sitework, sweeps, terrainwork, tilework  # noqa: F401
