@@ -50,7 +50,8 @@ def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     placed = prints.select("row", F.posexplode("prints").alias("at", "print"))
     dropped = looked_up(placed, frequent, ["print"]).groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("dropped"))
     dropped = written(dropped, "dropped")
-    joined = rows.withColumn("lines", F.split("text", "\n")).drop("text").join(dropped, "row", "left")
+    # Alike at every size: by a hash table of the positions, so that texts are neither sorted nor left where they are because few lines are dropped.
+    joined = rows.withColumn("lines", F.split("text", "\n")).drop("text").join(dropped.hint("shuffle_hash"), "row", "left")
     ends = F.concat(F.array(F.lit(-1)), F.col("dropped"), F.array(F.size("lines")))
     kept = joined.withColumn("ends", ends).withColumn(
         "kept", F.flatten(F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.slice("lines", F.get("ends", k - 1) + 2, F.get("ends", k) - F.get("ends", k - 1) - 1)))
