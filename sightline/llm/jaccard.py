@@ -12,10 +12,11 @@ The job in four steps, each a written table:
    a signature lies in one hood.  Hoods are dealt as blocks of bounded size, each with the hub; each block compares exactly, only
    across what is not yet connected, and returns a spanning forest of its links.  Classes first compare in one hood each; hoods'
    blocks that are connected after that need no more.
-4. *Rest.* Hoods of several blocks that are not yet in one component compare what is outside their largest component with
-   all their blocks, block by block.
+4. *Rest.* Hoods of several blocks that are not yet in one component compare the few outside their largest component with all
+   their blocks.  Where these are more than a block, as with texts that share much but not enough, the hood's classes gather anew by
+   their rare shingles (see ``_by_rare_shingles``), and only what meets there is compared.
 
-Groups of near copies thus cost blocks, not pairs, and no row is left out.
+Groups of near copies thus cost blocks, not pairs, texts that only look alike cost what they have rarely in common, and no row is left out.
 """
 
 from __future__ import annotations
@@ -315,6 +316,63 @@ def _compared_in(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return placed.join(sets, "id").groupBy("space", "hub", "block").applyInArrow(_compared, "a long, b long").distinct()
 
 
+def _placed(hoods: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """Hoods (space, hub, id, n) of more than one class, dealt in blocks: with blocks and block."""
+    volume = hoods.groupBy("space", "hub").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"), F.count("*").alias("members"))
+    volume = written(volume.where("members > 1").select("space", "hub", "blocks"), "volume")
+    return looked_up(hoods, volume, ["space", "hub"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _known(rows: DataFrame, reached: DataFrame) -> DataFrame:
+    """``rows`` (id, ...) with their component so far."""
+    return looked_up(rows, reached.withColumnRenamed("node", "id"), ["id"], "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _still_open(inner: DataFrame) -> DataFrame:
+    """The blocks (space, hub, block) that hold several components."""
+    key = ["space", "hub", "block"]
+    open_ = inner.groupBy(*key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return inner.join(open_.drop("low", "high"), key, "left_semi")
+
+
+def _apart(placed: DataFrame, reached: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Members of hoods of several blocks and components, with the largest component and how many lie outside; and the classes (id) in hoods where these are more than a block."""
+    wide = written(_known(placed.where("blocks > 1").select("space", "hub", "block", "blocks", "id"), reached), "wide")
+    parts = wide.groupBy("space", "hub", "component").agg(F.count("*").alias("size"))
+    main = parts.groupBy("space", "hub").agg(F.max_by("component", F.struct("size", "component")).alias("main"), (F.sum("size") - F.max("size")).alias("odd")).where("odd > 0")
+    apart = written(looked_up(wide, written(main, "main"), ["space", "hub"]), "apart")
+    return apart, apart.where(F.col("odd") > block_rows).select("id").distinct()
+
+
+def _across(apart: DataFrame, sets: DataFrame, block_rows: int) -> DataFrame:
+    """(a, b): links between what lies outside a hood's largest component, in chunks of a block, and all of the hood, block by block."""
+    rows = apart.withColumn("chunks", F.ceil(F.col("odd") / block_rows).cast("int"))
+    key, one = ["space", "hub", "block", "chunk"], lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("component <> main").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int")).withColumn("block", one("blocks"))
+    sides = [x.select(*key, "id", "component", F.lit(i).alias("side")) for i, x in ((1, left), (2, rows.withColumn("chunk", one("chunks"))))]
+    return sides[0].unionByName(sides[1]).join(sets, "id").groupBy(*key).applyInArrow(_compared, "a long, b long").distinct()
+
+
+def _by_rare_shingles(ids: DataFrame, sets: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """Hoods of those classes, dealt in blocks, in which any two linked ones meet: round the smallest of all that have a rare shingle in common.
+
+    Of linked sets each has 3/4 of its shingles in the other, so whatever the order of shingles, the first quarter and one more of either hold
+    a common one.  Rare ones come first, by their counts among these classes; one of a single class is no place to meet.  So texts that share
+    what many share, but are not linked, part here.
+    """
+    tokens = written(looked_up(sets, ids, ["id"]).select("id", F.size("items").alias("n"), F.explode("items").alias("token")), "tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+    met = looked_up(tokens, written(counts, "counts"), ["token"])
+    first = met.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("common"))
+    lone = F.col("n") - F.size("common")
+    length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * NUM / DEN).cast("int") + 1 - lone)
+    rare = written(first.select("id", "n", F.explode(F.slice("common", 1, length)).alias("t")).select("id", "n", "t.token"), "rare")
+    rank = F.struct(F.xxhash64("id").alias("rank"), F.col("id").alias("hub"))
+    hubs = rare.groupBy("token").agg(F.min(rank)["hub"].alias("hub"), F.count("*").alias("members")).where("members > 1").select("token", "hub")
+    hoods = looked_up(rare, written(hubs, "hubs"), ["token"]).select(F.lit(-1).alias("space"), "hub", "id", "n").distinct()
+    return _placed(written(hoods, "hoods"), block_rows, block_shingles)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id) for every row: the smallest identifier that links reach.
 
@@ -337,10 +395,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(F.xxhash64("id").alias("rank"), F.col("id").alias("hub"))
     hubs = signed.groupBy("sig").agg(F.min(rank).alias("hub"), F.count("*").alias("members")).where("members > 1").select("sig", F.col("hub.hub").alias("hub"))
     hoods = written(signed.join(hubs, "sig").select("space", "hub", "id", "n").distinct(), "hoods")
-    volume = hoods.groupBy("space", "hub").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"), F.count("*").alias("members"))
-    volume = written(volume.where("members > 1").select("space", "hub", "blocks"), "volume")
-    placed = looked_up(hoods, volume, ["space", "hub"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = written(placed, "placed")
+    placed = written(_placed(hoods, block_rows, block_shingles), "placed")
     # A block's comparisons include the hub, so that near copies in great number mostly meet there, whatever their block.
     with_hubs = lambda rows: rows.union(rows.select("space", "hub", "block", F.col("hub").alias("id"))).distinct()
 
@@ -350,33 +405,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = written(_compared_in(single, sets), "links")
     reached = components(edges, spark)
     # Then all hoods' blocks that still hold several components.
-    inner = looked_up(with_hubs(placed.select("space", "hub", "block", "id")), reached.withColumnRenamed("node", "id"), ["id"], "left").withColumn("component", F.coalesce("component", "id"))
-    inner = written(inner.select("space", "hub", "block", "id", F.lit(0).alias("side"), "component"), "inner")
-    open_ = inner.groupBy("space", "hub", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    inner = inner.join(open_.drop("low", "high"), ["space", "hub", "block"], "left_semi")
+    inner = _known(with_hubs(placed.select("space", "hub", "block", "id")), reached).select("space", "hub", "block", "id", F.lit(0).alias("side"), "component")
+    inner = _still_open(written(inner, "inner"))
     edges = edges.union(written(_compared_in(inner, sets), "links"))
     reached = components(edges, spark)
 
-    # Hoods of several blocks: whatever lies outside the largest component against all blocks.
-    wide = looked_up(placed.where("blocks > 1"), reached.withColumnRenamed("node", "id"), ["id"], "left").withColumn("component", F.coalesce("component", "id"))
-    wide = written(wide, "wide")
-    parts = wide.groupBy("space", "hub", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("space", "hub").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    main = written(main, "main")
-    open_ = looked_up(wide, main, ["space", "hub"])
-    # Of two blocks, what is outside the largest component in the first meets all of the second, and what is outside in the second
-    # only the largest component in the first: so each pair meets once.
-    key, sides = ["space", "hub"], ["space", "hub", "block_a", "block_b", "id", "component", "side"]
-    odd, inside = open_.where("component <> main"), open_.where("component = main")
-    left = odd.select(*key, F.col("block").alias("block_a"), "blocks", "id", "component", F.lit(1).alias("side"))
-    later = left.withColumn("block_b", F.explode(F.when(F.col("block_a") + 1 < F.col("blocks"), F.sequence(F.col("block_a") + 1, F.col("blocks") - 1))))
-    earlier = left.join(inside.select(*key, F.col("block").alias("block_b")).distinct(), key).where("block_b < block_a")
-    targets = odd.select(*key, F.col("block").alias("block_a")).distinct()
-    right = lambda rows: rows.select(*key, F.col("block").alias("block_b"), "id", "component", F.lit(2).alias("side")).join(targets, key)
-    both = later.select(sides).unionByName(earlier.select(sides)).unionByName(right(open_).where("block_a < block_b").select(sides)).unionByName(right(inside).where("block_a > block_b").select(sides))
-    cross = written(both.join(sets, "id").groupBy("space", "hub", "block_a", "block_b").applyInArrow(_compared, "a long, b long").distinct(), "links")
-    if cross.limit(1).count():
-        reached = components(edges.union(cross), spark)
+    # Hoods of several blocks: the few that lie outside the largest component against all blocks.  Where they are more than a block the hood says
+    # little of its members, so these gather anew by their rare shingles; what is wide and apart even there is compared block by block.
+    apart, crowded = _apart(placed, reached, block_rows)
+    cross = written(_across(apart.where(F.col("odd") <= block_rows), sets, block_rows), "links")
+    edges = edges.union(cross)
+    if crowded.limit(1).count():
+        again = written(_by_rare_shingles(crowded, sets, block_rows, block_shingles), "again")
+        reached = components(edges, spark)
+        inner = _known(with_hubs(again.select("space", "hub", "block", "id")), reached).select("space", "hub", "block", "id", F.lit(0).alias("side"), "component")
+        inner = _still_open(written(inner, "inner"))
+        edges = edges.union(written(_compared_in(inner, sets), "links"))
+        apart, _ = _apart(again, components(edges, spark), block_rows)
+        edges = edges.union(written(_across(apart, sets, block_rows), "links"))
+        reached = components(edges, spark)
+    elif cross.limit(1).count():
+        reached = components(edges, spark)
 
     reached = reached.select(F.col("node").alias("class_id"), F.col("component").alias("reached"))
     final = written(looked_up(classes.select("n", "h1", "h2", "class_id"), reached, ["class_id"], "left"), "final")

@@ -144,6 +144,38 @@ def test_jaccard_in_small_blocks(spark, block):
     assert got == truth(rows)
 
 
+def alike(pools):
+    """Short texts that share most of their words with many, though no two are linked by all but a few."""
+    return [f"a b c d e x{i} y{j} z{k}" for i in range(pools) for j in range(pools) for k in range(pools)]
+
+
+@pytest.mark.parametrize("block", [16, 64, 512])
+def test_jaccard_of_texts_that_only_look_alike(spark, block):
+    """Hoods of many unlinked short sets, with a few near copies among them, long ones of shared passages too: brute force's components at any block size."""
+    rows = list(enumerate(alike(7)))
+    rows += [(1000 + i, f"a b c d e x{i % 7} y1 z1 q{i % 3} r s t u v") for i in range(40)]
+    passages = [" ".join(f"p{k}w{j}" for j in range(30)) for k in range(6)]
+    rows += [(2000 + i, " ".join([passages[i % 6], passages[(i // 6) % 6], passages[(i // 36) % 6], f"end{i % 40} of it"])) for i in range(150)]
+    docs = docs_of(spark, [(i, t, "en", "a") for i, t in rows])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(docs, block_rows=block).collect())
+    assert got == truth(rows)
+
+
+def test_jaccard_work_grows_with_the_texts(spark, monkeypatch):
+    """Of texts that only look alike, eight times as many make about eight times the rows to compare."""
+    made, across, compared = [], jaccard._across, jaccard._compared_in
+    sizes = "CASE WHEN component <> main THEN blocks ELSE 0 END + ceil(odd / 32)"  # rows that each member becomes
+    monkeypatch.setattr(jaccard, "_compared_in", lambda p, sets: (made.append(p.count()), compared(p, sets))[1])
+    monkeypatch.setattr(jaccard, "_across", lambda apart, sets, n: (made.append(apart.selectExpr(f"coalesce(sum({sizes}), 0)").first()[0]), across(apart, sets, n))[1])
+    work = []
+    for pools in (6, 12):
+        made.clear()
+        texts = alike(pools)
+        jaccard.near_groups(docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), block_rows=32).count()
+        work.append(sum(made) / len(texts))
+    assert work[1] < 2 * work[0]
+
+
 @pytest.mark.parametrize("size", [3, 4, 10, 32, 100, 400])
 def test_signatures_meet_only_where_sets_are_near(size):
     """Unrelated sets share no signature that is common; pairs just near enough always share one."""
