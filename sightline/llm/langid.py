@@ -25,7 +25,12 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 #: TF-IDF rows sum to about this much, so that steps and penalties have a fixed meaning.
 SCALE = 40.0
 UND = "und"
-_letter = re.compile(r"[^\W\d_]")
+_sign = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a character of the general category L; numbers as signs (², ½, Ⅷ, ①) are none."""
+    return text is not None and any(m.group().isalpha() for m in _sign.finditer(text))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -172,7 +177,7 @@ def identified(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
                     grams += np.bincount(r, minlength=n)
             p = softmax((sums / np.maximum(grams, 1)[:, None] + (bias if classes else 0)) / temperature)
             best = p.argmax(axis=1)
-            out = [bool(classes) and t is not None and _letter.search(t) is not None for t in texts]
+            out = [bool(classes) and has_letter(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([classes[i] if ok else UND for i, ok in zip(best, out, strict=True)]), pa.array([float(p[j, i]) if ok else 0.0 for j, (i, ok) in enumerate(zip(best, out, strict=True))])],
                 names=["id", "learn", "lang_pred", "score"],
