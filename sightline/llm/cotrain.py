@@ -12,20 +12,22 @@ from pyspark.sql import functions as F
 from .common import draw, looked_up, small_batches, written
 from .words import PIECE, buffers, runs, word_hashes
 
-#: Hashed byte trigrams, and the measures of a text's shape that follow them.
-GRAMS, SHAPES = 1 << 14, 8
-META = 1 << 12
+#: Hashed byte trigrams of the text view; of the page view hashed metadata, and the measures of the page's shape that follow them.
+GRAMS = 1 << 14
+META, SHAPES = 1 << 12, 10
 #: Labelled documents of a class that the fit expects at most (thinned by a hash), and pseudo-labels of a class that a view gives in a round.
 PER_CLASS, PSEUDO = 1000, 300
 ROUNDS, SURE = 2, 0.95
 EPOCHS, BATCH, RATE, L2, SCALE = 15, 32, 0.3, 1e-4, 40.0
 KEEP = 0.5
 
-_kinds = np.zeros((4, 256), np.uint8)
+_kinds = np.zeros((6, 256), np.uint8)
 _kinds[0, 65:91] = 1
 _kinds[1, 48:58] = 1
 _kinds[2, [i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in ".,;:'\"-()"]] = 1
 _kinds[3, [0x20, 9, 10, 11, 12, 13]] = 1
+_kinds[4, 10] = 1
+_kinds[5, [ord(c) for c in "/@:"]] = 1
 
 
 def _pieces(column: pa.Array):
@@ -47,12 +49,12 @@ def _sums(values: np.ndarray, offsets: np.ndarray, short: int = 0) -> np.ndarray
 
 
 def shapes(column: pa.Array) -> np.ndarray:
-    """Measures of each text's shape, about between 0 and 1."""
+    """Measures of each page's shape, about between 0 and 1: kinds of signs, lines, signs of links, length, and how words repeat; nothing of what it says."""
     n = len(column)
     sizes = np.diff(buffers(column)[1])
-    counts, words, distinct = np.zeros((4, n)), np.zeros(n), np.zeros(n)
+    counts, words, distinct = np.zeros((6, n)), np.zeros(n), np.zeros(n)
     for first, offsets, part, _ in _pieces(column):
-        for k in range(4):
+        for k in range(len(_kinds)):
             counts[k, first : first + len(offsets) - 1] += _sums(_kinds[k][part], offsets)
     for first, _, hashes, bounds in word_hashes(column):
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -60,11 +62,11 @@ def shapes(column: pa.Array) -> np.ndarray:
             distinct[first + i] = len(np.unique(hashes[a:b]))
     share = counts / np.maximum(sizes, 1)
     mean = (sizes - counts[3]) / np.maximum(words, 1)
-    return np.stack([share[0], share[1], 4 * share[2], share[3], np.log1p(sizes) / 12, np.sqrt(words / np.maximum(distinct, 1)) / 4, distinct / np.maximum(words, 1), np.minimum(mean, 30) / 15], axis=1)
+    return np.stack([share[0], share[1], 4 * share[2], share[3], np.log1p(sizes) / 12, np.sqrt(words / np.maximum(distinct, 1)) / 4, distinct / np.maximum(words, 1), np.minimum(mean, 30) / 15, np.minimum(20 * share[4], 2), np.minimum(20 * share[5], 2)], axis=1)
 
 
 def text_vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, values) of each text: shares of trigrams, then shapes."""
+    """(features, values) of each text: shares of trigrams."""
     n = len(column)
     counts: list = [0] * n
     for first, offsets, _, grams in _pieces(column):
@@ -72,10 +74,10 @@ def text_vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             own = grams[offsets[i] : max(offsets[i + 1] - 2, offsets[i])]
             counts[first + i] = counts[first + i] + np.bincount(own, minlength=GRAMS)
     out = []
-    for c, shape in zip(counts, shapes(column), strict=True):
+    for c in counts:
         c = c + np.zeros(GRAMS)
         hit = np.flatnonzero(c)
-        out.append((np.concatenate([hit, GRAMS + np.arange(SHAPES)]).astype(np.int32), np.concatenate([SCALE * c[hit] / max(c.sum(), 1), shape]).astype(np.float32)))
+        out.append((hit.astype(np.int32), (SCALE * c[hit] / max(c.sum(), 1)).astype(np.float32)))
     return out
 
 
@@ -86,7 +88,20 @@ def text_logits(column: pa.Array, weights: np.ndarray) -> np.ndarray:
         own = slice(first, first + len(offsets) - 1)
         sums[own] += _sums(weights[:GRAMS][grams], offsets, 2)
         grams_of[own] += np.clip(np.diff(np.minimum(offsets, len(grams) + 2)) - 2, 0, None)
-    return SCALE * sums / np.maximum(grams_of, 1) + shapes(column) @ weights[GRAMS:-1] + weights[-1]
+    return SCALE * sums / np.maximum(grams_of, 1) + weights[-1]
+
+
+def page_vectors(column: pa.Array, metas: list[list[int]], shape: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, values) of each page: its hashed metadata, then its shape if wanted."""
+    if not shape:
+        return [(np.array(m, np.int32), np.ones(len(m), np.float32)) for m in metas]
+    return [(np.concatenate([m, META + np.arange(SHAPES)]).astype(np.int32), np.concatenate([np.ones(len(m)), own]).astype(np.float32)) for m, own in zip(metas, shapes(column), strict=True)]
+
+
+def page_logits(column: pa.Array, metas: pa.Array, weights: np.ndarray) -> np.ndarray:
+    if not len(column):
+        return np.zeros(0)
+    return weights[metas.flatten().to_numpy()].reshape(len(column), -1).sum(axis=1) + shapes(column) @ weights[META:-1] + weights[-1]
 
 
 def fitted(features: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
@@ -126,20 +141,23 @@ def _calibration(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _vectors(batches):
+def _vectors(shape: bool):
     """Rows (view, id, y, weight, text, meta) to rows (view, y, weight, features, values)."""
-    for batch in batches:
-        views, metas = batch.column(0).to_pylist(), batch.column(5).to_pylist()
-        texts = text_vectors(batch.column(4))
-        rows = [t if v == "text" else (np.array(m, np.int32), np.ones(len(m), np.float32)) for v, t, m in zip(views, texts, metas, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array([f for f, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float32()))], names=["view", "id", "y", "weight", "features", "values"])
+
+    def run(batches):
+        for batch in batches:
+            views, metas = batch.column(0).to_pylist(), batch.column(5).to_pylist()
+            rows = [t if v == "text" else m for v, t, m in zip(views, text_vectors(batch.column(4)), page_vectors(batch.column(4), metas, shape), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array([f for f, _ in rows], pa.list_(pa.int32())), pa.array([x for _, x in rows], pa.list_(pa.float32()))], names=["view", "id", "y", "weight", "features", "values"])
+
+    return run
 
 
 def _fit(table: pa.Table) -> pa.Table:
     view = table.column("view")[0].as_py()
     table = table.sort_by([("id", "ascending"), ("y", "ascending"), ("weight", "ascending")])
     arrays = [[x.values.to_numpy() for x in table.column(c)] for c in ("features", "values")]
-    w = fitted(*arrays, table.column("y").to_numpy(), table.column("weight").to_numpy(), GRAMS + SHAPES if view == "text" else META)
+    w = fitted(*arrays, table.column("y").to_numpy(), table.column("weight").to_numpy(), GRAMS if view == "text" else META + SHAPES)
     return pa.table([pa.array([view]), pa.array([w.tobytes()], pa.binary())], names=["view", "w"])
 
 
@@ -148,17 +166,17 @@ def metadata(*columns: Column) -> Column:
     return F.array(*(F.pmod(F.xxhash64(F.lit(i), F.coalesce(c.cast("string"), F.lit("\u0000"))), F.lit(META)).cast("int") for i, c in enumerate(columns)))
 
 
-def co_trained(docs: DataFrame, labels: DataFrame, meta: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def co_trained(docs: DataFrame, labels: DataFrame, meta: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, shape: bool = True) -> DataFrame:
     """(id, text_score, meta_score, score, kept) for every row of ``docs``.
 
     ``labels`` has rows (id, good boolean).  About PER_CLASS labelled documents of each class, taken by a hash, teach a classifier
-    on the whole text (trigrams of bytes and shape) and one on the metadata.  In each of ``rounds`` rounds both score all documents, and
+    on what the whole text says (trigrams of bytes) and one on the page: its metadata and the shape of the whole page (see ``shapes``; not with ``shape`` false).  In each of ``rounds`` rounds both score all documents, and
     each gives the other the PSEUDO of each class of which it is surest (SURE at least, calibrated) as pseudo-labels of half weight.  A
     fifth of the labelled documents is left out to calibrate either view and their combination; scores are
     probabilities for classes of equal size, and ``kept`` is a score of KEEP or more.
 
-    Every round so scores all documents: what a view is surest of is known only then.  The text view has no part of the metadata and
-    the metadata view none of the text.  An identifier that is taught, held out or given a pseudo-label counts once, by
+    Every round so scores all documents: what a view is surest of is known only then.  The text view has no part of the metadata or
+    the shape, and the page view no word of the text.  An identifier that is taught, held out or given a pseudo-label counts once, by
     the row whose text sorts first by hash, so lessons and held-out rows are as many as labels at most, whatever repeats.
 
     A null text is empty.  Labels that are null, or contradict each other, are left out.  Rows may repeat and identifiers be null
@@ -184,17 +202,15 @@ def co_trained(docs: DataFrame, labels: DataFrame, meta: Column, id_col: str = "
         own = looked_up(rows, lessons.select("id").distinct(), ["id"], "left_semi")
         own = own.groupBy("id").agg(F.min_by(F.struct("text", "meta"), F.struct(F.xxhash64("text"), "meta")).alias("row")).select("id", "row.text", "row.meta")
         lessons = own.join(lessons, "id").select("view", "id", "y", "weight", "text", "meta")
-        models = lessons.mapInArrow(_vectors, f"view string, id {kind}, y double, weight double, features array<int>, values array<float>").groupBy("view").applyInArrow(_fit, "view string, w binary")
-        weights = {"text": np.zeros(GRAMS + SHAPES + 1), "meta": np.zeros(META + 1)}
+        models = lessons.mapInArrow(_vectors(shape), f"view string, id {kind}, y double, weight double, features array<int>, values array<float>").groupBy("view").applyInArrow(_fit, "view string, w binary")
+        weights = {"text": np.zeros(GRAMS + 1), "meta": np.zeros(META + SHAPES + 1)}
         weights |= {r["view"]: np.frombuffer(r["w"], np.float64) for r in models.collect()}  # two models
         shared = spark.sparkContext.broadcast(weights)
 
         def score(batches, shared=shared):
             w = shared.value
             for batch in batches:
-                meta = batch.column(2)
-                m = w["meta"][meta.flatten().to_numpy()].reshape(batch.num_rows, -1).sum(axis=1) + w["meta"][-1] if batch.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_logits(batch.column(1), w["text"])), pa.array(m)], names=["id", "text_logit", "meta_logit"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_logits(batch.column(1), w["text"])), pa.array(page_logits(batch.column(1), batch.column(2), w["meta"]))], names=["id", "text_logit", "meta_logit"])
 
         scored = written(rows.select("id", "text", "meta").mapInArrow(score, f"id {kind}, text_logit double, meta_logit double"), "scored")
         test = looked_up(scored, taught.where("held").select("id", "y"), ["id"]).groupBy("id", "y").agg(F.min(F.struct("text_logit", "meta_logit")).alias("l"))  # a row for each held label
@@ -224,7 +240,7 @@ def co_trained(docs: DataFrame, labels: DataFrame, meta: Column, id_col: str = "
 
 
 def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of all documents; good: of quality 1 and not toxic.  The page view sees source and language, never the text or its length."""
+    """Quality of all documents; good: of quality 1 and not toxic.  The page view sees source, language and the page's shape."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labels = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))

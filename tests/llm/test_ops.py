@@ -637,7 +637,7 @@ def test_quality_repeats_count_once_and_views_teach_each_other(spark):
             labels.append((i, good))
     rows += [(0, rows[0][1], "en", "press")] * 600  # a taught row a great many times
     docs, known = docs_of(spark, rows), spark.createDataFrame(labels, "id long, good boolean")
-    score = lambda rounds: {(r.doc_id): r for r in cotrain.co_trained(docs, known, cotrain.metadata(F.col("source")), rounds=rounds).collect()}
+    score = lambda rounds: {(r.doc_id): r for r in cotrain.co_trained(docs, known, cotrain.metadata(F.col("source")), rounds=rounds, shape=False).collect()}
     before, after = score(0), score(2)
     new = lambda found, good: np.mean([found[i].meta_score for i in range(300, 900) if (i % 2 == 0) == good])
     assert abs(new(before, True) - new(before, False)) < 1e-9  # a source never taught says nothing
@@ -674,9 +674,46 @@ def test_text_scores_are_those_of_the_vectors():
 
     random = np.random.default_rng(0)
     texts = pa.array(["", None, "ab", "abc", "Hello, HELLO ## 12\n" * 50, "é" * 999, "z" * ((1 << 20) + 77)])
-    w = random.normal(size=cotrain.GRAMS + cotrain.SHAPES + 1)
+    w = random.normal(size=cotrain.GRAMS + 1)
     want = [float(w[f] @ v + w[-1]) for f, v in cotrain.text_vectors(texts)]
     assert np.allclose(cotrain.text_logits(texts, w), want, atol=1e-4)
+    w, metas = random.normal(size=cotrain.META + cotrain.SHAPES + 1), [[1, 5], [2, 2], [0, 4095]] * 2 + [[7, 8]]
+    want = [float(w[f] @ v + w[-1]) for f, v in cotrain.page_vectors(texts, metas)]
+    assert np.allclose(cotrain.page_logits(texts, pa.array(metas), w), want, atol=1e-4)
+
+
+def test_quality_views_give_each_other_labels_in_every_round(spark, monkeypatch):
+    """On documents each view is sure of some for the other, and what is exchanged doesn't cost held-out documents their right answer."""
+    given, keep = [], cotrain.written
+
+    def noted(df, what, *more):
+        out = keep(df, what, *more)
+        if what == "pseudo":
+            given.append({r.view for r in out.select("view").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(cotrain, "written", noted)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    meta = cotrain.metadata(F.col("source"), F.col("lang"))
+    right = []
+    for rounds in (0, 2):
+        found = cotrain.co_trained(docs, labels.where("id % 3 <> 0"), meta, rounds=rounds)
+        right.append(found.join(labels.withColumnRenamed("id", "doc_id"), "doc_id").where("doc_id % 3 = 0 AND kept = good").count())
+    assert given == [{"text", "meta"}] * 2 and right[1] >= right[0]
+
+
+def test_quality_of_odd_rows_by_a_fitted_model(spark, odd):
+    """Null, empty, long and repeated texts get a probability from a model of both classes, and equal rows the same."""
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in (1, 2, 4, 5, 6, 7, 8, 9)], "id long, good boolean")
+    rows = cotrain.co_trained(odd, labels, cotrain.metadata(F.col("source"))).collect()
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.kept == (r.score >= cotrain.KEEP) for r in rows) and len({r.score for r in rows}) > 5
+    assert len({r.score for r in rows if r.doc_id == 2}) == 1
+
+
+@pytest.mark.parametrize("sign", ["²", "½", "Ⅷ", "①", "7 _ -"])
+def test_signs_that_are_no_letters_have_no_language(sign):
+    assert not langid.has_letter(sign) and langid.has_letter(sign + "ª") and langid.has_letter("漢") and not langid.has_letter("") and not langid.has_letter(None)
 
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
