@@ -22,6 +22,7 @@ Groups of near copies thus cost blocks, not pairs, texts that only look alike co
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -413,19 +414,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Hoods of several blocks: the few that lie outside the largest component against all blocks.  Where they are more than a block the hood says
     # little of its members, so these gather anew by their rare shingles; what is wide and apart even there is compared block by block.
     apart, crowded = _apart(placed, reached, block_rows)
-    cross = written(_across(apart.where(F.col("odd") <= block_rows), sets, block_rows), "links")
-    edges = edges.union(cross)
+    more = [written(_across(apart.where(F.col("odd") <= block_rows), sets, block_rows), "links")]
     if crowded.limit(1).count():
         again = written(_by_rare_shingles(crowded, sets, block_rows, block_shingles), "again")
-        reached = components(edges, spark)
         inner = _known(with_hubs(again.select("space", "hub", "block", "id")), reached).select("space", "hub", "block", "id", F.lit(0).alias("side"), "component")
-        inner = _still_open(written(inner, "inner"))
-        edges = edges.union(written(_compared_in(inner, sets), "links"))
-        apart, _ = _apart(again, components(edges, spark), block_rows)
-        edges = edges.union(written(_across(apart, sets, block_rows), "links"))
-        reached = components(edges, spark)
-    elif cross.limit(1).count():
-        reached = components(edges, spark)
+        more.append(written(_compared_in(_still_open(written(inner, "inner")), sets), "links"))
+        if again.where("blocks > 1").limit(1).count():
+            apart, _ = _apart(again, components(reduce(DataFrame.union, more, edges), spark), block_rows)
+            more.append(written(_across(apart, sets, block_rows), "links"))
+    found = reduce(DataFrame.union, more)
+    if found.limit(1).count():
+        reached = components(edges.union(found), spark)
 
     reached = reached.select(F.col("node").alias("class_id"), F.col("component").alias("reached"))
     final = written(looked_up(classes.select("n", "h1", "h2", "class_id"), reached, ["class_id"], "left"), "final")
