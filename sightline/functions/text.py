@@ -94,6 +94,15 @@ def file_altitude(name: Column) -> Column:
     )
 
 
+def viewshed_name(sensor: Column, altitude: Column, altitudes: list[float], reference: str, height: Column | None = None) -> Column:
+    """An output's file name: the place of its altitude among the run's (00 if it isn't one), sensor, height where a run has several, altitude and reference."""
+    ordered = sorted(set(float(a) for a in altitudes))
+    place = F.array_position(F.array(*(F.lit(a) for a in ordered)), altitude).cast("string")
+    safe = F.replace(F.replace(sensor, F.lit(" "), F.lit("_")), F.lit("/"), F.lit("-"))
+    tall = F.lit("") if height is None else F.concat(F.lit("_sh_"), label(height), F.lit("m"))
+    return F.concat(F.when(F.length(place) < 2, F.concat(F.lit("0"), place)).otherwise(place), F.lit("_cover-"), safe, tall, F.lit("-tgt_alt_"), label(altitude), F.lit(f"m_{reference.upper()}.kml"))
+
+
 def duration(seconds: Column) -> Column:
     """Whole seconds as "1h 2m 3s", leaving out leading zeros."""
     h, m, s = F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60

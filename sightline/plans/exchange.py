@@ -38,12 +38,12 @@ def csv_sites(spark, sf_dir):
 
 
 @query(f"""WITH {T.SITES} {_CSV} UNION ALL SELECT name, latitude, longitude, altitude_mode, input_altitude,
- CASE WHEN altitude_mode <> 'clampToGround' AND input_altitude IS NOT NULL THEN 0.0 ELSE 10.0 END::DOUBLE AS height FROM sites WHERE site_id % 3 = 1""")
+ CASE WHEN altitude_mode <> 'clampToGround' AND input_altitude IS NOT NULL THEN 0.0 ELSE 10.0 END::DOUBLE AS height FROM sites""")
 def folder_sites(spark, sf_dir):
     """Sites of a folder that holds CSV and KML files, as a bag."""
     path = files.scratch(spark, "sites-folder")
     _write_csv(spark, sf_dir, path)
-    s = T.sites(spark, sf_dir).where("site_id % 3 = 1")
+    s = T.sites(spark, sf_dir)
     at = F.concat_ws(",", F.col("longitude").cast("string"), F.col("latitude").cast("string"), F.col("input_altitude").cast("string"))
     marks = F.concat(F.lit("<Placemark><name>"), text.escaped(F.col("name")), F.lit("</name><Point><altitudeMode>"), "altitude_mode", F.lit("</altitudeMode><coordinates>"), at, F.lit("</coordinates></Point></Placemark>"))
     kml.write_files(s.select(F.concat(F.lit("s"), F.pmod("site_id", F.lit(4)), F.lit(".kml")).alias("filename"), marks.alias("mark")).groupBy("filename").agg(kml.document(F.lit("sites"), F.array_join(F.array_sort(F.collect_list("mark")), "")).alias("content")), path)
@@ -117,12 +117,12 @@ def broken_files(spark, sf_dir):
     return kml.read_coverage(spark, path).select("file", F.coalesce(F.size("polygons"), F.lit(0)).alias("outlines"), F.col("error").isNotNull().alias("failed"))
 
 
-@query(f"""WITH {T.SITES}, a AS (SELECT site_id, name, unnest([100.0, 1000.0])::DOUBLE AS alt FROM sites WHERE site_id % 5 = 0)
-SELECT 'both.kml' AS file, name AS folder_name, name AS sensor_name, site_id, 2 AS outlines FROM a WHERE alt = 100""")
+@query(f"""WITH {T.SITES}, a AS (SELECT site_id, name, unnest([100.0, 1000.0])::DOUBLE AS alt FROM sites)
+SELECT 'network' || site_id % 5 || '.kml' AS file, name AS folder_name, name AS sensor_name, site_id, 2 AS outlines FROM a WHERE alt = 100""")
 def combined_kml(spark, sf_dir):
-    """Several sensors with two outlines each in one file, a folder for each sensor."""
-    o = _outlined(spark, sf_dir).where("site_id % 5 = 0").withColumn("altitude", F.explode(F.array(F.lit(100.0), F.lit(1000.0))))
-    rows = o.select(F.lit("both.kml").alias("filename"), F.lit("All").alias("title"), F.col("name").alias("sensor"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), F.concat(F.lit("site "), "site_id").alias("description"), F.col("site_id").alias("ordinal"), "altitude", "polygons", "style", "metadata")
+    """Files of several sensors with two outlines each, a folder for each sensor."""
+    o = _outlined(spark, sf_dir).withColumn("altitude", F.explode(F.array(F.lit(100.0), F.lit(1000.0))))
+    rows = o.select(F.concat(F.lit("network"), F.col("site_id") % 5, F.lit(".kml")).alias("filename"), F.lit("All").alias("title"), F.col("name").alias("sensor"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), F.concat(F.lit("site "), "site_id").alias("description"), F.col("site_id").alias("ordinal"), "altitude", "polygons", "style", "metadata")
     path = files.scratch(spark, "combined")
     kml.write_files(kml.combined_documents(rows), path)
     back = kml.read_coverage(spark, path)
@@ -160,10 +160,10 @@ def horizon_files(spark, sf_dir):
     return kml.read_metadata(spark, path).select("file", F.col("metadata")["Sensor Name"].alias("sensor"))
 
 
-@query(f"""WITH {T.SITES} SELECT 'S' || site_id || '.kml' AS file, name AS title, 5 AS points FROM sites WHERE site_id % 3 = 0""")
+@query(f"""WITH {T.SITES} SELECT 'S' || site_id || '.kml' AS file, name AS title, 5 AS points FROM sites""")
 def bare_polygons(spark, sf_dir):
     """Outlines alone, without sensors, as files that site and style scans can read."""
-    o = _outlined(spark, sf_dir).where("site_id % 3 = 0").select(F.concat(F.lit("S"), "site_id", F.lit(".kml")).alias("filename"), F.col("name").alias("title"), "altitude", "polygons", "style")
+    o = _outlined(spark, sf_dir).select(F.concat(F.lit("S"), "site_id", F.lit(".kml")).alias("filename"), F.col("name").alias("title"), "altitude", "polygons", "style")
     path = files.scratch(spark, "bare")
     kml.write_files(kml.polygon_documents(o), path)
     marks = spark.read.format("xml").option("rowTag", "Placemark").schema("name STRING, MultiGeometry STRUCT<Polygon: ARRAY<STRUCT<altitudeMode: STRING, outerBoundaryIs: STRUCT<LinearRing: STRUCT<coordinates: STRING>>>>>").load(path + "/*")

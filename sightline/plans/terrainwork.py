@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import earth
+from ..functions import earth, text
 from ..operators import coverage as C
 from ..operators import sweep as W
 from ..operators import terrain as R
@@ -144,17 +144,17 @@ def viewshed_reach(spark, sf_dir):
     return W.zones(r, "reach").groupBy("site_id", "alt_m", F.round("reach", 3).alias("reach_m")).agg(F.count("*").alias("zones"), F.sum(n).alias("samples_a_ray"))
 
 
-@query(f"""WITH {_COMPOSITE} SELECT 'site' || site_id || '-tgt_alt_' || alt_m::INTEGER || 'm_AGL.kml' AS file, "row", col FROM v WHERE site_id % 5 = 0""")
+@query(f"""WITH {_COMPOSITE} SELECT CASE alt_m WHEN 50 THEN '01' ELSE '02' END || '_cover-' || replace(name, ' ', '_') || '-tgt_alt_' || alt_m::INTEGER || 'm_AGL.kml' AS file, "row", col FROM v JOIN sites USING (site_id)""")
 def viewshed_files(spark, sf_dir):
     """Viewsheds written as KML outlines with their holes, read back and laid on the grid again: the cells that were seen."""
-    v = V.composite(zone_tasks(spark, sf_dir).where("site_id % 5 = 0"), zone_terrain, T.altitudes(spark, 50, 200), RES)
+    v = V.composite(zone_tasks(spark, sf_dir), zone_terrain, T.altitudes(spark, 50, 200), RES)
     p = C.polygons(files.saved(v, "viewsheds"), ["site_id", "alt_m"], RES)
     at = T.sites(spark, sf_dir).select("site_id", "name", "longitude", "latitude")
-    name = F.concat(F.lit("site"), F.col("site_id").cast("string"), F.lit("-tgt_alt_"), F.col("alt_m").cast("int").cast("string"), F.lit("m_AGL"))
+    name = text.viewshed_name(F.col("name"), F.col("alt_m"), [50, 200], "agl")
     none = F.lit(None).cast("string")
     sensor = F.struct("name", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), none.alias("icon_color"), F.lit(None).cast("double").alias("icon_scale"), none.alias("icon_href"))
     style = F.struct(F.lit("#2060c0").alias("line_color"), F.lit(1.5).alias("line_width"), F.lit("#2060c0").alias("fill_color"), F.lit(0.25).alias("fill_opacity"))
-    outputs = p.join(few(at), "site_id").select(F.concat(name, F.lit(".kml")).alias("filename"), name.alias("title"), F.col("alt_m").alias("altitude"), "polygons", F.array(sensor).alias("sensors"), style.alias("style"), F.create_map(F.lit("Site"), "name").alias("metadata"), kml.height_mode(F.lit("absolute"), F.lit("agl")).alias("mode"))
+    outputs = p.join(few(at), "site_id").select(name.alias("filename"), F.regexp_replace(name, r"\.kml$", "").alias("title"), F.col("alt_m").alias("altitude"), "polygons", F.array(sensor).alias("sensors"), style.alias("style"), F.create_map(F.lit("Site"), "name").alias("metadata"), kml.height_mode(F.lit("absolute"), F.lit("agl")).alias("mode"))
     path = files.scratch(spark, "viewsheds-kml")
     kml.write_files(kml.coverage_documents(outputs), path)
     return C.cells_inside(kml.read_coverage(spark, path).where("error IS NULL"), ["file"], RES)

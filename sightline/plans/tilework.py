@@ -116,10 +116,10 @@ def tile_files(spark, sf_dir):
     return O.present(t, files).select("id", "local", "downloaded")
 
 
-@query(f"""WITH {T.TILES}, c AS (SELECT id, min_lon, min_lat, max_lon, max_lat FROM tiles WHERE ordinal % 7 <> 0) SELECT id, 'name ' || id AS name, min_lon, min_lat, max_lon, max_lat FROM c""")
+@query(f"""WITH {T.TILES}, c AS (SELECT id, min_lon, min_lat, max_lon, max_lat FROM tiles) SELECT id, 'name ' || id AS name, min_lon, min_lat, max_lon, max_lat FROM c""")
 def tile_index(spark, sf_dir):
     """Entries of JSON index documents, one document for each score, as rows; documents that are none give nothing."""
-    t = T.tiles(spark, sf_dir).where("ordinal % 7 <> 0")
+    t = T.tiles(spark, sf_dir)
     at = lambda a, b: F.concat(F.col(a).cast("string"), F.lit(" "), F.col(b).cast("string"))
     ring = F.concat_ws(", ", at("min_lon", "min_lat"), at("min_lon", "max_lat"), at("max_lon", "max_lat"), at("max_lon", "min_lat"), at("min_lon", "min_lat"))
     entry = F.struct("id", F.struct(F.concat(F.lit("name "), "id").alias("name"), F.concat(F.lit("geography'SRID=4326;POLYGON(("), ring, F.lit("))'")).alias("footprint")))

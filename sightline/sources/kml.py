@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import earth
 from ..functions.text import coordinates, escaped, extended_data, kml_color, label, metadata_html
 from .files import few
+from .named import write_named
 
 #: Fixed values of the outputs: colour and width of lines without a style, and the icon of a sensor.
 LINE_COLOR, LINE_WIDTH = "#FFA500", 2.0
@@ -155,8 +156,8 @@ def horizon_documents(rings: DataFrame, places: DataFrame, style: Column, metada
 
 
 def write_files(documents: DataFrame, path: str) -> None:
-    """Rows (filename, content) as text files, each in a folder ``filename=...`` of its own, as Spark names part files itself."""
-    documents.write.mode("append").partitionBy("filename").option("lineSep", "\n").text(path)
+    """Rows (filename, content) as files of those names in a folder, all or none of them; a name may occur once."""
+    write_named(documents, path)
 
 
 STYLE_FIELDS = ("icon_color", "icon_scale", "icon_href", "line_color", "line_width", "fill_color", "fill_opacity")
@@ -253,9 +254,9 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def name_of(path: Column) -> Column:
-    """A file's name: that of its ``filename=`` folder if it has one."""
-    own = F.regexp_extract(path, r"filename=([^/]+)/", 1)
-    return F.when(own != "", F.url_decode(F.replace(own, F.lit("+"), F.lit("%2B")))).otherwise(F.element_at(F.split(path, "/"), -1))
+    """A file's name, of the path as it is or as an address."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(path.startswith("file:/") | path.contains("://"), F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)).otherwise(name)
 
 
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
