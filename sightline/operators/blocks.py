@@ -1,7 +1,7 @@
 """Sweeps over real terrain: rasters as blocks of cells, rays cut where they leave a block, and the surface from the cuts' own maxima.
 
-1. *Blocks.* Rasters come as pieces (ordinal, step, x0, y0, rows, cols, cells), laid out on one grid of the world at the finest step.  Each
-   block of the mosaic is painted from the pieces that reach into it, and one more row and column of its neighbours.
+1. *Blocks.* Rasters come as pieces (ordinal, min_lon, max_lat, step_lon, step_lat, row0, col0, rows, cols, cells), which are laid out on one
+   grid of the world at the finest step; its cells lie between whole steps, or round them for rasters of ``posts``.  Each block of the mosaic is painted from the pieces that reach into it, and one more row and column of its neighbours.
 2. *Cuts.* A ray's samples lie on the sensor's plane, so the blocks it crosses follow from their places; a cut is a run of samples in one
    block, and a row of numbers: no sample is shuffled.
 3. *Samples.* Cuts meet their block, which is sent once to each task that needs it, and take the terrain between its cell centres: an array
@@ -30,7 +30,7 @@ SIDE, SAMPLES, AT_ONCE = 256, 4_000_000, 1_000_000
 
 
 def pieces(tiles: DataFrame, cells: DataFrame, side: int = SIDE) -> DataFrame:
-    """(ordinal, min_lon, max_lat, step, row0, col0, rows, cols, cells) of tiles (id, ordinal, min_lon, max_lat, step) and their cells (id, row, col, elevation)."""
+    """(ordinal, min_lon, max_lat, step_lon, step_lat, row0, col0, rows, cols, cells) of tiles (id, ordinal, min_lon, max_lat, step) and their cells (id, row, col, elevation)."""
     at = cells.withColumns({"r": F.floor(F.col("row") / side).cast("int"), "c": F.floor(F.col("col") / side).cast("int")}).groupBy("id", "r", "c")
     found = at.agg(F.min("row").alias("row0"), F.min("col").alias("col0"), (F.max("row") - F.min("row") + 1).alias("rows"), (F.max("col") - F.min("col") + 1).alias("cols"), F.array_sort(F.collect_list(F.struct("row", "col", "elevation"))).alias("list"))
 
@@ -46,7 +46,7 @@ def pieces(tiles: DataFrame, cells: DataFrame, side: int = SIDE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(n) for n in ("row0", "col0", "rows", "cols")), _lists(out)], names=["id", "row0", "col0", "rows", "cols", "cells"])
 
     laid = found.drop("r", "c").mapInArrow(dense, found.select("id", "row0", "col0", "rows", "cols").schema.add("cells", T.ArrayType(T.FloatType())))
-    return laid.join(few(tiles.select("id", "ordinal", "min_lon", "max_lat", "step")), "id").drop("id")
+    return laid.join(few(tiles.select("id", "ordinal", "min_lon", "max_lat", F.col("step").alias("step_lon"), F.col("step").alias("step_lat"))), "id").drop("id")
 
 
 def _lists(arrays: list[np.ndarray], kind=None) -> pa.ListArray:
@@ -54,35 +54,38 @@ def _lists(arrays: list[np.ndarray], kind=None) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.float32)]), kind))
 
 
-def mosaic(found: DataFrame, step: float, side: int = SIDE) -> DataFrame:
+def mosaic(found: DataFrame, step: float, side: int = SIDE, posts: bool = False) -> DataFrame:
     """(bx, by, cells): the blocks of the world's grid at ``step`` degrees that pieces reach into: side + 1 rows from the south by side + 1 columns from the west.
 
     Where pieces overlap the one of the highest ordinal stays, cell by cell; empty cells hide nothing; coarser ones fill several.  Pieces go to
     a task in order and are painted one after the other, so a task holds one block and one piece, however many overlap.
     """
-    west = lambda c: F.round((F.col("min_lon") + F.col(c) * F.col("step")) / step).cast("long")
-    north = F.round((F.col("max_lat") - F.col("row0") * F.col("step")) / step).cast("long")
     across = round(360 / step)
-    p = found.withColumns({"times": F.round(F.col("step") / step).cast("int"), "x0": west("col0"), "y1": north})
+    p = found.withColumns({f"times_{k}": F.round(F.col(f"step_{n}") / step).cast("int") for k, n in (("x", "lon"), ("y", "lat"))})
+    half = lambda k: F.floor(F.col(f"times_{k}") / 2) if posts else F.lit(0)  # noqa: E731  cells that lie before a coarser post's own
+    inset = 0.5 if posts else 0.0
+    p = p.withColumn("x0", F.round((F.col("min_lon") + inset * F.col("step_lon")) / step).cast("long") + F.col("col0") * F.col("times_x") - half("x"))
+    top = F.round((F.col("max_lat") - inset * F.col("step_lat")) / step).cast("long") - F.col("row0") * F.col("times_y")
+    p = p.withColumn("y1", top - half("y") + F.col("times_y") if posts else top).withColumn("y0", F.col("y1") - F.col("rows") * F.col("times_y"))
     turns = F.when(F.col("x0") <= -across // 2, F.array("x0", F.col("x0") + across)).otherwise(F.array("x0"))  # the first column is also the last one's neighbour
     p = p.withColumn("x0", F.explode(turns))
-    p = p.withColumn("y0", F.col("y1") - F.col("rows") * F.col("times")).withColumn("x1", F.col("x0") + F.col("cols") * F.col("times"))
+    p = p.withColumn("x1", F.col("x0") + F.col("cols") * F.col("times_x"))
     span = lambda a, b: F.explode(F.sequence(F.floor((F.col(a) - 1) / side), F.floor((F.col(b) - 1) / side)))  # noqa: E731  a block has one cell of the next
     p = p.withColumn("bx", span("x0", "x1")).withColumn("by", span("y0", "y1"))
-    p = p.select("bx", "by", "ordinal", "times", "x0", "y1", "rows", "cols", "cells").repartition("bx", "by").sortWithinPartitions("bx", "by", "ordinal", "x0", "y1")
+    p = p.select("bx", "by", "ordinal", "times_x", "times_y", "x0", "y1", "rows", "cols", "cells").repartition("bx", "by").sortWithinPartitions("bx", "by", "ordinal", "x0", "y1")
 
     def painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block = None, None
         done = lambda: pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]]), _lists([block.ravel()])], names=["bx", "by", "cells"])
         for batch in batches:
-            for bx, by, times, x0, y1, rows, cols, own in zip(*(batch.column(n).to_pylist() for n in ("bx", "by", "times", "x0", "y1", "rows", "cols")), batch.column("cells"), strict=True):
+            for bx, by, tx, ty, x0, y1, rows, cols, own in zip(*(batch.column(n).to_pylist() for n in ("bx", "by", "times_x", "times_y", "x0", "y1", "rows", "cols")), batch.column("cells"), strict=True):
                 if at != (bx, by):
                     if at:
                         yield done()
                     at, block = (bx, by), np.full((side + 1, side + 1), np.nan, np.float32)
                 grid = own.values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(rows, cols)[::-1]  # from the south
                 gx, gy = np.arange(bx * side, bx * side + side + 1), np.arange(by * side, by * side + side + 1)
-                c, r = (gx - x0) // times, (gy - (y1 - rows * times)) // times
+                c, r = (gx - x0) // tx, (gy - (y1 - rows * ty)) // ty
                 cs, rs = np.flatnonzero((c >= 0) & (c < cols)), np.flatnonzero((r >= 0) & (r < rows))
                 if len(cs) and len(rs):
                     new, inside = grid[np.ix_(r[rs], c[cs])], np.ix_(rs, cs)
@@ -118,7 +121,7 @@ def geodesic(lat: np.ndarray, lon: np.ndarray, az: np.ndarray, dist: np.ndarray,
 _RAY = ("latitude", "longitude", "msl", "radius", "res_m", "pass_max", "az_idx", "n_az", "n_r", "step_m")
 
 
-def _places(ray: dict[str, np.ndarray], index: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+def _places(ray: dict[str, np.ndarray], index: np.ndarray, step: float, posts: bool) -> tuple[np.ndarray, np.ndarray]:
     """Samples' places on the world's grid, in cells from the first centre.
 
     The terrain is that of the plane of the sensor: a sample takes the centre of the plane's cell that it falls on, as far as the plane goes.
@@ -130,8 +133,9 @@ def _places(ray: dict[str, np.ndarray], index: np.ndarray, step: float) -> tuple
     x, y = (col + 0.5) * res - half, half - (row + 0.5) * res
     lat, lon = geodesic(ray["latitude"], ray["longitude"], np.degrees(np.arctan2(x, y)), np.sqrt(x * x + y * y))
     across = round(360 / step)
-    x = lon / step - 0.5
-    return x - across * np.floor((x + across / 2) / across), lat / step - 0.5  # the date line lies between two columns
+    inset = 0 if posts else 0.5
+    x = lon / step - inset
+    return x - across * np.floor((x + across / 2) / across), lat / step - inset  # the date line lies between two columns
 
 
 def _columns(batch: pa.RecordBatch | pa.Table) -> dict[str, np.ndarray]:
@@ -147,7 +151,7 @@ def _slices(sizes: np.ndarray) -> Iterator[slice]:
         low = high
 
 
-def cuts(rays: DataFrame, step: float, side: int = SIDE) -> DataFrame:
+def cuts(rays: DataFrame, step: float, side: int = SIDE, posts: bool = False) -> DataFrame:
     """``rays`` (as of ``zone_rays``) cut into runs of samples that lie in one block: with cut (from 0 along the ray), first, n, bx and by."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +162,7 @@ def cuts(rays: DataFrame, step: float, side: int = SIDE) -> DataFrame:
                 which = np.repeat(np.arange(part.start, part.stop), sizes)
                 start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 index = np.arange(len(which)) - np.repeat(start, sizes)
-                gx, gy = _places({n: v[which] for n, v in ray.items()}, index, step)
+                gx, gy = _places({n: v[which] for n, v in ray.items()}, index, step, posts)
                 bx, by = (np.floor(np.floor(v) / side).astype(np.int64) for v in (gx, gy))
                 fresh = np.ones(len(which), bool)
                 fresh[1:] = (which[1:] != which[:-1]) | (bx[1:] != bx[:-1]) | (by[1:] != by[:-1])
@@ -173,7 +177,7 @@ def cuts(rays: DataFrame, step: float, side: int = SIDE) -> DataFrame:
     return rays.mapInArrow(cut, T.StructType([*rays.schema.fields, *more]))
 
 
-def _sampled(keep: list[str], step: float, side: int):
+def _sampled(keep: list[str], step: float, side: int, posts: bool):
     """Cuts of one block and the block's cells to (keep, cut, first, elevations, steepest so far in the cut)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -186,7 +190,7 @@ def _sampled(keep: list[str], step: float, side: int):
             begins = np.concatenate([[0], np.cumsum(n)])
             index = np.arange(len(which)) - np.repeat(begins[:-1], n) + first[which]
             own = {k: v[which] for k, v in ray.items()}
-            gx, gy = _places(own, index, step)
+            gx, gy = _places(own, index, step, posts)
             x, y = np.floor(gx), np.floor(gy)
             u, v, x, y = gx - x, gy - y, (x - bx).astype(np.int64), (y - by).astype(np.int64)
             total, weight = np.zeros(len(which)), np.zeros(len(which))
@@ -208,14 +212,14 @@ def _sampled(keep: list[str], step: float, side: int):
     return run
 
 
-def surfaces(tasks: DataFrame, found: DataFrame, step: float, ray: list[str], side: int = SIDE) -> DataFrame:
+def surfaces(tasks: DataFrame, found: DataFrame, step: float, ray: list[str], side: int = SIDE, posts: bool = False) -> DataFrame:
     """(ray, mva array, ground array): the surface along every ray of ``tasks`` (as of ``viewshed.zone_rays``) over the mosaic ``found``, and the terrain under it.
 
     A block that many rays cross is sent to several tasks, each with a part of the cuts, as a count of samples says.  Where no block or
     no value is, the ground is sea level.
     """
     rays = zone_rays(tasks, ray)
-    cut = saved(cuts(rays.select(*dict.fromkeys((*ray, *_RAY))), step, side), "cuts")
+    cut = saved(cuts(rays.select(*dict.fromkeys((*ray, *_RAY))), step, side, posts), "cuts")
     load = cut.groupBy("bx", "by").agg(F.ceil(F.sum("n") / SAMPLES).cast("int").alias("tasks"))
     load = few(saved(load, "load"))
     parts = cut.join(load, ["bx", "by"]).withColumn("task", F.pmod(F.xxhash64(*ray), F.col("tasks")).cast("int")).drop("tasks")
@@ -223,7 +227,7 @@ def surfaces(tasks: DataFrame, found: DataFrame, step: float, ray: list[str], si
     keep = list(dict.fromkeys((*ray, "msl", "radius", "step_m")))
     schema = parts.select(*keep, "cut", "first").schema.add("ground", T.ArrayType(T.FloatType())).add("so_far", T.ArrayType(T.DoubleType()))
     at = ["bx", "by", "task"]
-    sampled = parts.groupBy(*at).cogroup(sent.groupBy(*at)).applyInArrow(_sampled(keep, step, side), schema)
+    sampled = parts.groupBy(*at).cogroup(sent.groupBy(*at)).applyInArrow(_sampled(keep, step, side, posts), schema)
     before = Window.partitionBy(*ray).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
     known = sampled.withColumn("before", F.coalesce(F.max(F.element_at("so_far", -1)).over(before), F.lit(-9999.0)))
 
@@ -237,3 +241,16 @@ def surfaces(tasks: DataFrame, found: DataFrame, step: float, ray: list[str], si
     whole = done.groupBy(*ray).agg(F.array_sort(F.collect_list(F.struct("cut", "mva", "ground"))).alias("cuts"))  # dealt by ray already
     joined = lambda name: F.flatten(F.transform("cuts", lambda c: c[name])).alias(name)
     return whole.select(*ray, joined("mva"), joined("ground"))
+
+
+def ground_at(points: DataFrame, found: DataFrame, step: float, side: int = SIDE, posts: bool = False) -> DataFrame:
+    """``points`` (longitude, latitude, ...) with ground_m, the elevation of the mosaic's nearest cell; 0 where there is none.
+
+    The points go to the blocks, which are not shuffled if a count says that the points are few.
+    """
+    place = lambda c: (F.floor(F.col(c) / step + 0.5) if posts else F.floor(F.col(c) / step)).cast("long")
+    at = points.withColumns({"__x": place("longitude"), "__y": place("latitude"), "__point": F.monotonically_increasing_id()})
+    at = saved(at.withColumns({"bx": F.floor(F.col("__x") / side), "by": F.floor(F.col("__y") / side)}), "points")
+    cell = F.get("cells", ((F.col("__y") - F.col("by") * side) * (side + 1) + F.col("__x") - F.col("bx") * side).cast("int"))
+    near = found.join(few(at.select("bx", "by", "__x", "__y", "__point")), ["bx", "by"]).select("__point", F.nanvl(cell.cast("double"), F.lit(0.0)).alias("ground_m"))
+    return at.join(near, "__point", "left").select(*points.columns, F.coalesce("ground_m", F.lit(0.0)).alias("ground_m"))

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import earth
+from ..functions import earth, text
 from ..operators import blocks as B
+from ..operators import coverage as C
+from ..operators import sites as S
 from ..operators import sweep as W
 from ..operators import viewshed as V
 from ..operators.sites import with_msl_height
 from ..registry import query
+from ..sources import dted, files, kml
 from ..sources import tables as T
 from ..sources.files import few, saved
+from ..sources.named import write_named
+from ..sources.runlog import RunLog, carried_out
 from .detections import geodesic_sql
+from .sitework import RADIUS
 from .sweeps import _SENSORS, RES, swept_sql
 
 #: Degrees of the finest raster, and cells on a block's side: small, so that the rays of a test cross many blocks.
@@ -45,24 +53,34 @@ def ground_cells(tiles: DataFrame) -> DataFrame:
     return c.select("id", "row", "col", F.expr(f"CASE WHEN NOT {_EMPTY} THEN {_VALUE} END".replace('"row"', "row")).cast("float").alias("elevation"))
 
 
-_GROUND = f"""gt AS (SELECT c_custkey AS ordinal, floor(longitude)::INTEGER + j % 3 - 1 AS min_lon, floor(latitude)::INTEGER + j // 3 AS max_lat, CASE WHEN c_nationkey % 3 = 0 THEN 2 ELSE 1 END AS times
+
+def _ground_sql(posts: bool) -> str:
+    """The tables up to the mosaic mo, of rasters of cells or of posts (which have one more row and column)."""
+    n, half = (f"{round(1 / STEP)} // times + 1", "times // 2") if posts else (f"{round(1 / STEP)} // times", "0")
+    y = f"max_lat * {round(1 / STEP)} - \"row\" * times - {half}" if posts else f"max_lat * {round(1 / STEP)} - (\"row\" + 1) * times"
+    return f"""gt AS (SELECT c_custkey AS ordinal, floor(longitude)::INTEGER + j % 3 - 1 AS min_lon, floor(latitude)::INTEGER + j // 3 AS max_lat, CASE WHEN c_nationkey % 3 = 0 THEN 2 ELSE 1 END AS times
   FROM (SELECT *, (c_custkey // n) % 9 AS j, 1 + c_custkey % n AS site FROM customer CROSS JOIN (SELECT count(*) AS n FROM supplier)) c JOIN sites ON site_id = site),
-gc AS (SELECT *, {_VALUE} AS e FROM (SELECT *, unnest(range({round(1 / STEP)} // times)) AS col FROM (SELECT *, unnest(range({round(1 / STEP)} // times)) AS "row" FROM gt)) WHERE NOT ({_EMPTY})),
-gg AS (SELECT ordinal, e, min_lon * {round(1 / STEP)} + col * times AS x, max_lat * {round(1 / STEP)} - ("row" + 1) * times AS y, times FROM gc),
+gc AS (SELECT *, {_VALUE} AS e FROM (SELECT *, unnest(range({n})) AS col FROM (SELECT *, unnest(range({n})) AS "row" FROM gt)) WHERE NOT ({_EMPTY})),
+gg AS (SELECT ordinal, e, min_lon * {round(1 / STEP)} + col * times - {half} AS x, {y} AS y, times FROM gc),
 mo AS MATERIALIZED (SELECT gx, gy, arg_max(e, ordinal) AS e FROM (SELECT *, unnest(range(y, y + times)) AS gy FROM (SELECT *, unnest(range(x, x + times)) AS gx FROM gg)) GROUP BY gx, gy)"""
-_TASKS = f"""k AS (SELECT s.site_id, latitude, longitude, msl, radius, alt_m, zone, z_min, res_m, least(reach, z_max) AS pass_max
+def _tasks_sql(posts: bool) -> str:
+    """The tables from the sensors s over tasks k and samples to their surfaces m."""
+    inset = 0.0 if posts else 0.5
+    return f"""k AS (SELECT s.site_id, latitude, longitude, msl, radius, alt_m, zone, z_min, res_m, least(reach, z_max) AS pass_max
   FROM (SELECT s.*, alt_m, (sqrt(2.0 * radius * msl) + sqrt(2.0 * radius * alt_m)) * 1.05 AS reach FROM s CROSS JOIN (SELECT unnest({list(ALTITUDES)})::DOUBLE AS alt_m)) s
   JOIN (VALUES {", ".join(f"({i}, {a}::DOUBLE, {b if i < 2 else 1e9}::DOUBLE, {r}::DOUBLE)" for i, (a, b, r) in enumerate(ZONES))}) z(zone, z_min, z_max, res_m) ON reach > z_min),
 h AS (SELECT *, a + a % 2 AS n_az FROM (SELECT *, ceil(pass_max / res_m)::INTEGER AS n_r, least(ceil(2 * pi() * pass_max / res_m), 14400)::INTEGER AS a, pass_max * 1.05 AS half, trunc(2 * (pass_max * 1.05) / res_m)::INTEGER AS dim FROM k)),
 y AS (SELECT *, unnest(range(n_r)) AS r_idx FROM (SELECT *, unnest(range(n_az)) AS az_idx FROM (SELECT DISTINCT site_id, latitude, longitude, msl, radius, zone, res_m, pass_max, n_r, n_az, half, dim FROM h))),
 x AS (SELECT *, (least(greatest(trunc((r_m * sin(way) + half) / res_m)::INTEGER, 0), dim - 1) + 0.5) * res_m - half AS px, half - (least(greatest(trunc((half - r_m * cos(way)) / res_m)::INTEGER, 0), dim - 1) + 0.5) * res_m AS py
   FROM (SELECT *, r_idx * (pass_max / greatest(n_r - 1, 1)) AS r_m, az_idx * (2 * pi() / n_az) AS way FROM y)),
-v AS (SELECT *, lon2 / {STEP} - 0.5 AS fx, lat2 / {STEP} - 0.5 AS fy FROM ({geodesic_sql("SELECT * EXCLUDE (half, dim), degrees(atan2(px, py)) AS az, sqrt(px * px + py * py) AS dist FROM x").replace(" AS x, atan2", " AS xx, atan2").replace("x * x)", "xx * xx)")})),
+v AS (SELECT *, lon2 / {STEP} - {inset} AS fx, lat2 / {STEP} - {inset} AS fy FROM ({geodesic_sql("SELECT * EXCLUDE (half, dim), degrees(atan2(px, py)) AS az, sqrt(px * px + py * py) AS dist FROM x").replace(" AS x, atan2", " AS xx, atan2").replace("x * x)", "xx * xx)")})),
 b AS (SELECT v.site_id, v.zone, v.pass_max, v.az_idx, v.r_idx, sum(w * mo.e) / sum(w) AS e FROM (SELECT site_id, zone, pass_max, az_idx, r_idx, floor(fx)::BIGINT + i AS gx, floor(fy)::BIGINT + j AS gy,
     CASE i WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END * CASE j WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END AS w FROM v CROSS JOIN range(2) r(i) CROSS JOIN range(2) q(j)) v
   JOIN mo USING (gx, gy) WHERE w > 0 GROUP BY ALL),
 p AS (SELECT v.site_id, v.zone, v.pass_max, v.az_idx, v.r_idx, r_m, msl, radius, coalesce(b.e, 0)::FLOAT AS elevation FROM v LEFT JOIN b USING (site_id, zone, pass_max, az_idx, r_idx)),
 {swept_sql("site_id, zone, pass_max, az_idx")}"""
+
+
 _CELLS = f"""nn AS (SELECT site_id, latitude, longitude, CAST(floor(latitude / {RES}) + i AS INTEGER) AS "row", floor(longitude / {RES})::INTEGER + unnest(range(-wide, wide + 1)) AS col
   FROM (SELECT *, 2 + ceil(3.5 / cos(radians(least(abs(latitude) + 3.5, 80))) / {RES})::INTEGER AS wide FROM s CROSS JOIN range(-70, 71) a(i)) WHERE TRUE),
 nd AS (SELECT *, 2 * {earth.MEAN!r} * asin(sqrt(sin(radians(lat - latitude) / 2) * sin(radians(lat - latitude) / 2) + cos(radians(latitude)) * cos(radians(lat)) * (sin(radians(lon - longitude) / 2) * sin(radians(lon - longitude) / 2)))) AS dist_m,
@@ -85,14 +103,14 @@ def surfaces(spark, sf_dir, wanted: DataFrame, side: int = SIDE) -> DataFrame:
     return B.surfaces(V.shared(wanted), B.mosaic(B.pieces(t, ground_cells(t), side), STEP, side), STEP, V.SHARED_RAY, side)
 
 
-@query(f"""WITH {_SENSORS}, {_GROUND}, {_TASKS}, {_CELLS} SELECT c.site_id, alt_m, "row", col::INTEGER AS col FROM c JOIN m ON m.site_id = c.site_id AND m.zone = c.zone AND m.pass_max = c.pass_max AND m.az_idx = ai AND m.r_idx = ri WHERE mva <= alt_m::FLOAT""")
+@query(f"""WITH {_SENSORS}, {_ground_sql(False)}, {_tasks_sql(False)}, {_CELLS} SELECT c.site_id, alt_m, "row", col::INTEGER AS col FROM c JOIN m ON m.site_id = c.site_id AND m.zone = c.zone AND m.pass_max = c.pass_max AND m.az_idx = ai AND m.r_idx = ri WHERE mva <= alt_m::FLOAT""")
 def viewshed_terrain(spark, sf_dir):
     """Whole viewsheds over rasters for targets above ground: tiles to mosaic, rays over blocks, surfaces to cells."""
     wanted = tasks(spark, sf_dir)
     return V.seen_cells(wanted, surfaces(spark, sf_dir, wanted), RES)
 
 
-@query(f"""WITH {_SENSORS}, {_GROUND}, {_TASKS}, {_CELLS} SELECT c.site_id, alt_m, "row", col::INTEGER AS col FROM c JOIN m ON m.site_id = c.site_id AND m.zone = c.zone AND m.pass_max = c.pass_max AND m.az_idx = ai AND m.r_idx = ri
+@query(f"""WITH {_SENSORS}, {_ground_sql(False)}, {_tasks_sql(False)}, {_CELLS} SELECT c.site_id, alt_m, "row", col::INTEGER AS col FROM c JOIN m ON m.site_id = c.site_id AND m.zone = c.zone AND m.pass_max = c.pass_max AND m.az_idx = ai AND m.r_idx = ri
 WHERE CAST(alt_m AS FLOAT) - elevation >= 0 AND mva <= CAST(CAST(alt_m AS FLOAT) - elevation AS FLOAT)""")
 def viewshed_terrain_msl(spark, sf_dir):
     """The same for targets above sea level, from surfaces that carry the ground with them."""
@@ -100,10 +118,89 @@ def viewshed_terrain_msl(spark, sf_dir):
     return V.seen_cells(wanted, saved(surfaces(spark, sf_dir, wanted), "surfaces"), RES, above_sea=True)
 
 
-@query(f"""WITH {_SENSORS}, {_GROUND}, {_TASKS} SELECT site_id, zone::INTEGER AS zone, round(pass_max, 3) AS pass_m, count(*) AS samples, count(*) FILTER (mva = 0) AS open, round(sum(elevation::DOUBLE), 1) AS ground, round(sum(mva::DOUBLE), 0) AS mva FROM m GROUP BY ALL""")
+@query(f"""WITH {_SENSORS}, {_ground_sql(False)}, {_tasks_sql(False)} SELECT site_id, zone::INTEGER AS zone, round(pass_max, 3) AS pass_m, count(*) AS samples, count(*) FILTER (mva = 0) AS open, round(sum(elevation::DOUBLE), 1) AS ground, round(sum(mva::DOUBLE), 0) AS mva FROM m GROUP BY ALL""")
 def terrain_surfaces(spark, sf_dir):
     """Of every sensor's zones: samples, those whose ground is seen, and the sums of ground and surface."""
     s = surfaces(spark, sf_dir, tasks(spark, sf_dir))
     of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
     each = s.select("site_id", "zone", "reach_mm", F.size("mva").alias("n"), F.size(F.filter("mva", lambda v: v == 0)).alias("z"), of("ground").alias("g"), of("mva").alias("v"))
     return each.groupBy("site_id", "zone", (F.col("reach_mm") / 1000).alias("pass_m")).agg(F.sum("n").alias("samples"), F.sum("z").alias("open"), F.round(F.sum("g"), 1).alias("ground"), F.round(F.sum("v"), 0).alias("mva"))
+
+
+def write_ground_files(tiles: DataFrame, path: str) -> None:
+    """The same rasters as DTED files, in which elevations stand at whole steps, the outer ones on whole degrees."""
+
+    def encoded(batches):
+        for batch in batches:
+            out = []
+            for ordinal, west, top, step in zip(*(batch.column(n).to_pylist() for n in ("ordinal", "min_lon", "max_lat", "step")), strict=True):
+                n = round(1 / step) + 1
+                row, col = np.indices((n, n))
+                value = (ordinal % 7) * 40 + (row * 3 + col * 5) % 11 * 30
+                grid = np.where((row * 7 + col + ordinal) % 23 == 0, np.nan, value.astype(float))
+                out.append(dted.encoded(round(west), round(top) - 1, grid, round(step * 36_000), round(step * 36_000)))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{o:09d}.dt1" for o in batch.column("ordinal").to_pylist()]), pa.array(out, pa.binary())], names=["filename", "content"])
+
+    write_named(tiles.mapInArrow(encoded, "filename string, content binary"), path)
+
+
+def needed_boxes(tasks_: DataFrame) -> list[tuple[float, float, float, float]]:
+    """The whole degrees that tasks (latitude, longitude, reach) may need terrain of: 64,800 at most."""
+    box = earth.bounding_box(F.col("latitude"), F.col("longitude"), F.col("reach"))
+    to = lambda a, b: F.explode(F.sequence(F.floor(a), F.floor(b)))
+    squares = tasks_.select(box.alias("b")).distinct().select("b", to(F.col("b.min_lon"), F.col("b.max_lon")).alias("x")).select(F.pmod(F.col("x") + 180, F.lit(360)).alias("x"), to(F.greatest("b.min_lat", F.lit(-90.0)), F.least("b.max_lat", F.lit(89.0))).alias("y"))
+    return [(r.x - 180.0, float(r.y), r.x - 179.0, r.y + 1.0) for r in squares.distinct().collect()]
+
+
+def run_tasks(sites: DataFrame, ground_files: str) -> tuple[DataFrame, DataFrame]:
+    """(tasks, mosaic) for sites (name, latitude, longitude, height) of files on the ground of terrain files: with file name, state and what is wrong with a site."""
+    spark = sites.sparkSession
+    wrong = F.when(F.isnan("latitude") | (F.abs("latitude") > 90) | F.isnan("longitude") | (F.abs("longitude") > 180), "not a place on Earth")
+    s = saved(sites.withColumn("error", wrong).withColumn("radius", earth.effective_radius(F.col("latitude"))), "sites")
+    far = max(ALTITUDES)
+    reach = V.reach(F.lit(9000.0) + F.col("height"), F.lit(far), F.col("radius"))  # whatever ground a site stands on
+    pieces = dted.read_tiles(spark, ground_files, needed_boxes(s.where("error IS NULL").withColumn("reach", reach))).where("error IS NULL")
+    found = saved(B.mosaic(pieces, STEP, SIDE, posts=True), "mosaic")
+    at = B.ground_at(s.where("error IS NULL"), found, STEP, SIDE, posts=True).withColumn("msl", F.col("ground_m") + F.col("height"))
+    t = at.unionByName(s.where("error IS NOT NULL").withColumns({"ground_m": F.lit(0.0), "msl": F.lit(0.0)})).crossJoin(few(T.altitudes(spark, *ALTITUDES)))
+    t = t.withColumn("filename", text.viewshed_name(F.col("name"), F.col("alt_m"), list(ALTITUDES), "agl"))
+    state = S.state_hash(*(S.fixed(F.col(c), 6) for c in ("latitude", "longitude", "msl", "alt_m")))
+    return saved(t.withColumn("state_hash", state), "tasks"), found
+
+
+def run_documents(part: DataFrame, found: DataFrame) -> DataFrame:
+    """(filename, content): the viewshed of every task as an outline with its sensor."""
+    t = part.withColumn("site_id", F.col("name")).withColumn("reach", V.reach(F.col("msl"), F.col("alt_m"), F.col("radius")))
+    wanted = V.with_shared_key(W.zones(t.select("site_id", "latitude", "longitude", "msl", "radius", "alt_m", "reach"), "reach", ZONES))
+    seen = saved(V.seen_cells(wanted, B.surfaces(V.shared(wanted), found, STEP, V.SHARED_RAY, SIDE, posts=True), RES), "seen")
+    none = F.lit(None).cast("string")
+    sensor = F.struct("name", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), none.alias("icon_color"), F.lit(None).cast("double").alias("icon_scale"), none.alias("icon_href"))
+    style = F.struct(F.lit("#2060c0").alias("line_color"), F.lit(1.5).alias("line_width"), F.lit("#2060c0").alias("fill_color"), F.lit(0.25).alias("fill_opacity"))
+    drawn = C.polygons(seen, ["site_id", "alt_m"], RES).withColumnRenamed("site_id", "name").join(part, ["name", "alt_m"])
+    outputs = drawn.select(
+        "filename", F.regexp_replace("filename", r"\.kml$", "").alias("title"), F.col("alt_m").alias("altitude"), "polygons", F.array(sensor).alias("sensors"), style.alias("style"),
+        F.create_map(F.lit("state_hash"), "state_hash").alias("metadata"), kml.height_mode(F.lit("absolute"), F.lit("agl")).alias("mode"),
+    )
+    return kml.coverage_documents(outputs)
+
+
+@query(f"""WITH {T.SITES}, {_ground_sql(True)}, s AS (SELECT site_id, name, latitude, longitude, coalesce(mo.e, 0) + height AS msl, {RADIUS} AS radius FROM sites LEFT JOIN mo ON gx = floor(longitude / {STEP} + 0.5) AND gy = floor(latitude / {STEP} + 0.5)),
+{_tasks_sql(True)}, {_CELLS},
+n AS (SELECT c.site_id, alt_m, count(*) AS cells FROM c JOIN m ON m.site_id = c.site_id AND m.zone = c.zone AND m.pass_max = c.pass_max AND m.az_idx = ai AND m.r_idx = ri WHERE mva <= alt_m::FLOAT GROUP BY ALL),
+a AS (SELECT unnest([100.0, 400.0])::DOUBLE AS alt_m), f AS (SELECT name, CASE alt_m WHEN 100 THEN '01' ELSE '02' END AS n, alt_m::INTEGER AS alt, site_id, alt_m, TRUE AS sound FROM sites CROSS JOIN a
+ UNION ALL SELECT 'lost ' || site_id, CASE alt_m WHEN 100 THEN '01' ELSE '02' END, alt_m::INTEGER, NULL, alt_m, FALSE FROM sites CROSS JOIN a WHERE site_id % 10 = 7)
+SELECT n || '_cover-' || replace(name, ' ', '_') || '-tgt_alt_' || alt || 'm_AGL.kml' AS file, CASE WHEN NOT sound THEN 'failed' WHEN cells IS NULL THEN 'empty' ELSE 'done' END AS status, coalesce(cells, 0) AS cells FROM f LEFT JOIN n USING (site_id, alt_m)""")
+def viewshed_run(spark, sf_dir):
+    """From site files and terrain files to viewshed files: a run for one altitude, then one for all, which makes what the log lacks.  Sites that are nowhere are told."""
+    folder = files.scratch(spark, "run")
+    s = T.sites(spark, sf_dir)
+    rows = s.select("name", "latitude", "longitude", F.col("height").alias("height_agl"))
+    lost = s.where("site_id % 10 = 7").select(F.concat(F.lit("lost "), "site_id").alias("name"), F.lit(95.0).alias("latitude"), "longitude", F.col("height").alias("height_agl"))
+    rows.unionByName(lost).write.option("header", True).csv(f"{folder}/sites")
+    write_ground_files(ground_tiles(spark, sf_dir), f"{folder}/ground")
+    wanted, found = run_tasks(files.read_csv_sites(spark, f"{folder}/sites", 10.0), f"{folder}/ground")
+    log, out = RunLog(spark, f"{folder}/log"), f"{folder}/viewsheds"
+    for part in (wanted.where(F.col("alt_m") == ALTITUDES[0]), wanted):
+        carried_out(part, lambda p: run_documents(p, found), log, out)
+    drawn = C.cells_inside(kml.read_coverage(spark, out).where("error IS NULL"), ["file"], RES).groupBy("file").agg(F.count("*").alias("cells"))
+    return log.latest().join(drawn, F.col("file") == F.col("filename"), "left").select(F.col("filename").alias("file"), "status", F.coalesce("cells", F.lit(0)).alias("cells"))

@@ -1,4 +1,4 @@
-"""Terrain tiles in DTED files as a data source: one partition a file, planned from the headers, so that a box leaves most files unread.
+"""Terrain tiles in DTED files as a data source: partitions are planned from the headers, so that a box leaves most files unread.
 
 A file has fixed headers, then a record for each line of longitude, west to east: its elevations from south to north as 16-bit numbers, the
 first bit the sign, and a sum of the record's bytes.  Elevations stand at whole intervals, so they are taken as the centres of cells.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +23,8 @@ from .named import located
 #: Fixed values of the format: bytes of the headers, the mark of a record, the bytes of a record besides its elevations, and the value of none.
 UHL, DSI, ACC, MARK, AROUND, VOID = 80, 648, 2700, 0xAA, 12, -32767
 HEAD = UHL + DSI + ACC
-#: Cells on the side of the pieces that a tile is read in.
-SIDE = 256
+#: Cells on the side of the pieces that a tile is read in, bytes of files that a task reads, and headers read at a time.
+SIDE, BATCH_BYTES, OPEN = 256, 64 << 20, 32
 SCHEMA = (
     "file string, ordinal long, west double, south double, east double, north double, min_lon double, max_lat double, step_lon double, step_lat double, "
     "row0 int, col0 int, rows int, cols int, cells array<float>, error string"
@@ -32,7 +33,7 @@ _BOX = ("west", "south", "east", "north")
 
 
 @dataclass
-class Tile(D.InputPartition):
+class Tile:
     """What a file's first header tells."""
 
     path: str
@@ -55,6 +56,13 @@ class Tile(D.InputPartition):
         return self.south + (self.points - 1) * self.step_lat
 
 
+@dataclass
+class Batch(D.InputPartition):
+    """Files that one task reads, one after the other."""
+
+    tiles: list[Tile]
+
+
 def degrees(text: str) -> float:
     """DDDMMSSH, H the hemisphere."""
     value = int(text[0:3]) + int(text[3:5]) / 60 + int(text[5:7]) / 3600
@@ -108,23 +116,36 @@ def encoded(west: int, south: int, grid: np.ndarray, tenths_lon: int, tenths_lat
 
 
 class DtedReader(D.DataSourceReader):
-    def __init__(self, path: str, boxes: list[list[float]] | None):
-        self.path, self.boxes = path, boxes
+    def __init__(self, path: str, boxes: list[list[float]] | None, size: int):
+        self.path, self.boxes, self.size = path, boxes, size
 
-    def partitions(self) -> list[Tile]:
-        """A partition for each file whose box meets one of those asked for; a file without a box, as its header is wrong, always has one."""
+    def partitions(self) -> list[Batch]:
+        """Batches of the files whose box meets one of those asked for, each of so many bytes or one file; a file without a box, as its header is wrong, is read always."""
         system, root = located(self.path)
-        found = sorted(f.path for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.extension.lower() in ("dt0", "dt1", "dt2"))
-        tiles = []
-        for i, path in enumerate(found):
-            with system.open_input_file(path) as f:
-                tiles.append(header(path, path.rsplit("/", 1)[-1], i, f.read(UHL)))
-        meets = lambda t: t.error or any(t.west <= e and t.east >= w and t.south <= n and t.north >= s for w, s, e, n in self.boxes)
-        return [t for t in tiles if self.boxes is None or meets(t)]
+        found = [f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.extension.lower() in ("dt0", "dt1", "dt2")]
+        found.sort(key=lambda f: f.path)
+
+        def told(i: int) -> Tile:
+            with system.open_input_file(found[i].path) as f:
+                return header(found[i].path, found[i].base_name, i, f.read(UHL))
 
-    def read(self, tile: Tile | None) -> Iterator[pa.RecordBatch]:
-        if tile is None:  # no file at all
-            return
+        meets = lambda t: t.error or any(t.west <= e and t.east >= w and t.south <= n and t.north >= s for w, s, e, n in self.boxes)
+        batches, room = [], 0
+        with ThreadPoolExecutor(OPEN) as pool:
+            for tile, file in zip(pool.map(told, range(len(found))), found, strict=True):
+                if self.boxes is None or meets(tile):
+                    if not batches or room < file.size:
+                        batches.append(Batch([]))
+                        room = self.size
+                    batches[-1].tiles.append(tile)
+                    room -= file.size
+        return batches
+
+    def read(self, batch: Batch | None) -> Iterator[pa.RecordBatch]:
+        for tile in batch.tiles if batch else []:  # none where there is no file at all
+            yield from self.tile(tile)
+
+    def tile(self, tile: Tile) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "array<float>": pa.list_(pa.float32())}[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
         own = {"file": tile.file, "ordinal": tile.ordinal, "error": tile.error}
         if tile.error is None:
@@ -152,10 +173,10 @@ class Dted(D.DataSource):
 
     def reader(self, schema) -> DtedReader:
         boxes = self.options.get("boxes")
-        return DtedReader(self.options["path"], json.loads(boxes) if boxes else None)
+        return DtedReader(self.options["path"], json.loads(boxes) if boxes else None, int(self.options.get("bytes", BATCH_BYTES)))
 
 
-def read_tiles(spark: SparkSession, path: str, boxes: list[tuple[float, float, float, float]] | None = None) -> DataFrame:
+def read_tiles(spark: SparkSession, path: str, boxes: list[tuple[float, float, float, float]] | None = None, size: int = BATCH_BYTES) -> DataFrame:
     """The pieces of the DTED files under a path (``SCHEMA``), of all or of those that meet one of ``boxes`` (west, south, east, north).
 
     The boxes go with the source, not with a filter: filters pushed down to a Python source are kept by it in this version of Spark, so that
@@ -166,5 +187,5 @@ def read_tiles(spark: SparkSession, path: str, boxes: list[tuple[float, float, f
     and no cells; its good lines come all the same.
     """
     spark.dataSource.register(Dted)
-    source = spark.read.format("dted")
+    source = spark.read.format("dted").option("bytes", size)
     return (source if boxes is None else source.option("boxes", json.dumps(boxes))).load(path)

@@ -62,9 +62,9 @@ def test_wrong_files_are_told_and_stop_nothing(spark, tiles):
 
 def test_boxes_leave_files_unread(spark, tiles):
     path, _ = tiles
-    all_, near = dted.read_tiles(spark, str(path)), dted.read_tiles(spark, str(path), [(10.9, 50.2, 10.95, 50.9), (11.5, 50.2, 12.5, 50.9)])
+    all_, near = dted.read_tiles(spark, str(path), size=1), dted.read_tiles(spark, str(path), [(10.9, 50.2, 10.95, 50.9), (11.5, 50.2, 12.5, 50.9)], size=1)
     assert {r.file for r in near.select("file").distinct().collect()} == {"E010N50.dt1", "E011N50.dt1"}
-    assert all_.rdd.getNumPartitions() == 4 and near.rdd.getNumPartitions() == 2
+    assert all_.rdd.getNumPartitions() == 4 and near.rdd.getNumPartitions() == 2 and dted.read_tiles(spark, str(path)).rdd.getNumPartitions() == 1
     assert dted.read_tiles(spark, str(path), [(100, 0, 101, 1)]).count() == 0
     (path / "none.dt2").write_bytes(b"UHX1 nothing")
     assert [r.file for r in dted.read_tiles(spark, str(path), []).collect()] == ["none.dt2"]
