@@ -17,12 +17,11 @@ from ..sources.files import few
 from .detections import geodesic_sql
 from .sitework import MSL, RADIUS
 
-#: Reach of a sensor and size of a pixel, and the rays and samples that follow (``earth.polar_grid``), with the step between samples.
-REACH, PIXEL = 49_500.0, 2500.0
-SAMPLES = math.ceil(REACH / PIXEL)
+#: Reach of a sensor, the distance of rays at its rim and that of samples along a ray, and how many of them follow.
+REACH, PIXEL, STEP = 49_500.0, 2500.0, 500.0
+SAMPLES = round(REACH / STEP) + 1
 RAYS = min(math.ceil(2 * math.pi * REACH / PIXEL), 14_400)
 RAYS += RAYS % 2
-STEP = REACH / (SAMPLES - 1)
 RES = 0.05
 ALTITUDES = (50.0, 200.0, 800.0)
 _GROUND = "((az_idx * 31 + r_idx * 17 + (az_idx * r_idx) % 13 * 7 + site_id * 11) % 400)"
@@ -58,7 +57,7 @@ def polar(spark, sf_dir, rays: DataFrame | None = None) -> DataFrame:
     s = s.repartition("site_id", "az_idx")  # rays, which are few bytes each, before they become samples
     if rays is not None:
         s = s.join(rays, ["site_id", "az_idx"], "left_semi")
-    p = s.withColumn("r_idx", F.explode(F.sequence(F.lit(0), F.col("g.n_r") - 1)))
+    p = s.withColumn("r_idx", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
     return p.withColumn("r_m", F.col("r_idx") * STEP).withColumn("elevation", F.expr(_GROUND).cast("float")).withColumn("az_deg", F.col("az_idx") * (360.0 / RAYS)).drop("g")
 
 
