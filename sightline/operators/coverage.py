@@ -81,18 +81,19 @@ def area(cells: DataFrame, res: float, *by: str) -> DataFrame:
 def in_polygon_circle(cells: DataFrame, sites: DataFrame, range_m: Column, res: float, corners: int = 128) -> DataFrame:
     """``cells`` (site_id, row, col, az, ...) whose centre lies in the polygon of so many geodesic corners round the site at a range.
 
-    The polygon is convex in degrees, and a point can only be beyond the edges next to its own direction, so three are tested.
+    The polygon is convex in degrees, counted from the site so that it may cross the date line, and a point can only be beyond the edges next to its own direction, so three are tested.
     """
     spread = sites.select("site_id", "latitude", "longitude", range_m.cast("double").alias("dist"), F.explode(F.sequence(F.lit(0), F.lit(corners - 1))).alias("i")).withColumn("az", F.col("i") * (360.0 / corners))
-    ring = earth.with_geodesic(spread, "latitude", "longitude", "az", "dist").groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("i", F.col("lon2").alias("x"), F.col("lat2").alias("y")))).alias("__ring"))
-    x, y = centre(F.col("col"), res), centre(F.col("row"), res)
+    corner = F.struct("i", (F.col("lon2") - F.col("longitude")).alias("x"), F.col("lat2").alias("y"))
+    ring = earth.with_geodesic(spread, "latitude", "longitude", "az", "dist").groupBy("site_id").agg(F.array_sort(F.collect_list(corner)).alias("__ring"), F.first("longitude").alias("__lon"))
+    x, y = F.pmod(centre(F.col("col"), res) - F.col("__lon") + 180, F.lit(360.0)) - 180, centre(F.col("row"), res)
     at = F.floor(F.col("az") / (2 * math.pi / corners)).cast("int")
 
     def inside(step: Column) -> Column:
         a, b = F.get("__ring", F.pmod(at + step, F.lit(corners))), F.get("__ring", F.pmod(at + step + 1, F.lit(corners)))
         return (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) <= 0
 
-    return cells.join(ring, "site_id").where(inside(F.lit(-1)) & inside(F.lit(0)) & inside(F.lit(1))).drop("__ring")
+    return cells.join(ring, "site_id").where(inside(F.lit(-1)) & inside(F.lit(0)) & inside(F.lit(1))).drop("__ring", "__lon")
 
 
 def edges(cells: DataFrame, *by: str) -> DataFrame:
@@ -160,7 +161,8 @@ def ring_edges(cells: DataFrame, by: list[str]) -> DataFrame:
 def outlines(cells: DataFrame, by: list[str]) -> DataFrame:
     """Closed rings round each group's cells: (by, ring, hole, vertices, edges, twice_area).  A row is one ring; its vertices are its bends, the first again at the end.
 
-    Rings have the set on their left, so holes turn the other way round.  Rings are named by their edges, whatever the partitioning.
+    Rings have the set on their left, so holes turn the other way round.  Columns are counted from Greenwich, so what crosses the date line
+    has a ring on either side that ends there.  Rings are named by their edges, whatever the partitioning.
     """
     return rings_of(ring_edges(cells, by), by)
 

@@ -218,3 +218,16 @@ def test_rays_meet_in_no_task_by_sensor(spark):
     plan = sweeps.swept(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange" in line]
     assert len(exchanges) == 1 and "site_id" in exchanges[0] and "az_idx" in exchanges[0]
+
+
+def test_a_polygon_across_the_date_line_keeps_what_one_elsewhere_does(spark):
+    """The same place on the globe turned by whole cells: as many cells inside, in the same rows."""
+    from sightline.operators import coverage as C
+
+    counts = []
+    for lon in (99.95, 179.95, -179.95, -180.0 + 0.01):
+        s = spark.createDataFrame([(1, 35.02, lon)], "site_id long, latitude double, longitude double")
+        cells = C.in_polygon_circle(C.site_cells(s, F.lit(27_000.0), 0.05), s, F.lit(25_250.0), 0.05).collect()
+        assert len({(r.row, r.col) for r in cells}) == len(cells) and all(-3600 <= r.col < 3600 for r in cells)
+        counts.append(len(cells))
+    assert counts[0] == counts[1] == counts[2] and abs(counts[3] - counts[0]) <= 4
