@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import looked_up, small_batches, written
 
-#: Vectors of a shard at most, on average: what a task can hold; and shards at least, so that small tables use several tasks.
-SHARD, SHARDS = 131_072, 8
+#: Vectors of a shard, and bytes of them, at most, on average: what a task and a row can hold; and shards at least, so that small tables use several tasks.
+SHARD, SHARD_BYTES, SHARDS = 131_072, 64 << 20, 8
 #: Points below which a band of norms is not cut into more shards.
 FEW = 256
 #: Queries that one task takes through one shard, on average; their vectors then weigh as much as the shard's.
@@ -207,7 +207,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     """(query_id, rank, vec_id, score): for each row where ``queries`` holds, the k rows found with the largest inner product.
 
     Every valid vector is indexed: equal vectors are one point, points are dealt to bands of norm, each twice the one before,
-    and in a band by hash to shards of about ``shard`` (SHARDS at least where there are FEW points for each).  Each shard
+    and in a band by hash to shards of about ``shard``, fewer where these are over SHARD_BYTES (SHARDS at least where there are FEW points for each).  Each shard
     becomes a robust-pruned graph in a task of its own, scaled by its band, so that float32 tells its points apart whatever
     the other bands hold.  All queries then go through every shard of every band by beam search, in blocks of QUERIES with
     the shard's graph, and the k best of all beams are ranked by their products in double precision, ties by id.  Work
@@ -227,7 +227,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     points = points.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 ids at most
     points = written(points.select(F.col("ids")[0].alias("vec_id"), "ids", F.size("vector").alias("dim"), _band(F.col("vector")).alias("band"), "vector"), "points")
     shape = points.groupBy("dim", "band").agg(F.count("*").alias("n"))
-    shape = shape.withColumn("shards", F.greatest(F.least(F.lit(SHARDS), F.ceil(F.col("n") / FEW)), F.ceil(F.col("n") / shard)).cast("int"))
+    shape = shape.withColumn("shards", F.greatest(F.least(F.lit(SHARDS), F.ceil(F.col("n") / FEW)), F.ceil(F.col("n") / F.least(F.lit(shard), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim"))))))).cast("int"))
     order = Window.orderBy("dim", "band").rowsBetween(Window.unboundedPreceding, -1)  # a row for each vector length and band
     shape = written(shape.withColumn("first", F.coalesce(F.sum("shards").over(order), F.lit(0))), "shape")
     total = shape.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]

@@ -730,6 +730,28 @@ def test_nearest(spark, sf):
     assert np.mean(recall) >= 0.9 and sorted(got[got.query_id == 0]["rank"]) == list(range(1, 21))
 
 
+def test_shards_are_bounded_in_bytes(spark, monkeypatch):
+    """Long vectors make more shards, not larger ones, and the same neighbours are found."""
+    random = np.random.default_rng(8)
+    v = random.normal(size=(400, 48))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    shards, keep = [], graph.written
+
+    def noted(df, what, *more):
+        out = keep(df, what, *more)
+        if what == "shape":
+            shards.append(out.agg(F.sum("shards")).first()[0])
+        return out
+
+    monkeypatch.setattr(graph, "written", noted)
+    for size in (64 << 20, 8 * 48 * 40):
+        monkeypatch.setattr(graph, "SHARD_BYTES", size)
+        found = graph.nearest(table, F.col("vec_id") % 40 == 0, k=5).toPandas().groupby("query_id").vec_id.apply(set)
+        hits = [len(found[i] & set(np.argsort(-np.where(np.arange(400) == i, -np.inf, v @ v[i]))[:5])) for i in range(0, 400, 40)]
+        assert sum(hits) >= 45
+    assert shards[1] >= 10 > shards[0]
+
+
 def test_a_graph_searches_alike_after_many_searches():
     """Marks of earlier searches, and their counter's return, change nothing."""
     random = np.random.default_rng(3)
