@@ -109,3 +109,9 @@ def as_rays(swept: DataFrame, ray: list[str]) -> DataFrame:
     """(ray, mva array by r_idx): long samples as one row a ray; ``swept`` is dealt by ray already, so this takes no further shuffle."""
     rows = swept.groupBy(*ray).agg(F.array_sort(F.collect_list(F.struct("r_idx", "mva"))).alias("s"))
     return rows.select(*ray, F.transform("s", lambda x: x["mva"]).alias("mva"))
+
+
+def as_segments(swept: DataFrame, ray: list[str]) -> DataFrame:
+    """(ray, first, mva array, steepest): the same with the place of the first sample and the state at the last, for a store to go on from."""
+    rows = swept.groupBy(*ray).agg(F.array_sort(F.collect_list(F.struct("r_idx", "mva"))).alias("s"), F.max_by("steepest", "r_idx").alias("steepest"))
+    return rows.select(*ray, F.col("s")[0]["r_idx"].alias("first"), F.transform("s", lambda x: x["mva"]).alias("mva"), "steepest")

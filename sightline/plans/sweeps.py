@@ -49,15 +49,21 @@ _GRID = f"""{_NEAR}, ni AS (SELECT *, least(greatest(trunc(way / (2 * pi() / {RA
 c AS (SELECT ni.site_id, "row", col, ni.latitude, ni.longitude, lat, lon, dist_m, mva FROM ni JOIN m ON m.site_id = ni.site_id AND m.az_idx = ni.ai AND m.r_idx = ni.ri)"""
 
 
-def polar(spark, sf_dir, rays: DataFrame | None = None) -> DataFrame:
-    """Samples of synthetic terrain along every site's rays, or along those rays (site_id, az_idx) only; dealt by ray."""
+def polar(spark, sf_dir, rays: DataFrame | None = None, since: DataFrame | None = None) -> DataFrame:
+    """Samples of synthetic terrain along every site's rays, or along those rays (site_id, az_idx) only; dealt by ray.
+
+    With ``since`` (site_id, samples, until) only those sites' samples after so many, up to ``until``, are made.
+    """
     s = with_msl_height(T.sites(spark, sf_dir)).withColumn("msl", F.coalesce("msl", "height")).withColumn("radius", earth.effective_radius(F.col("latitude")))
     grid = earth.polar_grid(F.lit(REACH), F.lit(PIXEL))
     s = s.select("site_id", "latitude", "longitude", "msl", "radius", grid.alias("g")).withColumn("az_idx", F.explode(F.sequence(F.lit(0), F.col("g.n_az") - 1)))
     s = s.repartition("site_id", "az_idx")  # rays, which are few bytes each, before they become samples
     if rays is not None:
         s = s.join(rays, ["site_id", "az_idx"], "left_semi")
-    p = s.withColumn("r_idx", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
+    if since is not None:
+        s = s.join(few(since), "site_id").where("samples < until")
+    steps = F.sequence(F.lit(0), F.lit(SAMPLES - 1)) if since is None else F.sequence("samples", F.col("until") - 1)
+    p = s.withColumn("r_idx", F.explode(steps)).drop("samples", "until")
     return p.withColumn("r_m", F.col("r_idx") * STEP).withColumn("elevation", F.expr(_GROUND).cast("float")).withColumn("az_deg", F.col("az_idx") * (360.0 / RAYS)).drop("g")
 
 

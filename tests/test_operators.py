@@ -211,6 +211,37 @@ def test_the_store_forgets_and_learns(spark, tmp_path):
     assert store.keys().count() == 0 and store.stats().first()["files"] > 0
 
 
+def test_a_store_goes_on_where_rays_end(spark, tmp_path):
+    """Segments read as one, the state at the end of the last; a write from the start replaces them all; compaction changes nothing but the files."""
+    store = SurfaceStore(spark, str(tmp_path / "s"))
+    rows = lambda *r: spark.createDataFrame(r, "key string, az_idx int, first int, mva array<float>, steepest double")
+    keys = spark.createDataFrame([("a",), ("b",)], "key string")
+    store.write(rows(("a", 0, 0, [1.0, 2.0], 0.1), ("a", 1, 0, [3.0, 4.0], 0.2), ("b", 0, 0, [9.0], 0.9)))
+    store.write(rows(("a", 0, 2, [5.0], 0.3), ("a", 1, 2, [6.0], 0.2)))
+    whole = {("a", 0): [1.0, 2.0, 5.0], ("a", 1): [3.0, 4.0, 6.0], ("b", 0): [9.0]}
+
+    def state():
+        assert {(r.key, r.az_idx): r.mva for r in store.read(keys).collect()} == whole
+        assert {(r.key, r.az_idx): (r.last_r, r.steepest) for r in store.boundary(keys).collect()} == {("a", 0): (2, 0.3), ("a", 1): (2, 0.2), ("b", 0): (0, 0.9)}
+        assert {r.key: r.samples for r in store.keys().collect()} == {"a": 3, "b": 1}
+
+    state()
+    files = store.stats().first()["files"]
+    store.compact()
+    state()
+    assert store.stats().first()["files"] < files
+    store.write(rows(("a", 0, 0, [7.0], 0.5)))
+    assert [(r.az_idx, r.mva) for r in store.read(keys.where("key = 'a'")).collect()] == [(0, [7.0])]
+
+
+def test_what_a_key_has_is_read_from_the_manifest(spark, tmp_path):
+    store = SurfaceStore(spark, str(tmp_path / "s"))
+    store.write(spark.createDataFrame([("a", i, [1.0]) for i in range(30)], "key string, az_idx int, mva array<float>"))
+    tasks = spark.createDataFrame([("a",), ("z",)], "key string")
+    for found, n in ((store.hits(tasks), 1), (store.misses(tasks), 1)):
+        assert found.count() == n and all("/manifest" in f or "/deleted" in f for f in found.inputFiles())
+
+
 def test_rays_meet_in_no_task_by_sensor(spark):
     """The sweep's only shuffle is by (sensor, ray)."""
     from sightline.plans import sweeps
