@@ -151,7 +151,7 @@ def horizon_kml_roundtrip(spark, sf_dir):
     return kml.read_coverage(spark, path).select("folder_name", "sensor.lon", "sensor.lat", F.size(ring).alias("points"), F.round(ring[45]["lon"], 6).alias("east"), F.round(ring[45]["lat"], 6).alias("north"))
 
 
-@query(f"""WITH {_RINGS} SELECT lpad(row_number() OVER (ORDER BY site_id)::VARCHAR, 2, '0') || '_horizon-' || regexp_replace(name, '[^A-Za-z0-9_.-]', '_', 'g') || '.kml' AS file, name AS sensor FROM r""")
+@query(f"""WITH {_RINGS} SELECT printf('%02d', row_number() OVER (ORDER BY site_id)) || '_horizon-' || regexp_replace(name, '[^A-Za-z0-9_.-]', '_', 'g') || '.kml' AS file, name AS sensor FROM r""")
 def horizon_files(spark, sf_dir):
     """Horizons as one file a sensor, numbered in order of the input."""
     path = files.scratch(spark, "horizon-files")

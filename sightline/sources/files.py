@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import css_color
@@ -41,6 +41,17 @@ def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with its rows' places from 1 in an order, by ranges: places within each and the counts of those before, so no task has all rows."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = saved(ranged.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "numbered")
+    counts = rows.groupBy("__range").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))  # a row for each range
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return rows.join(F.broadcast(starts), "__range").withColumn(name, F.col("__at") - F.col("__first") + F.col("__start") + 1).drop("__range", "__at", "__first", "__start")
+
+
 def _found(spark: SparkSession, glob: str) -> bool:
     """Whether a file system has anything of such a name."""
     path = spark._jvm.org.apache.hadoop.fs.Path(glob)

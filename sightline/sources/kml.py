@@ -10,13 +10,13 @@ import re
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import earth
 from ..functions.text import coordinates, escaped, extended_data, kml_color, label, metadata_html
-from .files import few
+from .files import few, numbered
 from .named import write_named
 
 #: Fixed values of the outputs: colour and width of lines without a style, and the icon of a sensor.
@@ -24,6 +24,8 @@ LINE_COLOR, LINE_WIDTH = "#FFA500", 2.0
 ICON = "http://maps.google.com/mapfiles/kml/shapes/target.png"
 #: Points of a horizon ring, before the first is repeated.
 RING_POINTS = 180
+#: Sensors whose horizons are one file; a larger network has several, horizons.kml and horizons-2.kml on.
+TOGETHER = 5000
 
 _NS = "{http://www.opengis.net/kml/2.2}"
 
@@ -124,8 +126,8 @@ def ring_points(rings: DataFrame, keys: list[str], points: int = RING_POINTS) ->
     return rings.join(closed.select(*keys, ring.alias("ring")), keys)
 
 
-def horizon_documents(rings: DataFrame, places: DataFrame, style: Column, metadata: Column, export_mode: str = "clamped", by_sensor: bool = False) -> DataFrame:
-    """(filename, content): a folder for each sensor with its place and a ring for each altitude; one file for all sensors or one each.
+def horizon_documents(rings: DataFrame, places: DataFrame, style: Column, metadata: Column, export_mode: str = "clamped", by_sensor: bool = False, together: int = TOGETHER) -> DataFrame:
+    """(filename, content): a folder for each sensor with its place and a ring for each altitude; a file for ``together`` sensors or one each.
 
     ``rings`` has (ordinal, sensor, alt_m, dist_m); ``places`` (sensor, latitude, longitude, ground, height); a sensor without a place
     stands at 0, 0 on ground 0.  Of rings of one name and altitude the last counts.  Files of one sensor are numbered in order of ``ordinal``.
@@ -144,12 +146,13 @@ def horizon_documents(rings: DataFrame, places: DataFrame, style: Column, metada
     sensors = at.groupBy("sensor", "latitude", "longitude").agg(F.min("ordinal").alias("ordinal"), F.array_sort(F.collect_list(F.struct("alt_m", mark.alias("mark")))).alias("marks"))  # a sensor's altitudes
     place = placemark(F.col("sensor"), F.lit("sensor"), site_point(F.col("longitude"), F.col("latitude")))
     folder = F.concat(F.lit("<Folder><name>"), escaped(F.col("sensor")), F.lit("</name>"), place, F.array_join(F.transform("marks", lambda m: m["mark"]), ""), F.lit("</Folder>"))
-    sensors = sensors.select("sensor", "ordinal", folder.alias("folder"))
+    sensors = numbered(sensors.select("sensor", "ordinal", folder.alias("folder")), ["ordinal", "sensor"], "number")
+    place_of = F.col("number").cast("string")
     if by_sensor:
-        number = F.row_number().over(Window.orderBy("ordinal", "sensor"))  # a row for each sensor
-        sensors = sensors.withColumn("filename", F.concat(F.lpad(number.cast("string"), 2, "0"), F.lit("_horizon-"), F.regexp_replace("sensor", r"[^\w.-]", "_"), F.lit(".kml")))
+        sensors = sensors.withColumn("filename", F.concat(F.when(F.length(place_of) < 2, F.concat(F.lit("0"), place_of)).otherwise(place_of), F.lit("_horizon-"), F.regexp_replace("sensor", r"[^\w.-]", "_"), F.lit(".kml")))
     else:
-        sensors = sensors.withColumn("filename", F.lit("horizons.kml"))
+        file = F.floor((F.col("number") - 1) / together) + 1
+        sensors = sensors.withColumn("filename", F.when(file == 1, "horizons.kml").otherwise(F.concat(F.lit("horizons-"), file.cast("string"), F.lit(".kml"))))
     files = sensors.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("ordinal", "sensor", "folder"))).alias("folders"))
     styles = F.concat(icon_style(F.lit("sensor"), F.lit(1.0), F.lit(ICON), F.lit(None).cast("string")), line_style(F.lit("horizon"), style))
     return files.select("filename", document(F.lit("Geometric Horizons"), F.concat(styles, F.array_join(F.transform("folders", lambda f: f["folder"]), ""))).alias("content"))

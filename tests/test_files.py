@@ -128,3 +128,15 @@ def test_names_are_escaped(spark, tmp_path):
     kml.write_files(kml.coverage_documents(rows), str(tmp_path / "out"))
     assert kml.read_coverage(spark, str(tmp_path / "out")).first().sensor_name == name
     assert kml.read_metadata(spark, str(tmp_path / "out")).first().metadata == {name: name}
+
+
+def test_horizons_of_a_large_network_are_several_files(spark):
+    """Sensors are numbered over ranges, in the order of the input; a file holds so many."""
+    rings = spark.range(47).select((100 - F.col("id")).alias("ordinal"), F.format_string("s%02d", "id").alias("sensor"), F.lit(50.0).alias("alt_m"), F.lit(9000.0).alias("dist_m")).repartition(5)
+    places = spark.createDataFrame([], "sensor string, latitude double, longitude double, ground double, height double")
+    style = F.struct(F.lit("#ffaa00").alias("line_color"), F.lit(1.0).alias("line_width"), F.lit(None).cast("string").alias("fill_color"), F.lit(None).cast("double").alias("fill_opacity"))
+    made = lambda **more: {r.filename: r.content for r in kml.horizon_documents(rings, places, style, F.create_map(F.lit("a"), F.lit("b")), **more).collect()}
+    files_ = made(together=20)
+    assert {f: c.count("<Folder>") for f, c in files_.items()} == {"horizons.kml": 20, "horizons-2.kml": 20, "horizons-3.kml": 7}
+    assert files_["horizons.kml"].index("s46") < files_["horizons.kml"].index("s45") and "s27" in files_["horizons.kml"] and "s26" in files_["horizons-2.kml"]
+    assert sorted(made(by_sensor=True)) == sorted(f"{i + 1:02d}_horizon-s{46 - i:02d}.kml" for i in range(47)) and list(made()) == ["horizons.kml"]
