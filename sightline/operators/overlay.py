@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,42 +158,58 @@ def overlay(e: DataFrame, by: list[str], what: str = "depth", size: float = SIZE
 
     starts = strips.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("row").alias("__row"), F.col("left").alias("__left"), "b0", "b1")
     full = items.join(starts, [*(F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by), F.col("row") == F.col("__row"), F.col("left") == F.col("__left")]).drop(*(f"__{b}" for b in by), "__row", "__left")
-    full = full.withColumn("__group", F.to_json(F.struct(*by, "row", "left"))).repartition("__group").sortWithinPartitions("__group")
-    schema = rest.schema
-    names, label = schema.names, _SETS[what]
-
-    def swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(g: pd.DataFrame) -> pd.DataFrame:
-            bottom = float(g["row"].iloc[0]) * size
-            out = pd.DataFrame(_strip(g, bottom, bottom + size, label), columns=["x0", "x1", "lo0", "lo1", "hi0", "hi1", "n0", "n1"])
-            for b in by:
-                out[b] = g[b].iloc[0]
-            return out[names]
-
-        kept: list[pd.DataFrame] = []  # of the strip that the next batch may go on with
+    # Named number of tasks: strips are few bytes and much work, which adaptive execution would put into one task.
+    tasks = max(1, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    full = full.withColumn("__group", F.xxhash64(*by, "row", "left")).repartition(tasks, "__group").sortWithinPartitions("__group", *by, "row", "left")
+    schema, label = rest.schema, _SETS[what]
+    names = schema.names
+
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table, stops: list[int]) -> Iterator[pa.RecordBatch]:
+            arrays = {n: t.column(n).to_numpy() for n in ("row", "left", "right", *_EDGE, "d0", "d1", "b0", "b1")}
+            out: list[tuple] = []
+            of: list[int] = []
+            for start, stop in zip([0, *stops], stops):
+                bottom = float(arrays["row"][start]) * size
+                found = _strip({n: a[start:stop] for n, a in arrays.items()}, bottom, bottom + size, label)
+                out += found
+                of += [start] * len(found)
+            if out:
+                values = dict(zip(("x0", "x1", "lo0", "lo1", "hi0", "hi1", "n0", "n1"), zip(*out)))
+                columns = [t.column(n).take(pa.array(of)).combine_chunks() if n in by else pa.array(values[n], pa.int64() if n in ("n0", "n1") else pa.float64()) for n in names]
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names)
+
+        kept: pa.Table | None = None  # of the strip that the next batch may go on with
         for batch in batches:
-            for _, g in batch.groupby("__group", sort=False):
-                if kept and kept[0]["__group"].iloc[0] != g["__group"].iloc[0]:
-                    yield done(pd.concat(kept))
-                    kept = []
-                kept.append(g)
-        if kept:
-            yield done(pd.concat(kept))
-
-    return full.mapInPandas(swept, schema).unionByName(rest)
-
-
-def _strip(g: pd.DataFrame, bottom: float, top: float, label) -> list[tuple]:
+            t = pa.Table.from_batches([batch])
+            t = t if kept is None else pa.concat_tables([kept, t])
+            if not len(t):
+                continue
+            new = np.zeros(len(t) - 1, bool)
+            for n in ("__group", "row", "left"):
+                v = t.column(n).to_numpy()
+                new |= v[1:] != v[:-1]
+            stops = [int(i) + 1 for i in np.flatnonzero(new)]
+            if stops:
+                yield from done(t, stops)
+            kept = t.slice(stops[-1] if stops else 0)
+        if kept is not None and len(kept):
+            yield from done(kept, [len(kept)])
+
+    return full.mapInArrow(swept, schema).unionByName(rest)
+
+
+def _strip(g: dict[str, np.ndarray], bottom: float, top: float, label) -> list[tuple]:
     """Trapezoids of one strip: between two ends or crossings next to each other no lines cross, so the weights add up from the bottom."""
-    left, right = float(g["left"].iloc[0]), float(g["right"].iloc[0])
-    is_piece = g["x1"].notna().to_numpy()
-    p, c = g[is_piece], g[~is_piece]
-    x0, y0, x1, y1 = (p[n].to_numpy(float) for n in _EDGE)
+    left, right = float(g["left"][0]), float(g["right"][0])
+    is_piece = ~np.isnan(g["x1"])
+    x0, y0, x1, y1 = (g[n][is_piece] for n in _EDGE)
     slope = (y1 - y0) / (x1 - x0)
-    d = p[["d0", "d1"]].to_numpy(np.int64)
-    cx, order = c["x0"].to_numpy(float), np.argsort(c["x0"].to_numpy(float))
-    cx, cd = cx[order], np.vstack([np.zeros((1, 2), np.int64), np.cumsum(c[["d0", "d1"]].to_numpy(np.int64)[order], axis=0)])
-    base = g[["b0", "b1"]].iloc[0].to_numpy(np.int64)
+    weights = np.column_stack([g["d0"], g["d1"]]).astype(np.int64)
+    d, cx, cd = weights[is_piece], g["x0"][~is_piece], weights[~is_piece]
+    order = np.argsort(cx)
+    cx, cd = cx[order], np.vstack([np.zeros((1, 2), np.int64), np.cumsum(cd[order], axis=0)])
+    base = np.array([g["b0"][0], g["b1"][0]], np.int64)
     stops = np.unique(np.clip(np.concatenate([[left, right], x0, x1, cx]), left, right))
     stops = stops[np.concatenate([[True], np.diff(stops) > TINY / 100])]
     out: list[tuple] = []

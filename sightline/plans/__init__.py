@@ -1,3 +1,3 @@
 """Composite queries; importing this registers them."""
 
-from . import detections, exchange, levels, realterrain, sitework, sweeps, terrainwork, tilework  # noqa: F401
+from . import detections, exchange, levels, overlays, realterrain, sitework, sweeps, terrainwork, tilework  # noqa: F401

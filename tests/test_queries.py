@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
 #: Queries whose comparisons can tie, also tested on ten times the rows.
-TIES = ["agl_visible", "cart_resample", "coverage_depth", "coverage_runs", "detection_polygon_clip", "msl_visible", "mva_stats", "target_lookup", "viewshed_terrain", "viewshed_terrain_msl", "zone_composite"]
+TIES = ["agl_visible", "cart_resample", "coverage_depth", "coverage_runs", "detection_polygon_clip", "msl_visible", "mva_stats", "polygon_depth_area", "target_lookup", "viewshed_terrain", "viewshed_terrain_msl", "zone_composite"]
 
 
 def connected(sf):
