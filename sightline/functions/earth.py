@@ -121,3 +121,39 @@ def with_geodesic(df: DataFrame, lat: str, lon: str, az: str, dist: str, steps:
     turn = lam - (1 - q) * FLAT * c("__sa") * (c("__s") + q * s * (m + q * k * (-1 + 2 * m * m)))
     out = out.withColumn("lon2", c(lon) + F.degrees(turn))
     return out.drop(*[x for x in out.columns if x not in (*df.columns, "lat2", "lon2")])
+
+
+def with_inverse(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, steps: int = 12) -> DataFrame:
+    """``df`` with geo_m and geo_az: length of the geodesic between two places on the ellipsoid and its azimuth at the first (radians in [0, 2 pi)), by Vincenty's series.
+
+    The shorter way round is taken.  Equal places are 0 m apart, in direction 0.  Both are null where the longitude on the auxiliary sphere still moves
+    by 1e-12 after so many steps, as for places within about half a degree of each other's antipodes, or where a coordinate is null.
+    """
+    c = F.col
+    out = df
+    for n, lat in ((1, lat1), (2, lat2)):
+        out = out.withColumn(f"__t{n}", (1 - FLAT) * F.tan(F.radians(c(lat)))).withColumn(f"__cu{n}", 1 / F.sqrt(1 + c(f"__t{n}") * c(f"__t{n}"))).withColumn(f"__su{n}", c(f"__t{n}") * c(f"__cu{n}"))
+    out = out.withColumn("__l", F.radians(F.pmod(c(lon2) - c(lon1) + 180, F.lit(360.0)) - 180)).withColumn("__lam", c("__l")).withColumn("__was", c("__l"))
+
+    def sphere(t: DataFrame) -> DataFrame:
+        x, y = c("__cu2") * F.sin("__lam"), c("__cu1") * c("__su2") - c("__su1") * c("__cu2") * F.cos("__lam")
+        t = t.withColumn("__ss", F.sqrt(x * x + y * y)).withColumn("__cs", c("__su1") * c("__su2") + c("__cu1") * c("__cu2") * F.cos("__lam")).withColumn("__s", F.atan2("__ss", "__cs"))
+        t = t.withColumn("__sa", F.when(c("__ss") == 0, 0.0).otherwise(c("__cu1") * x / F.when(c("__ss") == 0, 1.0).otherwise(c("__ss")))).withColumn("__c2a", 1 - c("__sa") * c("__sa"))
+        flat = c("__c2a") < 1e-15  # along the equator
+        return t.withColumn("__m", F.when(flat, 0.0).otherwise(c("__cs") - 2 * c("__su1") * c("__su2") / F.when(flat, 1.0).otherwise(c("__c2a"))))
+
+    for _ in range(steps):
+        out = sphere(out)
+        q = FLAT / 16 * c("__c2a") * (4 + FLAT * (4 - 3 * c("__c2a")))
+        turn = (1 - q) * FLAT * c("__sa") * (c("__s") + q * c("__ss") * (c("__m") + q * c("__cs") * (-1 + 2 * c("__m") * c("__m"))))
+        out = out.withColumns({"__was": c("__lam"), "__lam": c("__l") + turn})
+    out = sphere(out).withColumn("__u2", c("__c2a") * ((A * A - B * B) / (B * B)))
+    a = 1 + c("__u2") / 16384 * (4096 + c("__u2") * (-768 + c("__u2") * (320 - 175 * c("__u2"))))
+    b = c("__u2") / 1024 * (256 + c("__u2") * (-128 + c("__u2") * (74 - 47 * c("__u2"))))
+    out = out.withColumn("__A", a).withColumn("__B", b)
+    m, b, ss = c("__m"), c("__B"), c("__ss")
+    delta = b * ss * (m + b / 4 * (c("__cs") * (-1 + 2 * m * m) - b / 6 * m * (-3 + 4 * ss * ss) * (-3 + 4 * m * m)))
+    az = F.atan2(c("__cu2") * F.sin("__lam"), c("__cu1") * c("__su2") - c("__su1") * c("__cu2") * F.cos("__lam"))
+    settled = F.abs(c("__lam") - c("__was")) < 1e-12
+    out = out.withColumn("geo_m", F.when(settled, B * c("__A") * (c("__s") - delta))).withColumn("geo_az", F.when(settled, F.when(ss == 0, 0.0).when(az < 0, az + 2 * math.pi).otherwise(az)))
+    return out.drop(*[x for x in out.columns if x not in (*df.columns, "geo_m", "geo_az")])

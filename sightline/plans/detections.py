@@ -77,6 +77,34 @@ def geodesic_circle(spark, sf_dir):
     return earth.with_geodesic(s, "latitude", "longitude", "az", "dist").select("site_id", "i", F.round("lat2", 7).alias("lat2"), F.round("lon2", 7).alias("lon2"))
 
 
+def inverse_sql(start: str, steps: int = 12) -> str:
+    """The series from two places to the length and azimuth, one step each subquery, with nulls where it doesn't settle."""
+    a, b, f = repr(earth.A), repr(earth.B), repr(earth.FLAT)
+    sphere = ["SELECT *, sqrt((cu2 * sin(lam)) ** 2 + (cu1 * su2 - su1 * cu2 * cos(lam)) ** 2) AS ss, su1 * su2 + cu1 * cu2 * cos(lam) AS cs FROM (X)", "SELECT *, atan2(ss, cs) AS s, CASE WHEN ss = 0 THEN 0 ELSE cu1 * cu2 * sin(lam) / ss END AS sa FROM (X)",
+              "SELECT *, CASE WHEN 1 - sa * sa < 1e-15 THEN 0 ELSE cs - 2 * su1 * su2 / (1 - sa * sa) END AS m, 1 - sa * sa AS c2a FROM (X)"]
+    step = f"SELECT * EXCLUDE (ss, cs, s, sa, m, c2a, q) REPLACE (lam AS was, l + (1 - q) * {f} * sa * (s + q * ss * (m + q * cs * (-1 + 2 * m * m))) AS lam) FROM (SELECT *, {f} / 16 * c2a * (4 + {f} * (4 - 3 * c2a)) AS q FROM (X))"
+    every = [start, f"SELECT *, (1 - {f}) * tan(radians(latitude)) AS t1, (1 - {f}) * tan(radians(lat2)) AS t2 FROM (X)", "SELECT *, 1 / sqrt(1 + t1 * t1) AS cu1, 1 / sqrt(1 + t2 * t2) AS cu2 FROM (X)",
+             "SELECT *, t1 * cu1 AS su1, t2 * cu2 AS su2, radians((lon2 - longitude + 540) - 360 * floor((lon2 - longitude + 540) / 360) - 180) AS l FROM (X)", "SELECT *, l AS lam, l AS was FROM (X)"]
+    every += [*sphere, step] * steps + sphere
+    every += [f"SELECT *, c2a * (({a} * {a} - {b} * {b}) / ({b} * {b})) AS u2 FROM (X)", "SELECT *, 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))) AS aa, u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))) AS bb FROM (X)",
+              f"SELECT *, CASE WHEN abs(lam - was) < 1e-12 THEN {b} * aa * (s - bb * ss * (m + bb / 4 * (cs * (-1 + 2 * m * m) - bb / 6 * m * (-3 + 4 * ss * ss) * (-3 + 4 * m * m)))) END AS geo_m, CASE WHEN abs(lam - was) < 1e-12 THEN atan2(cu2 * sin(lam), cu1 * su2 - su1 * cu2 * cos(lam)) END AS az FROM (X)"]
+    out = every[0]
+    for one in every[1:]:
+        out = one.replace("X)", out + ")")
+    return out
+
+
+@query(f"""WITH {T.SITES}, {T.TILES}, p AS (SELECT id, site_id, latitude, longitude, (min_lat + max_lat) / 2 AS lat2, (min_lon + max_lon) / 2 AS lon2 FROM tiles JOIN sites ON site_id = 1 + ordinal % (SELECT count(*) FROM sites))
+SELECT id, site_id, round(geo_m, 3) AS geo_m, round(CASE WHEN az < 0 THEN az + 2 * pi() ELSE az END, 9) AS geo_az FROM ({inverse_sql('SELECT * FROM p')})""")
+def geodesic_inverse(spark, sf_dir):
+    """How far each tile's centre lies from a site, and in which direction, on the ellipsoid."""
+    sites, tiles = T.sites(spark, sf_dir), T.tiles(spark, sf_dir)
+    number = sites.agg(F.count("*").alias("sites"))  # one row
+    p = tiles.join(F.broadcast(number)).withColumn("site_id", 1 + F.col("ordinal") % F.col("sites")).join(sites.select("site_id", "latitude", "longitude"), "site_id")
+    p = p.select("id", "site_id", "latitude", "longitude", ((F.col("min_lat") + F.col("max_lat")) / 2).alias("lat2"), ((F.col("min_lon") + F.col("max_lon")) / 2).alias("lon2"))
+    return earth.with_inverse(p, "latitude", "longitude", "lat2", "lon2").select("id", "site_id", F.round("geo_m", 3).alias("geo_m"), F.round("geo_az", 9).alias("geo_az"))
+
+
 #: Sites' outlines as squares of cells: of every site one for each altitude, and of every fifth a second, smaller one at the lower altitude.
 _VARIANTS = "(SELECT * FROM (VALUES (0, 100, 5), (0, 200, 5), (1, 100, 2)) x(v, alt, half))"
 _DETECTED = f"""{T.SITES}, i AS (SELECT site_id, name, longitude, latitude, v, alt, half FROM sites CROSS JOIN {_VARIANTS} WHERE v = 0 OR site_id % 5 = 0),

@@ -262,3 +262,22 @@ def test_a_polygon_across_the_date_line_keeps_what_one_elsewhere_does(spark):
         assert len({(r.row, r.col) for r in cells}) == len(cells) and all(-3600 <= r.col < 3600 for r in cells)
         counts.append(len(cells))
     assert counts[0] == counts[1] == counts[2] and abs(counts[3] - counts[0]) <= 4
+
+
+def test_inverse_geodesic_gives_the_direct_one_back(spark):
+    places = [(lat, lon, az, dist) for lat in (-89.0, -60.5, -10.0, 0.0, 33.3, 71.0, 88.0) for lon in (-179.5, 0.0, 120.0) for az in (0.0, 1e-3, 45.0, 90.0, 179.0, 222.2, 300.0) for dist in (1.0, 5000.0, 250000.0, 9.9e6)]
+    t = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)], "i int, lat double, lon double, az double, dist double")
+    there = earth.with_geodesic(t, "lat", "lon", "az", "dist", steps=9)
+    for r in earth.with_inverse(there, "lat", "lon", "lat2", "lon2").collect():
+        assert abs(r.geo_m - r.dist) < 1e-3, r
+        off = (r.geo_az - math.radians(r.az) + math.pi) % (2 * math.pi) - math.pi
+        assert abs(off) * r.dist < 1e-3 * max(1.0, r.dist / 1e5) or abs(r.lat) > 85, r
+
+
+def test_inverse_geodesic_of_odd_places(spark):
+    t = spark.createDataFrame([("same", 10.0, 20.0, 10.0, 20.0), ("equator", 0.0, 179.0, 0.0, -179.0), ("antipodes", 0.0, 0.0, 0.1, 179.9), ("null", None, 0.0, 1.0, 1.0), ("pole", 90.0, 0.0, 0.0, 0.0)], "k string, a double, b double, c double, d double")
+    got = {r.k: r for r in earth.with_inverse(t, "a", "b", "c", "d").collect()}
+    assert (got["same"].geo_m, got["same"].geo_az) == (0.0, 0.0)
+    assert got["equator"].geo_m == pytest.approx(math.radians(2) * earth.A, abs=1e-3) and got["equator"].geo_az == pytest.approx(math.pi / 2)
+    assert got["antipodes"].geo_m is None and got["null"].geo_m is None
+    assert got["pole"].geo_m == pytest.approx(10001965.729, abs=1e-2)
