@@ -129,6 +129,7 @@ def overlay(e: DataFrame, by: list[str], what: str = "depth", size: float = SIZE
     across = int(round(360 / size))
     if abs(across * size - 360) > 1e-9 or across % 2:
         raise ValueError("size must divide 180 degrees")
+    e = saved(e, "edges")  # read twice
     cut, crossed = saved(_pieces(e, by, size), "pieces"), _crossings(e, by, size).withColumn("col", F.floor(F.col("x") / size).cast("int"))
     hot = cut.groupBy(*by, "row", "col").agg(F.count("*").alias("n")).where(F.col("n") > pieces).withColumn("strips", F.pow(2.0, F.ceil(F.log2(F.col("n") / pieces))).cast("int"))
     hot = hot.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("row").alias("__row"), F.col("col").alias("__col"), "strips")
@@ -211,12 +212,13 @@ def _strip(g: dict[str, np.ndarray], bottom: float, top: float, label) -> list[t
     cx, cd = cx[order], np.vstack([np.zeros((1, 2), np.int64), np.cumsum(cd[order], axis=0)])
     base = np.array([g["b0"][0], g["b1"][0]], np.int64)
     stops = np.unique(np.clip(np.concatenate([[left, right], x0, x1, cx]), left, right))
-    stops = stops[np.concatenate([[True], np.diff(stops) > TINY / 100])]
+    stops = stops[np.concatenate([[True], np.diff(stops) > TINY / 100])].tolist()
+    xs, ys, rises = x0.tolist(), y0.tolist(), slope.tolist()
     out: list[tuple] = []
     open_: dict[tuple, float] = {}
 
     def height(i: int, x: float) -> float:
-        return bottom if i == -1 else top if i == -2 else y0[i] + (x - x0[i]) * slope[i]
+        return bottom if i == -1 else top if i == -2 else ys[i] + (x - xs[i]) * rises[i]
 
     def close(found: dict[tuple, float], x: float) -> None:
         for (low, high, n), since in open_.items():
@@ -240,11 +242,11 @@ def _strip(g: dict[str, np.ndarray], bottom: float, top: float, label) -> list[t
                 x = a + gap / (slope[under] - slope[over])
                 x = x[(x > a + step) & (x < b - step)]
                 till = float(x.min()) if len(x) else b
-            n = np.vstack([start, start + np.cumsum(d[lines], axis=0)])
+            n = (start + np.cumsum(d[lines], axis=0)).tolist()
             found: dict[tuple, float] = {}
-            low, state = -1, label(int(n[0, 0]), int(n[0, 1]))
-            for i, line in enumerate([*map(int, lines), -2]):
-                following = label(int(n[i + 1, 0]), int(n[i + 1, 1])) if line != -2 else None
+            low, state = -1, label(*map(int, start))
+            for i, line in enumerate([*lines.tolist(), -2]):
+                following = label(*n[i]) if line != -2 else None
                 if following == state:
                     continue
                 if state != (0, 0) and (height(line, a) - height(low, a) > TINY or height(line, till) - height(low, till) > TINY):

@@ -58,7 +58,7 @@ UNION ALL SELECT 'intersection', km, {_KM2} FROM n WHERE n0 > 0 AND n1 > 0 AND l
 UNION ALL SELECT 'difference', km, {_KM2} FROM n WHERE n0 > 0 AND n1 <= 0 GROUP BY km""")
 def polygon_set_area(spark, sf_dir):
     """What the circles of sites of absolute altitude and those of all others cover together, both, or the first alone."""
-    e = saved(O.edges(_circles(spark, sf_dir), ["km"]), "edges")
+    e = saved(O.edges(_circles(spark, sf_dir), ["km"]), "circles")
     parts = [O.overlay(e, ["km"], what).groupBy(F.lit(what).alias("what"), "km").agg(_km2(), F.sum(O.piece_area()).alias("m2")) for what in ("union", "intersection", "difference")]
     return reduce(DataFrame.unionByName, parts).where(F.col("m2") > 1e-10 * earth.MEAN**2).drop("m2")
 
