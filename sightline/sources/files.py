@@ -41,6 +41,11 @@ def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows that become many, dealt out over all tasks first: a file of few bytes is read by one task, and few bytes are put back together by AQE unless a number is given."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with its rows' places from 1 in an order, by ranges: places within each and the counts of those before, so no task has all rows."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

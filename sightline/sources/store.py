@@ -11,6 +11,8 @@ from .files import few
 
 #: Buckets of keys, which are folders; a lookup of few keys reads few of them.
 BUCKETS = 16
+#: Keys (under 100 bytes each) up to which rays are not shuffled to find those of some keys.
+KEYS = 1_000_000
 SCHEMA = "key string, az_idx int, first int, mva array<float>, steepest double, version string, bucket int"
 MANIFEST = "key string, version string, first int, samples int, rays long, stored timestamp"
 
@@ -33,15 +35,17 @@ class SurfaceStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def write(self, rays: DataFrame) -> None:
-        """Stores rays (key, az_idx, mva, and first and steepest, which are 0 and null if they are no columns)."""
+    def write(self, rays: DataFrame) -> DataFrame:
+        """Stores rays (key, az_idx, mva, and first and steepest, which are 0 and null if they are no columns), and returns what was written."""
         version = uuid.uuid4().hex
         more = [F.col(c) if c in rays.columns else F.lit(v).cast(t).alias(c) for c, v, t in (("first", 0, "int"), ("steepest", None, "double"))]
         bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket")
         rays.select("key", "az_idx", "mva", *more, F.lit(version).alias("version"), bucket).write.mode("append").partitionBy("version", "bucket").parquet(f"{self.path}/rays")
-        held = self._table("rays", SCHEMA).where(F.col("version") == version).groupBy("key", "version")
+        written = self._table("rays", SCHEMA).where(F.col("version") == version)
+        held = written.groupBy("key", "version")
         held = held.agg(F.min("first").alias("first"), F.max(F.col("first") + F.size("mva")).alias("samples"), F.count("*").alias("rays"))
         held.withColumn("stored", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/manifest")
+        return written
 
     def _live(self) -> DataFrame:
         """The manifest's rows that count: not deleted since, nor replaced by a later write from the first sample."""
@@ -56,9 +60,13 @@ class SurfaceStore:
         return self._live().groupBy("key").agg(F.max("samples").alias("samples"))
 
     def _segments(self, keys: DataFrame) -> DataFrame:
-        wanted = self._live().join(few(keys.select("key").distinct()), "key", "left_semi")
+        wanted = self._live().join(few(keys.select("key").distinct(), KEYS), "key", "left_semi")
         wanted = wanted.select("key", "version", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-        return self._table("rays", SCHEMA).join(few(wanted), ["version", "bucket", "key"], "left_semi")
+        return self._table("rays", SCHEMA).join(few(wanted, KEYS), ["version", "bucket", "key"], "left_semi")
+
+    def segments(self, keys: DataFrame) -> DataFrame:
+        """(key, az_idx, first, mva) of some keys: their rays in parts, as they were stored, without a shuffle."""
+        return self._segments(keys).select("key", "az_idx", "first", "mva")
 
     def read(self, keys: DataFrame) -> DataFrame:
         """(key, az_idx, mva) of some keys, their segments joined; the columns of ``keys`` beside ``key`` are not read."""
