@@ -45,10 +45,18 @@ def best_first() -> Column:
     return F.struct(F.col("inside").cast("int").alias("inside"), kind.alias("kind"), (-F.col("ordinal")).alias("first"))
 
 
+def answering(tiles: DataFrame) -> DataFrame:
+    """Of tiles with one and the same box those that can be ``best_first`` at a point, so that copies of a box meet no point: the best score, and the best rank, of equals the first."""
+    box, own = ["min_lon", "min_lat", "max_lon", "max_lat"], F.struct(*tiles.columns)
+    best = [F.max_by(own, F.struct(c, -F.col("ordinal"))) for c in ("score", "rank")]
+    each = tiles.groupBy(*box).agg(F.array_distinct(F.array(*best)).alias("t"))
+    return each.select(F.explode("t").alias("t")).select("t.*")
+
+
 def sampled(points: DataFrame, tiles: DataFrame, default: float = 0.0) -> DataFrame:
     """Each point's elevation from the best tile that holds it, ``best_first``; else the default."""
     rank = tiles.withColumn("rank", F.col("rank") if "rank" in tiles.columns else F.lit(0))
-    best = at_points(points, rank).groupBy("site_id").agg(F.max_by(F.struct("id", "elevation"), best_first()).alias("tile"))
+    best = at_points(points, answering(rank)).groupBy("site_id").agg(F.max_by(F.struct("id", "elevation"), best_first()).alias("tile"))
     return points.join(best, "site_id", "left").withColumn("tile_id", F.col("tile.id")).withColumn("sampled_m", F.coalesce(F.col("tile.elevation"), F.lit(default))).drop("tile")
 
 
@@ -68,6 +76,17 @@ def last_of_each(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("id").agg(F.max_by(F.struct(*(c for c in tiles.columns if c != "id")), "ordinal").alias("t")).select("id", "t.*")
 
 
+def touched(boxes: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The tiles that any of the boxes touches, each once.
+
+    Boxes meet the tiles' different boxes, each once; so rows follow boxes and places, not the pairs of boxes and tiles, however many tiles lie over one place.
+    """
+    box = ["min_lon", "min_lat", "max_lon", "max_lat"]
+    places = tiles.select(*box).distinct()
+    hit = touching(boxes.select(*box), places).select(*(F.col(f"tile_{c}").alias(c) for c in box)).distinct()
+    return tiles.join(hit, box, "left_semi")
+
+
 def requirements(needed: DataFrame) -> DataFrame:
     """Totals over distinct tiles, by their last entries: all, cached, to fetch, and an estimate of their size."""
     return last_of_each(needed).agg(

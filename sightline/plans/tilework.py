@@ -34,20 +34,18 @@ def tile_best_score(spark, sf_dir):
 
 @query(f"WITH {_BOX} SELECT DISTINCT t.id FROM b JOIN tiles t ON {_HIT} WHERE NOT t.cached")
 def tile_missing_anti(spark, sf_dir):
-    tiles = T.tiles(spark, sf_dir)
-    return O.touching(_boxes(spark, sf_dir), tiles).select("id").distinct().join(tiles.where("cached"), "id", "left_anti")
+    return O.touched(_boxes(spark, sf_dir), T.tiles(spark, sf_dir).where("NOT cached")).select("id").distinct()
 
 
 @query(f"WITH {_BOX} SELECT DISTINCT t.id FROM b JOIN tiles t ON {_HIT} WHERE t.cached")
 def tile_cached_semi(spark, sf_dir):
-    tiles = T.tiles(spark, sf_dir)
-    return O.touching(_boxes(spark, sf_dir), tiles).select("id").distinct().join(tiles.where("cached"), "id", "left_semi")
+    return O.touched(_boxes(spark, sf_dir), T.tiles(spark, sf_dir).where("cached")).select("id").distinct()
 
 
 @query(f"""WITH {_BOX}, d AS (SELECT DISTINCT t.id, t.cached FROM b JOIN tiles t ON {_HIT})
 SELECT count(*) AS total, count(*) FILTER (cached) AS cached, count(*) FILTER (NOT cached) AS to_download, count(*) FILTER (NOT cached) * 25.0::DOUBLE AS est_mb FROM d""")
 def download_requirements(spark, sf_dir):
-    return O.requirements(O.touching(_boxes(spark, sf_dir), T.tiles(spark, sf_dir)))
+    return O.requirements(O.touched(_boxes(spark, sf_dir), T.tiles(spark, sf_dir)))
 
 
 @query(f"""WITH {_BOX}, n AS (SELECT b.site_id, ((ceil(max_lon) - floor(b.min_lon)) * (ceil(max_lat) - floor(b.min_lat)))::BIGINT AS need FROM b),
