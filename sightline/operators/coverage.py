@@ -81,6 +81,7 @@ def area(cells: DataFrame, res: float, *by: str) -> DataFrame:
 def in_polygon_circle(cells: DataFrame, sites: DataFrame, range_m: Column, res: float, corners: int = 128) -> DataFrame:
     """``cells`` (site_id, row, col, az, ...) whose centre lies in the polygon of so many geodesic corners round the site at a range.
 
+    A site's cells come to its ring, which is not broadcast: corners are many times the bytes of the sites, which the optimiser can't tell.
     The polygon is convex in degrees, counted from the site so that it may cross the date line, and a point can only be beyond the edges next to its own direction, so three are tested.
     """
     spread = sites.select("site_id", "latitude", "longitude", range_m.cast("double").alias("dist"), F.explode(F.sequence(F.lit(0), F.lit(corners - 1))).alias("i")).withColumn("az", F.col("i") * (360.0 / corners))
@@ -93,7 +94,7 @@ def in_polygon_circle(cells: DataFrame, sites: DataFrame, range_m: Column, res:
         a, b = F.get("__ring", F.pmod(at + step, F.lit(corners))), F.get("__ring", F.pmod(at + step + 1, F.lit(corners)))
         return (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) <= 0
 
-    return cells.join(ring, "site_id").where(inside(F.lit(-1)) & inside(F.lit(0)) & inside(F.lit(1))).drop("__ring", "__lon")
+    return cells.join(ring.hint("merge"), "site_id").where(inside(F.lit(-1)) & inside(F.lit(0)) & inside(F.lit(1))).drop("__ring", "__lon")
 
 
 def edges(cells: DataFrame, *by: str) -> DataFrame:
