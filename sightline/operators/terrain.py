@@ -6,38 +6,50 @@ grid of the world (gx east, gy north from 0, 0) at the finest step.  Everything
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import earth
-from ..sources.files import few
-from .tiles import at_points, best_first
+from ..sources.files import few, saved
+from .tiles import answering, at_points, best_first
+
 
+def nearest_pixel(points: DataFrame, tiles: DataFrame, cells: Callable[[DataFrame], DataFrame], default: float = 0.0) -> DataFrame:
+    """``points`` (site_id, longitude, latitude, ...) with the tile that answers and the elevation of its pixel there; ``default`` where no tile is, or the pixel is empty.
 
-def nearest_pixel(points: DataFrame, tiles: DataFrame, cells: DataFrame, default: float = 0.0) -> DataFrame:
-    """``points`` (site_id, longitude, latitude, ...) with the tile that answers and the elevation of its pixel there; ``default`` where no tile is, or the pixel is empty."""
+    ``cells`` gives the cells of some tiles: only those that answer for a point are read.  They are many times the bytes of their tiles, which the
+    optimiser can't tell, so it must not broadcast them.
+    """
     ranked = tiles if "rank" in tiles.columns else tiles.withColumn("rank", F.lit(0))
-    hit = at_points(points, ranked).groupBy("site_id").agg(F.max_by(F.struct("id", "tile_min_lon", "tile_max_lat", "step", "rows", "cols"), best_first()).alias("t"))
+    hit = at_points(points, answering(ranked)).groupBy("site_id").agg(F.max_by(F.struct("id", "tile_min_lon", "tile_max_lat", "step", "rows", "cols"), best_first()).alias("t"))
     at = points.join(hit, "site_id", "left")
     inside = lambda v, n: F.least(F.greatest(F.floor(v).cast("int"), F.lit(0)), n - 1)  # noqa: E731  a point on the far edge has the last pixel
     at = at.withColumn("row", inside((F.col("t.tile_max_lat") - F.col("latitude")) / F.col("t.step"), F.col("t.rows"))).withColumn("col", inside((F.col("longitude") - F.col("t.tile_min_lon")) / F.col("t.step"), F.col("t.cols")))
     at = at.withColumn("tile_id", F.col("t.id"))
-    found = at.join(cells.withColumnRenamed("id", "tile_id").select("tile_id", "row", "col", F.col("elevation").alias("__e")), ["tile_id", "row", "col"], "left")
+    wanted = saved(at.drop("t"), "pixels")
+    own = cells(tiles.join(few(wanted.select(F.col("tile_id").alias("id")).where("id IS NOT NULL").distinct()), "id", "left_semi"))
+    found = wanted.join(own.select(F.col("id").alias("tile_id"), "row", "col", F.col("elevation").alias("__e")).hint("merge"), ["tile_id", "row", "col"], "left")
     return found.withColumn("sampled_m", F.coalesce(F.nanvl(F.col("__e").cast("double"), F.lit(None)), F.lit(default))).select(*points.columns, "tile_id", "sampled_m")
 
 
 def mosaic(tiles: DataFrame, cells: DataFrame, step: float) -> DataFrame:
     """(gx, gy, elevation): all tiles' cells on one grid of the finest step; coarser ones fill several cells, and where tiles overlap the last one's values stay.
 
-    Cells without a value hide nothing.
+    Cells without a value hide nothing.  Cells that bring their tile's place (ordinal, min_lon, max_lat, step) with them are not joined.
     """
-    placed = cells.join(few(tiles.select("id", "ordinal", "min_lon", "max_lat", F.col("step").alias("own"))), "id").where(F.col("elevation").isNotNull() & ~F.isnan(F.col("elevation").cast("double")))
-    times = F.round(F.col("own") / step).cast("int")
-    x0 = F.round((F.col("min_lon") + F.col("col") * F.col("own")) / step).cast("int")
-    y0 = F.round((F.col("max_lat") - (F.col("row") + 1) * F.col("own")) / step).cast("int")
-    spread = placed.select("ordinal", "elevation", F.explode(F.sequence(x0, x0 + times - 1)).alias("gx"), y0.alias("y0"), times.alias("times"))
+    place = ["ordinal", "min_lon", "max_lat", "step"]
+    placed = cells if set(place) <= set(cells.columns) else cells.join(few(tiles.select("id", *place)), "id")
+    placed = placed.where(F.col("elevation").isNotNull() & ~F.isnan(F.col("elevation").cast("double")))
+    times = F.round(F.col("step") / step).cast("int")
+    x0 = F.round((F.col("min_lon") + F.col("col") * F.col("step")) / step).cast("int")
+    y0 = F.round((F.col("max_lat") - (F.col("row") + 1) * F.col("step")) / step).cast("int")
+    last = lambda rows: rows.agg(F.max_by("elevation", "ordinal").alias("elevation"), F.max("ordinal").alias("ordinal"))
+    own = last(placed.select("ordinal", "elevation", x0.alias("x0"), y0.alias("y0"), times.alias("times")).groupBy("x0", "y0", "times"))  # before coarse ones spread
+    spread = own.select("ordinal", "elevation", F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("times") - 1)).alias("gx"), "y0", "times")
     spread = spread.select("ordinal", "elevation", "gx", F.explode(F.sequence(F.col("y0"), F.col("y0") + F.col("times") - 1)).alias("gy"))
-    return spread.groupBy("gx", "gy").agg(F.max_by("elevation", "ordinal").alias("elevation"))
+    return last(spread.groupBy("gx", "gy")).drop("ordinal")
 
 
 def bilinear(points: DataFrame, grid: DataFrame, step: float, keys: list[str]) -> DataFrame:
@@ -68,6 +80,9 @@ def plane_cell(x: Column, y: Column, extent: Column, res: Column, dim: Column) -
 
 
 def looked_up(samples: DataFrame, grid: DataFrame, sensor: str) -> DataFrame:
-    """``samples`` (sensor, row, col, ...) with the elevation of the sensor's grid there; no value is sea level."""
-    found = samples.join(grid.select(sensor, "row", "col", F.col("elevation").alias("__e")), [sensor, "row", "col"], "left")
+    """``samples`` (sensor, row, col, ...) with the elevation of the sensor's grid there; no value is sea level.
+
+    Both are many times the bytes of the sensors that they are made of, which the optimiser can't tell, so neither may be broadcast.
+    """
+    found = samples.join(grid.select(sensor, "row", "col", F.col("elevation").alias("__e")).hint("merge"), [sensor, "row", "col"], "left")
     return found.withColumn("elevation", F.coalesce(F.nanvl(F.col("__e").cast("double"), F.lit(0.0)), F.lit(0.0)).cast("float")).drop("__e")

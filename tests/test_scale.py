@@ -39,3 +39,37 @@ def test_a_boundary_turned_to_more_rays_than_it_has(spark):
             at = k * (4 / wanted)
             assert abs(got[k] - ((1 - at % 1) * int(at) ** 2 + at % 1 * ((int(at) + 1) % 4) ** 2)) < 1e-9
         assert len(got) == wanted
+
+
+@pytest.mark.parametrize("name", ["dem_lookup", "detection_polygon_clip"])
+def test_nothing_made_of_many_rows_is_broadcast(spark, name):
+    assert "BroadcastExchange" not in plan_of(spark, name)
+
+
+def test_pixels_are_not_broadcast(spark):
+    """The pixels that answer come to the points in a merge join, of the tiles that answer for a point only."""
+    plan = plan_of(spark, "tile_sample")
+    assert "SortMergeJoin" in plan and "LeftSemi" in plan and "BroadcastHashJoin [tile_id" not in plan
+
+
+def test_mosaic_joins_no_cell(spark):
+    assert "Join" not in plan_of(spark, "mosaic_cells")
+
+
+def test_copies_of_a_box_meet_no_point(spark):
+    """Boxes and points meet a place once, however many tiles lie over it, and the same tiles answer."""
+    from sightline.operators import tiles as O
+
+    rows = [(f"t{i}", i, x, 0.0, x + 1.0, 1.0, i * 7 % 3, i % 2 == 0, float(i)) for x in (0.0, 1.0, 5.0) for i in range(int(x) * 100, int(x) * 100 + 40)]
+    t = spark.createDataFrame(rows, "id string, ordinal long, min_lon double, min_lat double, max_lon double, max_lat double, score int, cached boolean, elevation double")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 0.5), (3, 1.0, 1.0), (4, 3.0, 0.5), (5, 5.5, 0.5)], "site_id int, longitude double, latitude double")
+    assert O.answering(t.withColumn("rank", F.lit(0))).count() <= 6
+    got = {r.site_id: r.tile_id for r in O.sampled(points, t).collect()}
+    best = {}
+    for p in points.collect():
+        at = [(r, r[2] < p.longitude < r[4] and r[3] < p.latitude < r[5]) for r in rows if r[2] <= p.longitude <= r[4] and r[3] <= p.latitude <= r[5]]
+        best[p.site_id] = max(at, key=lambda a: (a[1], a[0][6] if a[1] else 0, -a[0][1]))[0][0] if at else None
+    assert got == best
+    boxes = points.selectExpr("site_id", "longitude - 0.1 AS min_lon", "latitude AS min_lat", "longitude + 0.1 AS max_lon", "latitude AS max_lat")
+    assert sorted(r.id for r in O.touched(boxes, t).collect()) == sorted(r[0] for r in rows)
+    assert O.requirements(O.touched(boxes, t)).first() == O.requirements(O.touching(boxes, t)).first()
