@@ -5,9 +5,8 @@
 2. *Cuts.* A ray's samples lie on the sensor's plane, so the blocks it crosses follow from their places; a cut is a run of samples in one
    block, and a row of numbers: no sample is shuffled.
 3. *Samples.* Cuts meet their block, which is sent once to each task that needs it, and take the terrain between its cell centres: an array
-   of elevations and the steepest slope so far within the cut.
-4. *Surface.* A window over the few cuts of a ray tells each how steep the terrain before it is; each sample's surface then follows from its
-   own cut alone.
+   of elevations, single precision, is all that goes on.
+4. *Surface.* A ray's few cuts, sorted, are put together in a stream and swept as one row.
 """
 
 from __future__ import annotations
@@ -17,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import earth
 from ..sources.files import few, saved
+from .sweep import surface_of_rays
 from .viewshed import zone_rays
 
 #: Cells on a block's side, samples that a task takes from one block at most on average, and samples laid out at a time.
@@ -178,11 +178,11 @@ def cuts(rays: DataFrame, step: float, side: int = SIDE, posts: bool = False) ->
 
 
 def _sampled(keep: list[str], step: float, side: int, posts: bool):
-    """Cuts of one block and the block's cells to (keep, cut, first, elevations, steepest so far in the cut)."""
+    """Cuts of one block and the block's cells to (keep, cut, elevations)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         grid = np.full((side + 1, side + 1), np.nan) if not right.num_rows else right.column("cells").combine_chunks().values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(side + 1, side + 1)
-        ray, sizes, first, out, tops = _columns(left), left.column("n").to_numpy(), left.column("first").to_numpy(), [], []
+        ray, sizes, first, out = _columns(left), left.column("n").to_numpy(), left.column("first").to_numpy(), []
         bx, by = (left.column(n)[0].as_py() * side if left.num_rows else 0 for n in ("bx", "by"))
         for part in _slices(sizes):
             n = sizes[part]
@@ -200,18 +200,43 @@ def _sampled(keep: list[str], step: float, side: int, posts: bool):
                 total += np.where(counts, w * np.where(counts, value, 0), 0)
                 weight += np.where(counts, w, 0)
             ground = np.where(weight > 0, total / np.where(weight > 0, weight, 1), 0).astype(np.float32)
-            r = index * own["step_m"]
-            r[index == 0] = 0.1
-            tilt = (ground - own["msl"].astype(np.float32)).astype(np.float64) / r - r / (2 * own["radius"])
-            tilt[index == 0] = -9999.0
-            for a, b in zip(begins[:-1], begins[1:], strict=True):
-                out.append(ground[a:b])
-                tops.append(np.maximum.accumulate(tilt[a:b]))
-        return pa.table([*(left.column(k).combine_chunks() for k in (*keep, "cut", "first")), _lists(out), _lists(tops, pa.float64())], names=[*keep, "cut", "first", "ground", "so_far"])
+            out += [ground[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
+        return pa.table([*(left.column(k).combine_chunks() for k in (*keep, "cut")), _lists(out)], names=[*keep, "cut", "elevations"])
 
     return run
 
 
+def whole_rays(cuts_: DataFrame, ray: list[str], keep: list[str]) -> DataFrame:
+    """(keep, elevations): rays' cuts (keep, cut, elevations), which come in order, put together: one sort, and a task holds a batch and one ray."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put(rows: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+            lists = rows.column("elevations").combine_chunks()
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            own = rows.select(keep).take(pa.array(at))
+            return pa.RecordBatch.from_arrays([*(own.column(k).combine_chunks() for k in keep), pa.ListArray.from_arrays(pa.array(np.append(ends[at], ends[-1]).astype(np.int32)), lists.flatten())], names=[*keep, "elevations"])
+
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            fresh = np.zeros(rows.num_rows, bool)
+            fresh[0] = True
+            for k in ray:
+                column = rows.column(k).to_numpy()
+                fresh[1:] |= column[1:] != column[:-1]
+            at = np.flatnonzero(fresh)
+            rest = rows.slice(at[-1])  # the next batch may go on with it
+            if len(at) > 1:
+                yield put(rows.slice(0, at[-1]), at[:-1])
+        if rest is not None and rest.num_rows:
+            yield put(rest, np.array([0]))
+
+    return cuts_.repartition(*ray).sortWithinPartitions(*ray, "cut").drop("cut").mapInArrow(run, cuts_.select(*keep, "elevations").schema)
+
+
 def surfaces(tasks: DataFrame, found: DataFrame, step: float, ray: list[str], side: int = SIDE, posts: bool = False) -> DataFrame:
     """(ray, mva array, ground array): the surface along every ray of ``tasks`` (as of ``viewshed.zone_rays``) over the mosaic ``found``, and the terrain under it.
 
@@ -225,22 +250,11 @@ def surfaces(tasks: DataFrame, found: DataFrame, step: float, ray: list[str], si
     parts = cut.join(load, ["bx", "by"]).withColumn("task", F.pmod(F.xxhash64(*ray), F.col("tasks")).cast("int")).drop("tasks")
     sent = found.join(load, ["bx", "by"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
     keep = list(dict.fromkeys((*ray, "msl", "radius", "step_m")))
-    schema = parts.select(*keep, "cut", "first").schema.add("ground", T.ArrayType(T.FloatType())).add("so_far", T.ArrayType(T.DoubleType()))
+    schema = parts.select(*keep, "cut").schema.add("elevations", T.ArrayType(T.FloatType()))
     at = ["bx", "by", "task"]
     sampled = parts.groupBy(*at).cogroup(sent.groupBy(*at)).applyInArrow(_sampled(keep, step, side, posts), schema)
-    before = Window.partitionBy(*ray).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    known = sampled.withColumn("before", F.coalesce(F.max(F.element_at("so_far", -1)).over(before), F.lit(-9999.0)))
-
-    def seen(x, i):
-        index = F.col("first") + i
-        r = index * F.col("step_m")
-        own = earth.slope(x["ground"], F.col("msl"), r, F.col("radius"), index)
-        return earth.visible_above(x["ground"], F.col("msl"), r, F.col("radius"), F.greatest(x["so_far"], F.col("before")), own, index)
-
-    done = known.select(*ray, "cut", "ground", F.transform(F.arrays_zip("ground", "so_far"), seen).alias("mva"))
-    whole = done.groupBy(*ray).agg(F.array_sort(F.collect_list(F.struct("cut", "mva", "ground"))).alias("cuts"))  # dealt by ray already
-    joined = lambda name: F.flatten(F.transform("cuts", lambda c: c[name])).alias(name)
-    return whole.select(*ray, joined("mva"), joined("ground"))
+    swept = surface_of_rays(whole_rays(sampled, ray, keep), [*ray, "elevations"])
+    return swept.select(*ray, "mva", F.col("elevations").alias("ground"))
 
 
 def ground_at(points: DataFrame, found: DataFrame, step: float, side: int = SIDE, posts: bool = False) -> DataFrame:

@@ -73,3 +73,21 @@ def test_copies_of_a_box_meet_no_point(spark):
     boxes = points.selectExpr("site_id", "longitude - 0.1 AS min_lon", "latitude AS min_lat", "longitude + 0.1 AS max_lon", "latitude AS max_lat")
     assert sorted(r.id for r in O.touched(boxes, t).collect()) == sorted(r[0] for r in rows)
     assert O.requirements(O.touched(boxes, t)).first() == O.requirements(O.touching(boxes, t)).first()
+
+
+def test_cuts_are_put_together_across_batches(spark):
+    """A ray's cuts in several Arrow batches are one ray, in order, without a window or a second sort."""
+    from sightline.operators import blocks as B
+
+    rows = [(f"s{s}", a, c, [float(1000 * s + 100 * a + 10 * c + i) for i in range((s + a + c) % 3 + 1)]) for s in range(4) for a in range(5) for c in range(7)]
+    cuts = spark.createDataFrame(rows[::-1], "site_id string, az_idx int, cut int, elevations array<float>")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            found = B.whole_rays(cuts, ["site_id", "az_idx"], ["site_id", "az_idx"])
+            got = {(r.site_id, r.az_idx): r.elevations for r in found.collect()}
+            assert got == {(f"s{s}", a): [v for x in rows if x[:2] == (f"s{s}", a) for v in x[3]] for s in range(4) for a in range(5)}
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
