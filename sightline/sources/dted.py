@@ -7,10 +7,12 @@ first bit the sign, and a sum of the record's bytes.  Elevations stand at whole
 from __future__ import annotations
 
 import json
+import math
 import struct
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice, product
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from .named import located
 #: Fixed values of the format: bytes of the headers, the mark of a record, the bytes of a record besides its elevations, and the value of none.
 UHL, DSI, ACC, MARK, AROUND, VOID = 80, 648, 2700, 0xAA, 12, -32767
 HEAD = UHL + DSI + ACC
-#: Cells on the side of the pieces that a tile is read in, bytes of files that a task reads, and headers read at a time.
-SIDE, BATCH_BYTES, OPEN = 256, 64 << 20, 32
+#: Cells on the side of the pieces that a tile is read in, bytes of files that a task reads, headers read at a time, and those that are asked for at a time.
+SIDE, BATCH_BYTES, OPEN, TOLD = 256, 64 << 20, 32, 4096
 SCHEMA = (
     "file string, ordinal long, west double, south double, east double, north double, min_lon double, max_lat double, step_lon double, step_lat double, "
     "row0 int, col0 int, rows int, cols int, cells array<float>, error string"
@@ -58,9 +60,13 @@ class Tile:
 
 @dataclass
 class Batch(D.InputPartition):
-    """Files that one task reads, one after the other."""
+    """Files that one task reads, one after the other: their places below the path, put together by a sign that no name has, and their ordinals."""
 
-    tiles: list[Tile]
+    files: str
+    ordinals: bytes
+
+    def __iter__(self) -> Iterator[tuple[str, int]]:
+        return zip(self.files.split("\0"), np.frombuffer(self.ordinals, np.int64).tolist(), strict=True)
 
 
 def degrees(text: str) -> float:
@@ -115,44 +121,82 @@ def encoded(west: int, south: int, grid: np.ndarray, tenths_lon: int, tenths_lat
     return b"".join(out)
 
 
+class Boxes:
+    """Boxes (west, south, east, north) by the whole degrees that they touch, so that a tile is held against those near it alone."""
+
+    def __init__(self, boxes: list[list[float]]):
+        self.near: dict[tuple[int, int], list[list[float]]] = {}
+        for box in boxes:
+            for square in self._squares(*box):
+                self.near.setdefault(square, []).append(box)
+
+    @staticmethod
+    def _squares(west: float, south: float, east: float, north: float) -> Iterator[tuple[int, int]]:
+        return product(range(math.floor(west), math.floor(east) + 1), range(math.floor(south), math.floor(north) + 1))
+
+    def meets(self, t: Tile) -> bool:
+        return any(t.west <= e and t.east >= w and t.south <= n and t.north >= s for at in self._squares(t.west, t.south, t.east, t.north) for w, s, e, n in self.near.get(at, ()))
+
+
 class DtedReader(D.DataSourceReader):
     def __init__(self, path: str, boxes: list[list[float]] | None, size: int):
         self.path, self.boxes, self.size = path, boxes, size
 
+    def _files(self, system: fs.FileSystem, folder: str) -> Iterator[fs.FileInfo]:
+        """The tiles' files in the order of their paths, a folder at a time."""
+        found = system.get_file_info(fs.FileSelector(folder))
+        kept = [f for f in found if f.type == fs.FileType.Directory or f.extension.lower() in ("dt0", "dt1", "dt2")]
+        del found
+        for f in sorted(kept, key=lambda f: f.path + "/" * (f.type == fs.FileType.Directory)):
+            if f.type == fs.FileType.Directory:
+                yield from self._files(system, f.path)
+            elif f.type == fs.FileType.File:
+                yield f
+
     def partitions(self) -> list[Batch]:
-        """Batches of the files whose box meets one of those asked for, each of so many bytes or one file; a file without a box, as its header is wrong, is read always."""
+        """Batches of the files whose box meets one of those asked for, each of so many bytes or one file; a file without a box, as its header is wrong, is read always.
+
+        Headers are read TOLD at a time, and of a file that is wanted its place alone is kept.
+        """
         system, root = located(self.path)
-        found = [f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.extension.lower() in ("dt0", "dt1", "dt2")]
-        found.sort(key=lambda f: f.path)
+        root = root.rstrip("/")
+        meets = None if self.boxes is None else Boxes(self.boxes)
 
-        def told(i: int) -> Tile:
-            with system.open_input_file(found[i].path) as f:
-                return header(found[i].path, found[i].base_name, i, f.read(UHL))
+        def wanted(f: fs.FileInfo) -> bool:
+            with system.open_input_file(f.path) as data:
+                tile = header(f.path, f.base_name, 0, data.read(UHL))
+            return bool(tile.error) or meets.meets(tile)
 
-        meets = lambda t: t.error or any(t.west <= e and t.east >= w and t.south <= n and t.north >= s for w, s, e, n in self.boxes)
-        batches, room = [], 0
+        batches, own, ordinals, room, number = [], [], [], 0, 0
+        done = lambda: own and batches.append(Batch("\0".join(own), np.array(ordinals, np.int64).tobytes()))
+        files = self._files(system, root)
         with ThreadPoolExecutor(OPEN) as pool:
-            for tile, file in zip(pool.map(told, range(len(found))), found, strict=True):
-                if self.boxes is None or meets(tile):
-                    if not batches or room < file.size:
-                        batches.append(Batch([]))
-                        room = self.size
-                    batches[-1].tiles.append(tile)
-                    room -= file.size
+            while some := list(islice(files, TOLD)):
+                for keep, file in zip(pool.map(wanted, some) if meets else (True for _ in some), some, strict=True):
+                    if keep:
+                        if not own or room < file.size:
+                            done()
+                            own, ordinals, room = [], [], self.size
+                        own.append(file.path[len(root) + 1 :])
+                        ordinals.append(number)
+                        room -= file.size
+                    number += 1
+        done()
         return batches
 
     def read(self, batch: Batch | None) -> Iterator[pa.RecordBatch]:
-        for tile in batch.tiles if batch else []:  # none where there is no file at all
-            yield from self.tile(tile)
+        system, root = located(self.path)
+        for file, ordinal in batch or []:  # none where there is no file at all
+            with system.open_input_file(f"{root.rstrip('/')}/{file}") as f:
+                data = f.read()
+            yield from self.tile(header(f"{root.rstrip('/')}/{file}", file.rpartition("/")[2], ordinal, data[:UHL]), data)
 
-    def tile(self, tile: Tile) -> Iterator[pa.RecordBatch]:
+    def tile(self, tile: Tile, data: bytes) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "array<float>": pa.list_(pa.float32())}[t]) for n, t in (c.split() for c in SCHEMA.split(", "))])
         own = {"file": tile.file, "ordinal": tile.ordinal, "error": tile.error}
         if tile.error is None:
             own |= {side: getattr(tile, side) for side in _BOX} | {"min_lon": tile.west - tile.step_lon / 2, "max_lat": tile.north + tile.step_lat / 2, "step_lon": tile.step_lon, "step_lat": tile.step_lat}
-            system, _ = located(self.path)
-            with system.open_input_file(tile.path) as f:
-                grid, own["error"] = decoded(tile, f.read())
+            grid, own["error"] = decoded(tile, data)
             for row in range(0, tile.points, SIDE):
                 for col in range(0, tile.lines, SIDE):
                     piece = grid[row : row + SIDE, col : col + SIDE]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import saved
@@ -52,9 +52,12 @@ def carried_out(tasks: DataFrame, produce: Callable[[DataFrame], DataFrame], log
 
     ``tasks`` has filename (of one output each), state_hash, error (why a task can't be carried out, or null) and what ``produce`` needs, which gives
     (filename, content) for tasks.  About ``together`` outputs are one job: its files appear at once, and then its rows in the log.  A job
-    that fails is halved until the failing task is alone; that one is logged with its error, all the others are made.
+    that fails is halved until the failing task is alone; that one is logged with its error, all the others are made.  Tasks that share a file name
+    can't all be made, nor told apart by halves, so they are logged as failed beforehand.
     """
-    todo = saved(log.pending(tasks), "todo")
+    todo = log.pending(tasks)
+    same = F.count("*").over(Window.partitionBy("filename"))  # a row for each task of one file
+    todo = saved(todo.withColumn("error", F.coalesce("error", F.when(same > 1, F.lit("several outputs have this file name")))), "todo")
     count = todo.count()
     wrong = todo.where("error IS NOT NULL")
     if wrong.limit(1).count():

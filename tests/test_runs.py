@@ -59,3 +59,14 @@ def test_what_is_not_logged_is_made_again(spark, place):
     carried_out(tasks(spark, 6), produce([]), RunLog(spark, place[0] + "-lost"), path)
     before = sorted(os.listdir(path))
     assert carried_out(tasks(spark, 6), produce([]), log, path) == 6 and sorted(os.listdir(path)) == before
+
+
+def test_outputs_of_one_name_are_told_and_stop_nothing(spark, place):
+    """Halves never tell them apart, so a job that failed by them went on halving to the last."""
+    log, path = RunLog(spark, place[0]), place[1]
+    t = tasks(spark, 20).withColumn("error", F.lit(None).cast("string")).withColumn("filename", F.when(F.col("id").isin(8, 9), F.lit("one.kml")).otherwise(F.col("filename")))
+    asked = []
+    carried_out(t, produce([], asked), log, path)
+    state = {r.filename: r for r in log.latest().collect()}
+    assert len(asked) == 1 and state["one.kml"].status == "failed" and "file name" in state["one.kml"].error
+    assert {f for f, r in state.items() if r.status == "done"} == {f for f in os.listdir(path) if f[0] != "_"} and len(state) == 19

@@ -92,3 +92,32 @@ def test_nothing_is_visible_after_a_fault(spark, tmp_path, fault):
         named.write_named(spark.range(0, 20, 1, 4).select(name.alias("filename"), content.cast("string").alias("content")), path)
     assert [f for f in os.listdir(path) if f[0] != "_"] == []  # a task that ended after the others were given up may leave its folder
     assert spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).count() == 0
+
+
+def test_planning_keeps_places_and_nothing_else(tmp_path):
+    """Files in folders in the order of their paths, and little memory a file, with many boxes asked for."""
+    import pickle
+
+    data = dted.encoded(10, 50, np.zeros((2, 2)), 36_000, 36_000)
+    for i in range(6000):
+        (tmp_path / f"{i // 1000:03d}").mkdir(exist_ok=True)
+        (tmp_path / f"{i // 1000:03d}" / f"{i:09d}.dt1").write_bytes(data)
+    boxes = [[x, y, x + 1, y + 1] for x in range(-180, 180) for y in range(-90, 90)]
+    reader = dted.DtedReader(str(tmp_path), boxes, 1 << 20)
+    batches = reader.partitions()
+    assert [o for b in batches for _, o in b] == list(range(6000)) and [f for b in batches for f, _ in b] == [f"{i // 1000:03d}/{i:09d}.dt1" for i in range(6000)]
+    assert len(pickle.dumps(batches)) < 40 * 6000 and sum(r.num_rows for r in reader.read(batches[0])) == len(list(batches[0]))
+
+
+def test_commit_holds_no_name_of_all_files(tmp_path):
+    """A task's message is its folder, however many files it has; names may go through folders."""
+    import pickle
+
+    import pyarrow as pa
+
+    writer = named.NamedFilesWriter(str(tmp_path), False)
+    batch = pa.RecordBatch.from_pydict({"filename": [f"{i // 100:03d}/{i}.x" for i in range(5000)], "content": ["c"] * 5000})
+    message = writer.write(iter([batch]))
+    assert len(pickle.dumps(message)) < 500
+    writer.commit([message, None])
+    assert sum(len(f) for _, _, f in os.walk(tmp_path)) == 5000 and sorted(os.listdir(tmp_path))[-1] == "049"
