@@ -10,12 +10,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import earth
 from ..sources.files import few, saved
 
+#: Corners on the side of the blocks that outlines are followed in by one task.
+SIDE = 256
+
 
 def centre(index: Column, res: float) -> Column:
     return (index + 0.5) * res
@@ -97,51 +102,91 @@ def in_polygon_circle(cells: DataFrame, sites: DataFrame, range_m: Column, res:
     return cells.join(ring.hint("merge"), "site_id").where(inside(F.lit(-1)) & inside(F.lit(0)) & inside(F.lit(1))).drop("__ring", "__lon")
 
 
-def edges(cells: DataFrame, *by: str) -> DataFrame:
-    """(by, turn, r0, c0, r1, c1): edges round cells' squares that no neighbour of the same set shares, with the set on the left; turn 0 east, 1 north, 2 west, 3 south.
+def paths(cells: DataFrame, by: list[str], side: int = SIDE) -> DataFrame:
+    """(by, r0, c0, turn, r1, c1, end_turn, closed, bends, area): the outlines of each group's cells, with the set on the left, cut where they leave a block of corners.
 
-    ``cells`` are a set: each once.  An edge is named by its line and place, so a shared one is counted twice and goes, by one aggregation.
+    ``cells`` are a set: each once.  An edge begins at a corner and is named by its direction there: turn 0 east, 1 north, 2 west, 3 south.  What
+    begins and ends at a corner follows from the four cells round it, so a block needs its own cells and those at two of its sides.  Where cells touch
+    at a corner only, the sharpest left turn comes next.  A task has one block; a path is a row with its bends (r, c, turn): ``closed`` if it is a whole ring.
     """
-    r, c = F.col("row"), F.col("col")
-    four = [(0, r, c), (1, r, c + 1), (2, r + 1, c), (3, r, c)]
-    each = F.array(*(F.struct(F.lit(turn).alias("turn"), y.alias("y"), x.alias("x")) for turn, y, x in four))
-    every = cells.select(*by, F.explode(each).alias("e")).select(*by, "e.*").withColumn("flat", F.col("turn") % 2 == 0)
-    alone = every.groupBy(*by, "flat", "y", "x").agg(F.count("*").alias("n"), F.min("turn").alias("turn")).where("n = 1")
-    y, x = F.col("y"), F.col("x")
-    ends = {0: (y, x, y, x + 1), 1: (y, x, y + 1, x), 2: (y, x + 1, y, x), 3: (y + 1, x, y, x)}
-    pick = lambda i: F.when(F.col("turn") == 0, ends[0][i]).when(F.col("turn") == 1, ends[1][i]).when(F.col("turn") == 2, ends[2][i]).otherwise(ends[3][i])
-    return alone.select(*by, "turn", *(pick(i).alias(n) for i, n in enumerate(("r0", "c0", "r1", "c1"))))
-
+    block = lambda c: F.explode(F.array_distinct(F.array(F.floor(F.col(c) / side), F.floor((F.col(c) + 1) / side))))
+    dealt = cells.select(*by, F.col("row").cast("int"), F.col("col").cast("int")).withColumn("__y", block("row")).withColumn("__x", block("col"))
+    bend = pa.struct([(n, pa.int32()) for n in ("r", "c", "turn")])
+
+    def cut(table: pa.Table) -> pa.Table:
+        row, col = (table.column(n).to_numpy().astype(np.int64) for n in ("row", "col"))
+        (r_low, r_high), (c_low, c_high) = ((max(b * side, v.min()), min(b * side + side - 1, v.max() + 1)) for b, v in ((table.column(n)[0].as_py(), v) for n, v in (("__y", row), ("__x", col))))
+        h, w = r_high - r_low + 1, c_high - c_low + 1
+        grid = np.zeros((h + 1, w + 1), bool)
+        grid[row - r_low + 1, col - c_low + 1] = True
+        sw, se, nw, ne = grid[:-1, :-1], grid[:-1, 1:], grid[1:, :-1], grid[1:, 1:]
+        out, ending = np.stack([ne & ~se, nw & ~ne, sw & ~nw, se & ~sw]), np.stack([nw & ~sw, sw & ~se, se & ~ne, ne & ~nw])
+        turn, y, x = np.nonzero(out)
+        n = len(turn)
+        number = np.full(out.shape, -1)
+        number[out] = np.arange(n)
+        to_y, to_x = y + np.array([0, 1, 0, -1])[turn], x + np.array([1, 0, -1, 0])[turn]
+        inside = np.flatnonzero((to_y >= 0) & (to_y < h) & (to_x >= 0) & (to_x < w))
+        t, ends = turn[inside], (to_y[inside], to_x[inside])
+        onward = np.where(out[((t + 1) % 4, *ends)], (t + 1) % 4, np.where(out[(t, *ends)], t, (t + 3) % 4))
+        before = np.full(n, -1)
+        before[number[(onward, *ends)]] = inside
+
+        def headed() -> tuple[np.ndarray, np.ndarray]:
+            head, away = np.where(before < 0, np.arange(n), before), (before >= 0).astype(np.int64)
+            for _ in range(n.bit_length()):
+                head, away = head[head], away + away[head]
+            return head, away
+
+        head, away = headed()
+        whole = np.zeros(n, bool)
+        if (round_ := before[head] >= 0).any():  # rings within the block begin at their first edge
+            least, back = np.arange(n), np.where(round_, before, np.arange(n))
+            for _ in range(n.bit_length()):
+                least, back = np.minimum(least, least[back]), back[back]
+            whole[round_ & (least == np.arange(n))] = True
+            before[whole] = -1
+            head, away = headed()
+        order = np.lexsort((away, head))
+        first = np.flatnonzero(np.diff(head[order], prepend=-1))
+        last = np.append(first[1:], n)[: len(first)]  # none where all cells are within the set
+        r, c = y[order] + r_low, x[order] + c_low
+        r1, c1, turn = to_y[order] + r_low, to_x[order] + c_low, turn[order]
+        bent = ~ending[(turn, y[order], x[order])]
+        sums = np.concatenate([[0], np.cumsum(bent)])
+        bends = pa.StructArray.from_arrays([pa.array(v[bent].astype(np.int32)) for v in (r, c, turn)], fields=list(bend))
+        ends = np.append(sums[first], sums[-1]).astype(np.int32)
+        ints = {"r0": r[first], "c0": c[first], "turn": turn[first], "r1": r1[last - 1], "c1": c1[last - 1], "end_turn": turn[last - 1]}
+        area = np.add.reduceat(c * r1 - c1 * r, first) if n else np.zeros(0, np.int64)
+        keys = table.select(by).take(pa.array(np.zeros(len(first), np.int64)))
+        own = [*keys.columns, *(pa.array(v.astype(np.int32)) for v in ints.values()), pa.array(whole[order][first]), pa.ListArray.from_arrays(pa.array(ends), bends), pa.array(area)]
+        return pa.table(own, names=[*by, *ints, "closed", "bends", "area"])
+
+    ints = [T.StructField(n, T.IntegerType()) for n in ("r0", "c0", "turn", "r1", "c1", "end_turn")]
+    corner = T.StructType([T.StructField(n, T.IntegerType()) for n in ("r", "c", "turn")])
+    more = [T.StructField("closed", T.BooleanType()), T.StructField("bends", T.ArrayType(corner)), T.StructField("area", T.LongType())]
+    return dealt.groupBy(*by, "__y", "__x").applyInArrow(cut, T.StructType([*cells.select(*by).schema.fields, *ints, *more]))
+
+
+def outlines(cells: DataFrame, by: list[str], side: int = SIDE) -> DataFrame:
+    """Closed rings round each group's cells: (by, ring, hole, vertices, edges, twice_area).  A row is one ring; its vertices are its bends, the first again at the end.
 
-def _runs(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Edges of the same line and direction that follow each other as one: (by, turn, r0, c0, r1, c1).
+    Rings have the set on their left, so holes turn the other way round.  Columns are counted from Greenwich, so what crosses the date line
+    has a ring on either side that ends there.  A ring is named by the least of its bends' hashes, whatever the partitioning and the blocks.
 
-    Where they do the set is on one side of both, so the corner between them is no other edge's.  A task has lines of the grid.
+    Each path across blocks is joined with the one that follows; then pointers double until every path knows the least bend of its ring and how far
+    it is.  So rounds grow with the logarithm of the blocks that a ring crosses, and only rows for crossings are shuffled in them, not edges.
     """
-    e = edges(cells, *by)
-    e = e.withColumn("line", F.when(F.col("turn") % 2 == 0, F.col("r0")).otherwise(F.col("c0"))).withColumn("at", F.when(F.col("turn") % 2 == 0, F.least("c0", "c1")).otherwise(F.least("r0", "r1")))
-    island = F.col("at") - F.row_number().over(Window.partitionBy(*by, "turn", "line").orderBy("at"))
-    e = e.withColumn("island", island).groupBy(*by, "turn", "line", "island").agg(F.min("at").alias("low"), (F.max("at") + 1).alias("high"))
-    start, end = F.when(F.col("turn") < 2, F.col("low")).otherwise(F.col("high")), F.when(F.col("turn") < 2, F.col("high")).otherwise(F.col("low"))
-    flat = F.col("turn") % 2 == 0
-    pick = lambda along: (F.when(flat, F.col("line")).otherwise(along).alias("r"), F.when(flat, along).otherwise(F.col("line")).alias("c"))
-    (r0, c0), (r1, c1) = pick(start), pick(end)
-    return e.select(*by, "turn", r0.alias("r0"), c0.alias("c0"), r1.alias("r1"), c1.alias("c1"))
-
-
-def ring_edges(cells: DataFrame, by: list[str]) -> DataFrame:
-    """(by, ring, place, turn, r0, c0, r1, c1): the straight edges round each group's cells, the ring that each is part of, and its place there.
-
-    Edges cancel in Spark; each is joined with the one that follows, the sharpest left turn where two cells touch at a
-    corner only; then pointers double until every edge knows the least edge of its ring and how far it is.  So rounds grow with
-    the logarithm of the longest ring, and no task holds a group's outline.
-    """
-    runs = saved(_runs(cells, by).withColumn("id", F.xxhash64(*by, "r0", "c0", "turn")), "runs")
-    after = runs.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("r0").alias("r1"), F.col("c0").alias("c1"), F.col("turn").alias("next_turn"), F.col("id").alias("next"))
+    hashes = F.transform("bends", lambda b: F.xxhash64(*by, b["r"], b["c"], b["turn"]))
+    p = paths(cells, by, side).withColumn("__h", hashes).withColumn("own", F.array_min("__h"))
+    p = saved(p.withColumn("at", F.array_position("__h", F.col("own")).cast("int")).withColumn("id", F.xxhash64(*by, "r0", "c0", "turn")).drop("__h"), "paths")
+    open_ = p.where("NOT closed")
+    after = open_.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("r0").alias("__r"), F.col("c0").alias("__c"), F.col("turn").alias("next_turn"), F.col("id").alias("next"))
     same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
-    joined = runs.select(*by, "id", "turn", "r1", "c1").join(after.withColumnsRenamed({"r1": "__r1", "c1": "__c1"}), [*same, F.col("r1") == F.col("__r1"), F.col("c1") == F.col("__c1")])
-    left = F.pmod(F.col("next_turn") - F.col("turn"), F.lit(4))  # 1: left, 3: right
-    hops = saved(joined.groupBy("id").agg(F.min_by("next", left).alias("next")).select("id", "next", F.col("id").alias("low"), F.lit(0).alias("away")), "hops")
+    joined = open_.select(*by, "id", "end_turn", "r1", "c1", "own").join(after, [*same, F.col("r1") == F.col("__r"), F.col("c1") == F.col("__c")])
+    left = F.pmod(F.col("next_turn") - F.col("end_turn"), F.lit(4))  # 0: straight on, 1: left, 3: right
+    none = F.lit((1 << 63) - 1)  # a path without a bend
+    hops = saved(joined.groupBy("id").agg(F.min_by("next", left).alias("next"), F.coalesce(F.first("own"), none).alias("low")).withColumn("away", F.lit(0)), "hops")
     span = 1
 
     def doubled(hops: DataFrame, span: int) -> DataFrame:
@@ -155,24 +200,14 @@ def ring_edges(cells: DataFrame, by: list[str]) -> DataFrame:
         hops = step.drop("moved")
         if step.where("moved").limit(1).count() == 0:
             break
-    placed = runs.join(hops.select("id", F.col("low").alias("ring"), "away"), "id")
-    return placed.select(*by, "ring", (-F.col("away")).alias("place"), "turn", "r0", "c0", "r1", "c1")
-
-
-def outlines(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Closed rings round each group's cells: (by, ring, hole, vertices, edges, twice_area).  A row is one ring; its vertices are its bends, the first again at the end.
-
-    Rings have the set on their left, so holes turn the other way round.  Columns are counted from Greenwich, so what crosses the date line
-    has a ring on either side that ends there.  Rings are named by their edges, whatever the partitioning.
-    """
-    return rings_of(ring_edges(cells, by), by)
-
-
-def rings_of(e: DataFrame, by: list[str]) -> DataFrame:
-    """Rings from their edges in order."""
-    cross = (F.col("c0") * F.col("r1") - F.col("c1") * F.col("r0")).cast("long")
-    rings = e.groupBy(*by, "ring").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("place") == 0, F.lit(-(1 << 31))).otherwise(F.col("place")).alias("place"), F.col("r0").alias("row"), F.col("c0").alias("col")))).alias("v"), F.count("*").alias("edges"), F.sum(cross).alias("twice_area"))
-    vertices = F.transform(F.concat("v", F.slice("v", 1, 1)), lambda p: F.struct(p["row"].alias("row"), p["col"].alias("col")))
+    own = [*by, "bends", "at", "area"]
+    placed = open_.join(hops.select("id", "low", "away"), "id").select(*own, F.col("low").alias("ring"), (-F.col("away")).alias("place")).unionByName(p.where("closed").select(*own, F.col("own").alias("ring"), F.lit(0).alias("place")))
+    part = F.struct(F.when(F.col("place") == 0, F.lit(-(1 << 31))).otherwise(F.col("place")).alias("place"), "at", "bends")
+    rings = placed.groupBy(*by, "ring").agg(F.array_sort(F.collect_list(part)).alias("v"), F.sum(F.size("bends")).alias("edges"), F.sum("area").alias("twice_area"))
+    every, skip = F.flatten(F.transform("v", lambda x: x["bends"])), F.col("v")[0]["at"] - 1
+    rings = rings.select(*by, "ring", "edges", "twice_area", every.alias("v"), skip.alias("skip"))
+    turned = F.concat(F.slice("v", F.col("skip") + 1, F.size("v")), F.slice("v", F.lit(1), F.col("skip") + 1))
+    vertices = F.transform(turned, lambda b: F.struct(b["r"].alias("row"), b["c"].alias("col")))
     return rings.select(*by, "ring", (F.col("twice_area") < 0).alias("hole"), vertices.alias("vertices"), "edges", "twice_area")
 
 
@@ -182,12 +217,13 @@ def polygons(cells: DataFrame, by: list[str], res: float, simplify: float = 0.0)
     A hole belongs to the ring that bounds the run of cells to the left of its leftmost edge, or to that ring's shell if it is a
     hole too; rings of one run are neighbours in a window over one line of the grid.
     """
-    e = saved(ring_edges(cells, by), "ring-edges")
-    up = e.where("turn % 2 = 1").select(*by, "ring", "turn", F.col("c0").alias("col"), F.explode(F.sequence(F.least("r0", "r1"), F.greatest("r0", "r1") - 1)).alias("row"))
+    rings = saved(outlines(cells, by), "outlines")
+    pairs = F.arrays_zip(F.slice("vertices", F.lit(1), F.size("vertices") - 1).alias("a"), F.slice("vertices", F.lit(2), F.size("vertices") - 1).alias("b"))
+    e = rings.select(*by, "ring", F.explode(pairs).alias("e")).select(*by, "ring", F.col("e.a.row").alias("r0"), F.col("e.b.row").alias("r1"), F.col("e.a.col").alias("col")).where("r0 <> r1")
+    up = e.select(*by, "ring", F.when(F.col("r1") > F.col("r0"), 1).otherwise(3).alias("turn"), "col", F.explode(F.sequence(F.least("r0", "r1"), F.greatest("r0", "r1") - 1)).alias("row"))
     line = Window.partitionBy(*by, "row").orderBy("col", F.desc("turn"))  # north: the set lies west; south: east
     up = up.withColumn("before", F.lag("ring").over(line)).where("turn = 1")
     first = up.groupBy(*by, "ring").agg(F.min_by("before", F.struct("col", "row")).alias("parent"))
-    rings = rings_of(e, by)
     rings = saved(rings.join(first.withColumnsRenamed({b: f"__{b}" for b in by} | {"ring": "__ring"}), [*(F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by), F.col("ring") == F.col("__ring")]).drop(*(f"__{b}" for b in by), "__ring"), "rings")
     owner = rings.select("ring", F.when(F.col("hole"), F.col("parent")).otherwise(F.col("ring")).alias("owner"), "hole")
     while True:  # holes within the reach of holes: owners are followed to their own

@@ -91,3 +91,16 @@ def test_cuts_are_put_together_across_batches(spark):
         assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_outlines_are_followed_in_blocks(spark):
+    """What is joined and doubled is paths across blocks, not edges; and rings are the same whatever the blocks."""
+    from sightline.operators import coverage
+
+    cells = {(g, r, c) for g in (1, 2) for r in range(-9, 21) for c in range(-13, 19) if (r * r * 7 + c * 5 + r * c * g) % 11 < 6}
+    rows = spark.createDataFrame([(None if g == 2 else g, r, c) for g, r, c in cells], "g int, row int, col int")
+    by_side = {side: sorted(map(repr, coverage.outlines(rows, ["g"], side).collect())) for side in (256, 8, 3)}
+    assert by_side[256] == by_side[8] == by_side[3] and len(by_side[8]) > 20
+    assert sum(r.twice_area for r in coverage.outlines(rows, ["g"], 8).collect()) == 2 * len(cells)
+    whole = spark.createDataFrame([(1, r, c) for r in range(100) for c in range(100)], "g int, row int, col int")
+    assert [(r.closed, len(r.bends), r.area) for r in coverage.paths(whole, ["g"]).collect()] == [(True, 4, 20_000)]
