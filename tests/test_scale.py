@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sightline import plans, registry  # noqa: F401
 from sightline.operators import sweep
+from sightline.plans import sweeps
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +21,30 @@ def test_no_sample_is_sorted_or_joined(spark, name):
     assert "Window" not in plan and "SortMergeJoin" not in plan and "MapInArrow" in plan
 
 
+def bytes_of(spark, name, folder):
+    """What a query's stages shuffle and spill, and what they write, in bytes."""
+    store, bus = spark._jsc.sc().statusStore(), spark._jsc.sc().listenerBus()
+
+    def stages():
+        bus.waitUntilEmpty()
+        found = store.stageList(None, *(getattr(store, f"stageList$default${i}")() for i in range(2, 6)))
+        return {(x.stageId(), x.attemptId()): x for x in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    registry.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+    own = [x for k, x in stages().items() if k not in before]
+    return sum(x.shuffleWriteBytes() + x.memoryBytesSpilled() + x.diskBytesSpilled() for x in own), sum(x.outputBytes() for x in own)
+
+
+@pytest.mark.parametrize("name", ["coverage_intersect", "surface_store_extended", "agl_visible", "annulus_clip", "mva_quantise", "mva_stats", "msl_visible", "coverage_union", "coverage_area", "coverage_depth", "mva_surface", "detection_clip", "sweep_extension", "boundary_turned"])
+def test_samples_are_not_shuffled(spark, name):
+    """Rays are shuffled as a few numbers: under three bytes for each of their samples, and a store writes each sample once."""
+    folder = "/root/testdata/sf0.01"
+    samples = spark.read.parquet(f"{folder}/supplier.parquet").count() * sweeps.RAYS * sweeps.SAMPLES
+    shuffled, written = bytes_of(spark, name, folder)
+    assert 0 < shuffled < 3 * samples and written < 8 * samples
+
+
 def test_a_sweep_that_goes_on_is_the_one_at_once(spark):
     rows = [(i, 3.7 + i, 8.4e6 + i, 333.3, [float((7 * i + 5 * j * j) % 311) for j in range(20 + i)]) for i in range(12)]
     rays = spark.createDataFrame(rows, "ray int, msl double, radius double, step_m double, elevations array<float>")
