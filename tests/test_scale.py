@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sightline import plans, registry  # noqa: F401
 from sightline.operators import sweep
 from sightline.plans import sweeps
+from sightline.sources.store import SurfaceStore
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +22,20 @@ def test_no_sample_is_sorted_or_joined(spark, name):
     assert "Window" not in plan and "SortMergeJoin" not in plan and "MapInArrow" in plan
 
 
+@pytest.mark.parametrize("name", ["sweep_extension", "surface_store_extended"])
+def test_a_longer_sweep_sorts_no_sample(spark, name, monkeypatch):
+    """Neither what is returned nor what is stored on the way takes a window over samples' slopes."""
+    written, real = [], SurfaceStore.write
+
+    def write(self, rays):
+        written.append(rays._jdf.queryExecution().executedPlan().toString())
+        return real(self, rays)
+
+    monkeypatch.setattr(SurfaceStore, "write", write)
+    found = [plan_of(spark, name), *written]
+    assert not any("max(slope" in p or "max(__tilt" in p for p in found) and any("MapInArrow" in p for p in found)
+
+
 def bytes_of(spark, name, folder):
     """What a query's stages shuffle and spill, and what they write, in bytes."""
     store, bus = spark._jsc.sc().statusStore(), spark._jsc.sc().listenerBus()
