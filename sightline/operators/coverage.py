@@ -7,6 +7,7 @@ reach, the ray and sample that a cell's centre falls on, and the surface there,
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,26 @@ def site_cells(sites: DataFrame, reach: Column, res: float, keep: tuple[str, ...
     return rows.select("site_id", "row", wrapped.alias("col"), az.alias("az"), "dist_m", *keep)
 
 
+def cells_of_site(latitude: float, longitude: float, reach: float, res: float, at_once: int = 1_000_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """``site_cells`` of one site in a task: (row, col, az, dist_m), some lines of cells at a time."""
+    across, d = int(round(360 / res)), reach / earth.MEAN
+    wide = math.degrees(math.asin(min(1.0, math.sin(d) / math.cos(math.radians(latitude))))) if abs(math.radians(latitude)) + d < math.pi / 2 else 180.0
+    index = lambda v: math.floor(v / res)
+    first = index(longitude - wide)
+    cols = np.arange(first, min(index(longitude + wide), first + across - 1) + 1)
+    lines = np.arange(index(max(latitude - math.degrees(d), -90.0)), index(min(latitude + math.degrees(d), 90.0 - res / 2)) + 1)
+    lon = (cols + 0.5) * res
+    b, turn, p1 = np.sin(np.radians(lon - longitude) / 2), np.radians(lon - longitude), np.radians(latitude)
+    for low in range(0, len(lines), max(1, at_once // len(cols))):
+        row = lines[low : low + max(1, at_once // len(cols)), None]
+        lat = (row + 0.5) * res
+        p2, a = np.radians(lat), np.sin(np.radians(lat - latitude) / 2)
+        dist = 2 * earth.MEAN * np.arcsin(np.sqrt(a * a + np.cos(p1) * np.cos(p2) * b * b))
+        y, x = np.nonzero(dist <= reach)
+        way = np.arctan2((np.sin(turn) * np.cos(p2))[y, x], (np.cos(p1) * np.sin(p2) - np.sin(p1) * np.cos(p2) * np.cos(turn))[y, x])
+        yield row[y, 0].astype(np.int32), ((cols[x] + across // 2) % across - across // 2).astype(np.int32), np.where(way < 0, way + 2 * math.pi, way), dist[y, x]
+
+
 def gathered(cells: DataFrame, rays: DataFrame, ray: list[str], values: tuple[str, ...] = ("mva",)) -> DataFrame:
     """``cells`` (ray columns, r_idx, ...) with mva from ``rays`` (ray columns, mva array, or arrays of other ``values``): one equi-join by ray; samples beyond a ray's end give no row.
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import earth
+from ..sources.files import few, saved
 from . import coverage, sweep
 
 RAY = ["site_id", "zone", "az_idx"]
@@ -59,6 +63,8 @@ def composite(tasks: DataFrame, terrain: Callable[[DataFrame], DataFrame], altit
 
 #: A ray's surface is the same for all targets whose reach goes beyond its zone, so it is named by the zone's part that is swept, in whole millimetres, and not by the target.
 SHARED_RAY = ["site_id", "zone", "reach_mm", "az_idx"]
+SHARED_ZONE = SHARED_RAY[:3]
+SHARED = ["site_id", "latitude", "longitude", "msl", "radius", "zone", "res_m", "pass_max", "reach_mm"]
 
 
 def with_shared_key(tasks: DataFrame) -> DataFrame:
@@ -67,7 +73,66 @@ def with_shared_key(tasks: DataFrame) -> DataFrame:
 
 def shared(tasks: DataFrame) -> DataFrame:
     """What has to be swept for all tasks (with ``with_shared_key``): each sensor's zone and reach once."""
-    return tasks.select("site_id", "latitude", "longitude", "msl", "radius", "zone", "res_m", "pass_max", "reach_mm").dropDuplicates(["site_id", "zone", "reach_mm"])
+    return tasks.select(*SHARED).dropDuplicates(SHARED_ZONE)
+
+
+def _looked(res: float, above_sea: bool):
+    """A sector's surface to (alt_m, row, col), altitude by altitude of its ``targets``: what ``seen_cells`` takes by a join is looked up beside the rays."""
+
+    def look(s: dict, mva: np.ndarray, ground: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        rays, n_r = mva.shape
+        for row, col, az, dist in coverage.cells_of_site(s["latitude"], s["longitude"], s["pass_max"], res):
+            i = np.clip((az / (2 * math.pi / s["n_az"])).astype(np.int64), 0, s["n_az"] - 1) - s["az_idx"]
+            k = np.clip((dist / (s["pass_max"] / max(n_r - 1, 1))).astype(np.int64), 0, n_r - 1)
+            own = np.flatnonzero((i >= 0) & (i < rays) & ((dist > s["z_min"]) | ((s["z_min"] == 0) & (dist == 0))))
+            row, col, low, high = row[own], col[own], mva[i[own], k[own]], ground[i[own], k[own]]
+            for target in s["targets"]:
+                over = np.float32(target) - high if above_sea else np.float32(target)
+                at = np.flatnonzero((over >= 0) & (low <= over) if above_sea else low <= over)
+                if len(at):
+                    yield np.full(len(at), target), row[at], col[at]
+
+    return look
+
+
+def surface_sums(tasks: DataFrame, found: DataFrame, step: float, side: int, posts: bool = False) -> DataFrame:
+    """(site_id, zone, reach_mm, samples, open, ground, mva) of tasks (with ``with_shared_key``) over the mosaic ``found``: of each sector's or ray's samples their number, how many have
+    their ground seen, and the sums of ground and surface."""
+    from . import blocks  # which reads this module
+
+    fields = [T.StructField("samples", T.LongType()), T.StructField("open", T.LongType()), T.StructField("ground", T.DoubleType()), T.StructField("mva", T.DoubleType())]
+
+    def look(s: dict, mva: np.ndarray, ground: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        return [(np.array([mva.size]), np.array([np.count_nonzero(mva == 0)]), np.array([ground.sum(dtype=float)]), np.array([mva.sum(dtype=float)]))]
+
+    wanted = shared(tasks)
+    parts, places = blocks.sectors(wanted, step, posts)
+    places = saved(places, "places")
+    near = blocks.near_surfaces(parts, places, found, step, SHARED_ZONE, side, posts, ([], look, fields))
+    wide = places.where("NOT fits")
+    if wide.limit(1).count() == 0:
+        return near
+    far = wanted.join(parts.join(few(wide.select("px", "py")), ["px", "py"]).select(*SHARED_ZONE).distinct(), SHARED_ZONE, "left_semi")
+    of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    rays = blocks.surfaces(far, found, step, SHARED_RAY, side, posts)
+    return near.unionByName(rays.select(*SHARED_ZONE, F.size("mva").cast("long").alias("samples"), F.size(F.filter("mva", lambda v: v == 0)).cast("long").alias("open"), of("ground").alias("ground"), of("mva").alias("mva")))
+
+
+def seen_over(tasks: DataFrame, found: DataFrame, step: float, res: float, side: int, posts: bool = False, above_sea: bool = False) -> DataFrame:
+    """``seen_cells`` of tasks (with ``with_shared_key``) over the mosaic ``found``: terrain comes to the sensors of a place where it fits there, else sensors' rays go to the terrain."""
+    from . import blocks  # which reads this module
+
+    own = [*SHARED, "z_min"]
+    wanted = tasks.groupBy(*own).agg(F.array_sort(F.collect_set("alt_m")).alias("targets"))  # altitudes, a small set
+    parts, places = blocks.sectors(wanted, step, posts)
+    places = saved(places, "places")
+    fields = [T.StructField("alt_m", T.DoubleType()), T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType())]
+    seen = blocks.near_surfaces(parts, places, found, step, ["site_id"], side, posts, (["z_min", "targets"], _looked(res, above_sea), fields))
+    wide = places.where("NOT fits")
+    if wide.limit(1).count() == 0:
+        return seen
+    far = tasks.join(parts.join(few(wide.select("px", "py")), ["px", "py"]).select(*SHARED_ZONE).distinct(), SHARED_ZONE)
+    return seen.unionByName(seen_cells(far, saved(blocks.surfaces(shared(far), found, step, SHARED_RAY, side, posts), "surfaces"), res, above_sea))
 
 
 def seen_cells(tasks: DataFrame, surfaces: DataFrame, res: float, above_sea: bool = False) -> DataFrame:
