@@ -11,18 +11,23 @@ may go past 180 degrees, where they are cut.  Null or empty polygons, rings of u
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import earth
-from ..sources.files import saved
+from ..sources.files import dealt, saved
+from .blocks import geodesic
 
 #: Degrees of a square; pieces of edges in a square, above which it is cut to narrower strips.
 SIZE, PIECES = 1.0, 256
+#: Pairs of lines that a task looks at at a time.
+PAIRS = 1_000_000
 #: Degrees below which heights and widths count as nothing (a hundredth of a millimetre).
 TINY = 1e-10
 _EDGE = ("x0", "y0", "x1", "y1")
@@ -38,12 +43,13 @@ def edges(shapes: DataFrame, by: list[str]) -> DataFrame:
     """(by, x0, y0, x1, y1, d0, d1): edges of rows (by, side 0 or 1, polygons), from west to east, with their weight on either side."""
     ring = shapes.select(*by, "side", F.explode("polygons").alias("rings")).select(*by, "side", F.posexplode("rings").alias("at", "r"))
     ring = ring.where("size(r) > 2 AND NOT exists(r, p -> p IS NULL OR p.lon IS NULL OR p.lat IS NULL OR isnan(p.lon) OR isnan(p.lat))").withColumn("r", F.concat("r", F.slice("r", 1, 1)))
-    pairs = F.arrays_zip(F.slice("r", 1, F.size("r") - 1).alias("a"), F.slice("r", 2, F.size("r") - 1).alias("b"))
+    n = F.greatest(F.size("r") - 1, F.lit(0))  # also told of rings that are left out
+    pairs = F.arrays_zip(F.slice("r", F.lit(1), n).alias("a"), F.slice("r", F.lit(2), n).alias("b"))
     o = F.get("r", F.lit(0))
     turn = lambda e: (e["a"]["lon"] - o["lon"]) * (e["b"]["lat"] - o["lat"]) - (e["b"]["lon"] - o["lon"]) * (e["a"]["lat"] - o["lat"])
     turned = F.aggregate(pairs, F.lit(0.0), lambda total, e: total + turn(e))
     way = F.when((turned > 0) == (F.col("at") == 0), 1).otherwise(-1)
-    e = ring.select(*by, "side", way.alias("way"), F.explode(pairs).alias("e"))
+    e = ring.select(*by, "side", pairs.alias("pairs"), way.alias("way")).select(*by, "side", "way", F.explode("pairs").alias("e"))  # beside the explode it would be told anew for each edge
     a, b = F.col("e.a"), F.col("e.b")
     back = (a["lon"] > b["lon"]) | ((a["lon"] == b["lon"]) & (a["lat"] < b["lat"]))
     pick = lambda n: (F.when(back, b[n]).otherwise(a[n]).cast("double"), F.when(back, a[n]).otherwise(b[n]).cast("double"))
@@ -117,15 +123,9 @@ def _within(e: DataFrame, left: Column, right: Column) -> DataFrame:
     return e.withColumns({"x0": a, "y0": ya, "x1": b, "y1": yb}).where("x0 < x1")
 
 
-def overlay(e: DataFrame, by: list[str], what: str = "depth", size: float = SIZE, pieces: int = PIECES) -> DataFrame:
-    """(by, x0, x1, lo0, lo1, hi0, hi1, n0, n1): trapezoids between two longitudes, from the lower line's latitudes at both to the upper line's.
-
-    ``e`` are edges (see ``edges``).  For ``depth`` n0 and n1 count the polygons of either side; ``union``, ``intersection`` and ``difference`` (side 0 without side 1) have n0 = 1.
-    Trapezoids don't overlap.  ``size`` divides 360; a square with more than so many ``pieces`` of edges becomes so many more strips, so a
-    task's work follows the edges that one strip of a row has.  No result depends on ``size`` or ``pieces`` but in where trapezoids are cut.
-    """
-    if what not in _SETS:
-        raise ValueError(f"no such set: {what}")
+def _laid(e: DataFrame, by: list[str], size: float, pieces: int) -> tuple[DataFrame, DataFrame]:
+    """(rest, full): the rectangles of a row that no edge touches (by, row, right, next, n0, n1), and the items of strips, pieces of edges and crossings of the lower line with what
+    covers the strip's lower left corner, in tasks, strip by strip."""
     across = int(round(360 / size))
     if abs(across * size - 360) > 1e-9 or across % 2:
         raise ValueError("size must divide 180 degrees")
@@ -153,21 +153,58 @@ def overlay(e: DataFrame, by: list[str], what: str = "depth", size: float = SIZE
     strips = saved(strips, "strips")
 
     rest = strips.where(F.col("next") > F.col("right") + TINY).withColumns({f"n{i}": F.col(f"b{i}") + F.col(f"s{i}") for i in (0, 1)})
-    inside = {"depth": "n0 <> 0 OR n1 <> 0", "union": "n0 > 0 OR n1 > 0", "intersection": "n0 > 0 AND n1 > 0", "difference": "n0 > 0 AND n1 <= 0"}[what]
-    counts = ("n0", "n1") if what == "depth" else ("1L", "0L")
-    rest = rest.where(inside).selectExpr(*(f"`{b}`" for b in by), "right AS x0", "next AS x1", f"row * {size}D AS lo0", f"row * {size}D AS lo1", f"(row + 1) * {size}D AS hi0", f"(row + 1) * {size}D AS hi1", f"{counts[0]} AS n0", f"{counts[1]} AS n1")
 
     starts = strips.select(*(F.col(b).alias(f"__{b}") for b in by), F.col("row").alias("__row"), F.col("left").alias("__left"), "b0", "b1")
     full = items.join(starts, [*(F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by), F.col("row") == F.col("__row"), F.col("left") == F.col("__left")]).drop(*(f"__{b}" for b in by), "__row", "__left")
     # Named number of tasks: strips are few bytes and much work, which adaptive execution would put into one task.
     tasks = max(1, int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     full = full.withColumn("__group", F.xxhash64(*by, "row", "left")).repartition(tasks, "__group").sortWithinPartitions("__group", *by, "row", "left")
+    return rest, full
+
+
+def _by_strip(batches: Iterator[pa.RecordBatch], done: Callable[[pa.Table, list[int]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``done`` of tables of whole strips and where each ends; a task holds a batch and one strip."""
+    kept: pa.Table | None = None  # of the strip that the next batch may go on with
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if kept is None else pa.concat_tables([kept, t])
+        if not len(t):
+            continue
+        new = np.zeros(len(t) - 1, bool)
+        for n in ("__group", "row", "left"):
+            v = t.column(n).to_numpy()
+            new |= v[1:] != v[:-1]
+        stops = [int(i) + 1 for i in np.flatnonzero(new)]
+        if stops:
+            yield from done(t, stops)
+        kept = t.slice(stops[-1] if stops else 0)
+    if kept is not None and len(kept):
+        yield from done(kept, [len(kept)])
+
+
+_COLUMNS = ("row", "left", "right", *_EDGE, "d0", "d1", "b0", "b1")
+
+
+def overlay(e: DataFrame, by: list[str], what: str = "depth", size: float = SIZE, pieces: int = PIECES) -> DataFrame:
+    """(by, x0, x1, lo0, lo1, hi0, hi1, n0, n1): trapezoids between two longitudes, from the lower line's latitudes at both to the upper line's.
+
+    ``e`` are edges (see ``edges``).  For ``depth`` n0 and n1 count the polygons of either side; ``union``, ``intersection`` and ``difference`` (side 0 without side 1) have n0 = 1.
+    Trapezoids don't overlap.  ``size`` divides 360; a square with more than so many ``pieces`` of edges becomes so many more strips, so a
+    task's work follows the edges that one strip of a row has.  No result depends on ``size`` or ``pieces`` but in where trapezoids are cut.
+    """
+    if what not in _SETS:
+        raise ValueError(f"no such set: {what}")
+    rest, full = _laid(e, by, size, pieces)
+    inside = {"depth": "n0 <> 0 OR n1 <> 0", "union": "n0 > 0 OR n1 > 0", "intersection": "n0 > 0 AND n1 > 0", "difference": "n0 > 0 AND n1 <= 0"}[what]
+    counts = ("n0", "n1") if what == "depth" else ("1L", "0L")
+    rest = rest.where(inside).selectExpr(*(f"`{b}`" for b in by), "right AS x0", "next AS x1", f"row * {size}D AS lo0", f"row * {size}D AS lo1", f"(row + 1) * {size}D AS hi0", f"(row + 1) * {size}D AS hi1", f"{counts[0]} AS n0", f"{counts[1]} AS n1")
+
     schema, label = rest.schema, _SETS[what]
     names = schema.names
 
     def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(t: pa.Table, stops: list[int]) -> Iterator[pa.RecordBatch]:
-            arrays = {n: t.column(n).to_numpy() for n in ("row", "left", "right", *_EDGE, "d0", "d1", "b0", "b1")}
+            arrays = {n: t.column(n).to_numpy() for n in _COLUMNS}
             out: list[tuple] = []
             of: list[int] = []
             for start, stop in zip([0, *stops], stops):
@@ -180,22 +217,7 @@ def overlay(e: DataFrame, by: list[str], what: str = "depth", size: float = SIZE
                 columns = [t.column(n).take(pa.array(of)).combine_chunks() if n in by else pa.array(values[n], pa.int64() if n in ("n0", "n1") else pa.float64()) for n in names]
                 yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names)
 
-        kept: pa.Table | None = None  # of the strip that the next batch may go on with
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if kept is None else pa.concat_tables([kept, t])
-            if not len(t):
-                continue
-            new = np.zeros(len(t) - 1, bool)
-            for n in ("__group", "row", "left"):
-                v = t.column(n).to_numpy()
-                new |= v[1:] != v[:-1]
-            stops = [int(i) + 1 for i in np.flatnonzero(new)]
-            if stops:
-                yield from done(t, stops)
-            kept = t.slice(stops[-1] if stops else 0)
-        if kept is not None and len(kept):
-            yield from done(kept, [len(kept)])
+        return _by_strip(batches, done)
 
     return full.mapInArrow(swept, schema).unionByName(rest)
 
@@ -259,6 +281,113 @@ def _strip(g: dict[str, np.ndarray], bottom: float, top: float, label) -> list[t
     return out
 
 
+def areas(e: DataFrame, by: list[str], sets: bool = False, size: float = SIZE, pieces: int = PIECES) -> DataFrame:
+    """(by, n0, n1, m2): square metres on the sphere of what ``overlay`` covers so often, without its pieces; with ``sets`` n0 and n1 are 1 where any polygon of the side is.
+
+    An area is a sum over lines: each stretch of a line between two changes of what lies below it counts for what is below and against what is above.  So of a strip's lines
+    only pairs are looked at, all at once, and the work follows pairs; pieces and the sweep that finds them follow crossings times lines.
+    """
+    rest, full = _laid(e, by, size, pieces)
+    shape = [F.lit(0.0).alias("x0"), (F.col("next") - F.col("right")).alias("x1"), *((F.col("row") * size).alias(f"lo{i}") for i in (0, 1)), *(((F.col("row") + 1) * size).alias(f"hi{i}") for i in (0, 1))]
+    counts = [(F.col(n) > 0).cast("long").alias(n) if sets else F.col(n).cast("long").alias(n) for n in ("n0", "n1")]
+    rest = rest.select(*by, *counts, *shape).select(*by, "n0", "n1", piece_area().alias("m2"))
+    names = [*by, "n0", "n1", "m2"]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table, stops: list[int]) -> Iterator[pa.RecordBatch]:
+            arrays, of, out = {n: t.column(n).to_numpy() for n in _COLUMNS}, [], []
+            for start, stop in zip([0, *stops], stops):
+                out.append(_strip_areas({n: a[start:stop] for n, a in arrays.items()}, float(arrays["row"][start]) * size, size, sets))
+                of.append(np.full(len(out[-1][2]), start))
+            n0, n1, m2 = (np.concatenate(v) for v in zip(*out, strict=True))
+            own = [t.column(n).take(pa.array(np.concatenate(of))).combine_chunks() for n in by]
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in own), pa.array(n0), pa.array(n1), pa.array(m2)], names)
+
+        return _by_strip(batches, done)
+
+    found = full.mapInArrow(summed, rest.select(names).schema).unionByName(rest.select(names))
+    return found.where("n0 <> 0 OR n1 <> 0").groupBy(*by, "n0", "n1").agg(F.sum("m2").alias("m2"))
+
+
+def _strip_areas(g: dict[str, np.ndarray], bottom: float, size: float, sets: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n0, n1, square metres) of one strip: integrals of the sine of latitude below lines, over that of the lower line, for what lies below them and against what lies above."""
+    left, right = float(g["left"][0]), float(g["right"][0])
+    is_piece = ~np.isnan(g["x1"])
+    x0, y0, x1, y1 = (g[n][is_piece] for n in _EDGE)
+    slope = (y1 - y0) / (x1 - x0)
+    weights = np.column_stack([g["d0"], g["d1"]]).astype(np.int64)
+    d, cx, cd = weights[is_piece], np.clip(g["x0"][~is_piece], left, right), weights[~is_piece]
+    order = np.argsort(cx)
+    cx, cd = cx[order], cd[order]
+    base = np.array([g["b0"][0], g["b1"][0]], np.int64)
+    so_far = np.vstack([base, base + np.cumsum(cd, axis=0)])
+    n = len(x0)
+    stretches = []  # (line, from, to, what is below)
+
+    def along(line: np.ndarray, begin: np.ndarray, end: np.ndarray, start: np.ndarray, which: np.ndarray, x: np.ndarray, change: np.ndarray) -> None:
+        """Stretches of lines between two places, from what lies below at the start and its changes."""
+        at = np.lexsort((x, which))
+        which, x, change = which[at], x[at], change[at]
+        first = np.searchsorted(which, np.arange(len(line)))
+        count = np.diff(np.append(first, len(which)))
+        place = first + np.arange(len(line))  # a line's first stretch among all
+        own = np.repeat(np.arange(len(line)), count + 1)
+        steps, low = np.empty((len(own), 2), np.int64), np.empty(len(own))
+        rest = np.ones(len(own), bool)
+        rest[place] = False
+        steps[rest], low[rest] = change, x
+        total = np.zeros((len(line), 2), np.int64)
+        sums = np.vstack([np.zeros((1, 2), np.int64), np.cumsum(change, axis=0)])
+        total[1:] = (sums[first[1:]] - sums[first[:-1]])[: len(line) - 1]
+        steps[place], low[place] = start, begin
+        steps[place[1:]] -= start[:-1] + total[1:]  # each line's sums begin anew
+        state = np.cumsum(steps, axis=0)
+        high = np.append(low[1:], 0.0)
+        high[np.append(place[1:], len(own)) - 1] = end
+        stretches.append((line[own], low, high, state))
+
+    # The upper line, below which everything is that begins and has not ended.
+    x, change = np.concatenate([cx, x0, x1]), np.concatenate([cd, d, -d])
+    along(np.array([-1]), np.array([left]), np.array([right]), base[None], np.zeros(len(x), np.int64), x, change)
+    for low in range(0, n, max(1, PAIRS // max(n, 1))):
+        i = np.arange(low, min(n, low + max(1, PAIRS // n)))
+        a, b = np.maximum(x0[i, None], x0), np.minimum(x1[i, None], x1)
+        mine, other = np.nonzero((b > a) & (np.arange(n) != i[:, None]))
+        a, b, line = a[mine, other], b[mine, other], i[mine]
+        over = lambda x: (y0[line] + (x - x0[line]) * slope[line]) - (y0[other] + (x - x0[other]) * slope[other])  # noqa: E731, B023
+        at_a, at_b = over(a), over(b)
+        flat = (at_a == 0) & (at_b == 0)  # one line twice: in the order of their numbers
+        cross = a + np.where(at_a * at_b < 0, at_a / np.where(at_a == at_b, 1, at_a - at_b), 0) * (b - a)
+        begin, end = np.where((at_a < 0) & (at_b > 0), cross, a), np.where((at_a > 0) & (at_b < 0), cross, b)
+        below = (np.where(flat, other < line, (at_a > 0) | (at_b > 0))) & (end > begin)
+        mine, line, other, begin, end = mine[below], line[below], other[below], begin[below], end[below]
+        whole = begin <= x0[line]
+        start = so_far[np.searchsorted(cx, x0[i], "right")].copy()
+        for k in (0, 1):
+            start[:, k] += np.bincount(mine[whole], d[other[whole], k], len(i)).astype(np.int64)
+        later, gone = ~whole, end < x1[line]
+        f, u = np.searchsorted(cx, x0[i], "right"), np.searchsorted(cx, x1[i], "left")
+        size_ = np.maximum(u - f, 0)
+        at = np.repeat(f, size_) + np.arange(size_.sum()) - np.repeat(np.cumsum(size_) - size_, size_)
+        along(i, x0[i], x1[i], start, np.concatenate([mine[later], mine[gone], np.repeat(np.arange(len(i)), size_)]), np.concatenate([begin[later], end[gone], cx[at]]), np.concatenate([d[other[later]], -d[other[gone]], cd[at]]))
+    line, low, high, state = (np.concatenate(v) for v in zip(*stretches, strict=True))
+    real = high > low
+    line, low, high, state = line[real], low[real], high[real], state[real]
+    top = line < 0
+    y_a, y_b = (np.where(top, bottom + size, np.append(y0, 0.0)[line] + (x - np.append(x0, 0.0)[line]) * np.append(slope, 0.0)[line]) for x in (low, high))
+    middle, half = np.radians((y_a + y_b) / 2), np.radians((y_b - y_a) / 2)
+    small = np.abs(half) < 1e-9
+    under = np.radians(high - low) * (np.sin(middle) * np.where(small, 1.0, np.sin(half) / np.where(small, 1.0, half)) - math.sin(math.radians(bottom)))
+    above = state + np.where(top[:, None], 0, np.vstack([d, np.zeros((1, 2), np.int64)])[line])
+    state, value = np.vstack([state, above[~top]]), np.concatenate([under, -under[~top]])
+    if sets:
+        state = (state > 0).astype(np.int64)
+    least = state.min(axis=0)
+    wide = int(state[:, 1].max() - least[1]) + 1
+    code, of = np.unique((state[:, 0] - least[0]) * wide + state[:, 1] - least[1], return_inverse=True)
+    return code // wide + least[0], code % wide + least[1], np.bincount(of, value) * earth.MEAN**2
+
+
 def height_difference(x0: np.ndarray, y0: np.ndarray, slope: np.ndarray, under: np.ndarray, over: np.ndarray, x: float) -> np.ndarray:
     """How far lines lie above others at a longitude."""
     return (y0[over] + (x - x0[over]) * slope[over]) - (y0[under] + (x - x0[under]) * slope[under])
@@ -276,6 +405,17 @@ def piece_area() -> Column:
 
 def circles(sites: DataFrame, by: list[str], corners: int = 128) -> DataFrame:
     """(by, polygons): the geodesic circle of so many corners round each row's latitude and longitude at its ``dist`` in metres."""
-    spread = sites.select(*by, "latitude", "longitude", F.col("dist").cast("double").alias("dist"), F.explode(F.sequence(F.lit(0), F.lit(corners - 1))).alias("i")).withColumn("az", F.col("i") * (360.0 / corners))
-    ring = earth.with_geodesic(spread, "latitude", "longitude", "az", "dist").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", F.col("lon2").alias("lon"), F.col("lat2").alias("lat")))).alias("r"))
-    return ring.select(*by, F.array(F.array(F.transform("r", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))))).alias("polygons"))
+    kind = T.ArrayType(T.ArrayType(T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))))
+    rows = dealt(sites.select(*by, *(F.col(c).cast("double") for c in ("latitude", "longitude", "dist"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            lat, lon, dist = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(float), corners) for c in ("latitude", "longitude", "dist"))
+            lat2, lon2 = geodesic(lat, lon, np.tile(np.arange(corners) * (360.0 / corners), n), dist)
+            found = pa.StructArray.from_arrays([pa.array(lon2), pa.array(lat2)], names=["lon", "lat"])
+            for step, many in ((corners, n * corners), (1, n), (1, n)):  # corners to rings, rings to parts, parts to polygons
+                found = pa.ListArray.from_arrays(pa.array(np.arange(0, many + 1, step), pa.int32()), found)
+            yield pa.RecordBatch.from_arrays([*batch.select(by).columns, found], names=[*by, "polygons"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.select(*by).schema.fields, T.StructField("polygons", kind)]))

@@ -46,9 +46,8 @@ SELECT km, depth, {_KM2} FROM (SELECT km, xa, below, sum(d) OVER w AS depth, lea
 def polygon_depth_area(spark, sf_dir):
     """Square kilometres within so many sites' circles, by range."""
     shapes = _circles(spark, sf_dir).withColumn("side", F.lit(0))
-    found = O.overlay(O.edges(shapes, ["km"]), ["km"])
-    areas = found.groupBy("km", F.col("n0").alias("depth")).agg(_km2(), F.sum(O.piece_area()).alias("m2"))
-    return areas.where(F.col("m2") > 1e-10 * earth.MEAN**2).drop("m2")
+    found = O.areas(O.edges(shapes, ["km"]), ["km"])
+    return found.where((F.col("n0") > 0) & (F.col("m2") > 1e-10 * earth.MEAN**2)).select("km", F.col("n0").alias("depth"), F.round(F.col("m2") / 1e6, 3).alias("area_km2"))
 
 
 @query(f"""WITH {_EDGES}, e AS (SELECT * FROM ce), {_SLABS},
