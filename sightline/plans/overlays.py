@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from ..functions import earth
 from ..operators import overlay as O
 from ..registry import query
 from ..sources import tables as T
-from ..sources.files import saved
 from .detections import geodesic_sql
 
 #: Corners of a circle, and its ranges in km.
@@ -57,9 +54,10 @@ UNION ALL SELECT 'intersection', km, {_KM2} FROM n WHERE n0 > 0 AND n1 > 0 AND l
 UNION ALL SELECT 'difference', km, {_KM2} FROM n WHERE n0 > 0 AND n1 <= 0 GROUP BY km""")
 def polygon_set_area(spark, sf_dir):
     """What the circles of sites of absolute altitude and those of all others cover together, both, or the first alone."""
-    e = saved(O.edges(_circles(spark, sf_dir), ["km"]), "circles")
-    parts = [O.overlay(e, ["km"], what).groupBy(F.lit(what).alias("what"), "km").agg(_km2(), F.sum(O.piece_area()).alias("m2")) for what in ("union", "intersection", "difference")]
-    return reduce(DataFrame.unionByName, parts).where(F.col("m2") > 1e-10 * earth.MEAN**2).drop("m2")
+    found = O.areas(O.edges(_circles(spark, sf_dir), ["km"]), ["km"], sets=True)
+    what = F.array(F.lit("union"), F.when(F.col("n0") > 0, F.when(F.col("n1") > 0, "intersection").otherwise("difference")))
+    each = found.select(F.explode(F.array_compact(what)).alias("what"), "km", "m2").groupBy("what", "km").agg(F.sum("m2").alias("m2"))
+    return each.where(F.col("m2") > 1e-10 * earth.MEAN**2).select("what", "km", F.round(F.col("m2") / 1e6, 3).alias("area_km2"))
 
 
 @query(f"""WITH {_EDGES},

@@ -55,7 +55,7 @@ def test_a_dense_strip_is_not_swept_line_by_line():
     assert m2.sum() == pytest.approx(O.earth.MEAN**2 * math.radians(1) * math.sin(math.radians(1)), rel=1e-9) and not n1.any() and len(n0) > 5
 
 
-@pytest.mark.parametrize("name", ["polygon_depth_area"])
+@pytest.mark.parametrize("name", ["polygon_depth_area", "polygon_set_area"])
 def test_edges_are_laid_out_once(spark, name, monkeypatch):
     """One pass over the lines gives all sets; no piece is made."""
     calls, real = [], O._laid
