@@ -11,6 +11,7 @@ from ..operators import detection as D
 from ..registry import query
 from ..sources import files, kml
 from ..sources import tables as T
+from ..sources.named import in_folders
 
 #: Degrees of a cell.
 RES = 0.05
@@ -129,7 +130,7 @@ def _detected(spark, sf_dir, union: bool):
     name = F.concat(F.lit("0"), F.col("v").cast("string"), F.lit("_cover-S"), F.col("site_id").cast("string"), F.lit("-tgt_alt_"), F.col("alt").cast("string"), F.lit("m_AGL.kml"))
     given = s.select(name.alias("filename"), F.col("name").alias("title"), F.col("alt").cast("double").alias("altitude"), F.array(F.array(square)).alias("polygons"), F.array(sensor).alias("sensors"), style.alias("style"), F.create_map(F.lit("Site"), "name").alias("metadata"), F.lit("clampToGround").alias("mode"))
     path = files.scratch(spark, "given")
-    kml.write_files(kml.coverage_documents(given), path)
+    kml.write_files(kml.coverage_documents(given).withColumn("filename", in_folders(F.col("filename"), given.count())), path)
 
     read = kml.read_coverage(spark, path).where("error IS NULL")
     number = F.regexp_extract("file", r"cover-S(\d+)-", 1).cast("long") * 10 + F.substring("file", 1, 2).cast("long") * 2 + F.when(F.col("file").contains("_200m"), 1).otherwise(0)
@@ -147,7 +148,7 @@ def _detected(spark, sf_dir, union: bool):
     told = F.create_map(F.lit("Detection Range"), F.concat(text.label(F.col("range_km")), F.lit(" km")), F.lit("Mode"), F.lit("Union" if union else "Single"), F.lit("Sensor Count"), F.col("sensors").cast("string"), F.lit("Sensors"), F.col("names"))
     done = drawn.select("filename", F.regexp_replace("filename", r"\.kml$", "").alias("title"), "altitude", "polygons", sensors.alias("sensors"), line.alias("style"), told.alias("metadata"), kml.height_mode(F.lit("clamped"), F.col("reference")).alias("mode"))
     path = files.scratch(spark, "detection")
-    kml.write_files(kml.coverage_documents(done), path)
+    kml.write_files(kml.coverage_documents(done).withColumn("filename", in_folders(F.col("filename"), outputs.count())), path)
     back = C.cells_inside(kml.read_coverage(spark, path).where("error IS NULL"), ["file"], RES).groupBy("file").agg(F.count("*").alias("cells"))
     meta = kml.read_metadata(spark, path).select("file", F.col("metadata")["Sensor Count"].cast("long").alias("sensors"), F.col("metadata")["Detection Range"].alias("reach"))
     return back.join(meta, "file").select("file", "sensors", "reach", "cells")

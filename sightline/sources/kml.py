@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import earth
 from ..functions.text import coordinates, escaped, extended_data, kml_color, label, metadata_html
-from .files import few, numbered
-from .named import write_named
+from .files import dealt, few, numbered
+from .named import located, write_named
 
 #: Fixed values of the outputs: colour and width of lines without a style, and the icon of a sensor.
 LINE_COLOR, LINE_WIDTH = "#FFA500", 2.0
@@ -252,8 +254,55 @@ def parsed_coverage(content: bytes) -> list[dict]:
     return found or [{"folder_name": None, **one} for one in [of(root)] if one]
 
 
+#: Bytes of files that a task hands on at a time.
+READ_BYTES = 8 << 20
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!._]*").load(path).select("path", "content")
+    """(path, content) of the files in a folder and below it, or of one file; names that begin with a dot or an underscore are skipped.
+
+    The driver holds no file's name: one task lists the folder itself, and what is in it is dealt to tasks, which list the folders below and read.
+    """
+
+    def kept(system: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
+        return [f for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name[0] not in "._"]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column("path").to_pylist():
+                system, root = located(at)
+                found = [f.path for f in kept(system, root)] if system.get_file_info(root).type == fs.FileType.Directory else [root]
+                for low in range(0, len(found), 10_000):
+                    yield pa.RecordBatch.from_pydict({"path": found[low : low + 10_000]}, schema=pa.schema([("path", pa.string())]))
+
+    def below(system: fs.FileSystem, at: str) -> Iterator[str]:
+        info = system.get_file_info(at)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(at)
+        if info.type == fs.FileType.Directory:
+            for f in kept(system, at):
+                yield from below(system, f.path)
+        else:
+            yield at
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = located(path)
+        done = lambda names, contents: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+        for batch in batches:
+            names, contents, size = [], [], 0
+            for name in (n for at in batch.column("path").to_pylist() for n in below(system, at)):
+                with system.open_input_file(name) as f:
+                    contents.append(f.read())
+                names.append(name)
+                size += len(contents[-1])
+                if size >= READ_BYTES:
+                    yield done(names, contents)
+                    names, contents, size = [], [], 0
+            if names:
+                yield done(names, contents)
+
+    top = spark.range(1).select(F.lit(path).alias("path")).mapInArrow(listed, "path string")
+    return dealt(top, "path").mapInArrow(read, "path string, content binary")
 
 
 def name_of(path: Column) -> Column:

@@ -17,7 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 #: Renames at a time, files that are handed out to them at a time, and what a task's list of names is called.
@@ -129,6 +130,13 @@ class NamedFiles(DataSource):
         return NamedFilesWriter(self.options["path"], overwrite)
 
 
+def in_folders(name: Column, files: int, together: int = 1000) -> Column:
+    """Names of so many files, in folders of about ``together`` files where they are more, so that nobody has to list all of them at once."""
+    if files <= together:
+        return name
+    return F.concat(F.lpad(F.pmod(F.xxhash64(name), F.lit(-(-files // together))).cast("string"), 9, "0"), F.lit("/"), name)
+
+
 def write_named(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Rows (filename, content) as files of those names in a folder; a name may go through folders below it."""
     rows.sparkSession.dataSource.register(NamedFiles)
